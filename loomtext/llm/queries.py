@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from loomtext.llm import substring_dedup, suffix_dedup
+from loomtext.llm import langid, piece_codec, quality, substring_dedup, suffix_dedup, token_counts
 
-QUERIES = {f.__name__: f for f in (suffix_dedup.op7_suffix_array_dedup, substring_dedup.op9_substring_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        langid.op1_language_id,
+        piece_codec.op4_piece_codec,
+        token_counts.op5_token_counts,
+        suffix_dedup.op7_suffix_array_dedup,
+        substring_dedup.op9_substring_dedup,
+        quality.op10_quality_rules,
+    )
+}
+ORACLES: dict[str, str] = {"op10_quality_rules": quality.OP10_SQL}
