@@ -31,7 +31,7 @@ from loomtext.llm.common import content_key, discard, materialise, partitions, s
 from loomtext.llm.textkit import BYTE_CODE, buffers, chunks, sliding_min, span_hashes, window_hashes, word_hashes, words
 
 HOT_PIECES = 4096
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _PLACE_BITS = 28
 
 
@@ -54,7 +54,7 @@ def tokens(unit: Unit, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np
 
 
 def pieces_of(unit: Unit, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, first window, windows, anchor hash, piece hash) of each piece of a chunk."""
+    """(document, first window, windows, anchor's place in the piece, anchor hash, piece hash) of each piece of a chunk."""
     grams = window_hashes(codes, unit.anchor)
     place = (1 << _PLACE_BITS) - 1
     least = sliding_min((grams & np.uint64(~place & (2**64 - 1))) | np.arange(len(grams), dtype=np.uint64), unit.window - unit.anchor + 1)
@@ -64,17 +64,17 @@ def pieces_of(unit: Unit, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndar
     doc = np.repeat(np.arange(len(size)), counts)
     if not len(doc):
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     start = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts) + first[doc]
     anchor = (least[start] & np.uint64(place)).astype(np.int64)
     head = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
     n = np.diff(np.append(head, len(doc)))
     begin = start[head]
-    return doc[head], begin - first[doc[head]], n, grams[anchor[head]], span_hashes(codes, begin, begin + n - 1 + unit.window)
+    return doc[head], begin - first[doc[head]], n, anchor[head] - begin, grams[anchor[head]], span_hashes(codes, begin, begin + n - 1 + unit.window)
 
 
 def _anchors(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["key", "piece", "th", "tl", "a", "n"]
+    names = ["key", "piece", "th", "tl", "a", "n", "p"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,8 +82,8 @@ def _anchors(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             th, tl = batch.column("th").to_numpy(), batch.column("tl").to_numpy()
             for i, _, part, o in chunks(raw, off):
                 codes, _, _, first = tokens(unit, part, o)
-                doc, a, n, key, piece = pieces_of(unit, codes, first)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(piece.view(np.int64)), pa.array(th[doc + i]), pa.array(tl[doc + i]), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32))], names)
+                doc, a, n, p, key, piece = pieces_of(unit, codes, first)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(piece.view(np.int64)), pa.array(th[doc + i]), pa.array(tl[doc + i]), *(pa.array(x.astype(np.int32)) for x in (a, n, p))], names)
 
     return run
 
@@ -109,55 +109,112 @@ def _cut(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                         b = f + w["a"]
                         e = b + w["n"] - 1 + unit.window
                         body = b" ".join([data[x:y] for x, y in zip(start[b:e].tolist(), end[b:e].tolist(), strict=True)]) if unit.words else data[b:e]
-                        rows.append((w["key"], w["piece"], w["copies"], w["hot"], body))
+                        rows.append((w["key"], w["piece"], w["copies"], w["hot"], w["p"], body))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["key", "piece", "copies", "hot", "body"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()), strict=True)], ["key", "piece", "copies", "hot", "p", "body"])
 
     return run
 
 
-def block_tokens(unit: Unit, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def block_tokens(bodies: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Integer tokens of the pieces of a block, each piece followed by the separator 0, and the pieces' offsets."""
-    raw, off = buffers(pa.array(bodies, pa.binary()))
-    if unit.words:
-        start, end, first = words(raw, off)
-        ids = np.unique(word_hashes(raw, start, end), return_inverse=True)[1].astype(np.int64) + 1
-    else:
-        ids, first = raw.astype(np.int64) + 1, off
-    count = len(first) - 1
+    raw = np.frombuffer(b"".join(bodies), ">u8" if width == 8 else np.uint8)
+    first = np.cumsum([0, *(len(b) // width for b in bodies)])
+    ids = np.unique(raw, return_inverse=True)[1].astype(np.int64) + 1 if width == 8 else raw.astype(np.int64) + 1
+    count = len(bodies)
     out = np.zeros(len(ids) + count, np.int64)
     out[np.arange(len(ids)) + np.repeat(np.arange(count), np.diff(first))] = ids
     return out, first + np.arange(count + 1)
 
 
+def _shared(a: bytes, b: bytes) -> int:
+    """Bytes of the common prefix."""
+    n = min(len(a), len(b))
+    differs = (int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")).bit_length()
+    return n - (differs + 7) // 8
+
+
+def _reach(group: list[int], sides: list[bytes]) -> list[int]:
+    """For each side text, the longest prefix (bytes) that it shares with another of its group."""
+    order = sorted(range(len(sides)), key=lambda i: (group[i], sides[i]))
+    best = [0] * len(sides)
+    for i, j in zip(order, order[1:], strict=False):
+        if group[i] == group[j]:
+            k = _shared(sides[i], sides[j])
+            best[i], best[j] = max(best[i], k), max(best[j], k)
+    return best
+
+
 def _shard(unit: Unit, search: Callable[[Unit, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pieces sorted by anchor -> ranges of their windows that occur elsewhere."""
+    """Pieces sorted by anchor -> ranges of their windows that occur elsewhere.
+
+    A piece can only recur as far as it agrees with another piece of its anchor, to the left and to the right; it is
+    trimmed to that reach first (and left out if the reach is under a window), and trimmed pieces that are equal are
+    searched once.
+    """
     schema = ["key", "piece", "s", "e"]
+    width = 8 if unit.words else 1
+
+    def body_tokens(bodies: list[bytes]) -> list[bytes]:
+        if not unit.words:
+            return bodies
+        raw, off = buffers(pa.array(bodies, pa.binary()))
+        start, end, first = words(raw, off)
+        codes = word_hashes(raw, start, end).astype(">u8").tobytes()
+        return [codes[8 * i : 8 * j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+    def backward(side: bytes) -> bytes:
+        return np.frombuffer(side, ">u8")[::-1].tobytes() if unit.words else side[::-1]
 
-    def block(rows: list[tuple]) -> pa.RecordBatch:
+    def block(rows: list[tuple]) -> pa.RecordBatch | None:
         rows = list({r[:2]: r for r in rows}.values())
-        text, off = block_tokens(unit, [r[3] for r in rows])
-        copies = np.array([r[2] for r in rows])
+        bodies = body_tokens([r[4] for r in rows])
+        group = [r[0] for r in rows]
+        right = _reach(group, [b[width * r[3] :] for b, r in zip(bodies, rows, strict=True)])
+        left = _reach(group, [backward(b[: width * r[3]]) for b, r in zip(bodies, rows, strict=True)])
+        of: dict[bytes, int] = {}
+        copies: list[int] = []
+        owners: list[tuple[int, int, int]] = []
+        whole: list[tuple[int, int, int, int]] = []
+        for i, (r, b) in enumerate(zip(rows, bodies, strict=True)):
+            low, high = r[3] - left[i] // width, r[3] + right[i] // width
+            if r[2] > 1:  # it has copies: every window of it recurs
+                whole.append((r[0], r[1], 0, len(b) // width - unit.window + 1))
+            if high - low >= unit.window:
+                k = of.setdefault(b[width * low : width * high], len(copies))
+                if k == len(copies):
+                    copies.append(0)
+                copies[k] += r[2]
+                owners.append((k, i, low))
+        text, off = block_tokens(list(of), width)
         hit = np.zeros(len(text) + 1, np.int8)
-        hit[:-1] = search(unit, text, off, copies)
+        if of:
+            hit[:-1] = search(unit, text, off, np.array(copies))
         edge = np.diff(np.append(0, hit))
         s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         at = np.searchsorted(off, s, "right") - 1
-        key, piece = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(piece[at]), pa.array((s - off[at]).astype(np.int32)), pa.array((e - off[at]).astype(np.int32))], schema)
+        ranges: dict[int, list[tuple[int, int]]] = {}
+        for k, x, y in zip(at.tolist(), (s - off[at]).tolist(), (e - off[at]).tolist(), strict=True):
+            ranges.setdefault(k, []).append((x, y))
+        out = whole + [(rows[i][0], rows[i][1], low + x, low + y) for k, i, low in owners if rows[i][2] == 1 for x, y in ranges.get(k, ())]
+        if not out:
+            return None
+        key, piece, s, e = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(piece, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "piece", "copies", "body")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "piece", "copies", "p", "body")), strict=True):
                 if size >= BLOCK_BYTES and held[-1][0] != row[0]:
-                    yield block(held)
+                    if (made := block(held)) is not None:
+                        yield made
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
-        if held:
-            yield block(held)
+                size += len(row[4])
+        if held and (made := block(held)) is not None:
+            yield made
 
     return run
 
@@ -186,20 +243,20 @@ def repeated_windows(docs: DataFrame, unit: Unit, search: Callable) -> DataFrame
     spark = docs.sparkSession
     small_batches(spark)
     keyed = docs.select(*content_key(), "text")
-    found, found_at = materialise(keyed.mapInArrow(_anchors(unit), "key long, piece long, th long, tl int, a int, n int"))
+    found, found_at = materialise(keyed.mapInArrow(_anchors(unit), "key long, piece long, th long, tl int, a int, n int, p int"))
     shared = found.groupBy("key").agg(F.count("*").alias("rows"), F.min("piece").alias("lo"), F.max("piece").alias("hi")).filter("rows > 1")
     cand, _ = materialise(found.join(shared.select("key", (F.col("lo") != F.col("hi")).alias("mixed")), "key"))
     discard(spark, found_at)
 
-    kinds = cand.filter("mixed").groupBy("key", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("th", "tl", "a", "n")).alias("at"))
+    kinds = cand.filter("mixed").groupBy("key", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("th", "tl", "a", "n", "p")).alias("at"))
     hot = kinds.groupBy("key").count().filter(F.col("count") > HOT_PIECES).select("key", F.lit(True).alias("hot"))
     wanted = (
         kinds.join(hot, "key", "left")
         .groupBy(F.col("at.th").alias("th"), F.col("at.tl").alias("tl"))
-        .agg(F.collect_list(F.struct("key", "piece", "copies", F.coalesce("hot", F.lit(False)).alias("hot"), F.col("at.a").alias("a"), F.col("at.n").alias("n"))).alias("wanted"))
+        .agg(F.collect_list(F.struct("key", "piece", "copies", F.coalesce("hot", F.lit(False)).alias("hot"), F.col("at.a").alias("a"), F.col("at.n").alias("n"), F.col("at.p").alias("p"))).alias("wanted"))
     )
-    cut, cut_at = materialise(keyed.join(wanted, ["th", "tl"]).mapInArrow(_cut(unit), "key long, piece long, copies long, hot boolean, body binary"))
-    dealt = cut.filter("not hot").select("key", "piece", "copies", "body").repartition(partitions(spark), "key").sortWithinPartitions("key")
+    cut, cut_at = materialise(keyed.join(wanted, ["th", "tl"]).mapInArrow(_cut(unit), "key long, piece long, copies long, hot boolean, p int, body binary"))
+    dealt = cut.filter("not hot").select("key", "piece", "copies", "p", "body").repartition(partitions(spark), "key").sortWithinPartitions("key")
     ranges = dealt.mapInArrow(_shard(unit, search), "key long, piece long, s int, e int")
     single = cut.filter("hot").dropDuplicates(["key", "piece"]).select("key", "piece", "copies", "body").mapInArrow(_windows(unit), "window long, key long, piece long, copies long, j int")
     often = single.groupBy("window").agg(F.sum("copies").alias("rows")).filter("rows > 1").select("window")
