@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from loomtext.llm import langid, piece_codec, quality, substring_dedup, suffix_dedup, token_counts
+from loomtext.llm import decontam, langid, near_dups, piece_codec, quality, secrets, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     f.__name__: f
     for f in (
         langid.op1_language_id,
+        near_dups.op2_minhash_near_dedup,
+        decontam.op3_benchmark_decontamination,
         piece_codec.op4_piece_codec,
         token_counts.op5_token_counts,
+        secrets.op6_secret_scan,
         suffix_dedup.op7_suffix_array_dedup,
         substring_dedup.op9_substring_dedup,
         quality.op10_quality_rules,
