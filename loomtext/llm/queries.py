@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomtext.llm import decontam, langid, near_dups, piece_codec, quality, secrets, substring_dedup, suffix_dedup, token_counts
+from loomtext.llm import decontam, langid, lm, near_dups, piece_codec, quality, secrets, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     f.__name__: f
@@ -14,6 +14,7 @@ QUERIES = {
         token_counts.op5_token_counts,
         secrets.op6_secret_scan,
         suffix_dedup.op7_suffix_array_dedup,
+        lm.op8_lm_scoring,
         substring_dedup.op9_substring_dedup,
         quality.op10_quality_rules,
     )
