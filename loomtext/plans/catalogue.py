@@ -1,19 +1,614 @@
-"""Every registered query of the retrieval engine, with its SQL."""
+"""Every registered query of the retrieval engine, over the driver's tables, with SQL that gives the same rows.
+
+Driver tables stand in for works: a ``source`` is a work, a document is a document and a span, a conversation is a book
+whose turns are chapters, ``benchmark`` holds evidence quotes, ``events`` are call events.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from loomtext.functions import text as T
+from loomtext.functions.numerals import chapter_number_col
+from loomtext.operators import context, evaluate, events, explore, fulltext, graph, indexing, limits, search, spans
+from loomtext.sources import html, text_files
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+TERM, PAIR = "thanedble", "thanedble anea"
+QUESTION = "thanedble anea the eriner attion"
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").orderBy("doc_id").limit(20)
 
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def span_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as spans, one each."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        F.col("source").alias("work_ref"), F.col("doc_id").cast("string").alias("span_ref"), F.col("doc_id").cast("string").alias("document_ref"), F.col("source").alias("relative_path"), F.col("lang").alias("kind"),
+        F.col("source").alias("heading"), F.col("text").alias("content"), F.col("doc_id").alias("source_ordinal"), F.lit(0).alias("ordinal"), F.lit(1).alias("start_line"),
+    )
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked search for two terms, best twenty."""
+    return q_search(spark, sf_dir)
+
+
+# Functions ------------------------------------------------------------------------------------------------------------
+
+_TOKENS = "greatest(1, ceil(length(regexp_replace({0}, '[^\\x{{3400}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}]', '', 'g'))::DOUBLE * 1.15::DOUBLE + len(list_filter(string_split_regex(regexp_replace({0}, '[\\x{{3400}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}]', ' ', 'g'), '[\\t\\n\\x0B\\f\\r \\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x{{FEFF}}]+'), lambda w: w <> ''))::DOUBLE * 1.3::DOUBLE))::BIGINT"
+
+
+@query("fn7_token_estimate", f"SELECT doc_id, {_TOKENS.format('text')} AS tokens FROM documents")
+def q_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("agg11_token_totals", f"SELECT lang, sum({_TOKENS.format('text')})::BIGINT AS tokens, count(*) AS documents FROM documents GROUP BY lang")
+def q_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(T.estimate_tokens(F.col("text"))).alias("tokens"), F.count("*").alias("documents"))
+
+
+@query("fn1_stable_refs", "SELECT doc_id, 'doc:' || left(sha256(source || chr(0) || doc_id::VARCHAR), 24) AS document_ref, sha256(source || chr(0) || doc_id::VARCHAR || chr(0) || 'contains') AS identity_hash FROM documents")
+def q_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.stable_id("doc", F.col("source"), F.col("doc_id")).alias("document_ref"), T.identity_hash(F.col("source"), F.col("doc_id"), F.lit("contains")).alias("identity_hash"))
+
+
+@query("fn2_content_hash", "SELECT doc_id, sha256(text) AS content_hash, strlen(text)::BIGINT AS bytes FROM documents")
+def q_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("bytes"))
+
+
+@query("snk3_snapshot_hash", "SELECT source, sha256(string_agg(doc_id::VARCHAR || ':' || sha256(text), chr(10) ORDER BY doc_id::VARCHAR || ':' || sha256(text))) AS snapshot_hash FROM documents GROUP BY source")
+def q_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("source").agg(T.snapshot_hash(F.col("doc_id").cast("string"), F.sha2("text", 256)).alias("snapshot_hash"))
+
+
+@query("fn20_chapter_numbers", "SELECT conv_id, turn, (turn + 1)::INTEGER AS number FROM conversations")
+def q_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    roman = F.element_at(F.split(F.lit("i ii iii iv v vi vii viii ix x xi xii xiii xiv xv xvi xvii xviii xix xx"), " "), (F.col("turn") + 1).cast("int"))
+    han = F.element_at(F.split(F.lit("一 二 三 四 五 六 七 八 九 十 十一 十二 十三 十四 十五 十六 十七 十八 十九 二十"), " "), (F.col("turn") + 1).cast("int"))
+    written = F.when(F.col("turn") % 3 == 0, roman).when(F.col("turn") % 3 == 1, han).otherwise((F.col("turn") + 1).cast("string"))
+    return c.select("conv_id", "turn", chapter_number_col(written).alias("number"))
+
+
+
+
+@query(
+    "fn9_query_terms",
+    """SELECT item_id, pos::BIGINT AS pos, term FROM (
+         SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY first) AS pos FROM (
+           SELECT item_id, term, min(i) AS first FROM (SELECT item_id, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS i
+             FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_''-]*') AS t FROM benchmark)) GROUP BY item_id, term)) WHERE pos <= 48""",
+)
+def q_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark")
+    return b.select("item_id", F.posexplode(search.query_terms(F.col("text"))).alias("pos", "term")).select("item_id", (F.col("pos") + 1).cast("long").alias("pos"), "term")
+
+
+@query("fn11_feedback_terms", """SELECT item_id, count(DISTINCT term) AS terms FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_''-]*')) AS term FROM benchmark)
+    WHERE length(term) > 1 AND term NOT IN ('and','are','for','from','into','is','that','the','this','was','were','with') GROUP BY item_id""")
+def q_feedback_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark")
+    return b.select("item_id", F.size(search.feedback_terms(F.col("text"))).cast("long").alias("terms")).filter("terms > 0")
+
+
+@query("fn27_truncate_utf8", "SELECT conv_id, turn, CASE WHEN strlen(text) <= 100 THEN text ELSE left(text, list_max(list_filter(range(0, 101), lambda i: strlen(left(text, i)) <= 100))) END AS cut FROM conversations")
+def q_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.truncate_utf8(F.col("text"), 100).alias("cut"))
+
+
+@query("fn29_redaction", "SELECT event_id, 'string' AS type, length(props)::BIGINT AS length, sha256(props) AS digest FROM events")
+def q_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", T.redacted(F.col("props")).alias("r")).select("event_id", "r.type", "r.length", F.col("r.sha256").alias("digest"))
+
+
+@query("fn28_markdown_escape", r"SELECT page_id, regexp_replace(regexp_replace(url, '([\\`*_{}\[\]()#+.!|<>-])', '\\\1', 'g'), '\s*[\r\n]+\s*', ' ', 'g') AS shown FROM pages")
+def q_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.escape_markdown(F.col("url")).alias("shown"))
+
+
+@query("fn26_json_bytes", "SELECT event_id, strlen('{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}')::BIGINT AS bytes FROM events")
+def q_json_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", limits.json_bytes(F.struct("event_id", "event_type")).cast("long").alias("bytes"))
+
+
+# Spans ------------------------------------------------------------------------------------------------------------------
+
+
+@query("der1_spans")
+def q_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    docs = d.select(F.col("source").alias("work_ref"), T.stable_id("doc", F.col("source"), F.col("doc_id")).alias("document_ref"), F.col("source").alias("title"), F.col("text").alias("content"), F.lit(1).alias("source_start_line"))
+    return spans.spans(docs)
+
+
+@query(
+    "der1_span_cover",
+    """SELECT doc_id, count(*) FILTER (WHERE trim(line, ' ') <> '')::BIGINT AS solid_lines, max(length(line))::BIGINT AS longest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id""",
+)
+def q_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.lines_of(F.col("text"))).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count_if(F.trim("line") != "").alias("solid_lines"), F.max(F.length("line")).cast("long").alias("longest"))
+
+
+@query(
+    "der1_long_line_chunks",
+    """SELECT doc_id, k::INTEGER AS ordinal, length(substr(text, k * 2400 + 1, 2400))::BIGINT AS units, sha256(substr(text, k * 2400 + 1, 2400)) AS content_hash
+       FROM (SELECT doc_id, t AS text, unnest(range(0, (length(t) + 2399) // 2400)) AS k FROM (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents) WHERE length(t) > 2400)""",
+)
+def q_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").withColumn("flat", F.translate("text", "\n", " ")).filter(F.length("flat") > spans.SPAN_CAP)
+    docs = d.select(F.col("source").alias("work_ref"), F.col("doc_id").cast("string").alias("document_ref"), F.lit("").alias("title"), F.col("flat").alias("content"), F.lit(1).alias("source_start_line"))
+    return spans.spans(docs).select(F.col("document_ref").cast("long").alias("doc_id"), "ordinal", F.length("content").cast("long").alias("units"), F.sha2("content", 256).alias("content_hash"))
+
+
+@query("joi14_line_locators", """WITH s AS (SELECT conv_id, turn * 3 + 1 AS ds, turn * 3 + 4 AS de, turn * 10 + 1 AS ss FROM conversations), l AS (SELECT DISTINCT conv_id, turn * 5 + 2 AS a, turn * 5 + 6 AS b FROM conversations)
+    SELECT l.conv_id, a, b, greatest(a, ds) + ss - ds AS locator_start, least(b, de) + ss - ds AS locator_end FROM l JOIN s ON l.conv_id = s.conv_id AND a <= de AND ds <= b""")
+def q_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    segments = c.select(F.col("conv_id").alias("document_ref"), (F.col("turn") * 3 + 1).alias("document_start_line"), (F.col("turn") * 3 + 4).alias("document_end_line"), (F.col("turn") * 10 + 1).alias("segment_start_line"))
+    lines = c.select(F.col("conv_id").alias("document_ref"), (F.col("turn") * 5 + 2).alias("start_line"), (F.col("turn") * 5 + 6).alias("end_line")).distinct()
+    return spans.line_locators(lines, segments).select(F.col("document_ref").alias("conv_id"), F.col("start_line").alias("a"), F.col("end_line").alias("b"), "locator_start", "locator_end")
+
+
+# Full text and search -----------------------------------------------------------------------------------------------------
+
+_TRI = "SELECT doc_id, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS term FROM (SELECT doc_id, lower(source) AS t FROM documents UNION ALL SELECT doc_id, lower(text) FROM documents)"
+
+
+@query("agg6_document_frequency", f"SELECT term, count(DISTINCT doc_id) AS df, count(*)::BIGINT AS tf FROM ({_TRI}) GROUP BY term")
+def q_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posted = fulltext.postings(span_rows(spark, sf_dir))
+    return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+@query("joi11_phrase_candidates", "SELECT item_id, doc_id FROM benchmark JOIN documents ON contains(lower(documents.text), lower(left(benchmark.text, 24)))")
+def q_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = span_rows(spark, sf_dir)
+    wanted = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.left("text", F.lit(24))).alias("phrase"))
+    found = fulltext.phrase_candidates(fulltext.postings(rows), wanted.select("phrase").distinct())
+    held = found.join(rows.select("span_ref", "content"), "span_ref").filter(F.contains(F.lower("content"), F.col("phrase")))
+    return held.join(wanted, "phrase").select("item_id", F.col("span_ref").cast("long").alias("doc_id"))
+
+
+def _count(column: str, term: str) -> str:
+    """Occurrences of a term that cannot overlap itself."""
+    return f"((length({column}) - length(replace({column}, '{term}', ''))) / {len(term)})"
+
+
+def _bm25_sql(terms: list[str]) -> str:
+    n = "(SELECT count(*) FROM base)"
+    parts = []
+    for k, t in enumerate(terms):
+        df = f"(SELECT count(*) FROM base WHERE f{k} > 0)"
+        idf = f"ln(({n} - {df} + 0.5::DOUBLE) / ({df} + 0.5::DOUBLE))"
+        parts.append(f"(CASE WHEN {idf} > 0 THEN {idf} ELSE 1e-6::DOUBLE END) * f{k} * 2.2::DOUBLE / (f{k} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * d / (SELECT avg(d) FROM base)))")
+    counts = ", ".join(f"({_count('h', t)} + {_count('c', t)})::DOUBLE AS f{k}" for k, t in enumerate(terms))
+    return f"""base AS (SELECT *, {counts} FROM (SELECT doc_id, source, text, lower(source) AS h, lower(text) AS c, (greatest(length(source) - 2, 0) + greatest(length(text) - 2, 0))::DOUBLE AS d FROM documents)),
+    ranked AS (SELECT *, {" + ".join(parts)} AS bm25 FROM base WHERE {" OR ".join(f"f{k} > 0" for k in range(len(terms)))})"""
+
+
+@query("agg7_bm25", f"WITH {_bm25_sql([TERM])} SELECT doc_id, round(bm25, 6) AS bm25 FROM ranked")
+def q_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fulltext.add_bm25(span_rows(spark, sf_dir), [TERM])
+    return found.select(F.col("span_ref").cast("long").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
+
+
+def _positions(term: str) -> str:
+    parts = f"string_split(c, '{term}')"
+    return f"list_transform(range(1, len({parts})), lambda i: list_sum(list_transform(list_slice({parts}, 1, i), lambda p: length(p))) + (i - 1) * {len(term)})"
+
+
+_SEARCH_SQL = f"""WITH {_bm25_sql(PAIR.split())},
+  pool AS (SELECT * FROM ranked ORDER BY bm25 DESC, doc_id LIMIT 240),
+  near AS (SELECT doc_id, min(abs(p - q)) AS spread FROM (SELECT doc_id, p, unnest(b) AS q FROM (SELECT doc_id, unnest(a) AS p, b FROM (SELECT doc_id, {_positions('thanedble')} AS a, {_positions('anea')} AS b FROM pool WHERE f0 > 0 AND f1 > 0))) GROUP BY doc_id),
+  scored AS (SELECT pool.doc_id, source,
+    least(1.0::DOUBLE, ((f0 > 0)::INT * 9 + (f1 > 0)::INT * 4) / 12.0::DOUBLE) * 4 + CASE WHEN f0 > 0 AND f1 > 0 THEN 1 / (1 + spread / 200.0::DOUBLE) ELSE 1 END + least(1.0::DOUBLE, bm25 / 10) + 0.25::DOUBLE AS score
+    FROM pool LEFT JOIN near USING (doc_id))
+  SELECT doc_id, round(score, 6) AS score, 'deterministic' AS trust FROM scored ORDER BY score DESC, source, doc_id::VARCHAR LIMIT 20"""
+
+
+@query("qry1_search", _SEARCH_SQL)
+def q_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = search.search(span_rows(spark, sf_dir), PAIR, 20, None)
+    return found.select(F.col("span_ref").cast("long").alias("doc_id"), F.round("score", 6).alias("score"), "trust")
+
+
+@query("qry2_search_feedback")
+def q_search_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = search.search(span_rows(spark, sf_dir), QUESTION, 20)
+    return found.select(F.col("span_ref").cast("long").alias("doc_id"), F.round("score", 6).alias("score"), "trust", F.length("excerpt").alias("excerpt_length"))
+
+
+@query("prj2_document_lookup", "SELECT page_id, url FROM pages WHERE contains(lower(url), 'page=2') ORDER BY page_id LIMIT 20")
+def q_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.document_lookup(table(spark, sf_dir, "pages"), "PAGE=2", "url", "url", ["page_id"]).select("page_id", "url")
+
+
+@query("prj3_literal_terms", "SELECT doc_id, contains(lower(text), 'the_') AS under, contains(lower(text), 'a%') AS percent, contains(lower(text), 'erin') AS plain FROM documents")
+def q_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", *[T.contains_folded(c, x).alias(n) for x, n in (("THE_", "under"), ("a%", "percent"), ("erin", "plain"))])
+
+
+# Graph ------------------------------------------------------------------------------------------------------------------------
+
+
+def books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as works, turns as chapters."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").cast("string").alias("work_ref"), F.concat_ws("-", "conv_id", "turn").alias("document_ref"), F.concat(F.lit("chapter "), F.col("turn") + 1).alias("title"), F.lit("chapter").alias("kind"), F.col("turn").alias("source_ordinal"), F.col("text").alias("content"), F.lit(1).alias("source_start_line"), "conv_id", "turn")
+
+
+@query("win1_chapter_positions", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, conv_id || '-' || turn) AS position FROM conversations")
+def q_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = books(spark, sf_dir)
+    return explore.chapter_positions(b).join(b.select("document_ref", "conv_id", "turn"), "document_ref").select("conv_id", "turn", F.col("position").cast("long").alias("position"))
+
+
+_ENTITY = "'entity:' || left(sha256(conv_id::VARCHAR || chr(0) || 'Chapter' || chr(0) || conv_id || '-' || turn), 24)"
+
+
+@query("der8_precedes", f"""WITH c AS (SELECT conv_id, turn, {_ENTITY} AS ref FROM conversations WHERE trim(text, ' ' || chr(10)) <> ''), o AS (SELECT conv_id, lag(ref) OVER w AS source_ref, ref AS target_ref, row_number() OVER w - 1 AS k FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    SELECT conv_id::VARCHAR AS work_ref, source_ref, target_ref, 'edge:' || left(sha256(source_ref || chr(0) || target_ref || chr(0) || 'precedes'), 24) AS edge_ref, k AS "order" FROM o WHERE source_ref IS NOT NULL""")
+def q_precedes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = books(spark, sf_dir)
+    cut = spans.spans(b)
+    entities = graph.canonical_entities(graph.definitions(cut, b))
+    return graph.precedes_edges(entities, cut).select("work_ref", "source_ref", "target_ref", "edge_ref", F.col("order").cast("long").alias("order"))
+
+
+@query("qry7_timeline", """WITH p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+    SELECT conv_id, turn, position AS from_position, least(position + 1, n) AS to_position FROM p WHERE position <= 2 AND least(position + 1, n) >= 2""")
+def q_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = books(spark, sf_dir)
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    items = b.select("conv_id", "turn", F.col("document_ref").alias("ref"), F.col("title").alias("heading"), F.col("document_ref").alias("valid_from"), F.coalesce(F.lead("document_ref").over(order), F.col("document_ref")).alias("valid_to"), F.lit(None).cast("string").alias("narrative_time"))
+    positions = explore.chapter_positions(b).select(F.col("document_ref").alias("ref"), F.col("position").cast("long").alias("position"))
+    return explore.timeline(items, positions, anchor=2, limit=None).select("conv_id", "turn", "from_position", "to_position")
+
+
+@query("src10_volumes", """SELECT conv_id, turn, 1 + sum(r) OVER (ORDER BY conv_id, turn ROWS UNBOUNDED PRECEDING)::BIGINT AS volume FROM (SELECT conv_id, turn, (turn + 1 <= lag(turn + 1) OVER (ORDER BY conv_id, turn))::INT AS r0, coalesce((turn + 1 <= lag(turn + 1) OVER (ORDER BY conv_id, turn))::INT, 0) AS r FROM conversations)""")
+def q_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").withColumn("book", F.lit(1))
+    order = Window.partitionBy("book").orderBy("conv_id", "turn")
+    flagged = c.withColumn("restart", text_files.volume_number(F.col("turn") + 1, order))
+    return flagged.select("conv_id", "turn", (1 + F.sum("restart").over(order)).alias("volume"))
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First words of the benchmark's items as names, in every work."""
+    word = F.regexp_extract("text", "^([^\\s.,]+)", 1)
+    names = table(spark, sf_dir, "benchmark").select(word.alias("name")).filter("length(name) > 2").distinct()
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("work_ref")).distinct().join(names)
+
+
+_NAMES_SQL = "names AS (SELECT DISTINCT name FROM (SELECT regexp_extract(text, '^([^\\s.,]+)', 1) AS name FROM benchmark) WHERE length(name) > 2)"
+
+
+@query("der5_mentions", f"""WITH {_NAMES_SQL}, m AS (SELECT doc_id, name, string_split(text, name) AS parts FROM documents JOIN names ON contains(text, name))
+    SELECT doc_id, name, (list_sum(list_transform(list_slice(parts, 1, i), lambda p: length(p))) + (i - 1) * length(name))::INTEGER AS start_offset FROM (SELECT doc_id, name, parts, unnest(range(1, len(parts))) AS i FROM m)""")
+def q_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.name_occurrences(span_rows(spark, sf_dir), _names(spark, sf_dir))
+    return found.select(F.col("span_ref").cast("long").alias("doc_id"), "name", "start_offset")
+
+
+@query("der5_appears_in", f"WITH {_NAMES_SQL} SELECT name, source, min(doc_id) AS first_doc, count(*) AS documents FROM documents JOIN names ON contains(text, name) GROUP BY name, source")
+def q_appears(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.name_occurrences(span_rows(spark, sf_dir), _names(spark, sf_dir)).select("work_ref", "name", F.col("span_ref").cast("long").alias("doc_id")).distinct()
+    return found.groupBy("name", F.col("work_ref").alias("source")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("documents"))
+
+
+@query("qry4_entity_lookup", "SELECT p_partkey, CASE WHEN lower(p_name) = 'red widget' THEN 2 ELSE 1 END AS score, count(*) OVER (PARTITION BY lower(p_name) = 'red widget') AS owner_count FROM part WHERE contains(lower(p_name), 'red widget')")
+def q_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_ref"), T.normalize_name(F.col("p_name")).alias("normalized_alias"))
+    return explore.alias_matches(names, "Red Widget").select(F.col("entity_ref").alias("p_partkey"), "score", "owner_count")
+
+
+@query("win2_owner_ambiguity", "SELECT lower(p_name) AS normalized_alias, count(*) AS owners, min(p_partkey) AS first_owner FROM part GROUP BY 1 HAVING count(*) > 1")
+def q_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").select("p_partkey", T.normalize_name(F.col("p_name")).alias("normalized_alias"))
+    return names.groupBy("normalized_alias").agg(F.count("*").alias("owners"), F.min("p_partkey").alias("first_owner")).filter("owners > 1")
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, nations, customers and orders as one graph."""
+    n, c, o = (table(spark, sf_dir, x) for x in ("nation", "customer", "orders"))
+
+    def edges(df: DataFrame, a: str, pa: str, b: str, pb: str, kind: str) -> DataFrame:
+        source, target = F.concat(F.lit(pa), F.col(a)), F.concat(F.lit(pb), F.col(b))
+        return df.select(source.alias("source_ref"), target.alias("target_ref"), F.lit(kind).alias("kind"), F.concat_ws("|", F.lit(kind), source, target).alias("edge_ref"))
+
+    return edges(n, "n_regionkey", "r", "n_nationkey", "n", "contains").unionByName(edges(c, "c_nationkey", "n", "c_custkey", "c", "holds")).unionByName(edges(o, "o_custkey", "c", "o_orderkey", "o", "places"))
+
+
+def _hops_sql(hops: int) -> str:
+    sql = """WITH e AS (SELECT 'r' || n_regionkey AS s, 'n' || n_nationkey AS t, 'contains' AS kind FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'holds' FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'places' FROM orders),
+      adj AS (SELECT s AS owner, t AS nxt, kind, kind || '|' || s || '|' || t AS edge FROM e UNION ALL SELECT t, s, kind, kind || '|' || s || '|' || t FROM e WHERE s <> t),
+      s0 AS (SELECT 'r0' AS ref, 0 AS hop, 1 AS rank), v0 AS (SELECT ref, hop FROM s0)"""
+    for h in range(1, hops + 1):
+        sql += f""",
+      k{h} AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY kind, edge) AS k FROM (SELECT adj.*, s{h - 1}.rank AS orank FROM adj JOIN s{h - 1} ON adj.owner = s{h - 1}.ref)),
+      f{h} AS (SELECT nxt, arg_min(orank, orank * 100 + k) AS orank, arg_min(k, orank * 100 + k) AS k FROM k{h} WHERE k <= 64 AND nxt NOT IN (SELECT ref FROM v{h - 1}) GROUP BY nxt),
+      s{h} AS (SELECT * FROM (SELECT nxt AS ref, {h} AS hop, row_number() OVER (ORDER BY orank, k) AS rank FROM f{h}) WHERE rank <= 512 - (SELECT count(*) FROM v{h - 1})),
+      v{h} AS (SELECT * FROM v{h - 1} UNION ALL SELECT ref, hop FROM s{h})"""
+    return sql + f" SELECT ref, hop FROM v{hops}"
+
+
+for _h in (1, 2, 3):
+
+    @query(f"qry5_neighborhood_{_h}", _hops_sql(_h))
+    def q_hops(spark: SparkSession, sf_dir: str, hops: int = _h) -> DataFrame:
+        seeds = spark.createDataFrame([("r0",)], "ref string")
+        return explore.neighborhood(_places(spark, sf_dir), seeds, hops).select("ref", "hop")
+
+
+_KINDS = "CASE lang WHEN 'en' THEN 'chapter' WHEN 'fr' THEN 'character' WHEN 'de' THEN 'state' ELSE 'document' END"
+
+
+@query("agg2_kind_layers", f"SELECT l.layer, coalesce(n, 0)::BIGINT AS \"count\" FROM (VALUES ('L1'), ('L2'), ('L3')) l(layer) LEFT JOIN (SELECT CASE {_KINDS} WHEN 'character' THEN 'L1' WHEN 'state' THEN 'L1' WHEN 'chapter' THEN 'L2' ELSE 'L3' END AS layer, count(*) AS n FROM documents GROUP BY 1) c ON l.layer = c.layer")
+def q_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lang = F.col("lang")
+    kind = F.when(lang == "en", "chapter").when(lang == "fr", "character").when(lang == "de", "state").otherwise("document")
+    return context.layer_counts(table(spark, sf_dir, "documents").select(kind.alias("kind")))
+
+
+@query("agg1_corpus_counts", "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM conversations) AS spans, (SELECT count(*) FROM part) AS entities, (SELECT count(*) FROM orders) AS edges")
+def q_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {"documents": table(spark, sf_dir, "documents").withColumn("kind", F.lit("document")), "spans": table(spark, sf_dir, "conversations"), "entities": table(spark, sf_dir, "part"), "edges": table(spark, sf_dir, "orders")}
+    return explore.corpus_stats(tables).drop("layers")
+
+
+# Context and limits -------------------------------------------------------------------------------------------------------------
+
+
+@query("win6_duplicate_evidence", "SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 AS duplicate FROM documents")
+def q_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("evidence_hash"))
+    return context.fold_duplicates(rows, [], "evidence_hash", ["doc_id"]).select("doc_id", "duplicate")
+
+
+@query("qry10_budget_fill", f"""WITH t AS (SELECT conv_id, turn, {_TOKENS.format('text')} AS tokens FROM conversations), a AS (SELECT conv_id, list({{'turn': turn, 'tokens': tokens}} ORDER BY turn) AS items FROM t GROUP BY conv_id),
+    f AS (SELECT conv_id, list_reduce(items, lambda s, x: CASE WHEN s.used + x.tokens <= 300 THEN {{'used': s.used + x.tokens, 'refs': s.refs || x.turn::VARCHAR || ' '}} ELSE s END, {{'used': 0::BIGINT, 'refs': ''}}) AS r
+      FROM (SELECT conv_id, list_transform(items, lambda x: {{'used': 0::BIGINT, 'refs': '', 'turn': x.turn, 'tokens': x.tokens}}) AS items FROM a))
+    SELECT conv_id, r.used AS used_tokens, trim(r.refs) AS blocks FROM f""")
+def q_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.estimate_tokens(F.col("text")).alias("tokens"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("turn", "tokens"))), lambda x: F.struct(x["turn"].cast("string").alias("ref"), x["tokens"].alias("tokens")))
+    packed = rows.groupBy("conv_id").agg(items.alias("items")).withColumn("fill", context.greedy_fill(F.col("items"), 300))
+    return packed.select("conv_id", F.col("fill.used").alias("used_tokens"), F.array_join("fill.refs", " ").alias("blocks"))
+
+
+@query("qry12_byte_cap", "SELECT conv_id, turn, sum(strlen(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS running, sum(strlen(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn) <= 2000 AS returned FROM conversations")
+def q_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return limits.byte_cap(rows, F.octet_length("text"), 2000, ["conv_id"], ["turn"]).select("conv_id", "turn", "running", "returned")
+
+
+@query("qry13_context_reduction", """WITH b AS (SELECT conv_id, turn, turn = 0 AS required, 'L' || (1 + turn % 3) AS layer, strlen(text) + 1 AS size FROM conversations),
+    f AS (SELECT *, sum(size) OVER (PARTITION BY conv_id) AS total, coalesce(sum(CASE WHEN required THEN 0 ELSE size END) OVER (PARTITION BY conv_id ORDER BY required, layer DESC, turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM b)
+    SELECT conv_id, turn, required OR total - freed <= 2000 AS returned FROM f""")
+def q_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", (F.col("turn") == 0).alias("required"), F.concat(F.lit("L"), 1 + F.col("turn") % 3).alias("layer"), F.col("turn").alias("place"))
+    return limits.reduce_context(rows, F.octet_length("text"), 2000, ["conv_id"]).select("conv_id", "turn", "returned")
+
+
+@query("fn18_context_profiles", f"SELECT doc_id, CASE WHEN n_chars > 5000 THEN 'L0' WHEN {_KINDS} IN ('character', 'state') THEN 'L1' WHEN {_KINDS} = 'chapter' THEN 'L2' ELSE 'L3' END AS layer, (CASE WHEN n_chars > 5000 THEN 0 WHEN {_KINDS} = 'state' THEN 1 WHEN {_KINDS} IN ('character', 'chapter') THEN 0 ELSE 9 END)::INTEGER AS priority FROM documents")
+def q_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lang = F.col("lang")
+    kind = F.when(lang == "en", "chapter").when(lang == "fr", "character").when(lang == "de", "state").otherwise("document")
+    return table(spark, sf_dir, "documents").select("doc_id", context.profile(kind, F.col("n_chars") > 5000).alias("p")).select("doc_id", "p.layer", "p.priority")
+
+
+@query("qry10_context_packet")
+def q_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = search.search(span_rows(spark, sf_dir), PAIR, context.SEARCH_LIMIT, None)
+    shape = found.select(F.col("span_ref").alias("ref"), "kind", "score", T.estimate_tokens(F.col("excerpt")).alias("tokens"), F.sha2("excerpt", 256).alias("evidence_hash"), F.lit(None).cast("int").alias("position"))
+    return context.assemble(shape, shape.limit(0), 400, ["missing"]).select("status", "used_tokens", F.size("blocks").alias("blocks"), F.size("omitted").alias("omitted"))
+
+
+# Sources ---------------------------------------------------------------------------------------------------------------------------
+
+_TAG = r"""(?:[^"'<>]|"[^"]*"|'[^']*')"""
+
+
+def _html_sql() -> str:
+    q = _TAG.replace("'", "''")
+    text = "html"
+    text = f"CASE WHEN regexp_matches(html, '(?is)<body\\b{q}*>.*?</body>') THEN regexp_extract(html, '(?is)<body\\b{q}*>(.*?)</body>', 1) ELSE regexp_replace(html, '(?is)<head\\b{q}*>.*?</head>', '', 'g') END"
+    steps = [("(?s)<!--.*?-->", "''")] + [(f"(?is)<{t}\\b{q}*>.*?</{t}>", "''") for t in html.UNREAD]
+    steps += [(f"(?i)<br(?:[\\s/]{q}*)?>|</(?:{'|'.join(html.LINE_ENDS)})\\s*>", "chr(10)"), (f"<{q}+>", "''")]
+    for pattern, into in steps:
+        text = f"regexp_replace({text}, '{pattern}', {into}, 'g')"
+    for name, value in html.ENTITIES:
+        shown = {"'": "''''"}.get(value, f"'{value}'")
+        text = f"replace({text}, '&{name};', {shown})"
+    for pattern, into in (("[ \\t]+\\n", "chr(10)"), ("\\n[ \\t]+", "chr(10)"), ("\\n{3,}", "chr(10) || chr(10)"), ("^\\s+|\\s+$", "''")):
+        text = f"regexp_replace({text}, '{pattern}', {into}, 'g')"
+    return f"SELECT page_id, {text} AS content FROM pages"
+
+
+@query("src15_html_text", _html_sql())
+def q_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", html.html_text(F.col("html")).alias("content"))
+
+
+@query("src8_document_kind", "SELECT page_id, CASE WHEN regexp_matches(lower(url), 'chapter|章节|第.+[章回节]') THEN 'chapter' WHEN regexp_matches(lower(url), 'character|role|人物|角色') THEN 'character' ELSE 'document' END AS kind FROM pages")
+def q_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text_files.document_kind(F.col("url"), F.lit("")).alias("kind"))
+
+
+@query("src20_corpus_stats", "SELECT source, count(*) AS files, sum(length(text))::BIGINT AS chars, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY source")
+def q_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
+@query("src9_txt_chapters", "SELECT conv_id, turn + 1 AS chapter, strlen(regexp_replace('Chapter ' || (turn + 1) || chr(10) || text, '\\s+$', ''))::BIGINT AS bytes FROM conversations")
+def q_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.concat(F.lit("Chapter "), x["turn"] + 1, F.lit("\n"), x["text"])), "\n")
+    files = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(body.alias("content")).select(F.lit("w").alias("work_ref"), F.col("conv_id").cast("string").alias("relative_path"), "content")
+    cut = text_files.chapters(files)
+    return cut.select(F.split_part("relative_path", F.lit("#"), F.lit(1)).cast("long").alias("conv_id"), F.col("local_chapter_number").cast("long").alias("chapter"), F.octet_length("content").cast("long").alias("bytes"))
+
+
+# Index life cycle --------------------------------------------------------------------------------------------------------------------
+
+_EDITED = "SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 5"
+
+
+@query("snk1_diff", f"SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'deleted' WHEN sha256(n.text) = sha256(o.text) THEN 'skipped' ELSE 'updated' END AS status FROM (SELECT doc_id, text FROM documents WHERE doc_id % 13 <> 2) o FULL JOIN ({_EDITED}) n ON n.doc_id = o.doc_id")
+def q_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    new = d.filter("doc_id % 11 <> 5").select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("semantic_hash"))
+    old = d.filter("doc_id % 13 <> 2").select("doc_id", F.sha2("text", 256).alias("semantic_hash"))
+    return indexing.diff(new, old, "doc_id")
+
+
+@query("joi12_orphans", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def q_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("joi5_edge_names", "SELECT o_orderkey, c_name AS source_name, n_name AS target_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey")
+def q_edge_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, c, n = (table(spark, sf_dir, x) for x in ("orders", "customer", "nation"))
+    return o.join(c, o.o_custkey == c.c_custkey, "left").join(n, c.c_nationkey == n.n_nationkey, "left").select("o_orderkey", F.col("c_name").alias("source_name"), F.col("n_name").alias("target_name"))
+
+
+@query("agg9_canonical_definition", "SELECT l_orderkey, arg_min(l_partkey, l_linenumber::BIGINT * 1000000000 + l_partkey) AS l_partkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY l_orderkey")
+def q_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("l_partkey"), F.min("l_linenumber").alias("l_linenumber"))
+
+
+# Events ---------------------------------------------------------------------------------------------------------------------------------
+
+
+@query("qry18_inspect", "SELECT user_id, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS failures, CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'degraded' ELSE 'healthy' END AS state FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k <= 20 GROUP BY user_id")
+def q_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.inspect(table(spark, sf_dir, "events"), ["user_id"], "event_id", F.col("event_type") == "error")
+
+
+@query("snk8_rotation", "SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE n < 1000 OR k <= 500")
+def q_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.rotate(table(spark, sf_dir, "events"), ["event_type"], "event_id").select("event_id", "event_type")
+
+
+@query("agg12_capture", "SELECT user_id, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS failures, round(sum(value), 4) AS elapsed, min(event_id) AS first_seq, max(event_id) AS last_seq, coalesce(string_agg(event_id::VARCHAR, ',' ORDER BY event_id) FILTER (WHERE event_type = 'error'), '') AS failing FROM events GROUP BY user_id")
+def q_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = events.capture_totals(table(spark, sf_dir, "events"), ["user_id"], "event_id", F.col("event_type") == "error", F.col("value"), F.col("event_id"))
+    return t.withColumns({"elapsed": F.round("elapsed", 4), "failing": F.array_join(F.col("failing").cast("array<string>"), ",")})
+
+
+@query("qry19_capture_caps", "SELECT event_id FROM (SELECT event_id, row_number() OVER w AS k, sum(strlen(props)) OVER w AS b FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)) WHERE k <= 500 AND b <= 4000")
+def q_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.capture_caps(table(spark, sf_dir, "events"), ["event_type"], "event_id", F.octet_length("props"), cap=4000).select("event_id")
+
+
+@query("agg14_p95", "SELECT event_type, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
+def q_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(events.nearest_rank("value", 0.95).alias("p95"))
+
+
+@query("win9_retention", "SELECT event_id, coalesce(sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < sum(s) OVER (PARTITION BY user_id) - 100000 AS deleted FROM (SELECT *, floor(value * 100)::BIGINT AS s FROM events)")
+def q_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "events").withColumn("s", F.floor(F.col("value") * 100))
+    return events.retention_plan(files, ["user_id"], "s", ["ts", "event_id"], 100_000).select("event_id", "deleted")
+
+
+@query("agg15_histogram", "SELECT event_type, count(*) AS calls FROM events GROUP BY event_type")
+def q_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("calls"))
+
+
+@query("stream_event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS calls, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def q_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomtext.streaming.streams import event_windows
+
+    return event_windows(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
+# Evaluation ---------------------------------------------------------------------------------------------------------------------------------
+
+_GOLD = "SELECT item_id AS fact, doc_id FROM benchmark JOIN documents ON contains(documents.text, left(benchmark.text, 80))"
+
+
+def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("fact"), F.left("text", F.lit(80)).alias("quote"))
+    return evaluate.gold_references(span_rows(spark, sf_dir), quotes)
+
+
+@query("evl1_gold_refs", _GOLD)
+def q_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gold(spark, sf_dir).select("fact", F.col("span_ref").cast("long").alias("doc_id"))
+
+
+_RANKS = f"""WITH g AS ({_GOLD}), r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
+  best AS (SELECT item_id AS fact, (SELECT min(rank) FROM g JOIN r USING (doc_id) WHERE g.fact = item_id) AS rank FROM benchmark)"""
+
+
+def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts ranked as if every task returned the documents by size."""
+    order = Window.partitionBy("all").orderBy(F.desc("n_chars"), "doc_id")
+    ranked = table(spark, sf_dir, "documents").withColumn("all", F.lit(0)).select(F.col("doc_id").cast("string").alias("span_ref"), F.row_number().over(order).alias("rank"))
+    gold = _gold(spark, sf_dir)
+    results = gold.join(ranked, "span_ref").select("fact", "span_ref", "rank")
+    return evaluate.gold_ranks(results, gold, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("fact")))
+
+
+@query("evl2_gold_rank", _RANKS + " SELECT fact, rank::INTEGER AS rank FROM best")
+def q_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranks(spark, sf_dir)
+
+
+@query("agg13_recall_mrr", _RANKS + " SELECT count(*) AS facts, " + ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_{k}" for k in evaluate.CUTOFFS) + ", round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM best")
+def q_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluate.recall_mrr(_ranks(spark, sf_dir))
+    return found.select("facts", *[F.round(c, 6).alias(c) for c in found.columns if c != "facts"])
+
+
+@query("evl4_holdout", "SELECT conv_id AS volume, turn AS chapter, count(*) OVER (PARTITION BY conv_id) < 6 OR row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3 OR row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2 AS held_out FROM conversations")
+def q_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.holdout(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("volume"), F.col("turn").alias("chapter")))
+
+
+@query("evl5_territories", "SELECT user_id, event_id, 1 + sum(r) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS volume FROM (SELECT user_id, event_id, CASE WHEN event_id % 3 = 1 AND lag(event_id % 3) OVER (PARTITION BY user_id ORDER BY event_id) > 1 THEN 1 ELSE 0 END AS r FROM events)")
+def q_territories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 3).alias("number"))
+    return evaluate.territories(rows, ["user_id"], ["event_id"], "number").select("user_id", "event_id", "volume")
+
+
+@query("evl7_ablation", """WITH m AS (SELECT event_type AS variant, avg((value > 10)::INT::DOUBLE) AS recall_5, avg(1 / (1 + value)) AS mrr FROM events GROUP BY 1), b AS (SELECT recall_5 AS br, mrr AS bm FROM m WHERE variant = 'click')
+    SELECT CASE variant WHEN 'click' THEN 'baseline' ELSE variant END AS variant, CASE WHEN br - recall_5 > 0.02 OR (bm > 0 AND (bm - mrr) / bm > 0.05) THEN 'KEEP' ELSE 'DROP' END AS verdict FROM m, b""")
+def q_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    variant = F.when(F.col("event_type") == "click", "baseline").otherwise(F.col("event_type"))
+    m = table(spark, sf_dir, "events").groupBy(variant.alias("variant")).agg(F.avg((F.col("value") > 10).cast("int").cast("double")).alias("recall_5"), F.avg(1 / (1 + F.col("value"))).alias("mrr"))
+    return evaluate.ablation(m).select("variant", "verdict")
