@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import content_key
+from loomtext.llm.common import content_key, materialise
 
 MIN_DOCS = 20
 SHARE = 0.01
@@ -80,16 +80,16 @@ def _normal(line: Column) -> Column:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """docs(id, host, text) -> host, th, tl, removed_words, removed (line hashes), for texts that lose lines."""
     keyed = docs.select("id", "host", *content_key(), F.explode(F.transform(F.split("text", "\n", -1), _normal)).alias("l"))
-    carried = keyed.filter("l.words > 0").groupBy("host", F.col("l.line").alias("line"), "th", "tl").agg(F.min(F.struct("id", "th", "tl")).alias("first"), F.max("l.words").alias("words"), F.count("*").alias("copies"))
+    # Written out once: the counts and the removal both read it, and texts are cut into lines only once.
+    carried, _ = materialise(keyed.filter("l.words > 0").groupBy("host", F.col("l.line").alias("line"), "th", "tl").agg(F.min("id").alias("id"), F.max("l.words").alias("words"), F.count("*").alias("copies")))
     hosts = docs.select("host", *content_key()).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     # ``copies`` counts lines of all rows with the text; a row's own lines are recovered from the rows.
     rows = docs.select("host", *content_key()).groupBy("host", "th", "tl").agg(F.count("*").alias("rows"))
-    often = (
-        carried.groupBy("host", "line").agg(F.count("*").alias("docs"), F.min("first").alias("first"))
-        .filter(F.col("docs") > MIN_DOCS).join(hosts, "host").filter(F.col("docs") > SHARE * F.col("host_docs"))
-        .select("host", "line", F.col("first.th").alias("first_th"), F.col("first.tl").alias("first_tl"))
-    )
-    lost = carried.join(often, ["host", "line"]).filter((F.col("th") != F.col("first_th")) | (F.col("tl") != F.col("first_tl")))
+    often = carried.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > MIN_DOCS)
+    often = often.join(hosts, "host").filter(F.col("docs") > SHARE * F.col("host_docs")).select("host", "line")
+    hit = carried.join(often, ["host", "line"])
+    first = hit.groupBy("host", "line").agg(F.min(F.struct("id", "th", "tl")).alias("first")).select("host", "line", F.col("first.th").alias("first_th"), F.col("first.tl").alias("first_tl"))
+    lost = hit.join(first, ["host", "line"]).filter((F.col("th") != F.col("first_th")) | (F.col("tl") != F.col("first_tl")))
     by_text = lost.groupBy("host", "th", "tl").agg(F.sum(F.col("words") * F.col("copies")).alias("all_words"), F.collect_set("line").alias("removed"))
     return by_text.join(rows, ["host", "th", "tl"]).select("host", "th", "tl", (F.col("all_words") / F.col("rows")).cast("long").alias("removed_words"), "removed")
 
