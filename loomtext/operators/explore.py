@@ -57,24 +57,26 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, hops: int = 2, nodes: DataF
     At each hop a node gives its first ``FAN_OUT`` edges by (kind, edge_ref); at most ``MOST_VISITED`` nodes are visited,
     so the frontier that joins the edge table is small at every size of graph.  ``nodes`` (ref) names what resolves.
     """
-    adj = adjacency(edges)
-    seen = seeds.select("ref", F.lit(0).alias("hop"), F.lit(2.0).alias("score"), F.array("ref").alias("path"), F.lit(None).cast("string").alias("via"), F.row_number().over(Window.orderBy("ref")).alias("rank"))
-    frontier = seen
+    spark, adj = edges.sparkSession, adjacency(edges)
+    shape = "ref string, hop int, score double, path array<string>, via string, rank int"
+    # What is visited is bounded, so it is held here between hops; each hop is one plan over the edge table.
+    refs = [r["ref"] for r in seeds.select("ref").distinct().orderBy("ref").limit(MOST_VISITED).collect()]
+    frontier = [(r, 0, 2.0, [r], None, k) for k, r in enumerate(refs)]
+    seen = list(frontier)
     for hop in range(1, clamp_hops(hops) + 1):
-        by_owner = Window.partitionBy("owner").orderBy("kind", "edge_ref")
-        step = adj.join(F.broadcast(frontier.select(F.col("ref").alias("owner"), "path", F.col("rank").alias("owner_rank"))), "owner").withColumn("k", F.row_number().over(by_owner)).filter(F.col("k") <= FAN_OUT)
+        room = MOST_VISITED - len(seen)
+        if not frontier or room <= 0:
+            break
+        owners = spark.createDataFrame([(f[0], f[3], f[5]) for f in frontier], "owner string, path array<string>, owner_rank int")
+        visited = spark.createDataFrame([(f[0],) for f in seen], "next_ref string")
+        step = adj.join(F.broadcast(owners), "owner").withColumn("k", F.row_number().over(Window.partitionBy("owner").orderBy("kind", "edge_ref"))).filter(F.col("k") <= FAN_OUT)
         if nodes is not None:
             step = step.join(nodes.select(F.col("ref").alias("next_ref")), "next_ref", "left_semi")
-        fresh = step.join(seen.select(F.col("ref").alias("next_ref")), "next_ref", "left_anti")
-        first = F.min_by(F.struct("owner", "path", "kind", "edge_ref", "owner_rank", "k"), F.struct("owner_rank", "k")).alias("f")
-        found = fresh.groupBy("next_ref").agg(first)
-        order = Window.orderBy("f.owner_rank", "f.k")
-        room = MOST_VISITED - seen.count()
-        frontier = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= room).select(
-            F.col("next_ref").alias("ref"), F.lit(hop).alias("hop"), F.lit(1.0 / (hop + 1)).alias("score"), F.concat("f.path", F.array(F.col("f.kind"), F.col("next_ref"))).alias("path"), F.col("f.edge_ref").alias("via"), "rank"
-        )
-        seen = seen.unionByName(frontier)
-    return seen.drop("rank").orderBy(F.desc("score"), "ref")
+        fresh = step.join(F.broadcast(visited), "next_ref", "left_anti")
+        found = fresh.groupBy("next_ref").agg(F.min_by(F.struct("path", "kind", "edge_ref", "owner_rank", "k"), F.struct("owner_rank", "k")).alias("f")).orderBy("f.owner_rank", "f.k").limit(room).collect()
+        frontier = [(r["next_ref"], hop, 1.0 / (hop + 1), [*r["f"]["path"], r["f"]["kind"], r["next_ref"]], r["f"]["edge_ref"], k) for k, r in enumerate(found)]
+        seen += frontier
+    return spark.createDataFrame(seen, shape).drop("rank").orderBy(F.desc("score"), "ref")
 
 
 def resolve_nodes(refs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
