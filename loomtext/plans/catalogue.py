@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
 from loomtext.functions.numerals import chapter_number_col
-from loomtext.operators import context, evaluate, events, explore, fulltext, graph, indexing, limits, search, spans
+from loomtext.operators import context, evaluate, events, explore, fulltext, graph, indexing, limits, reports, search, spans
 from loomtext.sources import html, text_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -612,3 +612,73 @@ def q_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     variant = F.when(F.col("event_type") == "click", "baseline").otherwise(F.col("event_type"))
     m = table(spark, sf_dir, "events").groupBy(variant.alias("variant")).agg(F.avg((F.col("value") > 10).cast("int").cast("double")).alias("recall_5"), F.avg(1 / (1 + F.col("value"))).alias("mrr"))
     return evaluate.ablation(m).select("variant", "verdict")
+
+
+_FEEDBACK = """WITH top AS (SELECT text, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents ORDER BY n_chars DESC, doc_id LIMIT 12),
+  t AS (SELECT DISTINCT rank, term FROM (SELECT rank, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_''-]*')) AS term FROM top) WHERE length(term) > 1 AND term NOT IN ('and','are','for','from','into','is','that','the','this','was','were','with')),
+  c AS (SELECT term, sum(1.0::DOUBLE / rank) AS co, count(*) AS sources FROM t GROUP BY term HAVING count(*) >= 2)
+  SELECT term, sources, round(co, 6) AS cooccurrence FROM c"""
+
+
+@query("agg8_feedback_cooccurrence", _FEEDBACK)
+def q_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("all").orderBy(F.desc("n_chars"), "doc_id")
+    top = table(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(12).withColumn("all", F.lit(0)).withColumn("rank", F.row_number().over(order))
+    terms = top.select("rank", F.explode(search.feedback_terms(F.col("text"))).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("sources"), F.round(F.sum(F.lit(1.0) / F.col("rank")), 6).alias("cooccurrence")).filter("sources >= 2")
+
+
+@query("set2_candidate_merge", "SELECT doc_id, max(s) AS bm25 FROM (SELECT doc_id, n_chars::DOUBLE AS s FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, NULL FROM documents WHERE n_chars > 1000) GROUP BY doc_id")
+def q_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    both = d.filter("lang = 'en'").select("doc_id", F.col("n_chars").cast("double").alias("s")).unionByName(d.filter("n_chars > 1000").select("doc_id", F.lit(None).cast("double").alias("s")))
+    return both.groupBy("doc_id").agg(F.max("s").alias("bm25"))
+
+
+@query("joi6_chapter_entities", f"SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, CASE WHEN trim(text, ' ' || chr(10)) <> '' THEN {_ENTITY} END AS entity_ref FROM conversations")
+def q_chapter_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = books(spark, sf_dir)
+    chapters = graph.canonical_entities(graph.definitions(spans.spans(b), b)).filter("kind = 'Chapter'").select("document_ref", "entity_ref")
+    return explore.chapter_positions(b).join(b.select("document_ref", "conv_id", "turn"), "document_ref").join(chapters, "document_ref", "left").select("conv_id", "turn", F.col("position").cast("long").alias("position"), "entity_ref")
+
+
+@query("prj5_validity", "SELECT o_orderkey, coalesce(nullif(o_custkey % 10, 0), -1) <= 5 AND coalesce(nullif(o_custkey % 7, 0), 9007199254740991) >= 5 AS valid FROM orders")
+def q_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start, end = F.nullif(F.col("o_custkey") % 10, F.lit(0)), F.nullif(F.col("o_custkey") % 7, F.lit(0))
+    return table(spark, sf_dir, "orders").select("o_orderkey", explore.valid_at(start, end, 5).alias("valid"))
+
+
+@query("fn5_length_limits", "SELECT doc_id, length(text) > 2048 AS over_limit, length(text)::INTEGER AS units FROM documents")
+def q_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.over_limit(F.col("text"), 2048).alias("over_limit"), T.utf16_length(F.col("text")).alias("units"))
+
+
+@query("fn13_occurrences", "SELECT doc_id, ((length(text) - length(replace(text, 'the', ''))) / 3)::BIGINT AS hits FROM documents")
+def q_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(graph.occurrence_offsets(F.col("text"), F.lit("the"))).cast("long").alias("hits"))
+
+
+@query("evl3_exposure", "SELECT item_id, count(*) FILTER (WHERE contains(left(documents.text, 900), left(benchmark.text, 40))) > 0 AS exposed FROM benchmark CROSS JOIN documents GROUP BY item_id")
+def q_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = span_rows(spark, sf_dir).select("span_ref", F.left("content", F.lit(900)).alias("content"))
+    b = table(spark, sf_dir, "benchmark")
+    gold = evaluate.gold_references(shown, b.select(F.col("item_id").alias("fact"), F.left("text", F.lit(40)).alias("quote"))).select(F.col("fact").alias("item_id")).distinct().withColumn("hit", F.lit(True))
+    return b.select("item_id").join(gold, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("exposed"))
+
+
+@query("evl6_calibration", """WITH m AS (SELECT k.top_k, t.terms, w.weight, avg((value > 10 + (k.top_k - 8) * w.weight)::INT::DOUBLE) AS recall_5, avg(1 / (1 + value)) AS mrr FROM events, (VALUES (5), (8), (12)) k(top_k), (VALUES (4), (6), (8)) t(terms), (VALUES (0.15::DOUBLE), (0.25::DOUBLE), (0.35::DOUBLE)) w(weight) GROUP BY 1, 2, 3)
+    SELECT top_k, terms, weight, round(recall_5, 9) AS recall_5 FROM m ORDER BY m.recall_5 DESC, top_k, terms, weight LIMIT 1""")
+def q_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = [(k, t, w) for k in search.GRID["top_k"] for t in search.GRID["terms"] for w in search.GRID["weight"]]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("top_k"), F.lit(t).alias("terms"), F.lit(w).alias("weight")) for k, t, w in grid]))
+    rows = table(spark, sf_dir, "events").select("value", each.alias("g")).select("value", "g.*")
+    hit = (F.col("value") > 10 + (F.col("top_k") - 8) * F.col("weight")).cast("int").cast("double")
+    m = rows.groupBy("top_k", "terms", "weight").agg(F.avg(hit).alias("recall_5"), F.round(F.avg(1 / (1 + F.col("value"))), 9).alias("mrr"))
+    base = m.withColumns({"base_recall_5": F.lit(0.0), "base_mrr": F.lit(0.0)})
+    return evaluate.calibration_winner(base).select("top_k", "terms", "weight", F.round("recall_5", 9).alias("recall_5"))
+
+
+@query("evl12_marker_scan", "SELECT lang, marker, sum((length(text) - length(replace(text, marker, ''))) / length(marker))::BIGINT AS hits FROM documents, (VALUES ('password'), ('token'), ('License')) m(marker) GROUP BY lang, marker")
+def q_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    markers = spark.createDataFrame([("password",), ("token",), ("License",)], "marker string")
+    return reports.marker_counts(table(spark, sf_dir, "documents"), "lang", markers)
