@@ -18,15 +18,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import small_batches
 from loomtext.llm.pieces import MARK, Vocabulary, default_path, vocabulary
+from loomtext.llm.textkit import buffers
 
-HELD = 1 << 19
+HELD = 1 << 20
 
 
 class PieceCodec:
@@ -34,50 +38,68 @@ class PieceCodec:
         self.vocab, self.unigram = vocab, unigram
         self.known: dict[str, list[int]] = {}
         self.raw = [bytes([int(p[3:5], 16)]) if vocab.model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(vocab.pieces)]
+        # Pieces that can come out of an encoding at all, and by their last two characters the longest of them.
+        self.good = {p: i for p, i in vocab.plain.items() if unigram or vocab.is_token(i)}
+        self.reach: dict[str, int] = {}
+        for p in self.good:
+            self.reach[p[-2:]] = max(self.reach.get(p[-2:], 1), len(p))
+        self.widths = np.array([len(x) for x in self.raw], np.int64)
+        self.places = np.cumsum(self.widths) - self.widths
+        self.bytes = np.frombuffer(b"".join(self.raw), np.uint8)
         self.score = [vocab.model.get_score(i) for i in range(len(vocab.pieces))]
 
-    def _state(self, word: str, i: int, states: list[tuple]) -> tuple:
-        """(score, last piece or character, where it begins) of the best path to character ``i``."""
-        plain, vocab = self.vocab.plain, self.vocab
-        best = None
-        for j in range(max(0, i - vocab.longest), i):
-            t = plain.get(word[j:i])
-            if t is None or states[j] is None:
-                continue
-            last = states[j][1]
-            if self.unigram:
-                score = states[j][0] + self.score[t]
-                if best is None or score > best[0]:
-                    best = (score, t, j)
-            elif vocab.is_token(t) and (j == 0 or last < 0 or vocab.may_follow(last, t)):
-                return (states[j][0] + self.score[t], t, j)
-        if best is None and word[i - 1] not in plain and states[i - 1] is not None:
-            return (states[i - 1][0] + (-1e6 if self.unigram else 0.0), -1, i - 1)
-        return best
-
-    def _path(self, word: str, states: list[tuple]) -> list[int]:
+    def _forward(self, word: str, begin: int, score: list[float], last: list[int], start: list[int]) -> None:
+        """Extend the forward states of ``word`` from ``begin`` to its end: best score, last piece (-1: a character that
+        is spelled in bytes, or nothing yet; -2: out of reach) and where it begins, for each prefix."""
+        good, reach, pair, unigram = self.good, self.reach, self.vocab.pair, self.unigram
+        for i in range(begin + 1, len(word) + 1):
+            best, piece, at = 0.0, -2, 0
+            for j in range(max(0, i - reach.get(word[max(0, i - 2) : i], 1)), i):
+                t = good.get(word[j:i])
+                if t is None or last[j] == -2:
+                    continue
+                if unigram:
+                    value = score[j] + self.score[t]
+                    if piece == -2 or value > best:
+                        best, piece, at = value, t, j
+                    continue
+                if last[j] >= 0:
+                    fits = pair.get((last[j], t))
+                    if fits is None:
+                        fits = self.vocab.may_follow(last[j], t)
+                    if not fits:
+                        continue
+                best, piece, at = score[j] + self.score[t], t, j
+                break
+            if piece == -2 and word[i - 1] not in self.vocab.plain and last[i - 1] != -2:
+                best, piece, at = score[i - 1] + (-1e6 if unigram else 0.0), -1, i - 1
+            score.append(best)
+            last.append(piece)
+            start.append(at)
+
+    def _path(self, word: str, last: list[int], start: list[int]) -> list[int]:
         ids: list[int] = []
         i = len(word)
         while i:
-            if states[i] is None:  # a vocabulary whose merges are not local: the library decides
+            t = last[i]
+            if t == -2:  # a vocabulary whose merges are not local: the library decides
                 return self.vocab.encode(word)
-            _, t, j = states[i]
-            ids += [t] if t >= 0 else [self.vocab.byte[b] for b in reversed(word[j:i].encode("utf-8"))]
-            i = j
+            ids += [t] if t >= 0 else [self.vocab.byte[b] for b in reversed(word[i - 1].encode("utf-8"))]
+            i = start[i]
         return ids[::-1]
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode the words not yet known, depth first through their trie."""
-        states: list[tuple] = [(0.0, -1, 0)]
+        score, last, start = [0.0], [-1], [0]
         before = ""
-        for word in sorted(set(words) - self.known.keys()):
+        known, forward, path = self.known, self._forward, self._path
+        for word in sorted(set(words) - known.keys()):
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del states[shared + 1 :]
-            for i in range(shared + 1, len(word) + 1):
-                states.append(self._state(word, i, states))
-            self.known[word] = self._path(word, states)
+            del score[shared + 1 :], last[shared + 1 :], start[shared + 1 :]
+            forward(word, shared, score, last, start)
+            known[word] = path(word, last, start)
             before = word
 
     def encode_all(self, texts: list[str | None]) -> list[list[int]]:
@@ -85,14 +107,7 @@ class PieceCodec:
         if len(self.known) > HELD:
             self.known.clear()
         self.learn({s for c in cut for s in c})
-        known = self.known
-        out = []
-        for c in cut:
-            ids: list[int] = []
-            for s in c:
-                ids += known[s]
-            out.append(ids)
-        return out
+        return [list(chain.from_iterable(map(self.known.__getitem__, c))) for c in cut]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``; the space that stands for the first mark goes."""
@@ -104,19 +119,64 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(vocabulary(path))
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for size[0] places, then the same of start[1], and so on."""
+    before = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(start - before, size)
+
+
+def encode_column(c: PieceCodec, text: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(ids, their number, whether decoding gives the text back) of each text: a batch's distinct segments go through
+    the trie, everything per segment or per token is array work."""
+    text = pc.fill_null(text, "")
+    if pc.any(pc.match_substring(text, MARK)).as_py():
+        text = pc.replace_substring(text, MARK, " ")
+    raw, off = buffers(pc.binary_join_element_wise(" ", text, ""))  # the model's own mark before each text
+    full = np.diff(off) > 1
+    starts = np.zeros(len(raw) + 1, bool)
+    if c.vocab.cuts and len(raw):
+        space, feed = raw == 32, raw == 10
+        starts[1:-1] = (space[1:] & ~space[:-1]) | feed[1:] | feed[:-1]
+    starts[off] = True
+    at = np.flatnonzero(starts)
+    segments = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+    words = [w.decode("utf-8").replace(" ", MARK) for w in segments.dictionary.to_pylist()]
+    if len(c.known) > HELD:
+        c.known.clear()
+    c.learn(words)
+    found = [c.known[w] for w in words]
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    pool = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
+    which = segments.indices.to_numpy()
+    doc = np.searchsorted(off, at[:-1], "right") - 1
+    which, doc = which[full[doc]], doc[full[doc]]  # an empty text has no mark either
+    ids = pool[_spread((np.cumsum(size) - size)[which], size[which])]
+    n = np.bincount(doc, weights=size[which], minlength=len(text)).astype(np.int64)
+    ends = np.append(0, np.cumsum(n))
+    # Decoding: the pieces' bytes one after the other, compared with the marked text.
+    width = c.widths[ids]
+    back = c.bytes[_spread(c.places[ids], width)]
+    reach = np.append(0, np.cumsum(width))[ends]
+    same = np.diff(reach) == np.where(full, np.diff(off), 0)
+    if same.all() and np.array_equal(back, raw[np.repeat(full, np.diff(off))]):
+        ok = same
+    else:
+        ok = np.array([bool(s) and np.array_equal(back[reach[i] : reach[i + 1]], raw[off[i] : off[i + 1]] if full[i] else raw[:0]) for i, s in enumerate(same)], bool)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), pa.array(n), pa.array(ok)
+
+
 def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                part = batch.slice(k, 200)
-                texts = part.column("text").to_pylist()
-                ids = c.encode_all(texts)
-                same = [c.decode(i) == (x or "").replace(MARK, " ") for i, x in zip(ids, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(same, pa.bool_())],
-                    schema=pa.schema([part.schema.field("row"), ("token_ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("round_trip", pa.bool_())]),
-                )
+            _, off = buffers(batch.column("text"))
+            at = 0
+            while at < batch.num_rows:  # about 4 MB of text at a time
+                end = min(max(int(np.searchsorted(off, off[at] + (4 << 20), "right")) - 1, at + 1), batch.num_rows)
+                part = batch.slice(at, end - at)
+                at = end
+                made = encode_column(c, part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("row"), *made], schema=pa.schema([part.schema.field("row"), ("token_ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("round_trip", pa.bool_())]))
 
     return run
 
