@@ -254,6 +254,16 @@ def test_nested_secrets(made, kind):
     assert KEY not in secrets.masked(text, spans)
 
 
+def test_an_encoding_that_stands_twice():
+    inner = base64.b64encode(f"x {KEY}".encode()).decode()
+    for made in (inner, base64.b64encode(inner.encode()).decode(), base64.b64encode(gzip.compress(f"x {KEY}".encode())).decode()):
+        text = f"a: {made}\nb: {made} end"
+        spans = [(s, e) for k, s, e in secrets.scan(text)[1] if k == "access"]
+        first, second = text.index(made), text.rindex(made)
+        assert len(spans) == 2 and first <= spans[0][0] < spans[0][1] <= first + len(made) and second <= spans[1][0] < spans[1][1] <= second + len(made)
+        assert secrets.masked(text, secrets.scan(text)[1]).count("<ACCESS>") == 2
+
+
 def test_base_secrets():
     assert secrets.scan("token = token = abcdefabcdefabcdef")[0] == [("hex", 16, 34)]
     assert secrets.joined(secrets.scan("PassWord: 'abcdefghijkl' AKIA12345678901234 0123456789abcde")[0]) == "assign:0:23,access:25:43"
