@@ -264,6 +264,51 @@ def test_an_encoding_that_stands_twice():
         assert secrets.masked(text, secrets.scan(text)[1]).count("<ACCESS>") == 2
 
 
+def wrap(data, width=76, end="\n"):
+    made = base64.b64encode(data).decode()
+    return end.join(made[i : i + width] for i in range(0, len(made), width))
+
+
+NOISE = random.Random(3).randbytes(150).hex()[:290:2].replace("a", "g").encode() + b" "
+
+
+@pytest.mark.parametrize(
+    "made",
+    [
+        wrap(gzip.compress(NOISE + b"password=hunter2hunter2 " + NOISE[::-1])),
+        wrap(b"some words first, to reach the line's end: password=hunter2hunter2 and some words after it"),
+        wrap(b"some words first, to reach the line's end: password=hunter2hunter2 and some words after it", 64, "\r\n  "),
+        wrap(b"x" * 40 + b" password=hunter2hunter2", 48),
+        wrap(gzip.compress(b"nothing here") + gzip.compress(b"password=hunter2hunter2")).replace("\n", ""),
+        wrap(zstandard.compress(b"nothing here") + zstandard.compress(b"password=hunter2hunter2")).replace("\n", ""),
+        base64.b64encode(gzip.compress(("é, " * (6 << 20) + "password=hunter2hunter2").encode())).decode(),
+        base64.b64encode(gzip.compress(("é" * (9 << 20) + "a" + "é" * 9 + "password=hunter2hunter2").encode())).decode(),
+    ],
+)
+def test_encoded_layers_are_read_whole(made):
+    for text in (f"see\n{made}\n", f"data: {made} end", f"{made}\nend of it"):
+        spans = [(s, e) for k, s, e in secrets.scan(text)[1] if k == "assign"]
+        assert spans and all(text.index(made) <= s < e <= text.index(made) + len(made) for s, e in spans)
+        assert secrets.scan(text)[3] == 0
+
+
+def test_compressed_data_that_breaks_off():
+    whole = gzip.compress(b"password=hunter2hunter2 " + NOISE * 3)
+    _, spans, _, cut = secrets.scan(base64.b64encode(whole[:-30]).decode())
+    assert cut == 1 and "assign" in [k for k, _, _ in spans]
+
+
+def test_pieces_equal_the_whole(monkeypatch):
+    rng = random.Random(4)
+    inner = [KEY, "password=hunter2hunter2", wrap(b"token: abcdefghijklmnop and more words " * 3), "%41KIAABCDEFGHIJKLMNOP", "0123456789abcdef", "(plain)", "words, words"]
+    for _ in range(20):
+        text = base64.b64encode(gzip.compress(rng.choice([" ", ", ", "\n"]).join(rng.choices(inner, k=200)).encode())).decode()
+        monkeypatch.setattr(secrets, "PIECE", 4 << 20)
+        want = secrets.scan(text)[1]
+        monkeypatch.setattr(secrets, "PIECE", 50)
+        assert want and secrets.scan(text)[1] == want
+
+
 def test_base_secrets():
     assert secrets.scan("token = token = abcdefabcdefabcdef")[0] == [("hex", 16, 34)]
     assert secrets.joined(secrets.scan("PassWord: 'abcdefghijkl' AKIA12345678901234 0123456789abcde")[0]) == "assign:0:23,access:25:43"
