@@ -6,10 +6,10 @@ corpus are sorted, and a node's candidates are its ``NEAR`` next neighbours that
 the first node that shares ``LEAD`` values.  In a sparse region that is everything
 at the least depth; in a dense one the nearest neighbours are those with the longest common prefix, so the depth adapts
 to the region.  The least depth is the greatest at which a pair at the threshold is missed by all orders with a chance
-of at most 1e-6.  A dense region that is left in several components is swept once more: nodes outside its largest
-component are compared, in blocks of bounded size, with the signatures of all its nodes, and the ``SWEPT`` most similar
-ones of each block become candidates.  (A link of such a node to none of these would be missed; sparse regions, and
-nodes of the main component, cannot lose one that way.)
+of at most 1e-6.  A dense region that is left in several components is swept: nodes outside its largest component are
+compared, in blocks of bounded size, with the signatures of all its nodes, and the ``SWEPT`` most similar ones of each
+block become candidates.  Nodes that are still outside go on with the next ones, eight times as many in each round,
+until every node whose signature allows a link (all but a chance of 3e-7 at the threshold) has been a candidate.
 
 Candidates become links only by the exact similarity of the full sets.  Only pairs between different components need
 that: each turn takes every node's best untried candidate outside its component, checks it, and joins components,
@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import content_key, discard, materialise, partitions, small_batches
@@ -178,8 +178,9 @@ def candidates(nodes: DataFrame, depth: int) -> DataFrame:
     return pairs.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "lcp").groupBy("a", "b").agg(F.sum("lcp").alias("score"))
 
 
-def _closest(percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """A block of outsiders and one of members of a region -> each outsider's most similar members elsewhere."""
+def _closest(percent: int, low: int, high: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A block of outsiders and one of members of a region -> each outsider's members elsewhere, of those that rank from
+    ``low`` to ``high`` by similarity in the block."""
     least = TREES * DEPTH * percent / 100 - 5 * (TREES * DEPTH * percent / 100 * (1 - percent / 100)) ** 0.5
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -188,9 +189,8 @@ def _closest(percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         a, b, score = [], [], []
         for x, at, own in zip(mine, left.column("node").to_pylist(), left.column("label").to_pylist(), strict=True):
             alike = np.count_nonzero(theirs == x, axis=1)
-            alike[label == own] = -1
-            best = np.argsort(-alike, kind="stable")[:SWEPT]
-            best = best[alike[best] >= least]
+            best = np.lexsort((node, -alike))[low:high]  # ranks do not change when labels do
+            best = best[(alike[best] >= least) & (label[best] != own)]
             a += [at] * len(best)
             b += node[best].tolist()
             score += alike[best].tolist()
@@ -205,23 +205,34 @@ def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(low, pa.binary())], ["node", "bits"])
 
 
-def sweep(nodes: DataFrame, labels: DataFrame, depth: int, percent: int) -> DataFrame:
-    """More candidates (a, b, score) from dense regions with several components; nodes(node, sig), labels(u, v)."""
+def _dense(nodes: DataFrame, labels: DataFrame, depth: int) -> DataFrame:
+    """region, node, main, outside, others, total: nodes of dense regions that lie in several components, with the
+    label of the region's largest component and whether the node is outside it."""
     labelled = nodes.select("node", "sig").join(labels.select(F.col("u").alias("node"), "v"), "node", "left").select("node", "sig", F.coalesce("v", "node").alias("label"))
     region = F.xxhash64(F.col("tree"), F.substring("sig", F.col("tree") * 4 * DEPTH + 1, F.lit(4 * depth)))
     forest = labelled.select("node", "label", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(region.alias("region"), "node", "label")
     sizes = forest.groupBy("region", "label").agg(F.count("*").alias("n")).groupBy("region").agg(F.sum("n").alias("total"), F.max(F.struct("n", "label")).alias("main"))
     dense = sizes.filter((F.col("total") > NEAR + 1) & (F.col("main.n") < F.col("total"))).select("region", "total", F.col("main.label").alias("main"), (F.col("total") - F.col("main.n")).alias("others"))
+    return forest.join(dense, "region").select("region", "node", "main", (F.col("label") != F.col("main")).alias("outside"), "others", "total")
+
+
+def sweep(nodes: DataFrame, dense: DataFrame, labels: DataFrame, percent: int, low: int, high: int) -> DataFrame:
+    """Candidates (a, b, score) for nodes of ``dense`` that are still outside: their members of ranks low to high.
+
+    Components only grow, so a pair left in two of them has a node that is outside to the end, and meets all ranks.
+    """
     bits = nodes.select("node", "sig").mapInArrow(_low_bytes, "node long, bits binary")
-    rows = forest.join(dense, "region").join(bits, "node")
+    of = [labels.select(F.col("u").alias(x), F.col("v").alias(y)) for x, y in (("node", "label"), ("main", "top"))]
+    now = dense.join(of[0], "node", "left").join(of[1], "main", "left").withColumns({"label": F.coalesce("label", "node"), "top": F.coalesce("top", "main")})
     grid = [F.ceil(F.col(c) / BLOCK).cast("int") for c in ("others", "total")]
     spread = [F.pmod(F.hash("node"), g) for g in grid]
     every = [F.explode(F.sequence(F.lit(0), g - 1)) for g in grid]
-    outside = rows.filter("label <> main").select("region", "node", "label", "bits", spread[0].alias("i"), every[1].alias("j"))
-    members = rows.select("region", "node", "label", "bits", spread[1].alias("j"), every[0].alias("i"))
+    out = now.filter("outside and label <> top")
+    outside = out.join(bits, "node").select("region", "node", "label", "bits", spread[0].alias("i"), every[1].alias("j"))
+    members = now.join(out.select("region").distinct(), "region", "left_semi").join(bits, "node").select("region", "node", "label", "bits", spread[1].alias("j"), every[0].alias("i"))
     key = ["region", "i", "j"]
     outside, members = outside.toDF(*outside.columns), members.toDF(*members.columns)  # both come from the same rows
-    found = outside.groupby(*key).cogroup(members.groupby(*key)).applyInArrow(_closest(percent), "a long, b long, score long")
+    found = outside.groupby(*key).cogroup(members.groupby(*key)).applyInArrow(_closest(percent, low, high), "a long, b long, score long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").groupBy("a", "b").agg(F.sum("score").alias("score"))
 
 
@@ -255,10 +266,14 @@ def _join_up(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, labels: DataFr
     """``labels`` after all links among ``pairs`` that join components.  Each turn keeps only pairs that still could."""
     spark = docs.sparkSession
     cand, cand_at = materialise(pairs)
+    if not cand.limit(1).count():
+        discard(spark, cand_at)
+        return labels
     wanted = cand.select(F.col("a").alias("node")).unionByName(cand.select(F.col("b").alias("node"))).distinct()
     held = wanted.join(nodes.select("node", "at"), "node").select("node", "at.th", "at.tl")
     texts, texts_at = materialise(docs.select(*content_key(), "text").join(held, ["th", "tl"]).groupBy("node").agg(F.first("text").alias("text")))
     few = nodes.count() // 2
+    turn = 0
     waiting: DataFrame | None = None  # confirmed links between roots that hooking has not joined yet
     while True:
         of = [labels.select(F.col("u").alias(x), F.col("v").alias(f"c{x}")) for x in "ab"]
@@ -270,7 +285,12 @@ def _join_up(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, labels: DataFr
         if not total and waiting is None:
             break
         picked = live
-        if total > few:
+        turn += 1
+        tries = 1 << max(0, turn - 4)  # of each node's candidates; more when few of them turn out to be links
+        if total > few and tries > 1:
+            ranks = [F.row_number().over(Window.partitionBy(x).orderBy(F.desc("score"), y)) for x, y in ("ab", "ba")]
+            picked = live.withColumns({"ra": ranks[0], "rb": ranks[1]}).filter(F.least("ra", "rb") <= tries).drop("ra", "rb", "score")
+        elif total > few:
             best = [live.groupBy(x).agg(F.max(F.struct("score", y, f"c{x}", f"c{y}")).alias("m")).select(F.least(x, f"m.{y}").alias("a"), F.greatest(x, f"m.{y}").alias("b"), f"m.c{x}", f"m.c{y}") for x, y in ("ab", "ba")]
             picked = best[0].select("a", "b", "ca", "cb").unionByName(best[1].select("a", "b", "ca", "cb")).dropDuplicates(["a", "b"])
         sides = [texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"]
@@ -300,8 +320,16 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     rows = rows.drop("sig")
     depth = least_depth(percent)
     labels = spark.createDataFrame([], "u long, v long")
-    for more in (lambda: candidates(nodes.select("node", "sig"), depth), lambda: sweep(nodes, labels, depth, percent)):
-        labels = _join_up(docs, nodes, more(), labels, width, percent)
+    labels = _join_up(docs, nodes, candidates(nodes.select("node", "sig"), depth), labels, width, percent)
+    dense, dense_at = materialise(_dense(nodes, labels, depth))
+    # A block may hold some more than BLOCK of a region's nodes, so the last round has no upper rank.
+    largest = dense.agg(F.max("total")).first()[0] or 0
+    low, high = 0, SWEPT
+    while low < largest:
+        last = high >= min(largest, BLOCK // 2)
+        labels = _join_up(docs, nodes, sweep(nodes, dense, labels, percent, low, largest if last else high), labels, width, percent)
+        low, high = (largest if last else high), 8 * high
+    discard(spark, dense_at)
 
     named = nodes.select("node", "least").join(labels.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("root"), "least")
     roots = named.groupBy("root").agg(F.min("least").alias("component"))

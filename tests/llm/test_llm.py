@@ -152,6 +152,21 @@ def test_near_duplicates_in_a_dense_region(spark):
     assert got == near_brute(texts, 3, 85)
 
 
+def test_outsiders_with_one_link_in_a_dense_region(spark):
+    """Each outsider is as close to all the members as 84.3 %, and to one as 86.0 %."""
+
+    def changed(at):
+        return " ".join(at.get(i, f"w{i}") for i in range(600))
+
+    texts = [changed({300 + i: f"m{i}"}) for i in range(300)]
+    for k in range(10):
+        own = {17 * i + k: f"o{k}_{i}" for i in range(16)}
+        texts += [changed(own), changed({k: own[k]})]
+    texts = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dups.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 3, 85).collect()}
+    assert got == near_brute(texts, 3, 85)
+
+
 def test_seams_between_partitions(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(near_dups, "ROWS_A_TASK", 400)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dups.near_duplicates(docs, 3, 85).collect()}
