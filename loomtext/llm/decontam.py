@@ -4,7 +4,8 @@ Words are reduced to a *template*: case and outer punctuation go, and numbers, n
 and units (after a number) become typed placeholders, whose values are the *slots*.  Windows of ``WINDOW`` template words
 of the benchmark are hash-joined with those of the documents.  A document holds an item when at least ``COVERAGE`` of the
 item's windows occur in it and the slots agree on one reading: each value of the item stands for one value of the
-document wherever it occurs.  Equal values make the hit ``exact``; other consistent values make it
+document, over the whole text or in one occurrence of the item (windows at one distance from their places in the item), so
+a text may hold several variants.  Equal values make the hit ``exact``; other consistent values make it
 ``reparameterised``; contradictory ones make it none.  Items of fewer words than a window are one window by themselves.
 
 The documents are scanned in place: a window leaves its partition only if the benchmark has its hash.  The benchmark's
@@ -22,7 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import content_key, small_batches
@@ -160,10 +161,10 @@ def _probe(widths: list[int], wanted: np.ndarray | None) -> Callable[[Iterator[p
                         doc, at, h = doc[maybe], at[maybe], h[maybe]
                     for d, k, x in zip(doc.tolist(), at.tolist(), h.view(np.int64).tolist(), strict=True):
                         f = int(first[d]) + k
-                        rows.append((th[i + d], tl[i + d], w, x, _slots(data, kind, start, end, f, f + w)))
+                        rows.append((th[i + d], tl[i + d], k, w, x, _slots(data, kind, start, end, f, f + w)))
                 if rows:
-                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["th", "tl", "width", "hash", "values"])
+                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["th", "tl", "at", "width", "hash", "values"])
 
     return run
 
@@ -182,24 +183,28 @@ def hits(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_
     if known.count() <= BROADCAST_WINDOWS:
         wanted = np.sort(np.array([r["hash"] for r in first.toLocalIterator()], np.int64).view(np.uint64))
     texts = docs.select(*content_key(), F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(_probe(shapes, wanted), "th long, tl int, width int, hash long, values array<string>")
-    # Copies of a text, and repeats inside it, say the same: one row of each is enough.
+    found = texts.mapInArrow(_probe(shapes, wanted), "th long, tl int, at int, width int, hash long, values array<string>")
+    # Copies of a text say the same: one row of each is enough.
     found = found.distinct()
     pairs = F.filter(F.arrays_zip("slots", "values"), lambda z: z["slots"] != "")
-    joined = found.join(index, ["hash", "width"]).select("th", "tl", "item", "place", "windows", pairs.alias("pairs"))
+    joined = found.join(index, ["hash", "width"]).select("th", "tl", "item", "place", (F.col("at") - F.col("place")).alias("start"), "windows", pairs.alias("pairs"))
     # A window occurs with the item's own values, or it does not; those that do need no other reading.
     own = F.forall("pairs", lambda z: z["slots"] == z["values"])
-    at = joined.groupBy("th", "tl", "item", "place").agg(F.max(own).alias("own"), F.max("windows").alias("windows"), F.collect_set("pairs").alias("readings"))
-    by_item = at.groupBy("th", "tl", "item").agg(
-        F.count("*").alias("found"), F.count_if("own").alias("own"), F.sum(F.when(F.size(F.element_at("readings", 1)) == 0, 1).otherwise(0)).alias("bare"),
-        F.max("windows").alias("windows"), F.array_distinct(F.flatten(F.flatten(F.collect_list("readings")))).alias("values"),
-    )
-    share = F.col("found") / F.col("windows")
-    # One value for each slot value of the item, over all its windows.
+    # One value for each slot value of the item, over all the windows judged together.
     single = F.size(F.array_distinct(F.transform("values", lambda z: z["slots"]))) == F.size("values")
+    occurrences = joined.groupBy("th", "tl", "item", "start").agg(
+        F.collect_set("place").alias("places"), F.collect_set(F.when(own, F.col("place"))).alias("own"),
+        F.max("windows").alias("windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("values"),
+    )
+
+    def share(places: str) -> Column:
+        return F.size(places) / F.col("windows")
+
+    together = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("places", "own", "values")]
+    by_item = occurrences.withColumn("held", (share("places") >= coverage) & single).groupBy("th", "tl", "item").agg(*together, F.max("windows").alias("windows"), F.max("held").alias("held"))
     return by_item.select(
-        "th", "tl", "item", share.alias("coverage"),
-        F.when((F.col("own") / F.col("windows")) >= coverage, "exact").when((share >= coverage) & single, "reparameterised").alias("match"),
+        "th", "tl", "item", share("places").alias("coverage"),
+        F.when(share("own") >= coverage, "exact").when(((share("places") >= coverage) & single) | F.col("held"), "reparameterised").alias("match"),
     ).filter("match is not null")
 
 

@@ -382,6 +382,16 @@ def test_decontamination(spark):
     assert next(r for r in found if r["doc_id"] == 2)["n_reparameterised"] == 1
 
 
+def test_decontamination_judges_each_occurrence(spark):
+    def question(n, k=7):
+        return f"if she buys {n} apples and then sells {k} more to a man, how many apples are left over for her today"
+
+    twice = "one apple is green while sells 99 more to a man, how many apples are there now"
+    texts = [(1, f"{question(30)} and so on. {question(45)} end"), (2, f"{question(30)} and so on. {twice}"), (3, question(30)), (4, f"{question(45, 9)} {question(30, 8)} {question(12, 9)}")]
+    found = {r["doc_id"]: r for r in decontam.contamination(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(7, question(12))], "item_id long, text string")).collect()}
+    assert all(found[i]["items"] == [7] and found[i]["n_reparameterised"] == 1 for i in (1, 2, 3, 4))
+
+
 def test_decontamination_brute_force(spark, docs):
     bench = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     got = {r["doc_id"]: set(r["items"]) for r in decontam.op3_benchmark_decontamination(spark, SF).collect()}
