@@ -2,8 +2,8 @@
 
 Words are reduced to a *template*: case and outer punctuation go, and numbers, names (capitalised inside a sentence)
 and units (after a number) become typed placeholders, whose values are the *slots*.  Windows of ``WINDOW`` template words
-of the benchmark are hash-joined with those of the documents.  A document holds an item when at least ``COVERAGE`` of the
-item's windows occur in it and the slots agree on one reading: each value of the item stands for one value of the
+of the benchmark are hash-joined with those of the documents.  A document holds an item when the item's windows that occur
+in it cover at least ``COVERAGE`` of the item's words and the slots agree on one reading: each value of the item stands for one value of the
 document, over the whole text or in one occurrence of the item (windows at one distance from their places in the item), so
 a text may hold several variants.  Equal values make the hit ``exact``; other consistent values make it
 ``reparameterised``; contradictory ones make it none.  Items of fewer words than a window are one window by themselves.
@@ -187,24 +187,27 @@ def hits(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_
     # Copies of a text say the same: one row of each is enough.
     found = found.distinct()
     pairs = F.filter(F.arrays_zip("slots", "values"), lambda z: z["slots"] != "")
-    joined = found.join(index, ["hash", "width"]).select("th", "tl", "item", "place", (F.col("at") - F.col("place")).alias("start"), "windows", pairs.alias("pairs"))
+    joined = found.join(index, ["hash", "width"]).select("th", "tl", "item", "place", "width", (F.col("at") - F.col("place")).alias("start"), "windows", pairs.alias("pairs"))
     # A window occurs with the item's own values, or it does not; those that do need no other reading.
     own = F.forall("pairs", lambda z: z["slots"] == z["values"])
     # One value for each slot value of the item, over all the windows judged together.
     single = F.size(F.array_distinct(F.transform("values", lambda z: z["slots"]))) == F.size("values")
     occurrences = joined.groupBy("th", "tl", "item", "start").agg(
         F.collect_set("place").alias("places"), F.collect_set(F.when(own, F.col("place"))).alias("own"),
-        F.max("windows").alias("windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("values"),
+        F.max("windows").alias("windows"), F.max("width").alias("width"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("values"),
     )
 
     def share(places: str) -> Column:
-        return F.size(places) / F.col("windows")
+        """Of the item's words, those in a window that occurs: each has the words up to the next one, or its own width."""
+        ordered = F.array_sort(places)
+        new = F.zip_with(ordered, F.slice(ordered, 2, F.greatest(F.size(ordered), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.col("width")), F.col("width")))
+        return F.aggregate(new, F.lit(0), lambda x, y: x + y) / (F.col("windows") + F.col("width") - 1)
 
     together = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("places", "own", "values")]
-    by_item = occurrences.withColumn("held", (share("places") >= coverage) & single).groupBy("th", "tl", "item").agg(*together, F.max("windows").alias("windows"), F.max("held").alias("held"))
+    by_item = occurrences.withColumn("held", (share("places") >= coverage) & single).groupBy("th", "tl", "item").agg(*together, F.max("windows").alias("windows"), F.max("width").alias("width"), F.max("held").alias("held"))
     return by_item.select(
         "th", "tl", "item", share("places").alias("coverage"),
-        F.when(share("own") >= coverage, "exact").when(((share("places") >= coverage) & single) | F.col("held"), "reparameterised").alias("match"),
+        F.when((F.size("own") / F.col("windows") >= coverage) | ((share("places") >= coverage) & (F.size("own") == F.size("places"))), "exact").when(((share("places") >= coverage) & single) | F.col("held"), "reparameterised").alias("match"),
     ).filter("match is not null")
 
 

@@ -392,6 +392,14 @@ def test_decontamination_judges_each_occurrence(spark):
     assert all(found[i]["items"] == [7] and found[i]["n_reparameterised"] == 1 for i in (1, 2, 3, 4))
 
 
+def test_decontamination_with_one_edited_word(spark):
+    item = [f"word{'abcdefghijklmnopqrstuvwxyzabcdefghijkl'[i]}{'xyz'[i // 13]}" for i in range(38)]
+    edited, shorter, other = item[:19] + ["other"] + item[20:], item[:19] + item[20:], item[:20] + ["other"] * 18
+    texts = [(k, " ".join(["so", *t, "end"])) for k, t in enumerate((item, edited, shorter, other))]
+    found = decontam.contamination(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    assert {r["doc_id"]: r["contaminated"] for r in found.collect()} == {0: True, 1: True, 2: True, 3: False}
+
+
 def test_decontamination_brute_force(spark, docs):
     bench = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     got = {r["doc_id"]: set(r["items"]) for r in decontam.op3_benchmark_decontamination(spark, SF).collect()}
