@@ -365,6 +365,10 @@ def test_language_model_is_normalised_and_learns():
     assert lm.log_probabilities(t.p, unit, context).mean() > first + 1
 
 
+def test_language_model_keeps_its_first_size():
+    assert (lm.TOP, lm.BUCKETS, lm.CLASSES, lm.WIDE, lm.DIM, lm.NOISE) == (3071, 1024, 64, 64, 16, 16)
+
+
 def test_language_model_odd(odd, empty):
     assert lm.score_texts(odd).count() == len(ODD) and lm.score_texts(empty).count() == 0
 
