@@ -1,19 +1,23 @@
 """MinHash near-duplicates by an LSH forest.
 
 A text's set is its distinct ``width``-word shingles (A-Z lower-cased; fewer words: the whole sequence).  Texts with
-equal sets are one *node*.  Each node has ``TREES`` orders of ``DEPTH`` min-hashes; in each order the nodes of the whole
-corpus are sorted, and a node's candidates are its ``NEAR`` next neighbours that share at least the least depth, and
-the first node that shares ``LEAD`` values.  In a sparse region that is everything
-at the least depth; in a dense one the nearest neighbours are those with the longest common prefix, so the depth adapts
-to the region.  The least depth is the greatest at which a pair at the threshold is missed by all orders with a chance
-of at most 1e-6.  A dense region that is left in several components is swept: nodes outside its largest component are
-compared, in blocks of bounded size, with the signatures of all its nodes, and the ``SWEPT`` most similar ones of each
-block become candidates.  Nodes that are still outside go on with the next ones, eight times as many in each round,
-until every node whose signature allows a link (all but a chance of 3e-7 at the threshold) has been a candidate.
-
-Candidates become links only by the exact similarity of the full sets.  Only pairs between different components need
-that: each turn takes every node's best untried candidate outside its component, checks it, and joins components,
-until no candidate is left that could join any.  Work is linear in nodes at every step, whatever the size of a group.
+equal sets are one *node* (named by 128 bits of the set).  Each node has ``TREES`` orders of ``DEPTH`` min-hashes.
+
+1. ``candidates``  in each order the nodes of the whole corpus are sorted, and a node's candidates are its ``NEAR`` next
+                   neighbours that share at least the least depth: those with the longest common prefix, so the depth
+                   adapts to how crowded a region is.  Candidates whose signatures rule a link out are dropped.
+2. ``_turn``       twice, each node's most similar candidate outside its component is confirmed on the full sets, and
+                   components are joined.  This settles most regions, and its order decides no result.
+3. ``_regions``    what is left: regions (nodes of one order with one prefix of least depth) that lie in several
+                   components.  A link between two components has at least one end outside the region's largest one, so
+                   those *outsiders* are compared with all the region's nodes, in blocks of bounded size: first by
+                   signature, then, where that leaves a link possible, exactly, as a matrix product of the full sets.
+                   A block returns no more links than join its components, so rows stay in proportion to nodes.
+
+The least depth is the greatest at which all orders miss a pair at the threshold with a chance of at most 1e-6; the
+signature test misses one with at most 3e-7.  There is no other loss: no cap on neighbours, regions or links, and every
+link is exact.  The rows of a region are its nodes and, for regions over ``BLOCK`` nodes, a copy for each block they
+meet; only the arithmetic inside the blocks grows with outsiders times nodes of a region.
 
 Cases: a null, empty or blank text has no shingles and is linked with nothing; ties and repeated rows: equal sets are
 one node whose least id counts; null ids are kept, but never chosen as a component's name; very long texts are
@@ -26,18 +30,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import content_key, discard, materialise, partitions, small_batches
-from loomtext.llm.components import hooked
+from loomtext.llm.components import connected
 from loomtext.llm.textkit import LOWER, buffers, chunks, mix, span_hashes, window_hashes, word_hashes, words
 
 WIDTH, PERCENT = 5, 80
-TREES, DEPTH, NEAR, LEAD = 16, 8, 3, 5
-BLOCK, SWEPT = 4096, 24
+TREES, DEPTH, NEAR = 16, 8, 3
+TURNS = 2
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
+COLUMNS = 2048
 ROWS_A_TASK = 10_000
+SECOND = np.uint64(0x6A09E667F3BCC909)
 _DRAW = np.random.default_rng(71)
 _XOR = _DRAW.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
 _TIMES = _DRAW.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
@@ -84,269 +90,364 @@ def signatures(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _sign(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts -> the 128-bit name (h, g) of each set, its size, its signature, and the low byte of each min-hash."""
+    names = ["id", "th", "tl", "h", "g", "n", "sig", "bits"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = buffers(batch.column("text"))
             for i, j, part, o in chunks(raw, off):
                 hashes, s = shingles(part, o, width)
-                sig = signatures(hashes, s).astype(">u4").tobytes()
-                node = span_hashes(hashes, s[:-1], s[1:]) ^ mix(np.diff(s).astype(np.uint64))
-                step = 4 * TREES * DEPTH
+                n = np.diff(s)
+                sig = signatures(hashes, s)
+                name = [span_hashes(x, s[:-1], s[1:]) ^ mix(n.astype(np.uint64)) for x in (hashes, mix(hashes ^ SECOND))]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(i, j - i) for c in ("id", "th", "tl")), pa.array(node.view(np.int64)), pa.array(np.diff(s)), pa.array([sig[k : k + step] for k in range(0, len(sig), step)], pa.binary())],
-                    ["id", "th", "tl", "node", "n", "sig"],
+                    [*(batch.column(c).slice(i, j - i) for c in ("id", "th", "tl")), *(pa.array(x.view(np.int64)) for x in name), pa.array(n), _rows_of(sig.astype(">u4")), _rows_of((sig & 0xFF).astype(np.uint8))], names
                 )
 
     return run
 
 
-def _neighbours(depth: int, at: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sorted (tree, key, node) rows -> candidate pairs, and the rows at both ends of the partition.
+def _rows_of(grid: np.ndarray) -> pa.Array:
+    """Each row of ``grid`` as a binary value."""
+    grid = np.ascontiguousarray(grid)
+    width = grid.dtype.itemsize * grid.shape[1]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(grid), [None, pa.py_buffer(np.arange(len(grid) + 1, dtype=np.int32) * width), pa.py_buffer(grid)])
 
-    at: the column that rows must share to be neighbours (the tree, or the seam between two partitions).
-    """
-    names = ["a", "b", "lcp", "part", "tail", "tree", "key"]
 
-    def batch_of(a: np.ndarray, b: np.ndarray, lcp: np.ndarray, part: int = -1, tail: bool = False, tree: np.ndarray | None = None, key: list | None = None) -> pa.RecordBatch:
-        n = len(a)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lcp, pa.int32()), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, tail)), pa.array(np.zeros(n, np.int32) if tree is None else tree, pa.int32()), pa.array([None] * n if key is None else key, pa.binary())], names
-        )
+def _neighbours(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sorted (tree, key, node) rows -> pairs of near neighbours in the order, with their common prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        keys, trees, groups, nodes = np.zeros((0, DEPTH), np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        lead, head = None, True
+        keys, trees, nodes = np.zeros((0, DEPTH), np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int64)
         for batch in batches:
             old = len(nodes)
-            new = np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u4").reshape(-1, DEPTH).astype(np.uint32)
-            if not len(new):
-                continue
-            keys = np.concatenate([keys, new])
-            trees = np.append(trees, batch.column("tree").to_numpy())
-            groups = np.append(groups, batch.column(at).to_numpy().astype(np.int64))
-            nodes = np.append(nodes, batch.column("node").to_numpy())
-            if head and at == "tree":
-                k = min(NEAR, len(new))
-                yield batch_of(nodes[:k], np.arange(k), np.zeros(k), part, False, trees[:k], [x.astype(">u4").tobytes() for x in keys[:k]])
-                head = False
+            new = buffers(batch.column("key"))[0].view(">u4").reshape(-1, DEPTH).astype(np.uint32)
+            keys, trees, nodes = np.concatenate([keys, new]), np.append(trees, batch.column("tree").to_numpy()), np.append(nodes, batch.column("node").to_numpy())
             for step in range(1, NEAR + 1):
-                i = np.arange(max(0, old - step), len(nodes) - step)
-                if len(i):
-                    same = (keys[i] == keys[i + step]) & ((groups[i] == groups[i + step]) & (trees[i] == trees[i + step]))[:, None]
-                    lcp = np.where(same.all(1), DEPTH, same.argmin(1))
-                    ok = lcp >= depth
-                    yield batch_of(nodes[i[ok]], nodes[i[ok] + step], lcp[ok])
-            # The first row of each region that shares LEAD values; a region may have begun in an earlier batch.
-            tag = np.concatenate([groups[:, None], trees[:, None], keys[:, :LEAD].astype(np.int64)], 1)[old:]
-            fresh = np.append(True, (tag[1:] != tag[:-1]).any(1))
-            if lead is not None and (lead[0] == tag[0]).all():
-                fresh[0] = False
-            first = np.where(fresh, np.arange(len(tag)), -1)
-            first = np.maximum.accumulate(first)
-            leader = np.where(first >= 0, nodes[old:][np.maximum(first, 0)], lead[1] if lead is not None else 0)
-            far = leader != nodes[old:]
-            yield batch_of(leader[far], nodes[old:][far], np.full(far.sum(), LEAD))
-            lead = (tag[-1], leader[-1])
-            keys, trees, groups, nodes = keys[-NEAR:], trees[-NEAR:], groups[-NEAR:], nodes[-NEAR:]
-        if len(nodes) and at == "tree":
-            yield batch_of(nodes, np.arange(len(nodes)), np.zeros(len(nodes)), part, True, trees, [x.astype(">u4").tobytes() for x in keys])
+                i = np.arange(max(0, old - step), max(0, len(nodes) - step))
+                same = (keys[i] == keys[i + step]) & (trees[i] == trees[i + step])[:, None]
+                lcp = np.where(same.all(1), DEPTH, same.argmin(1))
+                i, lcp = i[lcp >= depth], lcp[lcp >= depth]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[i + step]), pa.array(lcp.astype(np.int32))], ["a", "b", "lcp"])
+            keys, trees, nodes = keys[-NEAR:], trees[-NEAR:], nodes[-NEAR:]
 
     return run
 
 
-_PAIRS = "a long, b long, lcp int, part int, tail boolean, tree int, key binary"
+def _least_alike(percent: int) -> float:
+    """Equal min-hashes that a pair at the threshold has, but for a chance of 3e-7 (five standard deviations)."""
+    total, share = TREES * DEPTH, percent / 100
+    return total * share - 5 * (total * share * (1 - share)) ** 0.5
+
+
+def _alike(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (buffers(batch.column(c))[0].reshape(-1, TREES * DEPTH) for c in ("bits_a", "bits_b"))
+            alike = np.count_nonzero(x == y, axis=1)
+            ok = pa.array(alike >= least)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(alike.astype(np.int32))], ["a", "b", "alike"]).filter(ok)
+
+    return run
 
 
-def candidates(nodes: DataFrame, depth: int) -> DataFrame:
-    """nodes(node, sig) -> pairs a < b with the sum of their common prefixes as ``score``."""
+def candidates(nodes: DataFrame, depth: int, percent: int) -> DataFrame:
+    """nodes(node, sig, bits) -> pairs a < b that are neighbours in an order, with their number of equal min-hashes."""
     spark = nodes.sparkSession
     count = nodes.count() * TREES
     tasks = max(1, min(partitions(spark), count // ROWS_A_TASK + 1))
     width = 4 * DEPTH
     forest = nodes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("sig", t * width + 1, F.lit(width)))).alias("tree", "key"))
     order = ["tree", "key", "node"]
-    found, _ = materialise(forest.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(depth, "tree"), _PAIRS))
-    ends = found.filter("part >= 0")
-    # Rows on the two sides of a seam between partitions meet once more; the driver only sees partition numbers.
-    parts = sorted(r["part"] for r in ends.select("part").distinct().collect())
-    pairs = found.filter("part < 0")
-    if len(parts) > 1:
-        seams = spark.createDataFrame([(p, True, k) for k, p in enumerate(parts[:-1])] + [(p, False, k) for k, p in enumerate(parts[1:])], "part int, tail boolean, seam int")
-        seam_rows = ends.join(seams, ["part", "tail"]).select("seam", "tree", "key", F.col("a").alias("node"))
-        pairs = pairs.unionByName(seam_rows.repartition(max(1, len(parts) // 100), "seam").sortWithinPartitions("seam", *order).mapInArrow(_neighbours(depth, "seam"), _PAIRS))
-    return pairs.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "lcp").groupBy("a", "b").agg(F.sum("lcp").alias("score"))
-
-
-def _closest(percent: int, low: int, high: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """A block of outsiders and one of members of a region -> each outsider's members elsewhere, of those that rank from
-    ``low`` to ``high`` by similarity in the block."""
-    least = TREES * DEPTH * percent / 100 - 5 * (TREES * DEPTH * percent / 100 * (1 - percent / 100)) ** 0.5
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        mine, theirs = (np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(-1, TREES * DEPTH) for t in (left, right))
-        node, label = right.column("node").to_numpy(), right.column("label").to_numpy()
-        a, b, score = [], [], []
-        for x, at, own in zip(mine, left.column("node").to_pylist(), left.column("label").to_pylist(), strict=True):
-            alike = np.count_nonzero(theirs == x, axis=1)
-            best = np.lexsort((node, -alike))[low:high]  # ranks do not change when labels do
-            best = best[(alike[best] >= least) & (label[best] != own)]
-            a += [at] * len(best)
-            b += node[best].tolist()
-            score += alike[best].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "score": pa.array(score, pa.int64())})
+    found = forest.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(depth), "a long, b long, lcp int")
+    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    bits = [nodes.select(F.col("node").alias(x), F.col("bits").alias(f"bits_{x}")) for x in "ab"]
+    return pairs.join(bits[0], "a").join(bits[1], "b").select("a", "b", "bits_a", "bits_b").mapInArrow(_alike(_least_alike(percent)), "a long, b long, alike int")
+
+
+def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts -> their sorted shingle hashes; copies that follow each other come once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            node = batch.column("node").to_numpy()
+            fresh = np.append(True, node[1:] != node[:-1])
+            fresh[0] = not len(node) or node[0] != last
+            last = node[-1] if len(node) else last
+            batch = batch.filter(pa.array(fresh[: len(node)]))
+            node = batch.column("node")
+            raw, off = buffers(batch.column("text"))
+            for i, j, part, o in chunks(raw, off):
+                hashes, s = shingles(part, o, width)
+                sets = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(8 * s.astype(np.int64)), pa.py_buffer(hashes)])
+                yield pa.RecordBatch.from_arrays([node.slice(i, j - i), sets.cast(pa.binary())], ["node", "shingles"])
 
     return run
 
 
-def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        low = [np.frombuffer(x, np.uint8)[3::4].tobytes() for x in batch.column("sig").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(low, pa.binary())], ["node", "bits"])
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """wanted(node, th, tl) -> (node, shingles): the full set of each, once."""
+    found = docs.select(*content_key(), "text").join(wanted, ["th", "tl"]).select("node", "text").mapInArrow(_sets(width), "node long, shingles binary")
+    return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def _dense(nodes: DataFrame, labels: DataFrame, depth: int) -> DataFrame:
-    """region, node, main, outside, others, total: nodes of dense regions that lie in several components, with the
-    label of the region's largest component and whether the node is outside it."""
-    labelled = nodes.select("node", "sig").join(labels.select(F.col("u").alias("node"), "v"), "node", "left").select("node", "sig", F.coalesce("v", "node").alias("label"))
-    region = F.xxhash64(F.col("tree"), F.substring("sig", F.col("tree") * 4 * DEPTH + 1, F.lit(4 * depth)))
-    forest = labelled.select("node", "label", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(region.alias("region"), "node", "label")
-    sizes = forest.groupBy("region", "label").agg(F.count("*").alias("n")).groupBy("region").agg(F.sum("n").alias("total"), F.max(F.struct("n", "label")).alias("main"))
-    dense = sizes.filter((F.col("total") > NEAR + 1) & (F.col("main.n") < F.col("total"))).select("region", "total", F.col("main.label").alias("main"), (F.col("total") - F.col("main.n")).alias("others"))
-    return forest.join(dense, "region").select("region", "node", "main", (F.col("label") != F.col("main")).alias("outside"), "others", "total")
+def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (x, ox), (y, oy) = (buffers(batch.column(c)) for c in ("set_a", "set_b"))
+            x, ox, y, oy = x.view(np.uint64), ox // 8, y.view(np.uint64), oy // 8
+            good = np.zeros(batch.num_rows, bool)
+            for k in range(batch.num_rows):
+                a, b = x[ox[k] : ox[k + 1]], y[oy[k] : oy[k + 1]]
+                both = np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)
+                good[k] = both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("u"), batch.column("v"), pa.array(good)], ["a", "b", "u", "v", "linked"])
+
+    return run
+
+
+def _labelled(df: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame:
+    """``df`` with the label of each ``node``: that in ``labels``, else the node itself."""
+    of = labels.select(F.col("u").alias(node), F.col("v").alias(label))
+    return df.join(of, node, "left").withColumn(label, F.coalesce(label, node))
 
 
-def sweep(nodes: DataFrame, dense: DataFrame, labels: DataFrame, percent: int, low: int, high: int) -> DataFrame:
-    """Candidates (a, b, score) for nodes of ``dense`` that are still outside: their members of ranks low to high.
+def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node u, its label v) after joining the labels that ``edges`` (u, v) link."""
+    moved = connected(edges)
+    old = labels.join(moved.select(F.col("r").alias("v"), "root"), "v", "left").select("u", F.coalesce("root", "v").alias("v"))
+    return materialise(old.unionByName(moved.filter("r <> root").select(F.col("r").alias("u"), F.col("root").alias("v"))))[0]
 
-    Components only grow, so a pair left in two of them has a node that is outside to the end, and meets all ranks.
+
+def _turn(cand: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(candidates that are still to be tried, labels): each node's most similar candidate elsewhere is confirmed."""
+    live = _labelled(_labelled(cand, labels, "a", "u"), labels, "b", "v").filter("u <> v").select("a", "b", "alike", "u", "v")
+    best = [live.groupBy(x).agg(F.max(F.struct("alike", y, "u", "v")).alias("m")).select(F.least(x, f"m.{y}").alias("a"), F.greatest(x, f"m.{y}").alias("b"), "m.u", "m.v") for x, y in ("ab", "ba")]
+    picked = best[0].unionByName(best[1]).dropDuplicates(["a", "b"])
+    sides = [sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
+    tried, _ = materialise(picked.join(sides[0], "a").join(sides[1], "b").mapInArrow(_confirm(percent), "a long, b long, u long, v long, linked boolean"))
+    return cand.join(tried.select("a", "b"), ["a", "b"], "left_anti"), _merged(labels, tried.filter("linked").select("u", "v"))
+
+
+# Regions in several components -----------------------------------------------------------------------------------------
+
+def _grid(rows: DataFrame, weight: Column) -> DataFrame:
+    """Deal the rows of each ``main`` to blocks: outsiders (``q``) of block i meet nodes (``m``) of block j.
+
+    A block has about ``BLOCK`` rows of a side, or ``BLOCK_SHINGLES`` of ``weight`` where that is less.
     """
-    bits = nodes.select("node", "sig").mapInArrow(_low_bytes, "node long, bits binary")
-    of = [labels.select(F.col("u").alias(x), F.col("v").alias(y)) for x, y in (("node", "label"), ("main", "top"))]
-    now = dense.join(of[0], "node", "left").join(of[1], "main", "left").withColumns({"label": F.coalesce("label", "node"), "top": F.coalesce("top", "main")})
-    grid = [F.ceil(F.col(c) / BLOCK).cast("int") for c in ("others", "total")]
-    spread = [F.pmod(F.hash("node"), g) for g in grid]
-    every = [F.explode(F.sequence(F.lit(0), g - 1)) for g in grid]
-    out = now.filter("outside and label <> top")
-    outside = out.join(bits, "node").select("region", "node", "label", "bits", spread[0].alias("i"), every[1].alias("j"))
-    members = now.join(out.select("region").distinct(), "region", "left_semi").join(bits, "node").select("region", "node", "label", "bits", spread[1].alias("j"), every[0].alias("i"))
-    key = ["region", "i", "j"]
-    outside, members = outside.toDF(*outside.columns), members.toDF(*members.columns)  # both come from the same rows
-    found = outside.groupby(*key).cogroup(members.groupby(*key)).applyInArrow(_closest(percent, low, high), "a long, b long, score long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").groupBy("a", "b").agg(F.sum("score").alias("score"))
-
-
-def _confirm(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+
+    def blocks(count: Column, total: Column) -> Column:
+        return F.greatest(F.ceil(count / BLOCK), F.ceil(total / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+    out = F.col("outside").cast("int")
+    sizes = rows.groupBy("main").agg(blocks(F.sum(out), F.sum(out * weight)).alias("gi"), blocks(F.count("*"), F.sum(weight)).alias("gj"))
+    dealt = rows.join(sizes, "main").withColumns({"bi": F.pmod(F.hash("node"), "gi"), "bj": F.pmod(F.hash("node", F.lit(1)), "gj")})
+
+    def role(i: Column, j: Column, q: bool, m: bool) -> Column:
+        return F.struct(i.alias("i"), j.alias("j"), F.lit(q).alias("q"), F.lit(m).alias("m"))
+
+    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("outside").alias("q"), F.lit(True).alias("m")))
+    as_member = F.transform(F.sequence(F.lit(0), F.col("gi") - 1), lambda i: role(i, F.col("bj"), False, True))
+    as_outsider = F.transform(F.sequence(F.lit(0), F.col("gj") - 1), lambda j: role(F.col("bi"), j, True, False))
+    many = F.when(F.col("outside"), F.concat(as_member, as_outsider)).otherwise(as_member)
+    roles = F.when((F.col("gi") == 1) & (F.col("gj") == 1), one).otherwise(many)
+    return dealt.select(*rows.columns, F.inline(roles))
+
+
+def _by_block(work: Callable[[pa.Table], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by (main, i, j): ``work`` gets the rows of one block at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
-                sets = []
-                for side in ("text_a", "text_b"):
-                    # Equal texts in a row (the pairs of one hub) are hashed once.
-                    texts = part.column(side).to_pylist()
-                    unique = list(dict.fromkeys(texts))
-                    place = {x: i for i, x in enumerate(unique)}
-                    made: list[np.ndarray] = []
-                    raw, off = buffers(pa.array(unique, pa.string()))
-                    for _, _, r, o in chunks(raw, off):
-                        h, s = shingles(r, o, width)
-                        made += [h[x:y] for x, y in zip(s[:-1], s[1:], strict=True)]
-                    sets.append([made[place[x]] for x in texts])
-                good = []
-                for x, y in zip(*sets, strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "b", "ca", "cb")), pa.array(good, pa.bool_())], ["a", "b", "ca", "cb", "linked"])
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("main", "i", "j")])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if held and last != key[:, a].tolist():
+                    if (made := work(pa.Table.from_batches(held))) is not None:
+                        yield made
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = key[:, a].tolist()
+        if held and (made := work(pa.Table.from_batches(held))) is not None:
+            yield made
 
     return run
 
 
-def _join_up(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, labels: DataFrame, width: int, percent: int) -> DataFrame:
-    """``labels`` after all links among ``pairs`` that join components.  Each turn keeps only pairs that still could."""
-    spark = docs.sparkSession
-    cand, cand_at = materialise(pairs)
-    if not cand.limit(1).count():
-        discard(spark, cand_at)
-        return labels
-    wanted = cand.select(F.col("a").alias("node")).unionByName(cand.select(F.col("b").alias("node"))).distinct()
-    held = wanted.join(nodes.select("node", "at"), "node").select("node", "at.th", "at.tl")
-    texts, texts_at = materialise(docs.select(*content_key(), "text").join(held, ["th", "tl"]).groupBy("node").agg(F.first("text").alias("text")))
-    few = nodes.count() // 2
-    turn = 0
-    waiting: DataFrame | None = None  # confirmed links between roots that hooking has not joined yet
+def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(outsiders, members, labels) of a block: row numbers, and the label of each row."""
+    q, m = (np.flatnonzero(rows.column(c).to_numpy()) for c in "qm")
+    return q, m, rows.column("label").to_numpy()
+
+
+def _possible(least: float) -> Callable[[pa.Table], pa.RecordBatch | None]:
+    """Of a block's rows, those that by signature may have a link to another component."""
+
+    def work(rows: pa.Table) -> pa.RecordBatch | None:
+        q, m, label = _sides(rows)
+        if not len(q) or not len(m):
+            return None
+        bits = buffers(rows.column("bits"))[0].reshape(-1, TREES * DEPTH)
+        theirs, live, step = bits[m], np.zeros(len(bits), bool), max(1, (1 << 16) // len(m))
+        for k in range(0, len(q), step):
+            some = q[k : k + step]
+            hit = (np.count_nonzero(bits[some][:, None] == theirs[None], axis=2) >= least) & (label[some][:, None] != label[m][None])
+            live[some] |= hit.any(1)
+            live[m] |= hit.any(0)
+        if not live.any():
+            return None
+        return rows.select(["main", "node", "label", "outside", "n"]).filter(pa.array(live)).combine_chunks().to_batches()[0]
+
+    return work
+
+
+def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the edges (u, v), as many as join what all of them join: a forest."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
+    out: list[tuple[np.ndarray, np.ndarray]] = [(a[:0], b[:0])]
     while True:
-        of = [labels.select(F.col("u").alias(x), F.col("v").alias(f"c{x}")) for x in "ab"]
-        mapped = cand.select("a", "b", "score").join(of[0], "a", "left").join(of[1], "b", "left").select("a", "b", "score", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-        live, live_at = materialise(mapped.filter("ca <> cb"))
-        discard(spark, cand_at)
-        cand, cand_at = live, live_at
-        total = live.count()
-        if not total and waiting is None:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        if not apart.any():
             break
-        picked = live
-        turn += 1
-        tries = 1 << max(0, turn - 4)  # of each node's candidates; more when few of them turn out to be links
-        if total > few and tries > 1:
-            ranks = [F.row_number().over(Window.partitionBy(x).orderBy(F.desc("score"), y)) for x, y in ("ab", "ba")]
-            picked = live.withColumns({"ra": ranks[0], "rb": ranks[1]}).filter(F.least("ra", "rb") <= tries).drop("ra", "rb", "score")
-        elif total > few:
-            best = [live.groupBy(x).agg(F.max(F.struct("score", y, f"c{x}", f"c{y}")).alias("m")).select(F.least(x, f"m.{y}").alias("a"), F.greatest(x, f"m.{y}").alias("b"), f"m.c{x}", f"m.c{y}") for x, y in ("ab", "ba")]
-            picked = best[0].select("a", "b", "ca", "cb").unionByName(best[1].select("a", "b", "ca", "cb")).dropDuplicates(["a", "b"])
-        sides = [texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"]
-        tried, _ = materialise(picked.select("a", "b", "ca", "cb").join(sides[0], "a").join(sides[1], "b").mapInArrow(_confirm(width, percent), "a long, b long, ca long, cb long, linked boolean"))
-        edges = tried.filter("linked").select(F.col("ca").alias("u"), F.col("cb").alias("v"))
-        if waiting is not None:
-            edges = edges.unionByName(waiting)
-        moved, _ = materialise(hooked(edges.distinct()))
-        old = labels.join(moved.select(F.col("r").alias("v"), "root"), "v", "left").select("u", F.coalesce("root", "v").alias("v"))
-        labels, _ = materialise(old.unionByName(moved.filter("r <> root").select(F.col("r").alias("u"), F.col("root").alias("v"))))
-        to = [moved.select(F.col("r").alias(x), F.col("root").alias(f"r{x}")) for x in "uv"]
-        rest, _ = materialise(edges.join(to[0], "u").join(to[1], "v").filter("ru <> rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
-        cand = live.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        waiting = rest if rest.limit(1).count() else None
-    discard(spark, texts_at)
-    return labels
+        a, b, low, high = a[apart], b[apart], low[apart], high[apart]
+        order = np.lexsort((low, high))
+        first = order[np.append(True, high[order][1:] != high[order][:-1])]
+        out.append((a[first], b[first]))
+        up = np.arange(len(ids))
+        up[high[first]] = low[first]
+        while (up[up] != up).any():
+            up = up[up]
+        root = up[root]
+    return ids[np.concatenate([x for x, _ in out])], ids[np.concatenate([y for _, y in out])]
+
+
+def overlaps(sets: list[np.ndarray], q: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets ``q`` with the sets ``m``: a product of 0/1 matrices, ``COLUMNS`` at a time."""
+    size = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    row = np.repeat(np.arange(len(sets)), size)
+    known = np.zeros((2, ids.max() + 1), bool)
+    for side, chosen in enumerate((q, m)):
+        picked = np.zeros(len(sets), bool)
+        picked[chosen] = True
+        known[side, ids[picked[row]]] = True
+    shared = known.all(0)  # an element that one side lacks adds nothing
+    keep = shared[ids]
+    ids, row = (np.cumsum(shared) - 1)[ids[keep]], row[keep]
+    order = np.argsort(ids, kind="stable")
+    ids, row = ids[order], row[order]
+    place = np.full((2, len(sets)), -1)
+    place[0, q], place[1, m] = np.arange(len(q)), np.arange(len(m))
+    total = np.zeros((len(q), len(m)), np.float32)
+    for c in range(0, int(shared.sum()), COLUMNS):
+        part = slice(*np.searchsorted(ids, [c, c + COLUMNS]))
+        grids = []
+        for side, count in enumerate((len(q), len(m))):
+            at = place[side, row[part]]
+            grid = np.zeros((count, COLUMNS), np.float32)
+            grid[at[at >= 0], ids[part][at >= 0] - c] = 1
+            grids.append(grid)
+        total += grids[0] @ grids[1].T
+    return total
+
+
+def _links(percent: int) -> Callable[[pa.Table], pa.RecordBatch | None]:
+    """Links (u, v) between the components of a block, found on the full sets; no more than join them."""
+
+    def work(rows: pa.Table) -> pa.RecordBatch | None:
+        q, m, label = _sides(rows)
+        if not len(q) or not len(m):
+            return None
+        flat, off = buffers(rows.column("shingles"))
+        flat = flat.view(np.uint64)
+        sets = [flat[a // 8 : b // 8] for a, b in zip(off[:-1], off[1:], strict=True)]
+        size = np.array([len(x) for x in sets])
+        both = overlaps(sets, q, m)
+        linked = (both > 0) & (100 * both.astype(np.int64) >= percent * (size[q][:, None] + size[m][None] - both.astype(np.int64)))
+        x, y = np.nonzero(linked & (label[q][:, None] != label[m][None]))
+        u, v = spanning(label[q][x], label[m][y])
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"]) if len(u) else None
+
+    return work
+
+
+def _regions(docs: DataFrame, nodes: DataFrame, labels: DataFrame, sets: DataFrame, depth: int, width: int, percent: int) -> DataFrame:
+    """Links (u, v) between labels, of all regions that lie in several components."""
+    spark = docs.sparkSession
+    region = F.xxhash64(F.col("tree"), F.substring("sig", F.col("tree") * 4 * DEPTH + 1, F.lit(4 * depth)))
+    labelled = _labelled(nodes.select("node", "n", "sig"), labels, "node", "label")
+    forest = labelled.select("node", "label", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(region.alias("region"), "node", "label", "n")
+    # The label with most nodes is a region's main one; all regions with one main label are compared as one.
+    sizes = forest.groupBy("region", "label").agg(F.count("*").alias("k")).groupBy("region").agg(F.count("*").alias("kinds"), F.max(F.struct("k", "label")).alias("top"))
+    mixed = sizes.filter("kinds > 1").select("region", F.col("top.label").alias("main"))
+    group, group_at = materialise(forest.join(mixed, "region").groupBy("main", "node").agg(F.first("label").alias("label"), F.first("n").alias("n")).withColumn("outside", F.col("label") != F.col("main")))
+
+    def blocks(rows: DataFrame, extra: DataFrame, weight: Column) -> DataFrame:
+        key = ["main", "i", "j"]
+        return _grid(rows, weight).join(extra, "node").repartition(partitions(spark), *key).sortWithinPartitions(*key)
+
+    fields = "main long, node long, label long, outside boolean, n long"
+    possible = blocks(group, nodes.select("node", "bits"), F.lit(0)).mapInArrow(_by_block(_possible(_least_alike(percent))), fields)
+    live, live_at = materialise(possible.distinct())
+    discard(spark, group_at)
+    missing = live.select("node").distinct().join(sets.select("node"), "node", "left_anti").join(nodes.select("node", "at.th", "at.tl"), "node")
+    more, _ = materialise(missing)
+    if more.limit(1).count():
+        sets, _ = materialise(sets.join(live.select("node").distinct(), "node", "left_semi").unionByName(sets_of(docs, more, width)))
+    links, _ = materialise(blocks(live, sets, F.col("n")).mapInArrow(_by_block(_links(percent)), "u long, v long"))
+    discard(spark, live_at)
+    return links
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, th, tl, n_shingles, component_id (least id reachable), kept: one row for each row of ``docs``."""
+    """id, th, tl, n_shingles, component_id (least id reachable), kept, group (names the component; null without words):
+    one row for each row of ``docs``."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    rows, _ = materialise(docs.select("id", *content_key(), "text").mapInArrow(_sign(width), f"id {kind}, th long, tl int, node long, n long, sig binary"))
-    nodes, _ = materialise(rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("th", "tl")).alias("at"), F.first("sig").alias("sig")))
-    rows = rows.drop("sig")
+    rows, _ = materialise(docs.select("id", *content_key(), "text").mapInArrow(_sign(width), f"id {kind}, th long, tl int, h long, g long, n long, sig binary, bits binary"))
+    made = rows.filter("n > 0").groupBy("h", "g").agg(F.min("id").alias("least"), F.min(F.struct("th", "tl")).alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
+    nodes, _ = materialise(made.withColumn("node", F.monotonically_increasing_id()))  # written once, so a name stays
     depth = least_depth(percent)
+    cand, cand_at = materialise(candidates(nodes, depth, percent))
+    wanted = cand.select(F.col("a").alias("node")).unionByName(cand.select(F.col("b").alias("node"))).distinct()
+    sets, sets_at = materialise(sets_of(docs, wanted.join(nodes, "node").select("node", "at.th", "at.tl"), width))
     labels = spark.createDataFrame([], "u long, v long")
-    labels = _join_up(docs, nodes, candidates(nodes.select("node", "sig"), depth), labels, width, percent)
-    dense, dense_at = materialise(_dense(nodes, labels, depth))
-    # A block may hold some more than BLOCK of a region's nodes, so the last round has no upper rank.
-    largest = dense.agg(F.max("total")).first()[0] or 0
-    low, high = 0, SWEPT
-    while low < largest:
-        last = high >= min(largest, BLOCK // 2)
-        labels = _join_up(docs, nodes, sweep(nodes, dense, labels, percent, low, largest if last else high), labels, width, percent)
-        low, high = (largest if last else high), 8 * high
-    discard(spark, dense_at)
-
-    named = nodes.select("node", "least").join(labels.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("root"), "least")
+    left = cand
+    for _ in range(TURNS):
+        left, labels = _turn(left, sets, labels, percent)
+    labels = _merged(labels, _regions(docs, nodes, labels, sets, depth, width, percent))
+    for path in (cand_at, sets_at):
+        discard(spark, path)
+
+    named = _labelled(nodes.select("node", "h", "g", "least"), labels, "node", "root")
     roots = named.groupBy("root").agg(F.min("least").alias("component"))
-    of_node = named.join(roots, "root").select("node", "component")
-    out = rows.select("id", "th", "tl", "n", "node").join(of_node, "node", "left").select("id", "th", "tl", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
-    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumnRenamed("id", id_col)
+    of_node = named.join(roots, "root").select("h", "g", "root", "component")
+    out = rows.select("id", "th", "tl", "n", "h", "g").join(of_node, ["h", "g"], "left")
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), "th", "tl", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), F.when(F.col("n") > 0, F.col("root")).alias("group"))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row of ``docs`` (as it is) for each group of near-duplicates; texts without words all stay."""
+    """One row of ``docs`` (as it is) for each group of near-duplicates, that of the least id, then text hash; texts
+    without words all stay.  Groups are told by their links, so texts that share an id, or have none, stay apart."""
     found = near_duplicates(docs, width, percent)
-    kept = found.filter("kept and n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "th", "tl")).alias("k")).select("k.*")
-    blank = found.filter("n_shingles = 0").select("doc_id", "th", "tl").distinct()
-    keep = kept.unionByName(blank).distinct().select(F.col("doc_id").alias("keep_id"), F.col("th").alias("keep_th"), F.col("tl").alias("keep_tl"))
-    tagged = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), *content_key())
-    left = tagged.join(keep, (F.col("row_id").eqNullSafe(F.col("keep_id"))) & (F.col("th") == F.col("keep_th")) & (F.col("tl") == F.col("keep_tl")), "left_semi")
-    return left.dropDuplicates(["row_id", "th", "tl"]).select("row.*")
+    kept = found.filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "tl")).alias("k")).select("k.doc_id", "k.th", "k.tl")
+    keep = kept.select(F.col("doc_id").alias("keep_id"), F.col("th").alias("keep_th"), F.col("tl").alias("keep_tl")).distinct()
+    tagged = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.length(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\f\r", "")).alias("solid"), *content_key())
+    left = tagged.filter("solid > 0").join(keep, (F.col("row_id").eqNullSafe(F.col("keep_id"))) & (F.col("th") == F.col("keep_th")) & (F.col("tl") == F.col("keep_tl")), "left_semi")
+    return left.dropDuplicates(["row_id", "th", "tl"]).select("row.*").unionByName(tagged.filter("solid = 0").select("row.*"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
