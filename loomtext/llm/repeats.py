@@ -13,8 +13,10 @@ Consecutive windows with one anchor travel together as a *piece* (their union, u
                     a relative Lempel-Ziv parse).
 5. removal          window ranges come back to their texts.
 
-A group with more than ``HOT_PIECES`` kinds of pieces is not given to one task: its windows are counted by hash over
-the whole cluster instead, which finds the same windows.
+An anchor whose kinds of pieces are more than a block is dealt again by *longer anchors* (``_split``): the windows of a
+piece that have the anchor within ``step`` places of each other share all but ``step - 1`` of their tokens, and the hash
+of those is their new anchor.  The last step is 1, where a longer anchor is a whole window and each group is one piece,
+so blocks are bounded for every input; smaller pieces are searched the same way, and their ranges mapped back.
 """
 
 from __future__ import annotations
@@ -28,10 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import content_key, discard, materialise, partitions, small_batches
-from loomtext.llm.textkit import BYTE_CODE, buffers, chunks, sliding_min, span_hashes, window_hashes, word_hashes, words
+from loomtext.llm.textkit import BYTE_CODE, buffers, chunks, mix, sliding_min, span_hashes, window_hashes, word_hashes, words
 
-HOT_PIECES = 4096
-BLOCK_BYTES = 1 << 20
+BLOCK_TOKENS = 1 << 18
 _PLACE_BITS = 28
 
 
@@ -96,8 +97,8 @@ def _cut(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
         for batch in batches:
             raw, off = buffers(batch.column("text"))
             ids = list(zip(batch.column("th").to_pylist(), batch.column("tl").to_pylist(), strict=True))
-            wanted = batch.column("wanted").to_pylist()
             for i, j, part, o in chunks(raw, off):
+                wanted = batch.column("wanted").slice(i, j - i).to_pylist()
                 _, start, end, first = tokens(unit, part, o)
                 data = part.tobytes()
                 rows: list[tuple] = []
@@ -105,7 +106,7 @@ def _cut(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                     if ids[d] == seen:  # copies of a text come together
                         continue
                     seen, f = ids[d], first[d - i]
-                    for w in wanted[d]:
+                    for w in wanted[d - i]:
                         b = f + w["a"]
                         e = b + w["n"] - 1 + unit.window
                         body = b" ".join([data[x:y] for x, y in zip(start[b:e].tolist(), end[b:e].tolist(), strict=True)]) if unit.words else data[b:e]
@@ -207,7 +208,7 @@ def _shard(unit: Unit, search: Callable[[Unit, np.ndarray, np.ndarray, np.ndarra
         size = 0
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "piece", "copies", "p", "body")), strict=True):
-                if size >= BLOCK_BYTES and held[-1][0] != row[0]:
+                if held and size >= width * BLOCK_TOKENS and held[-1][0] != row[0]:
                     if (made := block(held)) is not None:
                         yield made
                     held, size = [], 0
@@ -219,67 +220,106 @@ def _shard(unit: Unit, search: Callable[[Unit, np.ndarray, np.ndarray, np.ndarra
     return run
 
 
-def _windows(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pieces of a hot anchor -> the hash of each of their windows."""
+def _split(unit: Unit, step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pieces of a hot anchor -> smaller pieces by longer anchors, each with the piece it is from and its place there."""
+    names = ["key", "piece", "copies", "p", "body", "up_key", "up_piece", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = buffers(batch.column("body"))
-            cols = [batch.column(c).to_numpy() for c in ("key", "piece", "copies")]
+            key, piece, copies, place = (batch.column(c).to_numpy() for c in ("key", "piece", "copies", "p"))
             for i, _, part, o in chunks(raw, off, 1 << 18):
-                codes, _, _, first = tokens(unit, part, o)
+                codes, start, end, first = tokens(unit, part, o)
                 n = np.diff(first) - unit.window + 1
                 doc = np.repeat(np.arange(len(n)), n)
                 j = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-                begin = first[doc] + j
-                h = span_hashes(codes, begin, begin + unit.window)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(pa.array(c[doc + i]) for c in cols), pa.array(j.astype(np.int32))], ["window", "key", "piece", "copies", "j"])
+                kind = (place[doc + i] - j) // step  # windows with the old anchor at one of ``step`` places
+                head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (kind[1:] != kind[:-1])))
+                tail = np.append(head[1:], len(doc)) - 1
+                doc, low, high, kind = doc[head], j[head], j[tail], kind[head]
+                core = place[doc + i] - kind * step  # all these windows have the tokens from here to W - step + 1 further on
+                f = first[doc]
+                longer = span_hashes(codes, f + core, f + core + unit.window - step + 1)
+                new_key = mix(longer ^ mix(key[doc + i].view(np.uint64) + kind.astype(np.uint64)))
+                new_piece = span_hashes(codes, f + low, f + high + unit.window)
+                data = part.tobytes()
+                bodies = [data[x:y] for x, y in zip(start[f + low].tolist(), end[f + high + unit.window - 1].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(new_key.view(np.int64)), pa.array(new_piece.view(np.int64)), pa.array(copies[doc + i]), pa.array((core - low).astype(np.int32)), pa.array(bodies, pa.binary()), pa.array(key[doc + i]), pa.array(piece[doc + i]), pa.array(low.astype(np.int32))], names
+                )
 
     return run
 
 
+_PIECE = "key long, piece long, copies long, p int, body binary"
+
+
+def _search(pieces: DataFrame, unit: Unit, search: Callable) -> DataFrame:
+    """Kinds of pieces (key, piece, copies, p, body) -> (key, piece, s, e), each key's pieces in one block."""
+    dealt = pieces.select("key", "piece", "copies", "p", "body").repartition(partitions(pieces.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_shard(unit, search), "key long, piece long, s int, e int")
+
+
+def _search_hot(pieces: DataFrame, unit: Unit, search: Callable, steps: list[int]) -> DataFrame:
+    """The same for pieces of hot anchors, dealt by longer anchors; ``steps`` ends with 1."""
+    smaller, _ = materialise(pieces.mapInArrow(_split(unit, steps[0]), f"{_PIECE}, up_key long, up_piece long, at int"))
+    kinds, _ = materialise(smaller.groupBy("key", "piece").agg(F.sum("copies").alias("copies"), F.first("p").alias("p"), F.first("body").alias("body")))
+    if len(steps) == 1:
+        found = _search(kinds, unit, search)
+    else:
+        hot, _ = materialise(kinds.groupBy("key").agg(F.sum(F.length("body")).alias("size")).filter(F.col("size") > BLOCK_TOKENS * (6 if unit.words else 1)).select("key"))
+        found = _search(kinds.join(hot, "key", "left_anti"), unit, search)
+        if hot.limit(1).count():
+            found = found.unionByName(_search_hot(kinds.join(hot, "key", "left_semi"), unit, search, steps[1:]))
+    places = smaller.select("key", "piece", "up_key", "up_piece", "at")
+    return places.join(found, ["key", "piece"]).select(F.col("up_key").alias("key"), F.col("up_piece").alias("piece"), (F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e")).alias("e"))
+
+
 def repeated_windows(docs: DataFrame, unit: Unit, search: Callable) -> DataFrame:
     """(th, tl, ranges): by text, the ranges [s, e) of window starts whose window also starts elsewhere in ``docs``."""
     spark = docs.sparkSession
     small_batches(spark)
     keyed = docs.select(*content_key(), "text")
     found, found_at = materialise(keyed.mapInArrow(_anchors(unit), "key long, piece long, th long, tl int, a int, n int, p int"))
-    shared = found.groupBy("key").agg(F.count("*").alias("rows"), F.min("piece").alias("lo"), F.max("piece").alias("hi")).filter("rows > 1")
-    cand, _ = materialise(found.join(shared.select("key", (F.col("lo") != F.col("hi")).alias("mixed")), "key"))
-    discard(spark, found_at)
-
-    kinds = cand.filter("mixed").groupBy("key", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("th", "tl", "a", "n", "p")).alias("at"))
-    hot = kinds.groupBy("key").count().filter(F.col("count") > HOT_PIECES).select("key", F.lit(True).alias("hot"))
-    wanted = (
+    # Sums are written out before they are joined: then both sides of a join are dealt for it, and a hot key can be split.
+    shared, shared_at = materialise(found.groupBy("key").agg(F.count("*").alias("rows"), F.min("piece").alias("lo"), F.max("piece").alias("hi")).filter("rows > 1").select("key", (F.col("lo") != F.col("hi")).alias("mixed")))
+    cand, _ = materialise(found.join(shared, "key"))
+    for path in (found_at, shared_at):
+        discard(spark, path)
+
+    kinds, kinds_at = materialise(cand.filter("mixed").groupBy("key", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("th", "tl", "a", "n", "p")).alias("at")))
+    hot, _ = materialise(kinds.groupBy("key").agg(F.sum(F.col("at.n") + unit.window - 1).alias("size")).filter(F.col("size") > BLOCK_TOKENS).select("key", F.lit(True).alias("hot")))
+    asked = (
         kinds.join(hot, "key", "left")
         .groupBy(F.col("at.th").alias("th"), F.col("at.tl").alias("tl"))
         .agg(F.collect_list(F.struct("key", "piece", "copies", F.coalesce("hot", F.lit(False)).alias("hot"), F.col("at.a").alias("a"), F.col("at.n").alias("n"), F.col("at.p").alias("p"))).alias("wanted"))
     )
-    cut, cut_at = materialise(keyed.join(wanted, ["th", "tl"]).mapInArrow(_cut(unit), "key long, piece long, copies long, hot boolean, p int, body binary"))
-    dealt = cut.filter("not hot").select("key", "piece", "copies", "p", "body").repartition(partitions(spark), "key").sortWithinPartitions("key")
-    ranges = dealt.mapInArrow(_shard(unit, search), "key long, piece long, s int, e int")
-    single = cut.filter("hot").dropDuplicates(["key", "piece"]).select("key", "piece", "copies", "body").mapInArrow(_windows(unit), "window long, key long, piece long, copies long, j int")
-    often = single.groupBy("window").agg(F.sum("copies").alias("rows")).filter("rows > 1").select("window")
-    ranges = ranges.unionByName(single.join(often, "window").select("key", "piece", F.col("j").alias("s"), (F.col("j") + 1).alias("e")))
+    wanted, wanted_at = materialise(asked)
+    cut, _ = materialise(keyed.join(wanted, ["th", "tl"]).mapInArrow(_cut(unit), "key long, piece long, copies long, hot boolean, p int, body binary"))
+    for path in (kinds_at, wanted_at):
+        discard(spark, path)
+    ranges = _search(cut.filter("not hot"), unit, search)
+    if hot.limit(1).count():
+        ranges = ranges.unionByName(_search_hot(cut.filter("hot").dropDuplicates(["key", "piece"]), unit, search, [max(2, (unit.window - unit.anchor) // 8), 1]))
 
     mixed = cand.filter("mixed").join(ranges, ["key", "piece"]).select("th", "tl", (F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"))
     plain = cand.filter("not mixed").select("th", "tl", F.col("a").alias("s"), (F.col("a") + F.col("n")).alias("e"))
-    return mixed.unionByName(plain).groupBy("th", "tl").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
+    return materialise(mixed.unionByName(plain).groupBy("th", "tl").agg(F.collect_set(F.struct("s", "e")).alias("ranges")))[0]
 
 
 def _remove(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = buffers(batch.column("text"))
-            ranges = batch.column("ranges").to_pylist()
             for i, j, part, o in chunks(raw, off):
+                ranges = batch.column("ranges").slice(i, j - i).to_pylist()
                 _, start, end, first = tokens(unit, part, o)
                 data = part.tobytes()
                 n_units, n_removed, spans, kept = [], [], [], []
                 for d in range(i, j):
                     f, n = int(first[d - i]), int(first[d - i + 1] - first[d - i])
                     gone: list[list[int]] = []
-                    for s, e in sorted((r["s"], r["e"] - 1 + unit.window) for r in ranges[d] or ()):
+                    for s, e in sorted((r["s"], r["e"] - 1 + unit.window) for r in ranges[d - i] or ()):
                         if gone and s <= gone[-1][1]:
                             gone[-1][1] = max(gone[-1][1], e)
                         else:
