@@ -1,10 +1,10 @@
 """Language identification by compression.
 
-For each language one raw-content zstandard dictionary is made from a bounded sample of labelled texts: at most
-``SAMPLE_DOCS`` documents and ``SAMPLE_CHARS`` characters of each (chosen by hash of the id, so the same at every run),
-``DICT_BYTES`` in all, less where there are so many languages that they would pass ``MAX_BYTES`` together.  A text is
-encoded piece by piece with every dictionary; the language that makes it smallest is predicted, and the prediction is
-marked unsure when the second is nearer than ``MARGIN``.  Only letters count: digits, marks and case are dropped.
+For each language one raw-content zstandard dictionary is made from a bounded sample of labelled texts: ``SAMPLE_DOCS``
+whole documents (chosen by hash of the id, so the same at every run), fewer where long texts or many languages would
+take all dictionaries together past ``MAX_BYTES`` (of each language, one stays).  A text is encoded piece by piece, at
+one level whatever its size, with every dictionary; the language that makes it smallest is predicted, and the prediction
+is marked unsure when the second is nearer than ``MARGIN``.  Only letters count: numbers, marks and case are dropped.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; no labelled document at all makes everything
 ``und``; ties go to the language with more labelled documents, then by name; long texts are encoded whole, in pieces;
@@ -14,21 +14,20 @@ repeated rows and ids are predicted alike; columns other than id, text (and, for
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import small_batches
 
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, MAX_BYTES = 64, 4000, 96 << 10, 32 << 20
-PIECE = 2048
-SHORT = 400
+SAMPLE_DOCS, MAX_BYTES = 32, 32 << 20
+PIECE, LEVEL = 2048, 6
 MARGIN = 0.02
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def normal(text: str | None) -> bytes:
@@ -45,18 +44,15 @@ class Compressors:
 
     def __init__(self, samples: list[tuple[str, bytes]]) -> None:
         self.names = [k for k, _ in samples]
-        self.fast, self.deep = [], []
+        self.encoders = []
         for _, data in samples:
-            for level, into in ((3, self.fast), (19, self.deep)):
-                d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level)
-                into.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False).compress)
+            d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(LEVEL)
+            self.encoders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False).compress)
 
     def sizes(self, data: bytes) -> list[int]:
-        if len(data) <= SHORT:
-            return [len(c(data)) for c in self.deep]
         cuts = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-        return [sum(len(c(x)) for x in cuts) for c in self.fast]
+        return [sum(len(c(x)) for x in cuts) for c in self.encoders]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, sure)."""
@@ -78,12 +74,19 @@ def samples(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     if not counts:
         return []
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), F.xxhash64("text"))
-    drawn = rows.select("id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE_DOCS)
-    most = min(DICT_BYTES, MAX_BYTES // len(counts))
+    drawn = rows.select("id", "lang", "text").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE_DOCS)
+    # Whole texts, in turns over the languages, until the bytes are used up; sizes are looked at before any text moves.
+    sizes = drawn.select("lang", "k", F.octet_length("text").alias("n")).collect()
+    room, held = MAX_BYTES, dict.fromkeys(counts, 0)
+    for r in sorted(sizes, key=lambda r: (r["k"], r["lang"])):
+        if held[r["lang"]] == r["k"] - 1 and (r["k"] == 1 or r["n"] <= room):
+            held[r["lang"]] += 1
+            room -= r["n"]
+    few = train.sparkSession.createDataFrame(list(held.items()), "lang string, most int")
     data: dict[str, list[bytes]] = {k: [] for k in counts}
-    for r in sorted(drawn.collect(), key=lambda r: (r["lang"], r["k"])):
+    for r in sorted(drawn.join(F.broadcast(few), "lang").filter("k <= most").collect(), key=lambda r: (r["lang"], r["k"])):
         data[r["lang"]].append(normal(r["text"]))
-    return [(k, (b" ".join(data[k]) or b"        ")[:most].ljust(8)) for k in sorted(counts, key=lambda k: (-counts[k], k))]
+    return [(k, b" ".join(data[k]).ljust(8)) for k in sorted(counts, key=lambda k: (-counts[k], k))]
 
 
 def _predict(held: list[tuple[str, bytes]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
