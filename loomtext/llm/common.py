@@ -22,11 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def materialise(df: DataFrame) -> tuple[DataFrame, str]:
+def materialise(df: DataFrame, options: dict[str, str] | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomtext-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**(options or {})).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -10,9 +10,11 @@ never seen).  Units are sorted by frequency into ``CLASSES`` classes, so a token
 its unit in the class, and of the word in the unit; each factor is normalised, hence so is the product.
 
 *Model.*  The two units before a token predict a vector, the sum of their vectors weighted by position; class and unit
-scores are its products with target vectors, plus biases that start at the log frequencies.  Every task trains a copy
-from one start by noise-contrastive estimation (Adagrad, noise drawn from the frequencies) on the blocks it holds, in
-all tokens of the training texts; the copies are averaged, weighted by tokens, over the cluster.
+scores are its products with target vectors, plus biases that start at the log frequencies.  Training is noise-contrastive
+estimation with the noise taken in expectation over a whole class table instead of by draws, so nothing in it is
+random.  It is synchronous: texts are dealt by content to ``ROUNDS`` rounds, in each round every task sums the gradient
+of its texts, the sums are added up over the cluster, and one step (Adam) moves the model.  Each training token is used
+once, and the result does not depend on how the input is partitioned, but for rounding.
 
 Cases: a null or empty text has one token, its end; repeated rows are scored alike; a text without known words is
 scored by the unseen shares; ids may be null (and are then not held out); ties in frequency go to the lesser hash; an
@@ -29,9 +31,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from loomtext.llm.common import materialise, small_batches
+from loomtext.llm.common import discard, materialise, partitions, small_batches
 from loomtext.llm.langid import held_out
 from loomtext.llm.textkit import LOWER, buffers, chunks, word_hashes, words
 
@@ -39,7 +41,9 @@ BLOCK_BYTES = 16 << 20
 TOP, BUCKETS, CLASSES = 3071, 1024, 64
 UNITS = TOP + 1 + BUCKETS
 WIDE = UNITS // CLASSES
-DIM, CONTEXT, NOISE, BATCH, RATE = 16, 2, 16, 32768, 0.05
+DIM, CONTEXT, NOISE, BATCH = 16, 2, 16, 32768
+ROUNDS, RATE, BIAS_RATE = 24, 0.2, 0.01
+SLICES = 16
 END = np.uint64(0x454E44)
 
 
@@ -50,6 +54,7 @@ def _blocks(id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         number = TaskContext.get().partitionId() << 32
         ids: list = []
         held: list[bool] = []
+        turns: list[int] = []
         hashes: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         size = 0
@@ -61,12 +66,12 @@ def _blocks(id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             train = np.repeat(~np.array(held, bool), lengths)
             counts = np.bincount(idx[train], minlength=len(vocab))
             made = pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.list_(pa.bool_())), pa.array([lengths.tolist()], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (vocab, counts.astype(np.int64), idx.astype(np.int32)))],
-                ["block", "ids", "held", "lengths", "vocab", "counts", "idx"],
+                [pa.array([number]), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.list_(pa.bool_())), pa.array([turns], pa.list_(pa.int32())), pa.array([lengths.tolist()], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (vocab, counts.astype(np.int64), idx.astype(np.int32)))],
+                ["block", "ids", "held", "turns", "lengths", "vocab", "counts", "idx"],
             )
             number += 1
             size = 0
-            for x in (ids, held, hashes, sizes):
+            for x in (ids, held, turns, hashes, sizes):
                 x.clear()
             return made
 
@@ -81,6 +86,7 @@ def _blocks(id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 flat[np.cumsum(n + 1) - 1] = END
                 ids += batch.column("id").slice(i, j - i).to_pylist()
                 held += batch.column("held").slice(i, j - i).to_pylist()
+                turns += batch.column("turn").slice(i, j - i).to_pylist()
                 hashes.append(flat)
                 sizes.append(n + 1)
                 size += len(part) + 64 * len(n)
@@ -178,67 +184,83 @@ def _parts(lengths: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
+    """In place."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-class Trainer:
+class Noise:
+    """The noise: classes and units by frequency, ``NOISE`` of them to each true choice."""
+
     def __init__(self, freq: np.ndarray) -> None:
-        self.p = start(freq)
-        self.squares = {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.p.items()}
         grid = freq.reshape(CLASSES, WIDE)
-        self.class_noise = grid.sum(1) / grid.sum()
-        self.unit_noise = grid / grid.sum(1, keepdims=True)
-        self.log_class = np.log(NOISE * self.class_noise).astype(np.float32)
-        self.log_unit = np.log(NOISE * self.unit_noise).astype(np.float32).ravel()
-        self.rng = np.random.default_rng(9)
-        self.seen = 0
-
-    def _move(self, name: str, grad: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
-        s = self.squares[name]
-        s[rows] += grad * grad
-        self.p[name][rows] -= RATE * grad / np.sqrt(s[rows])
+        self.classes = (NOISE * grid.sum(1) / grid.sum()).astype(np.float32)
+        self.units = (NOISE * grid / grid.sum(1, keepdims=True)).astype(np.float32)
+        self.log_classes, self.log_units = np.log(self.classes), np.log(self.units)
+
+
+def gradient(p: dict[str, np.ndarray], noise: Noise, unit: np.ndarray, before: np.ndarray, into: dict[str, np.ndarray]) -> None:
+    """Add the gradient of one batch to ``into``: the true class, and unit in its class, are told from the noise, whose
+    part is its expectation over the table.  Tokens are sorted by unit, so a class is a run of rows."""
+    order = np.argsort(unit.astype(np.uint16), kind="stable")  # a radix sort
+    unit, before, n = unit[order], before[order], len(unit)
+    vectors = [p["context"][before[:, k]] for k in range(CONTEXT)]
+    hat = sum(v * p["weight"][k] for k, v in enumerate(vectors))
+    d_hat = np.zeros_like(hat)
+    cls = unit // WIDE
+
+    def contrast(rows: slice, table: slice, names: tuple[str, str], choice: np.ndarray, often: np.ndarray, log_often: np.ndarray) -> None:
+        target = p[names[0]][table]
+        g = _sigmoid(hat[rows] @ target.T + (p[names[1]][table] - log_often))
+        at = np.arange(len(choice)), choice
+        missed = 1 - g[at]
+        g *= often
+        g[at] -= missed
+        d_hat[rows] += g @ target
+        into[names[0]][table] += g.T @ hat[rows]
+        into[names[1]][table] += g.sum(0)
+
+    contrast(slice(None), slice(None), ("classes", "class_bias"), cls, noise.classes, noise.log_classes)
+    cuts = [0, *(np.flatnonzero(np.diff(cls)) + 1).tolist(), n]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        c = int(cls[a])
+        contrast(slice(a, b), slice(c * WIDE, (c + 1) * WIDE), ("units", "unit_bias"), unit[a:b] % WIDE, noise.units[c], noise.log_units[c])
+    for k, v in enumerate(vectors):
+        into["weight"][k] += (d_hat * v).sum(0)
+        order = np.argsort(before[:, k].astype(np.uint16), kind="stable")
+        rows, at = np.unique(before[order, k], return_index=True)
+        into["context"][rows] += np.add.reduceat((d_hat * p["weight"][k])[order], at)
+
+
+class Trainer:
+    """The model and the state of Adam; lives on the driver, and has a fixed size."""
+
+    def __init__(self, freq: np.ndarray) -> None:
+        self.p, self.noise = start(freq), Noise(freq)
+        self.mean = {k: np.zeros(v.shape) for k, v in self.p.items()}
+        self.square = {k: np.zeros(v.shape) for k, v in self.p.items()}
+        self.steps = 0
+
+    def zero(self) -> dict[str, np.ndarray]:
+        return {k: np.zeros(v.shape) for k, v in self.p.items()}
+
+    def move(self, grads: dict[str, np.ndarray], tokens: int, slower: float = 1.0) -> None:
+        self.steps += 1
+        for k, g in grads.items():
+            g = g / tokens
+            self.mean[k] = 0.9 * self.mean[k] + 0.1 * g
+            self.square[k] = 0.95 * self.square[k] + 0.05 * g * g
+            mean, square = self.mean[k] / (1 - 0.9**self.steps), self.square[k] / (1 - 0.95**self.steps)
+            rate = slower * (BIAS_RATE if k.endswith("bias") else RATE)
+            self.p[k] = (self.p[k] - rate * mean / (np.sqrt(square) + 1e-9)).astype(np.float32)
 
     def step(self, unit: np.ndarray, before: np.ndarray) -> None:
-        """One batch.  The true choice is told from ``NOISE`` draws, shared by the batch (classes) or by the tokens of a
-        class (units); the tokens are sorted by unit, so gradients of one target are sums over a run."""
-        order = np.argsort(unit.astype(np.uint16), kind="stable")  # a radix sort
-        unit, before, p, n = unit[order], before[order], self.p, len(unit)
-        vectors = [p["context"][before[:, k]] for k in range(CONTEXT)]
-        hat = sum(v * p["weight"][k] for k, v in enumerate(vectors))
-        d_hat = np.zeros_like(hat)
-        grads = {k: np.zeros_like(p[k]) for k in ("classes", "class_bias", "units", "unit_bias")}
-
-        def contrast(name: str, bias: str, rows: slice, drawn: np.ndarray, first: int, log_noise: np.ndarray) -> None:
-            used = np.flatnonzero(drawn)
-            at = used + first
-            target = p[name][at]
-            g = _sigmoid(hat[rows] @ target.T + (p[bias][at] - log_noise[at])) * (drawn[used] / n).astype(np.float32)
-            d_hat[rows] += g @ target
-            grads[name][at] += g.T @ hat[rows]
-            grads[bias][at] += g.sum(0)
-
-        for name, bias, choice, log_noise in (("classes", "class_bias", unit // WIDE, self.log_class), ("units", "unit_bias", unit, self.log_unit)):
-            target = p[name][choice]
-            g = ((_sigmoid(np.einsum("ij,ij->i", hat, target) + p[bias][choice] - log_noise[choice]) - 1) / n).astype(np.float32)
-            d_hat += g[:, None] * target
-            run = np.append(0, np.flatnonzero(np.diff(choice)) + 1)
-            grads[name][choice[run]] += np.add.reduceat(g[:, None] * hat, run)
-            grads[bias][choice[run]] += np.add.reduceat(g, run)
-        contrast("classes", "class_bias", slice(None), self.rng.multinomial(NOISE, self.class_noise), 0, self.log_class)
-        cls = unit // WIDE
-        cuts = [0, *(np.flatnonzero(np.diff(cls)) + 1).tolist(), n]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            c = int(cls[a])
-            contrast("units", "unit_bias", slice(a, b), self.rng.multinomial(NOISE, self.unit_noise[c]), c * WIDE, self.log_unit)
-        weight = np.stack([(d_hat * v).sum(0) for v in vectors])
-        flat, g = before.T.ravel(), np.concatenate([d_hat * p["weight"][k] for k in range(CONTEXT)])
-        order = np.argsort(flat.astype(np.uint16), kind="stable")
-        rows, at = np.unique(flat[order], return_index=True)
-        for name, grad in grads.items():
-            self._move(name, grad)
-        self._move("context", np.add.reduceat(g[order], at), rows)
-        self._move("weight", weight)
-        self.seen += n
+        grads = self.zero()
+        gradient(self.p, self.noise, unit, before, grads)
+        self.move(grads, len(unit))
 
 
 def log_probabilities(p: dict[str, np.ndarray], unit: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -270,31 +292,66 @@ def _log_sum(s: np.ndarray) -> np.ndarray:
 
 # Over the cluster ----------------------------------------------------------------------------------------------------
 
-def _train(lexicon: Lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _streams(lexicon: Lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks -> the units of the training texts of each round, two bytes a token."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Trainer(lexicon.freq)
         for batch in batches:
             for k in range(batch.num_rows):
-                unit = lexicon.units(np.frombuffer(batch.column("vocab")[k].as_py(), np.uint64))[0][np.frombuffer(batch.column("idx")[k].as_py(), np.int32)]
+                unit = lexicon.units(np.frombuffer(batch.column("vocab")[k].as_py(), np.uint64))[0].astype(np.uint16)[np.frombuffer(batch.column("idx")[k].as_py(), np.int32)]
                 lengths = np.array(batch.column("lengths")[k].as_py())
-                learn = ~np.array(batch.column("held")[k].as_py(), bool)
+                turn = np.where(batch.column("held")[k].as_py(), -1, np.array(batch.column("turns")[k].as_py()))
+                of_token = np.repeat(turn, lengths)
+                for r in np.unique(turn[turn >= 0]).tolist():
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([unit[of_token == r].tobytes()], pa.binary()), pa.array([lengths[turn == r].astype(np.int32).tobytes()], pa.binary())], ["turn", "units", "sizes"])
+
+    return run
+
+
+def _gradients(p: dict[str, np.ndarray], noise: Noise) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Streams of one round -> the gradient of a task's texts, flat and cut into ``SLICES``, and its tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grads, tokens = {k: np.zeros(v.shape) for k, v in p.items()}, 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                unit = np.frombuffer(batch.column("units")[k].as_py(), np.uint16).astype(np.int64)
+                lengths = np.frombuffer(batch.column("sizes")[k].as_py(), np.int32).astype(np.int64)
                 for i, j, a, b in _parts(lengths):
-                    chosen = np.flatnonzero(np.repeat(learn[i:j], lengths[i:j]))
                     before = contexts(unit[a:b], lengths[i:j])
-                    for x in range(0, len(chosen), BATCH):
-                        t.step(unit[a:b][chosen[x : x + BATCH]], before[chosen[x : x + BATCH]])
-        if t.seen:
-            for name, v in t.p.items():
-                v = v.reshape(-1, v.shape[1] if v.ndim == 2 else 1)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(v)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(np.full(len(v), float(t.seen))), pa.array(list(v.astype(np.float64)), pa.list_(pa.float64()))], ["name", "row", "weight", "v"])
+                    for x in range(0, b - a, BATCH):
+                        gradient(p, noise, unit[a + x : min(a + x + BATCH, b)], before[x : x + BATCH], grads)
+                tokens += len(unit)
+        if tokens:
+            parts = np.array_split(np.concatenate([v.ravel() for v in grads.values()]), SLICES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(np.full(SLICES, tokens)), pa.array([x.tobytes() for x in parts], pa.binary())], ["slice", "tokens", "g"])
 
     return run
 
 
-def _mean(rows: DataFrame) -> DataFrame:
-    """Weighted mean of the tasks' parameters, row by row."""
-    each = rows.select("name", "row", "weight", F.posexplode("v").alias("k", "x"))
-    return each.groupBy("name", "row", "k").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("x"))
+def _summed(rows: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(g.as_py(), np.float64) for g in rows.column("g"))
+    return pa.table({"slice": rows.column("slice").slice(0, 1), "tokens": pa.array([sum(rows.column("tokens").to_pylist())]), "g": pa.array([total.tobytes()], pa.binary())})
+
+
+def train(streams: DataFrame, lexicon: Lexicon) -> dict[str, np.ndarray]:
+    """One step for each round; a round without training texts is passed over."""
+    t = Trainer(lexicon.freq)
+    most = partitions(streams.sparkSession)
+    tasks = min(most, max(64, most // 16))  # each task sends one gradient, whatever it has read
+    schema = "slice int, tokens long, g binary"
+    for r in range(ROUNDS):
+        sums = streams.filter(F.col("turn") == r).select("units", "sizes").coalesce(tasks).mapInArrow(_gradients(t.p, t.noise), schema).groupby("slice").applyInArrow(_summed, schema)
+        parts = {x["slice"]: x for x in sums.collect()}  # a model has a fixed size
+        if not parts:
+            continue
+        flat = np.concatenate([np.frombuffer(parts[k]["g"], np.float64) for k in range(SLICES)])
+        grads, at = {}, 0
+        for k, v in t.p.items():
+            grads[k] = flat[at : at + v.size].reshape(v.shape)
+            at += v.size
+        t.move(grads, parts[0]["tokens"], min(1.0, 2 * (1 - r / ROUNDS)))
+    return t.p
 
 
 def _score(lexicon: Lexicon, p: dict[str, np.ndarray], id_type: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -338,10 +395,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams), score (the model): logs to base 10."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col), folds, fold).alias("held"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col), folds, fold).alias("held"), F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(ROUNDS)).cast("int").alias("turn"), text.alias("text"))
     kind = rows.schema["id"].dataType
-    id_type = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string()}[type(kind)]
-    blocks, _ = materialise(rows.mapInArrow(_blocks(id_type), f"block long, ids array<{kind.simpleString()}>, held array<boolean>, lengths array<long>, vocab binary, counts binary, idx binary"))
+    id_type = to_arrow_type(kind)
+    blocks, _ = materialise(rows.mapInArrow(_blocks(id_type), f"block long, ids array<{kind.simpleString()}>, held array<boolean>, turns array<int>, lengths array<long>, vocab binary, counts binary, idx binary"))
     vocab = blocks.select("block", "vocab", "counts").mapInArrow(_vocabularies, "block long, pos int, h long, c long")
     counts, _ = materialise(vocab.filter("c > 0").groupBy("h").agg(F.sum("c").alias("c")))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -351,11 +409,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for r in counts.groupBy(F.pmod("h", F.lit(BUCKETS)).alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
         mass[r["b"]], kinds[r["b"]] = r["c"], r["n"]
     lexicon = Lexicon(top, mass, kinds, total, distinct)
-    p = start(lexicon.freq)
-    trained = blocks.select("held", "lengths", "vocab", "idx").mapInArrow(_train(lexicon), "name string, row int, weight double, v array<double>")
-    for r in _mean(trained).collect():  # a model has a fixed size
-        v = p[r["name"]].reshape(-1, p[r["name"]].shape[1] if p[r["name"]].ndim == 2 else 1)
-        v[r["row"], r["k"]] = r["x"]
+    # Sorted by round, in small row groups: a round reads its own share of the files only.
+    dealt = blocks.select("held", "turns", "lengths", "vocab", "idx").mapInArrow(_streams(lexicon), "turn int, units binary, sizes binary")
+    streams, streams_at = materialise(dealt.sortWithinPartitions("turn"), {"parquet.block.size": str(1 << 20)})
+    p = train(streams, lexicon)
+    discard(spark, streams_at)
     mine = vocab.select("block", "pos", "h").join(counts, "h").select("block", "pos", "c")
     schema = f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     found = blocks.select("block", "ids", "held", "lengths", "vocab", "idx").groupby("block").cogroup(mine.groupby("block")).applyInArrow(_score(lexicon, p, id_type), schema)
