@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomtext.llm import decontam, langid, lm, near_dups, piece_codec, pieces, quality, queries, secrets, substring_dedup, suffix, suffix_dedup, token_counts
+from loomtext.llm import decontam, langid, lm, near_dups, piece_codec, pieces, quality, queries, repeats, secrets, substring_dedup, suffix, suffix_dedup, token_counts
 from loomtext.llm.components import hooked
 
 SF = "/root/testdata/sf0.001"
@@ -84,25 +84,64 @@ def test_suffix_array_and_prefixes():
             assert before[y] == n
 
 
-@pytest.mark.parametrize("hot", [4096, 0])
-def test_byte_repeats(spark, docs, rows, monkeypatch, hot):
-    monkeypatch.setattr("loomtext.llm.repeats.HOT_PIECES", hot)  # 0: every mixed group goes the way of hot groups
+@pytest.mark.parametrize("block", [1 << 18, 0])
+def test_byte_repeats(spark, docs, rows, monkeypatch, block):
+    monkeypatch.setattr("loomtext.llm.repeats.BLOCK_TOKENS", block)  # 0: every mixed group goes the way of hot groups
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.op7_suffix_array_dedup(spark, SF).collect()}
     for i, w, gone in covered(rows, lambda t: (t or "").encode(), 400):
         spans = sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1]))
         assert got[i] == (len(w), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(w, gone) if not g)).hexdigest())
 
 
-def test_word_repeats(spark, rows):
+@pytest.mark.parametrize("block", [1 << 18, 0])
+def test_word_repeats(spark, rows, monkeypatch, block):
+    monkeypatch.setattr("loomtext.llm.repeats.BLOCK_TOKENS", block)
     got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.op9_substring_dedup(spark, SF).collect()}
     for i, w, gone in covered(rows, lambda t: WORD.findall(t or ""), 35):
         assert got[i] == (len(w), sum(gone), hashlib.sha256(" ".join(c for c, g in zip(w, gone) if not g).encode()).hexdigest())
 
 
-def test_factors_cover_each_piece():
-    match, off = np.array([3, 2, 1, 0, 2, 9, 1, 0]), np.array([0, 5, 8])
-    start, length = substring_dedup.factors(match, off)
-    assert sorted(zip(start.tolist(), length.tolist())) == [(0, 3), (3, 1), (5, 2)]
+def block_of(pieces):
+    text, off = [], [0]
+    for p in pieces:
+        text += [*p, 0]
+        off.append(len(text))
+    return np.array(text), np.array(off)
+
+
+def longest_elsewhere(text, i, end):
+    n = 0
+    while i + n < end and any(j != i and text[j : j + n + 1] == text[i : i + n + 1] for j in range(len(text) - n)):
+        n += 1
+    return n
+
+
+def test_factors_are_greedy_and_cover_each_piece():
+    rng = random.Random(4)
+    for _ in range(40):
+        base = [rng.randint(1, 6) for _ in range(30)]
+        text, off = block_of([base[rng.randrange(10) : rng.randrange(15, 30)] + [rng.randint(1, 9) for _ in range(rng.randrange(5))] for _ in range(4)])
+        start, length = substring_dedup.Reference(text).factors(off)
+        at = [i for i, w in enumerate(text.tolist()) if w]
+        assert [x for a, n in zip(start.tolist(), length.tolist()) for x in range(a, a + n)] == at
+        for a, n in zip(start.tolist(), length.tolist()):
+            end = off[np.searchsorted(off, a, "right")] - 1
+            assert n == max(1, longest_elsewhere(text.tolist(), a, end))
+
+
+def test_windows_come_from_factors(monkeypatch):
+    rng = random.Random(6)
+    unit = repeats.Unit(True, 6, 2)
+    for _ in range(60):
+        base = [rng.randint(1, 40) for _ in range(40)]
+        pieces_ = [base[(x := rng.randrange(25)) : x + rng.randrange(6, 15)] + [rng.randint(1, 40) for _ in range(rng.randrange(4))] + base[(y := rng.randrange(25)) : y + 8] for _ in range(4)]
+        text, off = block_of(pieces_)
+        listed = text.tolist()
+        windows = collections.Counter(tuple(listed[i : i + 6]) for i in range(len(listed) - 5))
+        want = [0 not in listed[i : i + 6] and i + 6 <= len(listed) and windows[tuple(listed[i : i + 6])] > 1 for i in range(len(listed))]
+        assert substring_dedup.recurring(unit, text, off, np.ones(4, int)).tolist() == want
+    monkeypatch.setattr(substring_dedup.Reference, "factors", lambda self, off: (np.arange(len(self.text)), np.ones(len(self.text), int)))
+    assert not substring_dedup.recurring(unit, text, off, np.ones(4, int)).any()  # without factors nothing is found
 
 
 def test_repeats_odd(odd, empty):
@@ -173,6 +212,48 @@ def test_seams_between_partitions(spark, docs, rows, monkeypatch):
     assert got == near_brute(rows, 3, 85)
 
 
+def test_pairs_in_one_template(spark):
+    """1,000 pairs of 85.2 % in one template: all other texts are alike to 78.5 %, so all of them share one dense region."""
+    rng = random.Random(8)
+    texts = []
+    for k in range(1000):
+        at = rng.sample(range(300), 30)
+        for own in (at[6:18], at[18:]):
+            changed = {3 * i: f"e{k}_{i}" for i in (*at[:6], *own)}
+            texts.append((len(texts), " ".join(changed.get(i, f"w{i}") for i in range(900))))
+    got = {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), 3, 85).collect()}
+    assert got == {i: i - i % 2 for i, _ in texts}
+
+
+def test_spanning_links():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        u, v = rng.integers(0, 40, 60), rng.integers(0, 40, 60)
+
+        def parts(a, b):
+            root = {x: x for x in {*u.tolist(), *v.tolist()}}
+
+            def find(x):
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            for x, y in zip(a.tolist(), b.tolist()):
+                x, y = find(x), find(y)
+                root[max(x, y)] = min(x, y)
+            return {x: find(x) for x in root}
+
+        a, b = near_dups.spanning(u, v)
+        assert parts(a, b) == parts(u, v) and len(a) < len({*u.tolist(), *v.tolist()})
+
+
+def test_keep_one_tells_groups_by_links(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(20)) for c in "abcd"]
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (1, texts[0]), (9, texts[3])]
+    kept = near_dups.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["text"], r["doc_id"] or 0) for r in kept.collect()) == sorted(zip(texts, (1, 1, 0, 9)))
+
+
 def test_near_duplicates_odd(odd, empty):
     found = near_dups.near_duplicates(odd).collect()
     assert len(found) == len(ODD) and near_dups.near_duplicates(empty).count() == 0
