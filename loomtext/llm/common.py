@@ -37,9 +37,9 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 1,000 rows and 32 MB: texts are long, and a worker must hold only a few MB of them."""
+    """Arrow batches of at most 1,000 rows and 16 MB: texts are long, and a worker must hold only a few MB of them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def content_key() -> list[Column]:

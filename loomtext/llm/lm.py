@@ -17,7 +17,8 @@ of its texts, the sums are added up over the cluster, and one step (Adam) moves
 once, and the result does not depend on how the input is partitioned, but for rounding.
 
 Cases: a null or empty text has one token, its end; repeated rows are scored alike; a text without known words is
-scored by the unseen shares; ids may be null (and are then not held out); ties in frequency go to the lesser hash; an
+scored by the unseen shares; a null id is in no fold, so its text is
+neither held out nor learned from; ties in frequency go to the lesser hash; an
 empty table, or one without training texts, gives its rows with the scores of an untrained model; extra columns are not
 read.  A task holds one block and one text at a time.
 """
@@ -63,7 +64,7 @@ def _blocks(id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             nonlocal number, size
             flat, lengths = np.concatenate(hashes), np.concatenate(sizes)
             vocab, idx = np.unique(flat, return_inverse=True)
-            train = np.repeat(~np.array(held, bool), lengths)
+            train = np.repeat(np.array(turns) >= 0, lengths)
             counts = np.bincount(idx[train], minlength=len(vocab))
             made = pa.RecordBatch.from_arrays(
                 [pa.array([number]), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.list_(pa.bool_())), pa.array([turns], pa.list_(pa.int32())), pa.array([lengths.tolist()], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (vocab, counts.astype(np.int64), idx.astype(np.int32)))],
@@ -300,7 +301,7 @@ def _streams(lexicon: Lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             for k in range(batch.num_rows):
                 unit = lexicon.units(np.frombuffer(batch.column("vocab")[k].as_py(), np.uint64))[0].astype(np.uint16)[np.frombuffer(batch.column("idx")[k].as_py(), np.int32)]
                 lengths = np.array(batch.column("lengths")[k].as_py())
-                turn = np.where(batch.column("held")[k].as_py(), -1, np.array(batch.column("turns")[k].as_py()))
+                turn = np.array(batch.column("turns")[k].as_py())
                 of_token = np.repeat(turn, lengths)
                 for r in np.unique(turn[turn >= 0]).tolist():
                     yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([unit[of_token == r].tobytes()], pa.binary()), pa.array([lengths[turn == r].astype(np.int32).tobytes()], pa.binary())], ["turn", "units", "sizes"])
@@ -396,7 +397,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col), folds, fold).alias("held"), F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(ROUNDS)).cast("int").alias("turn"), text.alias("text"))
+    held = held_out(F.col(id_col), folds, fold)
+    turn = F.when(held | F.col(id_col).isNull(), -1).otherwise(F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(ROUNDS))).cast("int")
+    rows = docs.select(F.col(id_col).alias("id"), held.alias("held"), turn.alias("turn"), text.alias("text"))
     kind = rows.schema["id"].dataType
     id_type = to_arrow_type(kind)
     blocks, _ = materialise(rows.mapInArrow(_blocks(id_type), f"block long, ids array<{kind.simpleString()}>, held array<boolean>, turns array<int>, lengths array<long>, vocab binary, counts binary, idx binary"))
@@ -410,7 +413,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         mass[r["b"]], kinds[r["b"]] = r["c"], r["n"]
     lexicon = Lexicon(top, mass, kinds, total, distinct)
     # Sorted by round, in small row groups: a round reads its own share of the files only.
-    dealt = blocks.select("held", "turns", "lengths", "vocab", "idx").mapInArrow(_streams(lexicon), "turn int, units binary, sizes binary")
+    dealt = blocks.select("turns", "lengths", "vocab", "idx").mapInArrow(_streams(lexicon), "turn int, units binary, sizes binary")
     streams, streams_at = materialise(dealt.sortWithinPartitions("turn"), {"parquet.block.size": str(1 << 20)})
     p = train(streams, lexicon)
     discard(spark, streams_at)

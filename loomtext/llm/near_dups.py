@@ -40,7 +40,7 @@ from loomtext.llm.textkit import LOWER, buffers, chunks, mix, span_hashes, windo
 WIDTH, PERCENT = 5, 80
 TREES, DEPTH, NEAR = 16, 8, 3
 TURNS = 2
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 COLUMNS = 2048
 ROWS_A_TASK = 10_000
 SECOND = np.uint64(0x6A09E667F3BCC909)
@@ -373,8 +373,10 @@ def _links(percent: int) -> Callable[[pa.Table], pa.RecordBatch | None]:
         sets = [flat[a // 8 : b // 8] for a, b in zip(off[:-1], off[1:], strict=True)]
         size = np.array([len(x) for x in sets])
         both = overlaps(sets, q, m)
-        linked = (both > 0) & (100 * both.astype(np.int64) >= percent * (size[q][:, None] + size[m][None] - both.astype(np.int64)))
-        x, y = np.nonzero(linked & (label[q][:, None] != label[m][None]))
+        x, y = np.nonzero((both > 0) & (label[q][:, None] != label[m][None]))
+        n = both[x, y].astype(np.int64)
+        linked = 100 * n >= percent * (size[q[x]] + size[m[y]] - n)
+        x, y = x[linked], y[linked]
         u, v = spanning(label[q][x], label[m][y])
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"]) if len(u) else None
 

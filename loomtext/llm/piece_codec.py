@@ -30,7 +30,7 @@ from loomtext.llm.common import small_batches
 from loomtext.llm.pieces import MARK, Vocabulary, default_path, vocabulary
 from loomtext.llm.textkit import buffers
 
-HELD = 1 << 20
+HELD = 1 << 17
 
 
 class PieceCodec:
@@ -104,8 +104,9 @@ class PieceCodec:
 
     def encode_all(self, texts: list[str | None]) -> list[list[int]]:
         cut = [self.vocab.segments(x or "") for x in texts]
-        if len(self.known) > HELD:
-            self.known.clear()
+        for held in (self.known, self.vocab.pair):
+            if len(held) > HELD:
+                held.clear()
         self.learn({s for c in cut for s in c})
         return [list(chain.from_iterable(map(self.known.__getitem__, c))) for c in cut]
 
@@ -141,8 +142,9 @@ def encode_column(c: PieceCodec, text: pa.Array) -> tuple[pa.Array, pa.Array, pa
     at = np.flatnonzero(starts)
     segments = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
     words = [w.decode("utf-8").replace(" ", MARK) for w in segments.dictionary.to_pylist()]
-    if len(c.known) > HELD:
-        c.known.clear()
+    for held in (c.known, c.vocab.pair):
+        if len(held) > HELD:
+            held.clear()
     c.learn(words)
     found = [c.known[w] for w in words]
     size = np.fromiter(map(len, found), np.int64, len(found))

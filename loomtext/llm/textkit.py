@@ -1,7 +1,7 @@
 """Vectorised text primitives over Arrow string buffers: words, rolling hashes, sliding minima.
 
 A *chunk* is a run of whole documents whose bytes lie next to each other; every function below works on one chunk,
-so peak memory follows the chunk (about 1 MB of text, or one longer document), never the partition.
+so peak memory follows the chunk (about 512 KB of text, or one longer document), never the partition.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ _SEED = np.random.default_rng(20240229)
 BYTE_CODE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 2**64)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _POWER: dict[str, np.ndarray] = {}
 
 

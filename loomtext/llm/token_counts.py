@@ -23,7 +23,7 @@ from loomtext.llm.common import small_batches
 from loomtext.llm.pieces import MARK, Vocabulary, default_path, vocabulary
 
 LIMIT = 4096
-HELD = 1 << 20
+HELD = 1 << 17
 
 
 class Lengths(dict):

@@ -291,6 +291,21 @@ def test_language_held_out(spark, docs):
     assert sum(r["lang_pred"] == label[r["doc_id"]] for r in found) >= 0.93 * len(found)
 
 
+def test_only_letters_count():
+    held = [("en", b"the quick brown fox"), ("fr", b"le renard brun rapide")]
+    model = langid.Compressors(held)
+    for text in ("²½", "Ⅷ ①", "12_3", "...", None, ""):
+        assert model.predict(text)[:2] == ("und", 0.0)
+    assert model.predict("the fox")[0] == "en" and langid.normal("Aé1²b") == "aé b".encode()
+
+
+def test_training_texts_are_whole(spark):
+    rows = [(i, "en", f"english words number {i} " * (i + 1)) for i in range(40)] + [(100 + i, "fr", "mots") for i in range(3)]
+    made = dict(langid.samples(spark.createDataFrame(rows, "doc_id long, lang string, text string")))
+    whole = {langid.normal(t) for _, lang, t in rows if lang == "en"}
+    assert made["fr"].split() == [b"mots"] * 3 and sum(t in made["en"] for t in whole) >= langid.SAMPLE_DOCS
+
+
 def test_language_odd(spark, odd, empty):
     held = langid.samples(odd)
     found = langid.identify(odd, held).collect()
@@ -320,6 +335,49 @@ def test_tricky_texts():
         assert codec.decode(made) == text.replace("▁", " ")
 
 
+def as_unigram(path, out):
+    """A copy of a model that the library reads as a unigram model: one number of its trainer's settings."""
+    data = bytearray(open(path, "rb").read())
+
+    def number(i):
+        value = shift = 0
+        while True:
+            value |= (data[i] & 127) << shift
+            shift += 7
+            i += 1
+            if data[i - 1] < 128:
+                return value, i
+
+    def fields(i, end):
+        while i < end:
+            key, i = number(i)
+            size, at = number(i) if key & 7 in (0, 2) else ({1: 8, 5: 4}[key & 7], i)
+            yield key >> 3, i, at, size
+            i = at + size if key & 7 in (1, 2, 5) else at
+
+    for field, _, at, size in fields(0, len(data)):
+        if field == 2:
+            for inner, i, _, value in fields(at, at + size):
+                if inner == 3 and value == 2:
+                    data[i] = 1
+    out.write_bytes(data)
+    return str(out)
+
+
+def test_unigram_paths_have_the_best_score(tmp_path, rows):
+    """Where scores add up, the forward pass compares them: no encoding of the library scores higher."""
+    vocab = pieces.Vocabulary(as_unigram(pieces.default_path(), tmp_path / "unigram.model"))
+    codec, score = piece_codec.PieceCodec(vocab, unigram=True), vocab.model.get_score
+    better = 0
+    words = sorted({w for _, t in rows[:60] for w in re.findall("[a-z]+", t or "")})[:3000] + ["unbelievably", "tokenization", "x" * 40]
+    for made, w in zip(codec.encode_all(words), words):
+        theirs = vocab.model.encode(w)
+        assert codec.decode(made) == w
+        assert sum(map(score, made)) >= sum(map(score, theirs)) - 1e-3
+        better += made != pieces.vocabulary(pieces.default_path()).model.encode(w)
+    assert better  # a greedy or merge-ranked path is another one
+
+
 def test_codec_odd(odd, empty):
     found = piece_codec.encode(odd)
     assert found.count() == len(ODD) and found.filter("not round_trip").count() == 0 and found.columns.count("token_ids") == 1
@@ -405,6 +463,19 @@ def test_pieces_equal_the_whole(monkeypatch):
         assert want and secrets.scan(text)[1] == want
 
 
+def test_bad_bytes_and_glued_encodings():
+    quoted = urllib.parse.quote(f"password={KEY}x").replace("A", "%41")
+    b64 = base64.b64encode(f"token={KEY}77".encode()).decode()
+    packed = base64.b64encode(gzip.compress(f"token={KEY}77".encode())).decode()
+    for text in (f"a%FF{quoted} b", f"%C3%28{quoted}", f"id_{b64} end", f"session-{b64}", f"{b64}_suffix", f"k/{packed}", f"id_{packed} and id_{packed}"):
+        base, spans, _, _ = secrets.scan(f"{text}\n{text}")
+        assert any(k == "assign" for k, _, _ in set(spans) - set(base)), text
+        first, second = ({(k, s % (len(text) + 1)) for k, s, _ in spans if (s > len(text)) == side} for side in (False, True))
+        assert first == second, text  # what stands twice is found twice
+    span = next(s for s in secrets.scan(f"%FF%41%4B%49%41{KEY[4:]} x")[1] if s[0] == "access")
+    assert span == ("access", 3, 3 + 12 + len(KEY) - 4)
+
+
 def test_base_secrets():
     assert secrets.scan("token = token = abcdefabcdefabcdef")[0] == [("hex", 16, 34)]
     assert secrets.joined(secrets.scan("PassWord: 'abcdefghijkl' AKIA12345678901234 0123456789abcde")[0]) == "assign:0:23,access:25:43"
@@ -451,7 +522,22 @@ def test_language_model_keeps_its_first_size():
 
 
 def test_language_model_odd(odd, empty):
-    assert lm.score_texts(odd).count() == len(ODD) and lm.score_texts(empty).count() == 0
+    found = lm.score_texts(odd).collect()
+    assert len(found) == len(ODD) and lm.score_texts(empty).count() == 0
+    assert not any(r["held_out"] for r in found if r["doc_id"] is None)
+    learned = sum(1 + len(WORD.findall(r[1] or "")) for r in ODD if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 != 2)
+    assert {r["train_tokens"] for r in found} == {learned}
+    for kind in ("int", "string", "decimal(10,0)", "date"):
+        ids = F.lit("2020-01-01").cast(kind) if kind == "date" else F.col("doc_id").cast(kind)
+        assert lm.score_texts(odd.select(ids.alias("doc_id"), "text")).schema["doc_id"].dataType.simpleString() == kind
+
+
+def test_language_model_beats_unigrams_however_the_input_is_dealt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    a, b = ({r["doc_id"]: r for r in lm.score_texts(docs.repartition(n)).collect()} for n in (1, 7))
+    held = [r for r in a.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > 0.98 * sum(r["base_score"] for r in held)
+    assert all(abs(a[i]["score"] - b[i]["score"]) <= 1e-3 * abs(a[i]["score"]) for i in a)
 
 
 def test_decontamination(spark):
