@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from loomtext.llm.common import content_key, discard, materialise, partitions, small_batches
 from loomtext.llm.textkit import BYTE_CODE, buffers, chunks, mix, sliding_min, span_hashes, window_hashes, word_hashes, words
 
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 17
 _PLACE_BITS = 28
 
 
