@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.functions.text import estimate_tokens
+from loomtext.operators import explore
+
 # The layer and priority of each kind, document kinds as entity kinds, the default.
 PROFILES = {
     "Character": ("L1", 0), "Fact": ("L1", 1), "Foreshadow": ("L1", 2), "Chapter": ("L2", 0), "Event": ("L2", 1), "OutlineNode": ("L2", 2), "Location": ("L3", 0), "Item": ("L3", 1),
@@ -30,6 +33,11 @@ def layer_counts(documents: DataFrame) -> DataFrame:
     return spark.createDataFrame([(x,) for x in LAYERS], "layer string").join(F.broadcast(counted), "layer", "left").select("layer", F.coalesce("n", F.lit(0)).cast("long").alias("count"))
 
 
+def token_totals(rows: DataFrame, group: list[str], text: Column) -> DataFrame:
+    """(group, tokens, rows): estimated tokens of the texts of each group."""
+    return rows.groupBy(*group).agg(F.sum(estimate_tokens(text)).alias("tokens"), F.count("*").alias("rows"))
+
+
 def fold_duplicates(rows: DataFrame, group: list[str], hash_col: str, order: list[Column | str]) -> DataFrame:
     """``rows`` with ``duplicate``: all but the first of each evidence hash in its group."""
     return rows.withColumn("duplicate", F.row_number().over(Window.partitionBy(*group, hash_col).orderBy(*order)) > 1)
@@ -95,3 +103,19 @@ def assemble(found: DataFrame, direct: DataFrame, budget: int, required: list[st
     omitted = F.concat(left, F.col("rest"))
     status = F.when(~fits, "budget_unsatisfiable").when(F.size(omitted) > 0, "truncated").otherwise("complete")
     return both.select(status.alias("status"), F.lit(budget).alias("budget_tokens"), F.col("fill.used").alias("used_tokens"), F.col("fill.refs").alias("blocks"), omitted.alias("omitted"))
+
+
+def block_details(work, packet, query: str, required: list[str]) -> DataFrame:  # noqa: ANN001
+    """(one, place, ref, kind, layer, required, tokens, excerpt, evidence_hash, relative_path, start_line, end_line) of the
+    blocks of a packet; a bounded number of rows."""
+    spark, refs = work.spark, list(packet["blocks"])
+    wanted = spark.createDataFrame([(k, r, r in required) for k, r in enumerate(refs)], "place int, ref string, required boolean")
+    shown = work.explore("search", query, SEARCH_LIMIT).rows
+    columns = ["ref", "kind", "excerpt", "relative_path", "start_line", "end_line"]
+    found = shown.select(F.col("span_ref").alias("ref"), *columns[1:]) if "excerpt" in shown.columns else spark.createDataFrame([], "ref string, kind string, excerpt string, relative_path string, start_line int, end_line int")
+    rest = wanted.select("ref").join(found.select("ref"), "ref", "left_anti")
+    spans = work.rows().drop("kind", "title", "heading")
+    direct = explore.resolve_nodes(rest, work.tables()).select("ref", F.col("node_kind").alias("kind"), "span_ref").join(spans, "span_ref").select("ref", "kind", F.left("content", F.lit(900)).alias("excerpt"), *columns[3:])
+    rows = wanted.join(found.unionByName(direct), "ref")
+    layer = profile(F.col("kind"), F.col("required"))["layer"]
+    return rows.select(F.lit(1).alias("one"), "place", "ref", "kind", layer.alias("layer"), "required", estimate_tokens(F.col("excerpt")).alias("tokens"), "excerpt", F.sha2("excerpt", 256).alias("evidence_hash"), *columns[3:])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,20 +15,44 @@ CUTOFFS = (5, 10, 20, 50)
 RECALL_DROP, MRR_DROP = 0.02, 0.05
 
 
+AUTOMATON_QUOTES, AUTOMATON_CHARS = 100_000, 16 << 20
+
+
+def _held_quotes(quotes: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ahocorasick.Automaton()
+        for q in quotes:
+            found.add_word(q, q)
+        found.make_automaton()
+        for batch in batches:
+            rows = [(ref, q) for ref, text in zip(batch.column("span_ref").to_pylist(), batch.column("content").to_pylist(), strict=True) for q in sorted({q for _, q in found.iter(text or "")})]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], batch.schema.field("span_ref").type), pa.array([q for _, q in rows], pa.string())], ["span_ref", "quote"])
+
+    return run
+
+
 def gold_references(spans: DataFrame, quotes: DataFrame, probe: int = 16) -> DataFrame:
     """(fact, span_ref) where the span's content holds a quote of the fact.
 
-    quotes(fact, quote).  Spans and quotes meet on the quote's first ``probe`` characters, an equi-join, before the full
-    text is compared; quotes shorter than that are compared with every span, and are few.
+    quotes(fact, quote).  Up to ``AUTOMATON_QUOTES`` quotes of ``AUTOMATON_CHARS`` characters together are looked for in
+    one walk of each text.  More meet the spans on their first ``probe`` characters, an equi-join, before the full text is
+    compared; quotes shorter than that meet on all the characters they have.
     """
-    grams = F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(f"(?s)(?=(.{{{probe}}}))"), 1), lambda g: F.xxhash64(g)))
-    long_quotes = quotes.filter(F.length("quote") >= probe).withColumn("gram", F.xxhash64(F.left("quote", F.lit(probe))))
-    seen = spans.filter(F.length("content") >= probe).select("span_ref", F.explode(grams).alias("gram"))
-    pairs = seen.join(long_quotes, "gram").select("span_ref", "fact", "quote").distinct()
-    found = pairs.join(spans.select("span_ref", "content"), "span_ref").filter(F.contains("content", F.col("quote")))
-    short = quotes.filter((F.length("quote") < probe) & (F.length("quote") > 0))
-    rest = spans.select("span_ref", "content").join(short, F.contains("content", F.col("quote")))
-    return found.select("fact", "span_ref").unionByName(rest.select("fact", "span_ref")).distinct()
+    given = quotes.filter(F.length("quote") > 0)
+    size = given.select("quote").distinct().agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("quote")), F.lit(0)).alias("chars")).first()
+    if not size["n"]:
+        return given.join(spans.select("span_ref").limit(0)).select("fact", "span_ref")
+    if size["n"] <= AUTOMATON_QUOTES and size["chars"] <= AUTOMATON_CHARS:
+        kind = spans.schema["span_ref"].dataType.simpleString()
+        known = sorted(r["quote"] for r in given.select("quote").distinct().collect())
+        found = spans.select("span_ref", "content").mapInArrow(_held_quotes(known), f"span_ref {kind}, quote string")
+        return found.join(given, "quote").select("fact", "span_ref").distinct()
+    widths = [r["w"] for r in given.select(F.least(F.length("quote"), F.lit(probe)).alias("w")).distinct().collect()]  # at most ``probe`` values
+    grams = F.array_distinct(F.flatten(F.array(*[F.transform(F.regexp_extract_all("content", F.lit(f"(?s)(?=(.{{{w}}}))"), 1), lambda g: F.xxhash64(g)) for w in sorted(widths)])))
+    seen = spans.select("span_ref", F.explode(grams).alias("gram"))
+    wanted = given.withColumn("gram", F.xxhash64(F.left("quote", F.lit(probe))))
+    pairs = seen.join(wanted, "gram").select("span_ref", "fact", "quote").distinct()
+    return pairs.join(spans.select("span_ref", "content"), "span_ref").filter(F.contains("content", F.col("quote"))).select("fact", "span_ref").distinct()
 
 
 def gold_ranks(results: DataFrame, gold: DataFrame, facts: DataFrame) -> DataFrame:
@@ -67,16 +94,63 @@ def calibration_winner(metrics: DataFrame) -> DataFrame:
     return metrics.filter("recall_5 >= base_recall_5 and mrr >= base_mrr").orderBy(*order).limit(1)
 
 
+def histogram(rows: DataFrame, column: str) -> DataFrame:
+    return rows.groupBy(column).agg(F.count("*").alias("n"))
+
+
 def run_tasks(tasks: list[tuple[str, str]], search: Callable[[str], DataFrame]) -> DataFrame:
-    """(fact, span_ref, rank) of each (fact, query); one bounded result per task."""
+    """(fact, span_ref, rank, excerpt) of each (fact, query); one bounded result per task."""
     out = None
     for fact, query in tasks:
-        order = Window.orderBy(F.desc("score"), "relative_path", "start_line", "span_ref")
-        one = search(query).select(F.lit(fact).alias("fact"), "span_ref", F.row_number().over(order).alias("rank"))
+        order = Window.orderBy(F.desc("score"), "relative_path", "start_line", "span_ref")  # over one result
+        one = search(query)
+        if "score" not in one.columns:  # the query had no terms
+            continue
+        one = one.select(F.lit(fact).alias("fact"), "span_ref", F.row_number().over(order).alias("rank"), "excerpt")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def measured(tasks: list[tuple[str, str]], gold: DataFrame, search: Callable[[str], DataFrame]) -> DataFrame:
+    """One row: recall at the cutoffs and the mean reciprocal rank of a search over tasks (fact, query) with ``gold``."""
+    facts = gold.sparkSession.createDataFrame([(f,) for f, _ in tasks], gold.select("fact").schema)
+    return recall_mrr(gold_ranks(run_tasks(tasks, search).select("fact", "span_ref", "rank"), gold, facts))
+
+
+def calibrate(tasks: list[tuple[str, str]], gold: DataFrame, search: Callable[[str, dict | None], DataFrame], grid: dict[str, tuple]) -> DataFrame:
+    """(top_k, terms, weight, recall_5, mrr, base_recall_5, base_mrr) of every setting of ``grid``, searched for real."""
+    base = measured(tasks, gold, lambda q: search(q, None)).first()
+    rows = []
+    for k, t, w in itertools.product(grid["top_k"], grid["terms"], grid["weight"]):
+        m = measured(tasks, gold, lambda q, c={"top_k": k, "terms": t, "weight": w}: search(q, c)).first()
+        rows.append((k, t, w, m["recall_5"], m["mrr"], base["recall_5"], base["mrr"]))
+    return gold.sparkSession.createDataFrame(rows, "top_k int, terms int, weight double, recall_5 double, mrr double, base_recall_5 double, base_mrr double")
+
+
+def ablate(tasks: list[tuple[str, str]], gold: DataFrame, search: Callable[[str, frozenset[str]], DataFrame], factors: tuple[str, ...]) -> DataFrame:
+    """(variant, recall_5, mrr) without each factor in turn, and the baseline, searched for real."""
+    out = []
+    for name in ("baseline", *factors):
+        off = frozenset() if name == "baseline" else frozenset([name])
+        m = measured(tasks, gold, lambda q, off=off: search(q, off)).first()
+        out.append((name, m["recall_5"], m["mrr"]))
+    return gold.sparkSession.createDataFrame(out, "variant string, recall_5 double, mrr double")
+
+
+def fixture_report(tasks: DataFrame, results: DataFrame, corpus_tokens: int) -> DataFrame:
+    """tasks(fact, expect) and results(fact, excerpt, tokens) -> tasks, recall, evidence coverage, token reduction."""
+    shown = results.groupBy("fact").agg(F.collect_list("excerpt").alias("excerpts"), F.sum("tokens").alias("tokens"))
+    rows = tasks.join(shown, "fact", "left").withColumn("covered", F.coalesce(exposure(F.col("excerpts"), F.array("expect")), F.lit(False)))
+    return rows.agg(F.count("*").alias("tasks"), F.avg(F.col("excerpts").isNotNull().cast("double")).alias("recall"), F.avg(F.col("covered").cast("double")).alias("coverage"), (1 - F.avg(F.coalesce("tokens", F.lit(0))) / F.lit(max(1, corpus_tokens))).alias("reduction"))
+
+
 def exposure(excerpts: Column, quotes: Column) -> Column:
     """Whether any excerpt shows any quote."""
     return F.exists(excerpts, lambda e: F.exists(quotes, lambda q: F.contains(e, q)))
+
+
+def exposed(quotes: DataFrame, shown: DataFrame) -> DataFrame:
+    """quotes(fact, quote), shown(fact, excerpt) -> (fact, exposed): whether any excerpt of a fact shows one of its quotes."""
+    wanted = quotes.groupBy("fact").agg(F.collect_set("quote").alias("quotes"))
+    hit = shown.join(wanted, "fact").withColumn("hit", exposure(F.array("excerpt"), F.col("quotes"))).groupBy("fact").agg(F.max("hit").alias("hit"))
+    return wanted.select("fact").join(hit, "fact", "left").select("fact", F.coalesce("hit", F.lit(False)).alias("exposed"))

@@ -27,7 +27,9 @@ def alias_matches(aliases: DataFrame, name: str) -> DataFrame:
     wanted = normal_name(name)
     exact = F.when(F.col("normalized_alias") == wanted, 2).otherwise(1)
     matched = aliases.filter(contains_folded(F.col("normalized_alias"), wanted)).groupBy("entity_ref").agg(F.max(exact).alias("score"))
-    return matched.withColumn("owner_count", F.count("*").over(Window.partitionBy("score")))
+    # Two scores at most, so counts are summed before they meet the rows: no window gathers all matches of a score.
+    owners = matched.groupBy("score").agg(F.count("*").alias("owner_count"))
+    return matched.join(F.broadcast(owners), "score").select("entity_ref", "score", "owner_count")
 
 
 def entity_lookup(tables: dict[str, DataFrame], name: str, limit: int = 20) -> tuple[DataFrame, DataFrame, list[dict]]:
@@ -51,8 +53,20 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
+def named_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """Edges with ``source_name`` and ``target_name``; an end that is no entity has its reference for a name."""
+    ends = [entities.select(F.col("entity_ref").alias(f"{x}_ref"), F.col("name").alias(f"{x}_entity")) for x in ("source", "target")]
+    rows = edges.join(ends[0], "source_ref", "left").join(ends[1], "target_ref", "left")
+    return rows.withColumns({f"{x}_name": F.coalesce(f"{x}_entity", f"{x}_ref") for x in ("source", "target")}).drop("source_entity", "target_entity")
+
+
 def neighborhood(edges: DataFrame, seeds: DataFrame, hops: int = 2, nodes: DataFrame | None = None) -> DataFrame:
-    """seeds(ref) -> ref, hop, score, path, via: bounded breadth-first search, first discoverer wins.
+    return neighborhood_counted(edges, seeds, hops, nodes, False)[0]
+
+
+def neighborhood_counted(edges: DataFrame, seeds: DataFrame, hops: int = 2, nodes: DataFrame | None = None, counted: bool = True) -> tuple[DataFrame, int]:
+    """seeds(ref) -> (ref, hop, score, path, via; nodes with more edges than are followed): bounded breadth-first search,
+    first discoverer wins.
 
     At each hop a node gives its first ``FAN_OUT`` edges by (kind, edge_ref); at most ``MOST_VISITED`` nodes are visited,
     so the frontier that joins the edge table is small at every size of graph.  ``nodes`` (ref) names what resolves.
@@ -63,20 +77,23 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, hops: int = 2, nodes: DataF
     refs = [r["ref"] for r in seeds.select("ref").distinct().orderBy("ref").limit(MOST_VISITED).collect()]
     frontier = [(r, 0, 2.0, [r], None, k) for k, r in enumerate(refs)]
     seen = list(frontier)
+    omitted: list[DataFrame] = []
     for hop in range(1, clamp_hops(hops) + 1):
         room = MOST_VISITED - len(seen)
         if not frontier or room <= 0:
             break
         owners = spark.createDataFrame([(f[0], f[3], f[5]) for f in frontier], "owner string, path array<string>, owner_rank int")
         visited = spark.createDataFrame([(f[0],) for f in seen], "next_ref string")
-        step = adj.join(F.broadcast(owners), "owner").withColumn("k", F.row_number().over(Window.partitionBy("owner").orderBy("kind", "edge_ref"))).filter(F.col("k") <= FAN_OUT)
+        near = adj.join(F.broadcast(owners), "owner").withColumn("k", F.row_number().over(Window.partitionBy("owner").orderBy("kind", "edge_ref"))).filter(F.col("k") <= FAN_OUT + 1)
+        omitted.append(near.filter(F.col("k") > FAN_OUT))
+        step = near.filter(F.col("k") <= FAN_OUT)
         if nodes is not None:
             step = step.join(nodes.select(F.col("ref").alias("next_ref")), "next_ref", "left_semi")
         fresh = step.join(F.broadcast(visited), "next_ref", "left_anti")
         found = fresh.groupBy("next_ref").agg(F.min_by(F.struct("path", "kind", "edge_ref", "owner_rank", "k"), F.struct("owner_rank", "k")).alias("f")).orderBy("f.owner_rank", "f.k").limit(room).collect()
         frontier = [(r["next_ref"], hop, 1.0 / (hop + 1), [*r["f"]["path"], r["f"]["kind"], r["next_ref"]], r["f"]["edge_ref"], k) for k, r in enumerate(found)]
         seen += frontier
-    return spark.createDataFrame(seen, shape).drop("rank").orderBy(F.desc("score"), "ref")
+    return spark.createDataFrame(seen, shape).drop("rank").orderBy(F.desc("score"), "ref"), sum(o.count() for o in omitted) if counted else 0
 
 
 def resolve_nodes(refs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:

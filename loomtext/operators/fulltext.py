@@ -1,17 +1,24 @@
 """Trigram full text: postings, document frequencies, BM25.
 
-Phrases of three characters and more are searched as case-insensitive substrings.  ``postings`` is the index table to
-write, partitioned by work and bucketed by term; ``phrase_candidates`` finds rows through it without reading texts.
+Phrases of three characters and more are searched as case-insensitive substrings.  ``postings`` is the index table: for
+each span and trigram, how often and where it stands; a span's rows are made from that span alone, so nothing is
+shuffled.  ``phrase_hits`` counts whole phrases from positions, and ``indexed_bm25`` ranks by them, without reading texts;
+``add_bm25`` does the same by a scan where there is no index.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+CHUNK = 1 << 20  # characters that one step of the pass over the spans holds
 # Fixed values of BM25.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -25,10 +32,61 @@ def trigrams(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("(?s)(?=(...))"), 1)
 
 
-def postings(spans: DataFrame) -> DataFrame:
-    """(work_ref, term, span_ref, tf): every trigram of heading and content."""
-    term = F.explode(F.concat(trigrams(F.col("heading")), trigrams(F.col("content")))).alias("term")
-    return spans.select("work_ref", "span_ref", term).groupBy("work_ref", "term", "span_ref").agg(F.count("*").alias("tf"))
+def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts together, and the offset of each text."""
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return flat, np.cumsum([0, *map(len, texts)])
+
+
+def _trigram_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, trigram as one number, place) of every trigram of every text."""
+    flat, off = _code_points(texts)
+    n = np.maximum(np.diff(off) - 2, 0)
+    doc = np.repeat(np.arange(len(texts)), n)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    at = off[doc] + place
+    return doc, (flat[at] << 42) | (flat[at + 1] << 21) | flat[at + 2], place
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def _post(places: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = ["work_ref", "span_ref", "term", "tf", "in_heading", "in_content"][: 6 if places else 4]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heading, content = (pc.fill_null(batch.column(c), "").to_pylist() for c in ("heading", "content"))
+            size = np.cumsum([0, *(len(h) + len(c) for h, c in zip(heading, content, strict=True))])
+            i = 0
+            while i < batch.num_rows:
+                j = min(max(int(np.searchsorted(size, size[i] + CHUNK, "right")) - 1, i + 1), batch.num_rows)
+                found = [_trigram_rows(x[i:j]) for x in (heading, content)]
+                doc, code, place = (np.concatenate(x) for x in zip(*found, strict=True))
+                field = np.repeat([0, 1], [len(found[0][0]), len(found[1][0])])
+                order = np.lexsort((code, doc))  # stable: places in the heading stay before those in the content
+                doc, code, place, field = doc[order], code[order], place[order], field[order]
+                head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])))[: len(doc)]
+                tf = np.diff(np.append(head, len(doc)))
+                terms, which = np.unique(code[head], return_inverse=True)
+                named = pa.array(["".join(map(chr, ((t >> 42) & 0x1FFFFF, (t >> 21) & 0x1FFFFF, t & 0x1FFFFF))) for t in terms.tolist()], pa.string())
+                at = pa.array(doc[head] + i)
+                columns = [batch.column("work_ref").take(at), batch.column("span_ref").take(at), named.take(pa.array(which)), pa.array(tf.astype(np.int32))]
+                if places:
+                    in_content = np.add.reduceat(field, head) if len(head) else tf
+                    columns += [_lists(place[field == 0], tf - in_content), _lists(place[field == 1], in_content)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+                i = j
+
+    return run
+
+
+def postings(spans: DataFrame, places: bool = False) -> DataFrame:
+    """(work_ref, span_ref, term, tf): every trigram of heading and content; with ``places`` also where (in_heading,
+    in_content: offsets in characters)."""
+    given = spans.select("work_ref", "span_ref", F.lower("heading").alias("heading"), F.lower("content").alias("content"))
+    return given.mapInArrow(_post(places), "work_ref string, span_ref string, term string, tf int" + (", in_heading array<int>, in_content array<int>" if places else ""))
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:
@@ -64,3 +122,35 @@ def add_bm25(spans: DataFrame, terms: list[str], heading: str = "heading", conte
     for t in terms:
         any_term = any_term | F.contains(low_h, F.lit(t)) | F.contains(low_c, F.lit(t))
     return spans.filter(any_term).withColumn("bm25", score)
+
+
+def phrase_hits(posted: DataFrame, phrases: list[str]) -> DataFrame:
+    """(phrase, span_ref, hits) from postings with places: a phrase stands where its trigrams stand one after the other.
+
+    phrases: distinct, lower case, three characters or more, a bounded list.  The postings are read for their trigrams only.
+    """
+    spark = posted.sparkSession
+    parts = [(p, p[i : i + 3], i, len(p) - 2) for p in phrases for i in range(len(p) - 2)]
+    terms = spark.createDataFrame(parts, "phrase string, term string, step int, need int")
+    rows = posted.filter(F.col("term").isin(*sorted({t for _, t, _, _ in parts}))).join(F.broadcast(terms), "term")
+    alone = rows.filter("need = 1").select("phrase", "span_ref", F.col("tf").cast("long").alias("hits"))
+    if all(n == 1 for *_, n in parts):
+        return alone
+    # A place in the heading counts from below nought, one in the content from nought.
+    from_start = {c: F.filter(F.transform(c, lambda x: x - F.col("step")), lambda x: x >= 0) for c in ("in_heading", "in_content")}
+    place = F.concat(F.transform(from_start["in_heading"], lambda x: -1 - x), from_start["in_content"])
+    starts = rows.filter("need > 1").select("phrase", "span_ref", "need", F.explode(place).alias("at"))
+    whole = starts.groupBy("phrase", "span_ref", "at").agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("n = need")
+    return alone.unionByName(whole.groupBy("phrase", "span_ref").agg(F.count("*").alias("hits")))
+
+
+def indexed_bm25(posted: DataFrame, sizes: DataFrame, count: int, average: float, phrases: list[str]) -> DataFrame:
+    """sizes(span_ref, n_trigrams, ...) of the spans that hold a phrase, with ``bm25`` (see :func:`add_bm25`)."""
+    hits = phrase_hits(posted, phrases)
+    df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
+    rarity = F.log((F.lit(float(count)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = df.select("phrase", F.when(rarity > 0, rarity).otherwise(LEAST_IDF).alias("idf"))
+    f, size = F.col("hits").cast("double"), F.col("n_trigrams")
+    part = F.col("idf") * f * F.lit(K1 + 1) / (f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * size / F.lit(average or 1.0)))
+    each = hits.join(F.broadcast(idf), "phrase").join(sizes.select("span_ref", "n_trigrams"), "span_ref")
+    return sizes.join(each.groupBy("span_ref").agg(F.sum(part).alias("bm25")), "span_ref")

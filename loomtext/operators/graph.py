@@ -6,7 +6,6 @@ has ``work_ref`` first; names never match across works.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -21,7 +20,7 @@ KIND_OF_DOCUMENT = {"chapter": "Chapter", "outline": "OutlineNode", "state": "Fa
 NO_CHARACTER = "(?i)^(角色|人物|characters?)$"
 MARKERS = {"Location": "地点|location", "Item": "物品|item", "Event": "事件|event"}
 LINK = "\\[\\[([^\\[\\]\\n]{1,100})\\]\\]"
-BROADCAST_NAMES = 200_000
+BROADCAST_NAMES, BROADCAST_NAME_CHARS = 200_000, 16 << 20
 
 
 def definitions(spans: DataFrame, documents: DataFrame) -> DataFrame:
@@ -61,9 +60,23 @@ def aliases(entities: DataFrame) -> DataFrame:
     return entities.select("work_ref", "entity_ref", F.col("name").alias("alias"), F.col("normalized_name").alias("normalized_alias"))
 
 
+def _content_hash(spans: DataFrame) -> Column:
+    return F.col("content_hash") if "content_hash" in spans.columns else F.sha2("content", 256)
+
+
+def alias_owners(known: DataFrame) -> DataFrame:
+    """(work_ref, normalized_alias, owners, entity_ref): how many entities share an alias, and the first of them."""
+    return known.groupBy("work_ref", "normalized_alias").agg(F.count("*").alias("owners"), F.min("entity_ref").alias("entity_ref"))
+
+
+def orphans(edges: DataFrame, proof: DataFrame) -> DataFrame:
+    """Edges that nothing is evidence of."""
+    return edges.join(proof.select("edge_ref"), "edge_ref", "left_anti")
+
+
 def contains_edges(spans: DataFrame) -> DataFrame:
     source, target = F.col("document_ref"), F.col("span_ref")
-    return spans.select("work_ref", stable_id("edge", source, target, F.lit("contains")).alias("edge_ref"), source.alias("source_ref"), target.alias("target_ref"), F.lit("contains").alias("kind"), "span_ref", F.sha2("content", 256).alias("evidence_hash"), identity_hash(source, target, F.lit("contains")).alias("identity_hash"))
+    return spans.select("work_ref", stable_id("edge", source, target, F.lit("contains")).alias("edge_ref"), source.alias("source_ref"), target.alias("target_ref"), F.lit("contains").alias("kind"), "span_ref", _content_hash(spans).alias("evidence_hash"), identity_hash(source, target, F.lit("contains")).alias("identity_hash"))
 
 
 def occurrence_offsets(text: Column, name: Column) -> Column:
@@ -105,11 +118,12 @@ def _automaton(names: list[tuple[str, str]], work_col: str) -> Callable[[Iterato
 def name_occurrences(spans: DataFrame, names: DataFrame) -> DataFrame:
     """(work_ref, span_ref, name, start_offset): each non-overlapping, case-sensitive occurrence of a work's names.
 
-    Up to ``BROADCAST_NAMES`` names go to every task as one automaton per work.  More names are matched through their
-    first trigram, an equi-join, and then verified in the text.
+    Up to ``BROADCAST_NAMES`` names of ``BROADCAST_NAME_CHARS`` characters together go to every task as one automaton per
+    work.  More are matched through their first trigram, an equi-join, and then verified in the text.
     """
     names = names.select("work_ref", "name").filter("name <> ''").distinct()
-    few = names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
+    size = names.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("name") + F.length("work_ref")), F.lit(0)).alias("chars")).first()
+    few = size["n"] <= BROADCAST_NAMES and size["chars"] <= BROADCAST_NAME_CHARS
     texts = spans.select("work_ref", "span_ref", "content")
     if few:
         known = [(r["work_ref"], r["name"]) for r in names.collect()]
@@ -136,8 +150,7 @@ def links(spans: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = F.transform(found, lambda x, i: F.struct(x.alias("captured"), (F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda s, p: s + F.length(p)) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda s, p: s + F.length(p) + 4)).alias("place")))
     rows = spans.filter(F.contains("content", F.lit("[["))).select("work_ref", "span_ref", "document_ref", "ordinal", F.explode(at).alias("r")).select("work_ref", "span_ref", "document_ref", "ordinal", "r.*")
     rows = rows.withColumn("text", js_trim(F.col("captured"))).withColumn("normalized_alias", normalize_name(F.col("text")))
-    owners = aliases(entities).groupBy("work_ref", "normalized_alias").agg(F.count("*").alias("owners"), F.min("entity_ref").alias("entity_ref"))
-    rows = rows.join(owners, ["work_ref", "normalized_alias"], "left").withColumn("owners", F.coalesce("owners", F.lit(0)))
+    rows = rows.join(alias_owners(aliases(entities)), ["work_ref", "normalized_alias"], "left").withColumn("owners", F.coalesce("owners", F.lit(0)))
     lead = F.length("captured") - F.length(F.regexp_replace("captured", "^\\s+", ""))
     start = F.col("place") + 2 + lead
     resolved = rows.filter("owners = 1").withColumns({"start_offset": start.cast("int"), "end_offset": (start + F.length("text")).cast("int"), "source_kind": F.lit("native"), "evidence_hash": F.sha2("text", 256)})
@@ -166,33 +179,32 @@ def evidence(found: DataFrame, kind: str) -> DataFrame:
 
 def precedes_edges(entities: DataFrame, spans: DataFrame) -> DataFrame:
     """The chain of chapters of each work."""
-    chapters = entities.filter("kind = 'Chapter'").join(spans.select("work_ref", "span_ref", F.sha2("content", 256).alias("content_hash")), ["work_ref", "span_ref"])
+    chapters = entities.filter("kind = 'Chapter'").join(spans.select("work_ref", "span_ref", _content_hash(spans).alias("content_hash")), ["work_ref", "span_ref"])
     order = Window.partitionBy("work_ref").orderBy("source_ordinal", "span_ordinal", "entity_ref")
     rows = chapters.withColumns({"source_ref": F.lag("entity_ref").over(order), "order": F.row_number().over(order) - 1}).filter("source_ref is not null")
     source, target = F.col("source_ref"), F.col("entity_ref")
     return rows.select("work_ref", stable_id("edge", source, target, F.lit("precedes")).alias("edge_ref"), source, target.alias("target_ref"), F.lit("precedes").alias("kind"), "span_ref", F.col("content_hash").alias("evidence_hash"), identity_hash(source, target, F.lit("precedes")).alias("identity_hash"), source.alias("valid_from_chapter"), target.alias("valid_to_chapter"), "order")
 
 
+MENTION = ["work_ref", "mention_ref", "entity_ref", "span_ref", "start_offset", "end_offset", "source_kind", "evidence_hash"]
+
+
+def edge_tables(documents: DataFrame, spans: DataFrame, entities: DataFrame, mentioned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, evidence) of a whole work, from its mentions; an edge without evidence does not come about."""
+    shape = ["work_ref", "edge_ref", "source_ref", "target_ref", "kind", "span_ref", "evidence_hash", "identity_hash"]
+    placed = mentioned.join(spans.select("work_ref", "span_ref", "document_ref", "ordinal"), ["work_ref", "span_ref"])
+    by_name, by_link = placed.filter("source_kind = 'deterministic'"), placed.filter("source_kind = 'native'")
+    edges = contains_edges(spans).select(*shape).unionByName(reference_edges(by_name, documents, "appears_in").select(*shape)).unionByName(reference_edges(by_link, documents, "mentions").select(*shape))
+    none = F.lit(None).cast("string")
+    edges = edges.withColumns({"valid_from_chapter": none, "valid_to_chapter": none}).unionByName(precedes_edges(entities, spans).select(*shape, "valid_from_chapter", "valid_to_chapter"))
+    return edges, evidence(by_name, "appears_in").unionByName(evidence(by_link, "mentions"))
+
+
 def build(documents: DataFrame, spans: DataFrame) -> dict[str, DataFrame]:
     """All graph tables of a set of documents."""
     defined = definitions(spans, documents)
     entities = canonical_entities(defined)
-    found = mentions(spans, entities)
-    resolved, unresolved = links(spans, entities)
-    shape = ["work_ref", "edge_ref", "source_ref", "target_ref", "kind", "span_ref", "evidence_hash", "identity_hash"]
-    precedes = precedes_edges(entities, spans)
-    edges = contains_edges(spans).select(*shape).unionByName(reference_edges(found, documents, "appears_in").select(*shape)).unionByName(reference_edges(resolved, documents, "mentions").select(*shape))
-    edges = edges.withColumns({"valid_from_chapter": F.lit(None).cast("string"), "valid_to_chapter": F.lit(None).cast("string")}).unionByName(precedes.select(*shape, "valid_from_chapter", "valid_to_chapter"))
-    place = ["work_ref", "mention_ref", "entity_ref", "span_ref", "start_offset", "end_offset", "source_kind", "evidence_hash"]
-    return {
-        "documents": documents, "spans": spans, "definitions": defined, "entities": entities, "aliases": aliases(entities), "edges": edges, "unresolved": unresolved,
-        "mentions": found.select(*place).unionByName(resolved.select(*place)), "evidence": evidence(found, "appears_in").unionByName(evidence(resolved, "mentions")),
-    }
-
-
-def heading_marker(heading: str) -> str | None:
-    """The kind that an explicit heading marker states."""
-    for kind, marker in MARKERS.items():
-        if re.match(f"(?:{marker})\\s*[:：]\\s*.+$", heading, re.IGNORECASE):
-            return kind
-    return None
+    found, (resolved, unresolved) = mentions(spans, entities), links(spans, entities)
+    mentioned = found.select(*MENTION).unionByName(resolved.select(*MENTION))
+    edges, proof = edge_tables(documents, spans, entities, mentioned)
+    return {"documents": documents, "spans": spans, "definitions": defined, "entities": entities, "aliases": aliases(entities), "edges": edges, "unresolved": unresolved, "mentions": mentioned, "evidence": proof}

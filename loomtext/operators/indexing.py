@@ -1,21 +1,33 @@
-"""Incremental indexing: hashes, differences, invalidation, and atomic publication of revisions.
+"""Incremental indexing: hashes, differences, derivation of what a change touches, and atomic publication of revisions.
 
-A work's tables live in ``<root>/rev=N/<table>``; the file ``<root>/CURRENT`` names the valid revision and is replaced
-last, so a reader sees a whole revision or the one before.  Derived tables can always be rebuilt from the sources.
+A work's tables live in ``<root>/rev=N-x/<table>``.  A revision is valid once ``<root>/valid/N.json`` is there, which is
+made under another name and renamed as the last step; the greatest valid revision is the current one.  Nothing is
+deleted or replaced on the way, so a reader, and a reader after a crash, sees a whole revision or the one before.
+Derived tables can always be rebuilt from the sources.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import socket
+import time
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.functions.text import snapshot_hash
+from loomtext.functions.text import normalize_name, snapshot_hash
+from loomtext.operators import fulltext, graph
+from loomtext.operators.spans import spans as split
+from loomtext.sources import storage
 
 SCHEMA_VERSION, DERIVATION_VERSION = 4, 6  # fixed values
-IDENTITY = ["document_ref", "relative_path", "title", "kind", "chapter_number", "volume_number", "local_chapter_number", "source_ordinal", "source_start_line", "content_hash"]
+IDENTITY = ["document_ref", "relative_path", "title", "kind", "chapter_number", "volume_number", "local_chapter_number", "source_ordinal", "source_start_line", "segments", "content_hash"]
+LOCK_SECONDS = 900
+KEPT_REVISIONS = 2
+ORDERED = {"spans": "span_ref", "postings": "term", "terms": "term"}  # tables that are read by key, and the key
 
 
 def semantic_hash(df: DataFrame) -> Column:
@@ -49,64 +61,238 @@ def source_snapshot(documents: DataFrame) -> DataFrame:
     return documents.groupBy("work_ref").agg(snapshot_hash(F.col("document_ref"), F.col("semantic_hash")).alias("source_snapshot_hash"), F.count("*").alias("documents"))
 
 
-def affected_spans(spans: DataFrame, changed: DataFrame, names: DataFrame) -> DataFrame:
-    """(work_ref, span_ref) whose references must be derived anew: spans of changed documents, and spans that hold a
-    name that came, went or changed."""
-    from loomtext.operators.graph import name_occurrences
+# Derivation ----------------------------------------------------------------------------------------------------------
 
-    own = spans.join(changed.select("document_ref").distinct(), "document_ref", "left_semi").select("work_ref", "span_ref")
-    return own.unionByName(name_occurrences(spans, names).select("work_ref", "span_ref")).distinct()
 
+def keep_revision(new: DataFrame, old: DataFrame | None, key: str, same: list[str], revision: int) -> DataFrame:
+    """``new`` with ``revision``: the old row's where nothing in ``same`` differs, else this one."""
+    if old is None:
+        return new.withColumn("revision", F.lit(revision).cast("long"))
+    text = [F.to_json(F.struct(*same)).alias("is")]
+    before = old.select(F.col(key).alias("old_key"), *[x.alias("was") for x in text], F.col("revision").alias("old_revision"))
+    joined = new.withColumn("is", text[0]).join(before, F.col(key) == F.col("old_key"), "left")
+    return joined.withColumn("revision", F.when(F.col("is") == F.col("was"), F.col("old_revision")).otherwise(F.lit(revision)).cast("long")).drop("is", "was", "old_key", "old_revision")
 
-def carry_over(old: DataFrame, affected: DataFrame, live_documents: DataFrame) -> DataFrame:
-    """Rows of an old table (with span_ref and document_ref) that need no new derivation."""
-    return old.join(affected, "span_ref", "left_anti").join(live_documents.select("document_ref"), "document_ref", "left_semi")
 
+def changed_names(entities: DataFrame, old: DataFrame) -> DataFrame:
+    """(work_ref, name, normalized_name, entity_ref) of entities that came, went, or mean something else now."""
+    shape = ["work_ref", "name", "normalized_name", "entity_ref", "valid_from_chapter", "valid_to_chapter"]
+    a, b = entities.select(*shape), old.select(*shape)
+    return a.exceptAll(b).unionByName(b.exceptAll(a)).select(*shape[:4]).distinct()
 
-def _fs(spark: SparkSession, path: str):  # noqa: ANN202
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+def spans_holding(spans: DataFrame, names: DataFrame, posted: DataFrame | None) -> DataFrame:
+    """(work_ref, span_ref) of spans that hold one of ``names`` (work_ref, name); only spans whose postings have all
+    trigrams of a name are read, but for names too short to have any."""
+    if posted is not None:
+        wanted = names.withColumn("phrase", F.lower("name"))
+        long = fulltext.phrase_candidates(posted, wanted.filter("length(phrase) >= 3").select("phrase").distinct())
+        at = long.join(wanted.select("work_ref", "phrase").distinct(), ["work_ref", "phrase"]).select("work_ref", "span_ref").distinct()
+        short = names.filter("length(name) < 3")
+        maybe = spans.join(at, ["work_ref", "span_ref"], "left_semi")
+        found = graph.name_occurrences(maybe, names)
+        if short.limit(1).count():
+            found = found.unionByName(graph.name_occurrences(spans, short))
+    else:
+        found = graph.name_occurrences(spans, names)
+    return found.select("work_ref", "span_ref").distinct()
+
+
+def affected_spans(kept: DataFrame, fresh: DataFrame, names: DataFrame, old: dict[str, DataFrame]) -> DataFrame:
+    """(work_ref, span_ref) whose references are derived anew: fresh spans, kept spans that hold a changed name, and
+    those with a link that such a name is, or would have been, the target of."""
+    posted = old["postings"].join(kept.select("span_ref"), "span_ref", "left_semi") if "postings" in old else None
+    holding = spans_holding(kept, names.select("work_ref", "name").distinct(), posted)
+    linked = old["mentions"].filter("source_kind = 'native'").join(names.select("work_ref", "entity_ref"), ["work_ref", "entity_ref"], "left_semi").select("work_ref", "span_ref")
+    waiting = old["unresolved"].withColumn("normalized_name", normalize_name(F.col("text"))).join(names.select("work_ref", "normalized_name"), ["work_ref", "normalized_name"], "left_semi").select("work_ref", "span_ref")
+    links = linked.unionByName(waiting).join(kept.select("span_ref"), "span_ref", "left_semi").select("work_ref", "span_ref")
+    return fresh.select("work_ref", "span_ref").unionByName(holding).unionByName(links).distinct()
+
+
+def measured(spans: DataFrame) -> DataFrame:
+    """Spans with what later steps need of their texts: a hash, and the number of trigrams."""
+    return spans.withColumns({"content_hash": F.sha2("content", 256), "n_trigrams": fulltext.trigram_count(F.col("heading")) + fulltext.trigram_count(F.col("content"))})
+
+
+def derive(documents: DataFrame, old: dict[str, DataFrame] | None, draft: Draft) -> int:
+    """Write all tables for ``documents`` into ``draft``, given the tables of the revision before; the number of spans
+    whose references were derived.
+
+    Only changed documents are split; definitions, mentions, links, postings and edges of everything that a change does
+    not touch are carried over.  The result equals that of a rebuild, but for the numbers of revisions.  Each table is
+    written before the next one reads it, so nothing is computed twice and plans stay short.
+    """
+    save, revision = draft.save, draft.revision
+    stored = save("documents", documents.drop("content"))
+    if old is None:
+        fresh = spans = save("spans", measured(split(documents)))
+        defined = save("definitions", graph.definitions(fresh, stored))
+        entities = save("entities", keep_revision(graph.canonical_entities(defined), None, "entity_ref", [], revision))
+        touched = again = spans
+    else:
+        kept = save("_kept", diff(documents, old["documents"]).filter("status = 'skipped'").select("document_ref"))
+        fresh = save("_fresh", measured(split(documents.join(kept, "document_ref", "left_anti"))))
+        stay = old["spans"].join(kept, "document_ref", "left_semi").select(*fresh.columns)
+        spans = save("spans", fresh.unionByName(stay))
+        defined = save("definitions", graph.definitions(fresh, stored).unionByName(old["definitions"].join(kept, "document_ref", "left_semi")))
+        entities = save("entities", keep_revision(graph.canonical_entities(defined), old["entities"], "entity_ref", ["span_ref", "identity_hash", "evidence_hash", "properties"], revision))
+        names = save("_names", changed_names(entities, old["entities"]))
+        touched = save("_touched", affected_spans(stay, fresh, names, old))
+        again = spans.join(touched.select("span_ref"), "span_ref", "left_semi")
+    found, (resolved, unresolved) = graph.mentions(again, entities), graph.links(again, entities)
+    number = F.lit(revision).cast("long").alias("revision")
+    mentions = found.select(*graph.MENTION, number).unionByName(resolved.select(*graph.MENTION, number))
+    unresolved = unresolved.select("*", number)
+    posted = fulltext.postings(fresh, places=True)
+    if old is not None:
+        alive = spans.select("span_ref")
+
+        def carried(name: str, columns: list[str]) -> DataFrame:
+            return old[name].join(touched.select("span_ref"), "span_ref", "left_anti").join(alive, "span_ref", "left_semi").select(*columns)
+
+        mentions = mentions.unionByName(carried("mentions", mentions.columns))
+        unresolved = unresolved.unionByName(carried("unresolved", unresolved.columns))
+        posted = posted.unionByName(old["postings"].join(kept.join(old["spans"].select("document_ref", "span_ref"), "document_ref").select("span_ref"), "span_ref", "left_semi").select(*posted.columns))
+    mentions = save("mentions", mentions)
+    save("unresolved", unresolved)
+    save("aliases", graph.aliases(entities))
+    edges, evidence = graph.edge_tables(stored, spans, entities, mentions)
+    save("edges", keep_revision(edges, None if old is None else old["edges"], "edge_ref", ["span_ref", "evidence_hash", "valid_from_chapter", "valid_to_chapter"], revision))
+    save("evidence", evidence)
+    save("terms", fulltext.document_frequency(save("postings", posted)))
+    return touched.count()
+
+
+# Revisions -----------------------------------------------------------------------------------------------------------
+
+
+def valid_revisions(spark: SparkSession, root: str) -> list[int]:
+    return [int(n.removesuffix(".json")) for n in storage.names(spark, f"{root}/valid") if n[:1].isdigit() and n.endswith(".json")]
 
 
 def current_revision(spark: SparkSession, root: str) -> dict | None:
-    pointer, fs = _fs(spark, f"{root}/CURRENT")
-    if not fs.exists(pointer):
+    valid = valid_revisions(spark, root)
+    if not valid:
         return None
-    found = json.loads("".join(r["value"] for r in spark.read.text(f"{root}/CURRENT").collect()))
+    found = storage.get(spark, f"{root}/valid/{max(valid):012d}.json")
     if found["schema_version"] != SCHEMA_VERSION:
         raise ValueError("INDEX_SCHEMA_INCOMPATIBLE: rebuild the index")
     return found
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], stats: dict | None = None, checks: dict[str, str] | None = None) -> int:
-    """Write a revision, validate what was written, then make it current; a failed check leaves the old one in place.
+@dataclass
+class WriterLock:
+    """One writer for each index: a lock file, taken over from a dead process of this host, or after ``LOCK_SECONDS``."""
 
-    checks: table -> column that must be a key.
-    """
-    before = current_revision(spark, root)
-    revision = (before["revision"] if before else 0) + 1
-    at = f"{root}/rev={revision}-{uuid.uuid4().hex[:8]}"
+    spark: SparkSession
+    root: str
+
+    def __enter__(self) -> WriterLock:
+        mine = {"pid": os.getpid(), "host": socket.gethostname(), "at": time.time()}
+        for _ in range(2):
+            try:
+                storage.put(self.spark, f"{self.root}/LOCK", mine)
+                return self
+            except Exception as e:  # noqa: BLE001  Hadoop's own exception, by name
+                if "AlreadyExists" not in str(e):
+                    raise
+            if not self._dead():
+                break
+            storage.delete(self.spark, f"{self.root}/LOCK")
+        raise ValueError("INDEX_BUSY: another writer holds the index")
+
+    def _dead(self) -> bool:
+        try:
+            holder = storage.get(self.spark, f"{self.root}/LOCK")
+        except ValueError:  # not yet written
+            return False
+        if holder["host"] == socket.gethostname() and holder["pid"] != os.getpid() and not os.path.exists(f"/proc/{holder['pid']}"):
+            return True
+        return time.time() - holder["at"] > LOCK_SECONDS
+
+    def __exit__(self, *_: object) -> None:
+        storage.delete(self.spark, f"{self.root}/LOCK")
+
+
+def recover(spark: SparkSession, root: str) -> int:
+    """Delete what unfinished writers and old revisions left; the number of folders."""
+    valid = valid_revisions(spark, root)
+    keep = {os.path.basename(storage.get(spark, f"{root}/valid/{n:012d}.json")["path"]) for n in valid[-KEPT_REVISIONS:]}
+    gone = [n for n in storage.names(spark, root) if n.startswith("rev=") and n not in keep]
+    for n in valid[:-KEPT_REVISIONS]:
+        storage.delete(spark, f"{root}/valid/{n:012d}.json")
+    for n in gone:
+        storage.delete(spark, f"{root}/{n}")
+    return len(gone)
+
+
+@dataclass
+class Draft:
+    """A revision that is being written; nobody sees it before ``commit``."""
+
+    spark: SparkSession
+    root: str
+    revision: int = 0
+    at: str = ""
+
+    def __post_init__(self) -> None:
+        before = current_revision(self.spark, self.root)
+        self.revision = (before["revision"] if before else 0) + 1
+        self.at = f"{self.root}/rev={self.revision}-{uuid.uuid4().hex[:8]}"
+
+    def save(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a table and read it back.  Tables in ``ORDERED`` are sorted by their key, in small row groups, so a read
+        by key opens few of them; names with an underscore are for the writer only."""
+        key, path = ORDERED.get(name), f"{self.at}/{name}"
+        out = df.repartitionByRange(key).sortWithinPartitions(key).write.option("parquet.block.size", str(4 << 20)) if key else df.write
+        out.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def commit(self, stats: dict | None = None, checks: dict[str, str] | None = None) -> int:
+        """Validate what was written, then make it the current revision; a failed check leaves the old one in place.
+
+        checks: table -> column that must be a key.
+        """
+        spark, root = self.spark, self.root
+        for name, key in (checks or {}).items():
+            n = spark.read.parquet(f"{self.at}/{name}").agg((F.count(F.lit(1)) - F.count_distinct(key)).alias("n")).first()["n"]
+            if n:
+                storage.delete(spark, self.at)
+                raise ValueError(f"INDEX_VALIDATION_FAILED: {name}.{key} repeats {n} times")
+        written, search = storage.names(spark, self.at), {}
+        if "postings" in written:
+            row = spark.read.parquet(f"{self.at}/spans").agg(F.count("*").alias("n"), F.avg("n_trigrams").alias("average")).first()
+            search = {"spans": row["n"], "average": row["average"] or 0.0}
+        for name in written:
+            if name.startswith("_"):
+                storage.delete(spark, f"{self.at}/{name}")
+        made = {"revision": self.revision, "path": self.at, "schema_version": SCHEMA_VERSION, "stats": stats or {}, "search": search}
+        fresh = f"{root}/valid/new-{uuid.uuid4().hex[:8]}"
+        storage.put(spark, fresh, made)
+        if not storage.move(spark, fresh, f"{root}/valid/{self.revision:012d}.json"):
+            storage.delete(spark, fresh)
+            storage.delete(spark, self.at)
+            raise ValueError("INDEX_BUSY: another writer published this revision")
+        return self.revision
+
+
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], stats: dict | None = None, checks: dict[str, str] | None = None) -> int:
+    """Write ``tables`` as the next revision (see :class:`Draft`)."""
+    draft = Draft(spark, root)
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{at}/{name}")
-    for name, key in (checks or {}).items():
-        n = spark.read.parquet(f"{at}/{name}").agg((F.count(F.lit(1)) - F.count_distinct(key)).alias("n")).first()["n"]
-        if n:
-            path, fs = _fs(spark, at)
-            fs.delete(path, True)
-            raise ValueError(f"INDEX_VALIDATION_FAILED: {name}.{key} repeats {n} times")
-    pointer, fs = _fs(spark, f"{root}/CURRENT")
-    fresh, _ = _fs(spark, f"{root}/CURRENT.{uuid.uuid4().hex[:8]}")
-    out = fs.create(fresh, True)
-    out.write(bytearray(json.dumps({"revision": revision, "path": at, "schema_version": SCHEMA_VERSION, "stats": stats or {}}).encode()))
-    out.close()
-    if fs.exists(pointer):
-        fs.delete(pointer, False)
-    fs.rename(fresh, pointer)
-    return revision
-
-
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    held = current_revision(spark, root)
+        draft.save(name, df)
+    return draft.commit(stats, checks)
+
+
+def read_table(spark: SparkSession, root: str, name: str, held: dict | None = None) -> DataFrame:
+    held = held or current_revision(spark, root)
     if held is None:
         raise ValueError("INDEX_MISSING")
     return spark.read.parquet(f"{held['path']}/{name}")
+
+
+def remove_index(spark: SparkSession, root: str, active_captures: int = 0) -> bool:
+    """Delete all derived data of a work, unless a capture of it is still active."""
+    if active_captures:
+        raise ValueError("DERIVED_DATA_BUSY: finish the captures of this work first")
+    return storage.delete(spark, root)

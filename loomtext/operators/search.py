@@ -7,14 +7,15 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 from loomtext.functions.text import contains_folded, utf16_size, utf16_slice
-from loomtext.operators.fulltext import add_bm25
+from loomtext.operators.fulltext import add_bm25, indexed_bm25
 
 # Phrases that a question may hold and that are no terms; words that feedback never adds; the grid.
 STOP_PHRASES = (
@@ -83,15 +84,15 @@ def proximity(content: str, terms: list[str]) -> float:
     return 1 / (1 + best / 200)
 
 
-def evidence_window(content: str, terms: list[str], width: int = EXCERPT) -> str:
-    """All of a short text; else up to three windows around the terms, best covered first, in text order."""
+def evidence_windows(content: str, terms: list[str], width: int = EXCERPT) -> list[tuple[int, int]]:
+    """All of a short text; else up to three windows around the terms, best covered first, in text order (UTF-16 units)."""
     size = utf16_size(content)
     if size <= width:
-        return content
+        return [(0, size)]
     places = {t: [m.start() for m in re.finditer(re.escape(t), content, re.IGNORECASE)] for t in terms}
     anchors = [x for p in places.values() for x in p]
     if not anchors:
-        return utf16_slice(content, 0, width)
+        return [(0, width)]
     chunk = (width - len(SEPARATOR) * (WINDOWS - 1)) // WINDOWS
     ranked = []
     for a in anchors:
@@ -107,7 +108,39 @@ def evidence_window(content: str, terms: list[str], width: int = EXCERPT) -> str
         if any(abs(spare - c) < chunk / 2 for c in chosen):
             break
         chosen.append(spare)
-    return SEPARATOR.join(utf16_slice(content, s, s + chunk) for s in sorted(chosen))
+    return [(s, s + chunk) for s in sorted(chosen)]
+
+
+def excerpt_of(content: str, windows: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int, int, int]]]:
+    """The windows joined, and of each its place in the excerpt and its first and last line (from 0) in the content."""
+    parts, pieces, at = [], [], 0
+    for k, (start, end) in enumerate(windows):
+        text = utf16_slice(content, start, end)
+        at += len(SEPARATOR) if k else 0
+        before = utf16_slice(content, 0, start).count("\n")
+        if text:
+            pieces.append((at, at + utf16_size(text), before, before + text[:-1].count("\n")))
+        at += utf16_size(text)
+        parts.append(text)
+    return SEPARATOR.join(parts), pieces
+
+
+def evidence_window(content: str, terms: list[str], width: int = EXCERPT) -> str:
+    return excerpt_of(content, evidence_windows(content, terms, width))[0]
+
+
+EXCERPT_TYPE = "struct<excerpt:string,pieces:array<struct<excerpt_start:int,excerpt_end:int,from_line:int,to_line:int>>>"
+
+
+def excerpt_column(content: Column, *terms: Column) -> Column:
+    """(excerpt, pieces) of a bounded set of rows; ``terms``: arrays of what it should show (none: the beginning)."""
+
+    @F.pandas_udf(EXCERPT_TYPE)
+    def made(text: pd.Series, wanted: pd.Series) -> pd.DataFrame:
+        rows = [excerpt_of(t, evidence_windows(t, list(w)) if len(w) else [(0, min(EXCERPT, utf16_size(t)))]) for t, w in zip(text, wanted, strict=True)]
+        return pd.DataFrame({"excerpt": [e for e, _ in rows], "pieces": [[dict(zip(("excerpt_start", "excerpt_end", "from_line", "to_line"), p, strict=True)) for p in ps] for _, ps in rows]})
+
+    return made(content, F.concat(*terms) if terms else F.array().cast("array<string>"))
 
 
 def _any_folded(terms: list[str]) -> Column:
@@ -117,8 +150,30 @@ def _any_folded(terms: list[str]) -> Column:
     return test
 
 
-def candidates(spans: DataFrame, terms: list[str], aliases: list[str], expansion: list[str], limit: int, merge: bool = True) -> DataFrame:
-    """The bounded candidate set of one pass, each row once, with its ``bm25`` (null unless an original phrase found it)."""
+@dataclass(frozen=True)
+class Index:
+    """What a revision holds for search: postings with places, document frequencies, sizes and order of spans, totals."""
+
+    postings: DataFrame
+    terms: DataFrame
+    sizes: DataFrame  # span_ref, n_trigrams, source_ordinal, ordinal
+    count: int
+    average: float
+
+    def best(self, phrases: list[str], cap: int) -> list[tuple[str, float]]:
+        """(span_ref, bm25) of the ``cap`` best spans; no text is read."""
+        rows = indexed_bm25(self.postings, self.sizes, self.count, self.average, phrases)
+        return [(r["span_ref"], r["bm25"]) for r in rows.orderBy(F.desc("bm25"), "source_ordinal", "ordinal", "span_ref").limit(cap).select("span_ref", "bm25").collect()]
+
+    def frequencies(self, terms: list[str]) -> dict[str, int]:
+        return {r["term"]: r["df"] for r in self.terms.filter(F.col("term").isin(*terms)).groupBy("term").agg(F.sum("df").alias("df")).collect()} if terms else {}
+
+
+def candidates(spans: DataFrame, terms: list[str], aliases: list[str], expansion: list[str], limit: int, merge: bool = True, index: Index | None = None) -> DataFrame:
+    """The bounded candidate set of one pass, each row once, with its ``bm25`` (null unless an original phrase found it).
+
+    With an index, phrases are found and ranked in it, and only the rows chosen (at most 512) are read from ``spans``.
+    """
     most, fewer = min(512, max(64, 12 * limit)), min(256, max(64, 4 * limit))
     stable = ["source_ordinal", "ordinal", "span_ref"]
 
@@ -128,6 +183,11 @@ def candidates(spans: DataFrame, terms: list[str], aliases: list[str], expansion
     def phrases(found: list[str], cap: int, scored: bool) -> DataFrame:
         if not merge:
             return scanned(found, cap)
+        if index is not None:
+            best = index.best(found, cap)
+            marks = spans.sparkSession.createDataFrame(best, "span_ref string, bm25 double")
+            rows = spans.filter(F.col("span_ref").isin(*[r for r, _ in best])).join(F.broadcast(marks), "span_ref").select(*spans.columns, "bm25")
+            return rows if scored else rows.withColumn("bm25", F.lit(None).cast("double"))
         rows = add_bm25(spans, found).orderBy(F.desc("bm25"), *stable).limit(cap)
         return rows if scored else rows.withColumn("bm25", F.lit(None).cast("double"))
 
@@ -142,12 +202,18 @@ def candidates(spans: DataFrame, terms: list[str], aliases: list[str], expansion
         parts.append(scanned(short, fewer))
     if not parts and not short_expansion:
         return spans.limit(0).withColumn("bm25", F.lit(None).cast("double"))
-    pool = None
-    for p in parts:
-        pool = p if pool is None else pool.unionByName(p)
-    if short_expansion and (pool is None or not long_terms or pool.select("span_ref").distinct().count() < most):
+    pool = merged(parts) if parts else None
+    if short_expansion and (pool is None or not long_terms or pool.count() < most):
         extra = scanned(short_expansion, fewer)
-        pool = extra if pool is None else pool.unionByName(extra)
+        pool = extra if pool is None else merged([pool, extra])
+    return pool
+
+
+def merged(parts: list[DataFrame]) -> DataFrame:
+    """Candidates of all sources, each span once: a row that an original phrase found (with ``bm25``) goes before others."""
+    pool = parts[0]
+    for p in parts[1:]:
+        pool = pool.unionByName(p)
     order = Window.partitionBy("span_ref").orderBy(F.desc_nulls_last("bm25"))
     return pool.withColumn("k", F.row_number().over(order)).filter("k = 1").drop("k")
 
@@ -169,10 +235,6 @@ def score(pool: DataFrame, terms: list[str], aliases: list[str], expansion: list
     def near(text: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([proximity(t.lower(), [*x, *y]) for t, x, y in zip(text, a, b, strict=True)], dtype="float64")
 
-    @F.pandas_udf(StringType())
-    def window(text: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([evidence_window(t, [*x, *y, *z]) for t, x, y, z in zip(text, a, b, c, strict=True)], dtype="object")
-
     some = F.size("matched") > 0
     length = F.aggregate("matched", F.lit(0), lambda s, t: s + F.length(t))
     best = F.array_max(F.transform("expansion_matched", lambda t: weights[t])) if expansion else F.lit(0.0)
@@ -191,7 +253,7 @@ def score(pool: DataFrame, terms: list[str], aliases: list[str], expansion: list
         total = total + F.col(name)
     rows = rows.withColumns({"score": total, "trust": F.when(some, "deterministic").otherwise("heuristic")})
     rows = rows.orderBy(F.desc("score"), "relative_path", "start_line", "span_ref").limit(limit)
-    return rows.withColumn("excerpt", window("content", "matched", "alias_matched", "expansion_matched"))
+    return rows.withColumn("x", excerpt_column(F.col("content"), F.col("matched"), F.col("alias_matched"), F.col("expansion_matched"))).select(*rows.columns, "x.excerpt", "x.pieces")
 
 
 def feedback_terms(text: Column) -> Column:
@@ -208,22 +270,44 @@ def feedback_tokens(text: str) -> set[str]:
     return out
 
 
-def derive_feedback(sources: list[tuple[str, str]], original: list[str], aliases: set[str], spans: DataFrame, config: dict = PRODUCTION) -> list[tuple[str, float]]:
-    """(term, weight) added by the best ``top_k`` results: terms of at least two of them, by rank and rarity."""
+def cooccurrence(sources: DataFrame, terms: Column) -> DataFrame:
+    """sources(rank, ...) -> (term, sources, cooccurrence): terms of at least two sources, weighted by rank."""
+    each = sources.select("rank", F.explode(F.array_distinct(terms)).alias("term"))
+    return each.groupBy("term").agg(F.count("*").alias("sources"), F.sum(F.lit(1.0) / F.col("rank")).alias("cooccurrence")).filter("sources >= 2")
+
+
+def known_aliases(aliases: DataFrame, terms: list[str]) -> set[str]:
+    """Of a bounded list of ``terms``, those that are aliases."""
+    wanted = aliases.sparkSession.createDataFrame([(t,) for t in terms], "normalized_alias string")
+    return {r["normalized_alias"] for r in wanted.join(aliases.select("normalized_alias"), "normalized_alias", "left_semi").collect()} if terms else set()
+
+
+def derive_feedback(sources: list[tuple[str, str]], original: list[str], aliases: DataFrame | None, spans: DataFrame, config: dict = PRODUCTION, index: Index | None = None) -> list[tuple[str, float]]:
+    """(term, weight) added by the best ``top_k`` results: terms of at least two of them, by rank and rarity.
+
+    aliases(normalized_alias): names that are never added; only the terms in question are looked up in it.
+    """
     validate_feedback(config)
-    skip = {unicodedata.normalize("NFKC", t).lower() for t in [*original, *aliases]}
+    skip = {unicodedata.normalize("NFKC", t).lower() for t in original}
     seen: dict[str, list[float]] = {}
     for rank, (heading, excerpt) in enumerate(sources[: config["top_k"]]):
         for t in feedback_tokens(f"{heading}\n{excerpt}") - skip:
             seen.setdefault(t, []).append(1 / (rank + 1))
+    if aliases is not None:
+        for t in known_aliases(aliases, sorted(t for t, w in seen.items() if len(w) >= 2)):
+            del seen[t]
     pool = sorted(((t, sum(w)) for t, w in seen.items() if len(w) >= 2), key=lambda x: (-x[1], x[0]))[:FEEDBACK_POOL]
     if not pool:
         return []
     exact = [t for t, _ in pool if len(t) == 3]
-    low_h, low_c = F.lower("heading"), F.lower("content")
-    counted = spans.agg(F.count("*").alias("n"), *[F.count_if(F.contains(low_h, F.lit(t)) | F.contains(low_c, F.lit(t))).alias(f"t{k}") for k, t in enumerate(exact)]).first()
-    df = {t: counted[f"t{k}"] for k, t in enumerate(exact)}
-    ranked = [(t, w * (math.log((counted["n"] + 1) / (df.get(t, counted["n"]) + 1)) + 1)) for t, w in pool]
+    if index is not None:
+        total, found = index.count, index.frequencies(exact)
+        df = {t: found.get(t, 0) for t in exact}
+    else:
+        low_h, low_c = F.lower("heading"), F.lower("content")
+        counted = spans.agg(F.count("*").alias("n"), *[F.count_if(F.contains(low_h, F.lit(t)) | F.contains(low_c, F.lit(t))).alias(f"t{k}") for k, t in enumerate(exact)]).first()
+        total, df = counted["n"], {t: counted[f"t{k}"] for k, t in enumerate(exact)}
+    ranked = [(t, w * (math.log((total + 1) / (df.get(t, total) + 1)) + 1)) for t, w in pool]
     return sorted(ranked, key=lambda x: (-x[1], x[0]))[: config["terms"]]
 
 
@@ -232,7 +316,7 @@ def validate_feedback(config: dict) -> None:
         raise ValueError("INVALID_SEARCH_EXPERIMENT: feedback settings must belong to the calibration grid")
 
 
-def search(spans: DataFrame, query: str, limit: int = 20, config: dict | None = PRODUCTION, aliases: set[str] = frozenset(), disabled: frozenset[str] = frozenset()) -> tuple[DataFrame, list[dict]]:
+def search(spans: DataFrame, query: str, limit: int = 20, config: dict | None = PRODUCTION, aliases: DataFrame | None = None, disabled: frozenset[str] = frozenset(), index: Index | None = None) -> tuple[DataFrame, list[dict]]:
     """(ranked rows, diagnostics).  With ``config`` a second pass adds feedback terms from the first.
 
     spans needs span_ref, relative_path, start_line, source_ordinal, ordinal, heading, content.  Between the passes the
@@ -245,14 +329,14 @@ def search(spans: DataFrame, query: str, limit: int = 20, config: dict | None =
     notes = [{"code": "QUERY_ANALYZED", "terms": len(terms)}]
 
     def one_pass(expansion: list[tuple[str, float]], keep: int) -> DataFrame:
-        pool = candidates(spans, terms, near, [t for t, _ in expansion], keep, "ftsMerge" not in disabled)
+        pool = candidates(spans, terms, near, [t for t, _ in expansion], keep, "ftsMerge" not in disabled, index)
         return score(pool, terms, near, expansion, config["weight"] if config else 0.0, keep, disabled)
 
     first = one_pass([], max(limit, config["top_k"]) if config else limit)
     if not config:
         return first, notes
     best = [(r["heading"], r["excerpt"]) for r in first.select("heading", "excerpt").limit(config["top_k"]).collect()]
-    added = derive_feedback(best, terms, set(aliases), spans, config)
+    added = derive_feedback(best, terms, aliases, spans, config, index)
     if not added:
         return first.limit(limit), [*notes, {"code": "PRF_NO_EXPANSION"}, *([] if best else [{"code": "NO_RESULTS"}])]
     return one_pass(added, limit), [*notes, {"code": "PRF_EXPANDED", "terms": [t for t, _ in added]}]

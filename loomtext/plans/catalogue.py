@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
 from loomtext.functions.numerals import chapter_number_col
+from loomtext.functions.ordering import ranked, restarts
 from loomtext.operators import context, evaluate, events, explore, fulltext, graph, indexing, limits, reports, search, spans
 from loomtext.sources import html, text_files
 
@@ -72,7 +73,7 @@ def q_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agg11_token_totals", f"SELECT lang, sum({_TOKENS.format('text')})::BIGINT AS tokens, count(*) AS documents FROM documents GROUP BY lang")
 def q_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(T.estimate_tokens(F.col("text"))).alias("tokens"), F.count("*").alias("documents"))
+    return context.token_totals(table(spark, sf_dir, "documents"), ["lang"], F.col("text")).withColumnRenamed("rows", "documents")
 
 
 @query("fn1_stable_refs", "SELECT doc_id, 'doc:' || left(sha256(source || chr(0) || doc_id::VARCHAR), 24) AS document_ref, sha256(source || chr(0) || doc_id::VARCHAR || chr(0) || 'contains') AS identity_hash FROM documents")
@@ -144,7 +145,31 @@ def q_json_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Spans ------------------------------------------------------------------------------------------------------------------
 
 
-@query("der1_spans")
+_SPANS_SQL = r"""WITH RECURSIVE l AS (
+    SELECT doc_id, source, i, line, length(line) AS width, regexp_matches(line, '[^\s\x{FEFF}\x{A0}\x{3000}]') AS full_line, trim(regexp_extract(line, '^#{1,6}[\s\x{FEFF}]+(.+)', 1), ' ' || chr(9) || chr(13)) AS named
+    FROM (SELECT doc_id, source, unnest(t) AS line, unnest(range(len(t))) AS i FROM (SELECT doc_id, source, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS t FROM documents WHERE text IS NOT NULL))),
+  m AS (
+    SELECT doc_id, -1::BIGINT AS i, 0::BIGINT AS part, 0::BIGINT AS size, false AS held, false AS solid, source AS heading, false AS long_line, false AS full_now FROM documents
+    UNION ALL
+    SELECT doc_id, i, part + fresh::INT, CASE WHEN long_line OR ended THEN 0 ELSE made END, NOT (long_line OR ended), NOT (long_line OR ended) AND (full_line OR (solid AND NOT fresh)), heading, long_line, ended
+    FROM (SELECT *, made >= 2400 AND NOT long_line AS ended FROM (
+      SELECT l.doc_id, l.i, m.part, l.full_line, m.solid, l.width > 2400 AS long_line,
+        (l.width > 2400) OR m.long_line OR m.full_now OR (l.named <> '' AND m.solid) OR (m.held AND m.size + 1 + l.width > 2400) AS fresh,
+        CASE WHEN (l.named <> '' AND m.solid) OR NOT m.held OR m.size + 1 + l.width > 2400 THEN l.width ELSE m.size + 1 + l.width END AS made,
+        CASE WHEN l.named <> '' AND (m.solid OR NOT m.held) THEN l.named ELSE m.heading END AS heading
+      FROM m JOIN l ON l.doc_id = m.doc_id AND l.i = m.i + 1))),
+  g AS (SELECT m.doc_id, m.part, m.i, m.heading, m.long_line, l.line, l.full_line FROM m JOIN l USING (doc_id, i)),
+  whole AS (SELECT doc_id, part, min(i) FILTER (WHERE full_line) AS a, max(i) FILTER (WHERE full_line) AS b, arg_min(heading, i) AS heading FROM g WHERE NOT long_line GROUP BY doc_id, part),
+  cut AS (
+    SELECT w.doc_id, w.a AS a, w.b AS b, 0 AS k, w.heading, (SELECT string_agg(line, chr(10) ORDER BY i) FROM l WHERE l.doc_id = w.doc_id AND l.i BETWEEN w.a AND w.b) AS content FROM whole w WHERE w.a IS NOT NULL
+    UNION ALL
+    SELECT doc_id, i, i, k, heading, substr(line, k * 2400 + 1, 2400) FROM (SELECT doc_id, i, heading, line, unnest(range((length(line) + 2399) // 2400)) AS k FROM g WHERE long_line)),
+  o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a, k) - 1 AS ordinal FROM cut)
+  SELECT source AS work_ref, document_ref, ordinal::INTEGER AS ordinal, (a + 1)::INTEGER AS start_line, (b + 1)::INTEGER AS end_line, heading, content, 'span:' || left(sha256(document_ref || chr(0) || ordinal::VARCHAR), 24) AS span_ref
+  FROM (SELECT o.*, d.source, 'doc:' || left(sha256(d.source || chr(0) || d.doc_id::VARCHAR), 24) AS document_ref FROM o JOIN documents d USING (doc_id))"""
+
+
+@query("der1_spans", _SPANS_SQL)
 def q_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     docs = d.select(F.col("source").alias("work_ref"), T.stable_id("doc", F.col("source"), F.col("doc_id")).alias("document_ref"), F.col("source").alias("title"), F.col("text").alias("content"), F.lit(1).alias("source_start_line"))
@@ -191,10 +216,10 @@ def q_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
-@query("joi11_phrase_candidates", "SELECT item_id, doc_id FROM benchmark JOIN documents ON contains(lower(documents.text), lower(left(benchmark.text, 24)))")
+@query("joi11_phrase_candidates", "SELECT item_id, doc_id FROM benchmark JOIN documents ON contains(lower(documents.text), lower(benchmark.text))")
 def q_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = span_rows(spark, sf_dir)
-    wanted = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.left("text", F.lit(24))).alias("phrase"))
+    wanted = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("phrase"))
     found = fulltext.phrase_candidates(fulltext.postings(rows), wanted.select("phrase").distinct())
     held = found.join(rows.select("span_ref", "content"), "span_ref").filter(F.contains(F.lower("content"), F.col("phrase")))
     return held.join(wanted, "phrase").select("item_id", F.col("span_ref").cast("long").alias("doc_id"))
@@ -299,10 +324,8 @@ def q_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("src10_volumes", """SELECT conv_id, turn, 1 + sum(r) OVER (ORDER BY conv_id, turn ROWS UNBOUNDED PRECEDING)::BIGINT AS volume FROM (SELECT conv_id, turn, (turn + 1 <= lag(turn + 1) OVER (ORDER BY conv_id, turn))::INT AS r0, coalesce((turn + 1 <= lag(turn + 1) OVER (ORDER BY conv_id, turn))::INT, 0) AS r FROM conversations)""")
 def q_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").withColumn("book", F.lit(1))
-    order = Window.partitionBy("book").orderBy("conv_id", "turn")
-    flagged = c.withColumn("restart", text_files.volume_number(F.col("turn") + 1, order))
-    return flagged.select("conv_id", "turn", (1 + F.sum("restart").over(order)).alias("volume"))
+    c = table(spark, sf_dir, "conversations").withColumn("number", F.col("turn") + 1)
+    return restarts(c, "conv_id", ["conv_id", "turn"], "number").select("conv_id", "turn", "volume")
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,8 +359,8 @@ def q_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("win2_owner_ambiguity", "SELECT lower(p_name) AS normalized_alias, count(*) AS owners, min(p_partkey) AS first_owner FROM part GROUP BY 1 HAVING count(*) > 1")
 def q_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "part").select("p_partkey", T.normalize_name(F.col("p_name")).alias("normalized_alias"))
-    return names.groupBy("normalized_alias").agg(F.count("*").alias("owners"), F.min("p_partkey").alias("first_owner")).filter("owners > 1")
+    names = table(spark, sf_dir, "part").select(F.lit("w").alias("work_ref"), F.col("p_partkey").alias("entity_ref"), T.normalize_name(F.col("p_name")).alias("normalized_alias"))
+    return graph.alias_owners(names).filter("owners > 1").select("normalized_alias", "owners", F.col("entity_ref").alias("first_owner"))
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -469,7 +492,7 @@ def q_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("src20_corpus_stats", "SELECT source, count(*) AS files, sum(length(text))::BIGINT AS chars, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY source")
 def q_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"), F.sum(F.octet_length("text")).alias("bytes"))
+    return text_files.corpus_sizes(table(spark, sf_dir, "documents"), "source", F.col("text"))
 
 
 @query("src9_txt_chapters", "SELECT conv_id, turn + 1 AS chapter, strlen(regexp_replace('Chapter ' || (turn + 1) || chr(10) || text, '\\s+$', ''))::BIGINT AS bytes FROM conversations")
@@ -493,20 +516,29 @@ def q_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexing.diff(new, old, "doc_id")
 
 
-@query("joi12_orphans", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("joi12_orphans", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def q_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    edges = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("edge_ref"))
+    return graph.orphans(edges, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("edge_ref"))).select(F.col("edge_ref").alias("doc_id"))
 
 
 @query("joi5_edge_names", "SELECT o_orderkey, c_name AS source_name, n_name AS target_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey")
 def q_edge_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c, n = (table(spark, sf_dir, x) for x in ("orders", "customer", "nation"))
-    return o.join(c, o.o_custkey == c.c_custkey, "left").join(n, c.c_nationkey == n.n_nationkey, "left").select("o_orderkey", F.col("c_name").alias("source_name"), F.col("n_name").alias("target_name"))
+    edges = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", F.concat(F.lit("c"), "c_custkey").alias("source_ref"), F.concat(F.lit("n"), "c_nationkey").alias("target_ref"))
+    entities = c.select(F.concat(F.lit("c"), "c_custkey").alias("entity_ref"), F.col("c_name").alias("name")).unionByName(n.select(F.concat(F.lit("n"), "n_nationkey").alias("entity_ref"), F.col("n_name").alias("name")))
+    return explore.named_edges(edges, entities).select("o_orderkey", "source_name", "target_name")
 
 
 @query("agg9_canonical_definition", "SELECT l_orderkey, arg_min(l_partkey, l_linenumber::BIGINT * 1000000000 + l_partkey) AS l_partkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY l_orderkey")
 def q_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("l_partkey"), F.min("l_linenumber").alias("l_linenumber"))
+    """Order lines as definitions of their order, by line and part."""
+    none = F.lit(None).cast("string")
+    defined = table(spark, sf_dir, "lineitem").select(
+        F.lit("w").alias("work_ref"), F.col("l_orderkey").alias("entity_ref"), F.lit("Item").alias("kind"), none.alias("name"), none.alias("normalized_name"), F.lit("native").alias("source_kind"), F.col("l_partkey").alias("span_ref"),
+        F.col("l_orderkey").alias("document_ref"), F.col("l_linenumber").alias("source_ordinal"), F.col("l_partkey").alias("span_ordinal"), F.col("l_partkey").alias("definition_ref"), none.alias("evidence_hash"), none.alias("properties"),
+    )
+    return graph.canonical_entities(defined).select(F.col("entity_ref").alias("l_orderkey"), F.col("span_ref").alias("l_partkey"), F.col("source_ordinal").alias("l_linenumber"))
 
 
 # Events ---------------------------------------------------------------------------------------------------------------------------------
@@ -546,7 +578,7 @@ def q_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agg15_histogram", "SELECT event_type, count(*) AS calls FROM events GROUP BY event_type")
 def q_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("calls"))
+    return evaluate.histogram(table(spark, sf_dir, "events"), "event_type").withColumnRenamed("n", "calls")
 
 
 @query("stream_event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS calls, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -558,11 +590,11 @@ def q_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Evaluation ---------------------------------------------------------------------------------------------------------------------------------
 
-_GOLD = "SELECT item_id AS fact, doc_id FROM benchmark JOIN documents ON contains(documents.text, left(benchmark.text, 80))"
+_GOLD = "SELECT item_id AS fact, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)"
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("fact"), F.left("text", F.lit(80)).alias("quote"))
+    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("fact"), F.col("text").alias("quote"))
     return evaluate.gold_references(span_rows(spark, sf_dir), quotes)
 
 
@@ -577,10 +609,9 @@ _RANKS = f"""WITH g AS ({_GOLD}), r AS (SELECT doc_id, row_number() OVER (ORDER
 
 def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts ranked as if every task returned the documents by size."""
-    order = Window.partitionBy("all").orderBy(F.desc("n_chars"), "doc_id")
-    ranked = table(spark, sf_dir, "documents").withColumn("all", F.lit(0)).select(F.col("doc_id").cast("string").alias("span_ref"), F.row_number().over(order).alias("rank"))
+    placed = ranked(table(spark, sf_dir, "documents").select("n_chars", "doc_id"), "n_chars", [F.desc("n_chars"), "doc_id"], descending=True)
     gold = _gold(spark, sf_dir)
-    results = gold.join(ranked, "span_ref").select("fact", "span_ref", "rank")
+    results = gold.join(placed.select(F.col("doc_id").cast("string").alias("span_ref"), "rank"), "span_ref").select("fact", "span_ref", "rank")
     return evaluate.gold_ranks(results, gold, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("fact")))
 
 
@@ -622,17 +653,17 @@ _FEEDBACK = """WITH top AS (SELECT text, row_number() OVER (ORDER BY n_chars DES
 
 @query("agg8_feedback_cooccurrence", _FEEDBACK)
 def q_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("all").orderBy(F.desc("n_chars"), "doc_id")
+    order = Window.partitionBy("all").orderBy(F.desc("n_chars"), "doc_id")  # over the twelve rows of the limit
     top = table(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(12).withColumn("all", F.lit(0)).withColumn("rank", F.row_number().over(order))
-    terms = top.select("rank", F.explode(search.feedback_terms(F.col("text"))).alias("term"))
-    return terms.groupBy("term").agg(F.count("*").alias("sources"), F.round(F.sum(F.lit(1.0) / F.col("rank")), 6).alias("cooccurrence")).filter("sources >= 2")
+    return search.cooccurrence(top, search.feedback_terms(F.col("text"))).withColumn("cooccurrence", F.round("cooccurrence", 6))
 
 
 @query("set2_candidate_merge", "SELECT doc_id, max(s) AS bm25 FROM (SELECT doc_id, n_chars::DOUBLE AS s FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, NULL FROM documents WHERE n_chars > 1000) GROUP BY doc_id")
 def q_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    both = d.filter("lang = 'en'").select("doc_id", F.col("n_chars").cast("double").alias("s")).unionByName(d.filter("n_chars > 1000").select("doc_id", F.lit(None).cast("double").alias("s")))
-    return both.groupBy("doc_id").agg(F.max("s").alias("bm25"))
+    ref = F.col("doc_id").alias("span_ref")
+    parts = [d.filter("lang = 'en'").select(ref, F.col("n_chars").cast("double").alias("bm25")), d.filter("n_chars > 1000").select(ref, F.lit(None).cast("double").alias("bm25"))]
+    return search.merged(parts).select(F.col("span_ref").alias("doc_id"), "bm25")
 
 
 @query("joi6_chapter_entities", f"SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, CASE WHEN trim(text, ' ' || chr(10)) <> '' THEN {_ENTITY} END AS entity_ref FROM conversations")
@@ -658,12 +689,14 @@ def q_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(graph.occurrence_offsets(F.col("text"), F.lit("the"))).cast("long").alias("hits"))
 
 
-@query("evl3_exposure", "SELECT item_id, count(*) FILTER (WHERE contains(left(documents.text, 900), left(benchmark.text, 40))) > 0 AS exposed FROM benchmark CROSS JOIN documents GROUP BY item_id")
+@query("evl3_exposure")
 def q_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = span_rows(spark, sf_dir).select("span_ref", F.left("content", F.lit(900)).alias("content"))
-    b = table(spark, sf_dir, "benchmark")
-    gold = evaluate.gold_references(shown, b.select(F.col("item_id").alias("fact"), F.left("text", F.lit(40)).alias("quote"))).select(F.col("fact").alias("item_id")).distinct().withColumn("hit", F.lit(True))
-    return b.select("item_id").join(gold, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("exposed"))
+    """Whether an excerpt of a document that holds an item, made for the item's terms, shows one of its sentences whole."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("fact"), F.col("text").alias("quote"))
+    held = _gold(spark, sf_dir).join(b, "fact").join(span_rows(spark, sf_dir).select("span_ref", "content"), "span_ref")
+    shown = held.select("fact", search.excerpt_column(F.col("content"), search.query_terms(F.col("quote")))["excerpt"].alias("excerpt"))
+    sentences = b.select("fact", F.explode(F.split("quote", "(?<=[.!?])\\s+")).alias("quote")).filter("quote <> ''")
+    return evaluate.exposed(sentences, shown).select(F.col("fact").alias("item_id"), "exposed")
 
 
 @query("evl6_calibration", """WITH m AS (SELECT k.top_k, t.terms, w.weight, avg((value > 10 + (k.top_k - 8) * w.weight)::INT::DOUBLE) AS recall_5, avg(1 / (1 + value)) AS mrr FROM events, (VALUES (5), (8), (12)) k(top_k), (VALUES (4), (6), (8)) t(terms), (VALUES (0.15::DOUBLE), (0.25::DOUBLE), (0.35::DOUBLE)) w(weight) GROUP BY 1, 2, 3)

@@ -1,28 +1,50 @@
-"""The five tools as one object: resolve, index, explore, context, diagnose."""
+"""The five tools: resolve, index, explore, context, diagnose; one object for a work, one for all of them.
+
+``Work`` reads and writes one index.  What a read returns is bounded, so it is held as local rows, keyed by revision and
+arguments; an equal call on an unchanged index starts no job.  ``Service`` adds what callers meet: authorised roots,
+adapters, deadlines, size caps, recovery texts, and the event log.
+"""
 
 from __future__ import annotations
 
 import os
 import threading
+import time
+from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any, NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import estimate_tokens
 from loomtext.operators import context as packets
-from loomtext.operators import events as calls
-from loomtext.operators import explore, graph, indexing, spans
-from loomtext.operators.search import PRODUCTION, search
+from loomtext.operators import evidence, explore, indexing, limits
+from loomtext.operators.captures import Recorder
+from loomtext.operators.search import PRODUCTION, Index, search
+from loomtext.sources import adapters as sources
+from loomtext.sources import storage
 
 # Fixed values.
-DEADLINE_SECONDS, MAX_QUERY = 30, 2048
+DEADLINE_SECONDS, MAX_QUERY, RESULTS_HELD = 30, 2048, 128
 OPERATIONS = ("search", "entity", "neighborhood", "timeline", "document", "stats")
+MODES = ("status", "incremental", "rebuild")
 RECOVERY = {
     "WORK_REF_NOT_FOUND": "resolve the source again", "UNSUPPORTED_SOURCE": "give a Markdown, text, EPUB or project path", "INDEX_BUSY": "try again when the other writer is done",
-    "INDEX_SCHEMA_INCOMPATIBLE": "rebuild the index", "QUERY_TOO_LARGE": "shorten the query", "PATH_NOT_ALLOWED": "choose a path under an authorised root",
+    "INDEX_MISSING": "index the work first", "INDEX_SCHEMA_INCOMPATIBLE": "rebuild the index", "QUERY_TOO_LARGE": "shorten the query", "PATH_NOT_ALLOWED": "choose a path under an authorised root",
+    "SOURCE_CHANGED_DURING_READ": "try again when the sources are at rest", "TIME_LIMIT_EXCEEDED": "ask for less, or try again",
 }
+TABLES = ("documents", "spans", "definitions", "entities", "aliases", "mentions", "edges", "evidence", "unresolved")
+
+
+class Result(NamedTuple):
+    """Rows of a read, in order, and what is to be said about them."""
+
+    rows: DataFrame
+    diagnostics: list[dict]
+    ambiguous: DataFrame
+    metrics: dict
 
 
 def within(roots: list[str], path: str) -> str:
@@ -35,13 +57,23 @@ def within(roots: list[str], path: str) -> str:
     return real
 
 
-def timed(spark: SparkSession, tag: str, work: Callable, seconds: int = DEADLINE_SECONDS):  # noqa: ANN201
+def timed(spark: SparkSession, tag: str, work: Callable[[], Any], seconds: float = DEADLINE_SECONDS) -> Any:  # noqa: ANN401
     """Run ``work`` under a tag that a timer interrupts."""
     spark.addTag(tag)
-    timer = threading.Timer(seconds, lambda: spark.interruptTag(tag))
+    late = threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.interruptTag(tag)
+
+    timer = threading.Timer(seconds, stop)
     timer.start()
     try:
         return work()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"TIME_LIMIT_EXCEEDED: {tag} took more than {seconds} seconds") from e
+        raise
     finally:
         timer.cancel()
         spark.removeTag(tag)
@@ -54,96 +86,331 @@ class Work:
     spark: SparkSession
     root: str
     held: dict[str, DataFrame] = field(default_factory=dict)
+    manifest: dict | None = None
+    seen: list | None = None
+    results: OrderedDict = field(default_factory=OrderedDict)
+
+    def __post_init__(self) -> None:
+        self.spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", "1024")  # lists of chosen rows reach the scan
+
+    # Writing ---------------------------------------------------------------------------------------------------------
+
+    def _state(self) -> dict | None:
+        """The current revision; tables and results of another one are forgotten."""
+        stamps = storage.stamps(self.spark, f"{self.root}/valid")
+        if stamps != self.seen:
+            found = indexing.current_revision(self.spark, self.root)
+            self.manifest, self.seen = found, stamps
+            self.held.clear()
+            self.results.clear()
+        return self.manifest
+
+    def status(self, documents: DataFrame) -> dict:
+        """Whether the index is of ``documents`` (with hashes); nothing is written."""
+        state = self._state()
+        freshness = indexing.freshness(documents, self.table("documents") if state else None)
+        return {"freshness": freshness, "revision": state["revision"] if state else 0}
 
     def index(self, documents: DataFrame, mode: str = "incremental") -> dict:
-        """status, incremental or rebuild.  Nothing is written when nothing changed."""
+        """status, incremental or rebuild.  Nothing is written when nothing changed; a change derives only what it touches
+        (``derived_spans`` spans).  An index of another schema is rebuilt."""
+        if mode not in MODES:
+            raise ValueError(f"INVALID_MODE: {mode}")
         documents = documents.withColumn("content_hash", F.sha2("content", 256))
         documents = documents.withColumn("semantic_hash", indexing.semantic_hash(documents))
-        stored = indexing.read_table(self.spark, self.root, "documents") if indexing.current_revision(self.spark, self.root) else None
-        state = indexing.freshness(documents, stored)
-        if mode == "status" or (mode == "incremental" and state == "fresh"):
-            return {"freshness": state, "revision": (indexing.current_revision(self.spark, self.root) or {}).get("revision", 0)}
-        empty = documents.limit(0)
-        counted = {r["status"]: r["n"] for r in indexing.diff_counts(indexing.diff(documents, stored if stored is not None and mode == "incremental" else empty)).collect()}
-        cut = spans.spans(documents)
-        if stored is not None and mode == "incremental":  # spans of unchanged documents are kept as they are
-            changed = indexing.diff(documents, stored).filter("status <> 'skipped'").select("document_ref")
-            live = documents.join(changed, "document_ref", "left_anti")
-            old = indexing.read_table(self.spark, self.root, "spans").join(live.select("document_ref"), "document_ref", "left_semi")
-            cut = spans.spans(documents.join(changed, "document_ref", "left_semi")).unionByName(old)
-        tables = graph.build(documents, cut)
-        revision = indexing.publish(self.spark, self.root, tables, counted, {"documents": "document_ref", "spans": "span_ref", "entities": "entity_ref"})
-        self.held.clear()
-        return {"freshness": "fresh", "revision": revision, "stats": counted}
+        notes = []
+        try:
+            before = self.status(documents)
+        except ValueError as e:
+            if mode == "status" or "INDEX_SCHEMA_INCOMPATIBLE" not in str(e):
+                raise
+            indexing.remove_index(self.spark, self.root)
+            before, notes = self.status(documents), [{"code": "INDEX_SCHEMA_REBUILT"}]
+        if mode == "status" or (mode == "incremental" and before["freshness"] == "fresh"):
+            return before | {"diagnostics": [{"code": "INDEX_SOURCE_CHANGED"}] if before["freshness"] == "stale" else []}
+        with indexing.WriterLock(self.spark, self.root):
+            old = None
+            if before["revision"] and mode == "incremental":
+                old = {n: self.table(n) for n in (*TABLES, "postings")}
+            against = self.table("documents") if before["revision"] and mode == "incremental" else documents.limit(0)
+            counted = {r["status"]: r["n"] for r in indexing.diff_counts(indexing.diff(documents, against)).collect()}
+            draft = indexing.Draft(self.spark, self.root)
+            stats = counted | {"derived_spans": indexing.derive(documents, old, draft)}
+            revision = draft.commit(stats, {"documents": "document_ref", "spans": "span_ref", "entities": "entity_ref", "mentions": "mention_ref", "edges": "edge_ref"})
+            indexing.recover(self.spark, self.root)
+        self._state()
+        return {"freshness": "fresh", "revision": revision, "stats": counted, "derived_spans": stats["derived_spans"], "diagnostics": notes}
+
+    # Reading -----------------------------------------------------------------------------------------------------------
 
     def table(self, name: str) -> DataFrame:
         if name not in self.held:
-            self.held[name] = indexing.read_table(self.spark, self.root, name)
+            self.held[name] = indexing.read_table(self.spark, self.root, name, self.manifest)
         return self.held[name]
 
     def tables(self) -> dict[str, DataFrame]:
-        return {n: self.table(n) for n in ("documents", "spans", "definitions", "entities", "aliases", "mentions", "edges", "evidence", "unresolved")}
+        return {n: self.table(n) for n in TABLES}
 
     def rows(self) -> DataFrame:
-        docs = self.table("documents").select("work_ref", "document_ref", "relative_path", "title", F.col("kind"), "source_ordinal")
-        return self.table("spans").join(docs, ["work_ref", "document_ref"])
+        """Spans with what their documents say."""
+        known = ["work_ref", "document_ref", "relative_path", "title", "kind", "source_ordinal"]
+        docs = self.table("documents")
+        return self.table("spans").join(docs.select(*known, *(c for c in ("segments", "source_start_line") if c in docs.columns)), ["work_ref", "document_ref"])
 
-    def explore(self, operation: str, query: str = "", limit: int = 20, max_hops: int = 2, target_chapter: int | None = None) -> tuple[DataFrame, list[dict]]:
+    def search_index(self) -> Index:
+        if "sizes" not in self.held:
+            self.held["sizes"] = self.rows().select("span_ref", "n_trigrams", "source_ordinal", "ordinal")
+        return Index(self.table("postings"), self.table("terms"), self.held["sizes"], self.manifest["search"]["spans"], self.manifest["search"]["average"])
+
+    def _held(self, key: tuple, make: Callable[[], Any]) -> Any:  # noqa: ANN401
+        """The result of an equal call on this revision, or a new one; the least recently used goes first."""
+        state = self._state()
+        if state is None:
+            raise ValueError("INDEX_MISSING")
+        key = (state["revision"], *key)
+        if key not in self.results:
+            self.results[key] = make()
+            while len(self.results) > RESULTS_HELD:
+                self.results.popitem(last=False)
+        self.results.move_to_end(key)
+        return self.results[key]
+
+    def _local(self, df: DataFrame) -> DataFrame:
+        """A bounded result as local rows: reading it again starts no job."""
+        return self.spark.createDataFrame(df.collect(), df.schema)
+
+    def explore(self, operation: str, query: str = "", limit: int = 20, max_hops: int = 2, target_chapter: int | None = None) -> Result:
         if operation not in OPERATIONS:
             raise ValueError(f"unknown operation {operation}")
         if len(query) > MAX_QUERY:
             raise ValueError("QUERY_TOO_LARGE")
-        limit, tables = explore.clamp_limit(limit), self.tables()
+        limit = explore.clamp_limit(limit)
+        return self._held((operation, query, limit, max_hops, target_chapter), lambda: self._explored(operation, query, limit, max_hops, target_chapter))
+
+    def _explored(self, operation: str, query: str, limit: int, max_hops: int, target_chapter: int | None) -> Result:
+        began = time.monotonic()
+        rows, notes, other, more = self._read(operation, query, limit, max_hops, target_chapter)
+        rows = self._local(rows)
+        other = self.spark.createDataFrame([], "ref string") if other is None else self._local(other.limit(limit))
+        n = rows.count()
+        metrics = {"candidate_count": n, "returned_count": n, "visited_nodes": n, "max_actual_hops": 0, "omitted_estimate": 0} | more
+        return Result(rows, notes, other, metrics | {"elapsed_ms": round(1000 * (time.monotonic() - began), 3)})
+
+    def _read(self, operation: str, query: str, limit: int, max_hops: int, target_chapter: int | None) -> tuple[DataFrame, list[dict], DataFrame | None, dict]:
+        tables = self.tables()
         if operation == "search":
-            known = {r["normalized_alias"] for r in tables["aliases"].select("normalized_alias").distinct().limit(10_000).collect()}
-            return search(self.rows(), query, limit, PRODUCTION, known)
+            found, notes = search(self.rows(), query, limit, PRODUCTION, tables["aliases"], index=self.search_index())
+            return found, notes, None, {}
         if operation == "entity":
-            found, _, notes = explore.entity_lookup(tables, query, limit)
-            return found, notes
+            found, other, notes = explore.entity_lookup(tables, query, limit)
+            return found, notes, other, {}
         if operation == "neighborhood":
-            found, _, notes = explore.entity_lookup(tables, query, limit)
-            seeds = found.select(F.col("entity_ref").alias("ref"))
-            named = self.spark.createDataFrame([(query,)], "ref string")
-            direct = explore.resolve_nodes(named, tables).select("ref")
-            if direct.take(1):
-                seeds, notes = direct, []
-            if any(n["code"] == "AMBIGUOUS_ENTITY" for n in notes):
-                return found, notes
-            refs = tables["entities"].select(F.col("entity_ref").alias("ref")).unionByName(tables["spans"].select(F.col("span_ref").alias("ref"))).unionByName(tables["documents"].select(F.col("document_ref").alias("ref")))
-            return explore.neighborhood(tables["edges"], seeds, max_hops, refs).limit(limit), notes
+            return self._neighbours(tables, query, limit, max_hops)
         if operation == "timeline":
             places = explore.chapter_positions(tables["documents"])
             chapters = tables["entities"].filter("kind = 'Chapter'").select("document_ref", F.col("entity_ref").alias("ref"))
             positions = places.join(chapters, "document_ref").select("ref", "position")
             shape = [F.col("valid_from_chapter").alias("valid_from"), F.col("valid_to_chapter").alias("valid_to")]
-            items = tables["entities"].select(F.col("entity_ref").alias("ref"), F.col("name").alias("heading"), *shape, "narrative_time")
-            links = tables["edges"].filter("kind = 'precedes'").select(F.col("edge_ref").alias("ref"), F.concat_ws(" → ", "source_ref", "target_ref").alias("heading"), *shape, F.lit(None).cast("string").alias("narrative_time"))
-            return explore.timeline(items.unionByName(links), positions, query, target_chapter, limit), [{"code": "TIMELINE_PROJECTION"}]
+            items = tables["entities"].select(F.col("entity_ref").alias("ref"), F.col("name").alias("heading"), "kind", "span_ref", *shape, "narrative_time")
+            links = explore.named_edges(tables["edges"].filter("kind = 'precedes'"), tables["entities"]).select(F.col("edge_ref").alias("ref"), F.concat_ws(" → ", "source_name", "target_name").alias("heading"), "kind", "span_ref", *shape, F.lit(None).cast("string").alias("narrative_time"))
+            found = explore.timeline(items.unionByName(links), positions, query, target_chapter, limit)
+            return found, [{"code": "TIMELINE_PROJECTION"}], None, {}
         if operation == "document":
-            return explore.document_lookup(self.rows(), query, limit=limit), []
-        return explore.corpus_stats(tables), []
+            return explore.document_lookup(self.rows(), query, limit=limit), [], None, {}
+        return explore.corpus_stats(tables), [], None, {}
+
+    def _neighbours(self, tables: dict[str, DataFrame], query: str, limit: int, max_hops: int) -> tuple[DataFrame, list[dict], DataFrame | None, dict]:
+        found, other, notes = explore.entity_lookup(tables, query, limit)
+        seeds = found.select(F.col("entity_ref").alias("ref"))
+        direct = explore.resolve_nodes(self.spark.createDataFrame([(query,)], "ref string"), tables).select("ref")
+        if direct.take(1):
+            seeds, notes = direct, []
+        if any(n["code"] == "AMBIGUOUS_ENTITY" for n in notes):
+            return found, notes, other, {}
+        refs = tables["entities"].select(F.col("entity_ref").alias("ref")).unionByName(tables["spans"].select(F.col("span_ref").alias("ref"))).unionByName(tables["documents"].select(F.col("document_ref").alias("ref")))
+        walked, omitted = explore.neighborhood_counted(tables["edges"], seeds, max_hops, refs)
+        hops = walked.agg(F.count("*").alias("n"), F.max("hop").alias("hops")).first()
+        return walked.limit(limit), notes, other, {"candidate_count": hops["n"], "visited_nodes": hops["n"], "max_actual_hops": hops["hops"] or 0, "omitted_estimate": max(0, hops["n"] - limit) + omitted}
+
+    def items(self, operation: str, result: Result) -> DataFrame:
+        """The result's rows as items with evidence, in order (``place``)."""
+        spans = self.rows()
+        order = self.spark.createDataFrame([(k, r) for k, r in enumerate(self._refs(operation, result))], "place int, ref string")
+        if operation in ("search", "document"):
+            extra = [c for c in ("score", "excerpt", "pieces", "trust") if c in result.rows.columns]
+            found = result.rows.select(F.col("span_ref").alias("ref"), F.lit("span").alias("kind"), F.col("heading").alias("title"), "content", "document_ref", "relative_path", "start_line", "end_line", *extra)
+            more = self.table("documents").select("document_ref", *(c for c in ("segments", "source_start_line") if c in self.table("documents").columns))
+            found = found.join(F.broadcast(more.join(F.broadcast(found.select("document_ref").distinct()), "document_ref", "left_semi")), "document_ref")
+            if "trust" in found.columns:
+                found = found.withColumn("source_kind", F.col("trust"))
+        elif operation == "stats":
+            counts = F.to_json(F.struct(*result.rows.columns))
+            found = result.rows.select(F.lit("stats").alias("ref"), F.lit("stats").alias("kind"), F.lit("stats").alias("title"), counts.alias("content"), F.lit("").alias("document_ref"), F.lit("").alias("relative_path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"))
+        else:
+            if operation == "timeline":
+                at = result.rows.select("ref", "kind", F.col("heading").alias("title"), "span_ref")
+            elif operation == "entity" or "entity_ref" in result.rows.columns:
+                at = result.rows.select(F.col("entity_ref").alias("ref"), "kind", F.col("name").alias("title"), "span_ref", "score", "source_kind", "confidence")
+            else:
+                named = explore.resolve_nodes(result.rows.select("ref"), self.tables())
+                at = named.select("ref", F.col("node_kind").alias("kind"), F.col("heading").alias("title"), "span_ref").join(result.rows.select("ref", "score", "hop", "path", "via"), "ref")
+            found = at.join(spans.drop("kind", "title", "heading", "ordinal"), "span_ref")
+        shaped = evidence.items(found, self.manifest["revision"])
+        return shaped.join(F.broadcast(order), "ref").orderBy("place")
+
+    @staticmethod
+    def _refs(operation: str, result: Result) -> list[str]:
+        if operation == "stats":
+            return ["stats"]
+        column = next(c for c in ("span_ref" if operation in ("search", "document") else "ref", "entity_ref") if c in result.rows.columns)
+        return [r[0] for r in result.rows.select(column).collect()]
+
+    def context(self, query: str, budget: int, required: list[str] = (), excluded: list[str] = (), pinned: list[str] = (), target_chapter: int | None = None, entity_refs: list[str] = (), document_refs: list[str] = (), task_type: str | None = None) -> DataFrame:
+        """The packet, one row.  Pinned references are entities and documents that should be in it; ``task_type`` is kept
+        with the packet and changes nothing."""
+        packets.check_request(budget, list(required), list(excluded), list(pinned), list(entity_refs), list(document_refs))
+        pins = tuple(dict.fromkeys([*pinned, *entity_refs, *document_refs]))
+        key = ("context", query, budget, tuple(required), tuple(excluded), pins, target_chapter, task_type)
+        return self._held(key, lambda: self._local(self._packed(query, budget, list(required), list(excluded), list(pins), target_chapter).withColumn("task_type", F.lit(task_type).cast("string"))))
 
-    def context(self, query: str, budget: int, required: list[str] = (), excluded: list[str] = (), pinned: list[str] = (), target_chapter: int | None = None) -> DataFrame:
-        packets.check_request(budget, list(required), list(excluded), list(pinned))
+    def _packed(self, query: str, budget: int, required: list[str], excluded: list[str], pins: list[str], target_chapter: int | None) -> DataFrame:
         tables = self.tables()
         places = explore.chapter_positions(tables["documents"]).select("document_ref", "position")
-        found, _ = self.explore("search", query, packets.SEARCH_LIMIT)
-        shape = ["ref", "kind", "score", "tokens", "evidence_hash", "position"]
+        result = self.explore("search", query, packets.SEARCH_LIMIT)
+        found = result.rows
         if "excerpt" not in found.columns:  # the query had no terms
             found = found.withColumns({"excerpt": F.lit(""), "score": F.lit(0.0)})
+        shape = ["ref", "kind", "score", "tokens", "evidence_hash", "position"]
         found = found.join(places, "document_ref", "left").select(F.col("span_ref").alias("ref"), "kind", "score", estimate_tokens(F.col("excerpt")).alias("tokens"), F.sha2("excerpt", 256).alias("evidence_hash"), "position")
-        wanted = self.spark.createDataFrame([(r,) for r in dict.fromkeys([*required, *pinned])], "ref string")
-        nodes = explore.resolve_nodes(wanted, tables).join(tables["spans"].select("span_ref", "document_ref", F.left("content", F.lit(900)).alias("excerpt")), "span_ref").join(places, "document_ref", "left")
-        direct = nodes.select("ref", F.col("node_kind").alias("kind"), F.lit(1.0).alias("score"), estimate_tokens(F.col("excerpt")).alias("tokens"), F.sha2("excerpt", 256).alias("evidence_hash"), "position")
-        return packets.assemble(found.select(*shape), direct.select(*shape), budget, list(required), list(excluded), list(pinned), target_chapter)
+        asked = list(dict.fromkeys([*required, *pins]))
+        if asked:
+            wanted = self.spark.createDataFrame([(r,) for r in asked], "ref string")
+            nodes = explore.resolve_nodes(wanted, tables).join(tables["spans"].select("span_ref", "document_ref", F.left("content", F.lit(900)).alias("excerpt")), "span_ref").join(places, "document_ref", "left")
+            direct = nodes.select("ref", F.col("node_kind").alias("kind"), F.lit(1.0).alias("score"), estimate_tokens(F.col("excerpt")).alias("tokens"), F.sha2("excerpt", 256).alias("evidence_hash"), "position")
+        else:
+            direct = found.limit(0)
+        return packets.assemble(self._local(found.select(*shape)), self._local(direct.select(*shape)), budget, required, excluded, pins, target_chapter)
+
+
+@dataclass
+class Service:
+    """All works under the authorised roots: paths become works, calls are timed, capped and recorded."""
+
+    spark: SparkSession
+    home: str
+    roots: list[str]
+    adapters: list[sources.Adapter] = field(default_factory=lambda: [sources.TextAdapter()])
+    candidates: dict[str, sources.Candidate] = field(default_factory=dict)
+    works: dict[str, Work] = field(default_factory=dict)
+    fingerprints: dict[str, str] = field(default_factory=dict)
+    deadline: float = DEADLINE_SECONDS
+    cap: int = limits.RESPONSE_BYTES
+
+    def recorder(self, work_ref: str) -> Recorder:
+        return Recorder(self.spark, f"{self.home}/diagnostics/{work_ref.replace(':', '-')}", work_ref)
+
+    def work(self, work_ref: str) -> Work:
+        if work_ref not in self.candidates:
+            raise ValueError(f"WORK_REF_NOT_FOUND: {work_ref}")
+        if work_ref not in self.works:
+            self.works[work_ref] = Work(self.spark, f"{self.home}/index/{work_ref.replace(':', '-')}")
+        return self.works[work_ref]
+
+    def _adapter(self, candidate: sources.Candidate) -> sources.Adapter:
+        return next(a for a in self.adapters if a.name == candidate.adapter)
+
+    def _called(self, tool: str, work_ref: str | None, given: dict, run: str | None, make: Callable[[], dict]) -> dict:
+        """One call: under the deadline, within the byte cap, and in the log of its work."""
+        began = time.monotonic()
+        try:
+            out = limits.fit(tool, evidence.without_paths(timed(self.spark, f"{tool}-{threading.get_ident()}", make, self.deadline)), self.cap)
+        except Exception as e:
+            code = str(e).partition(":")[0]
+            if work_ref in self.candidates:
+                self.recorder(work_ref).record(tool, "failure", given, None, 1000 * (time.monotonic() - began), code, run)
+            if code in RECOVERY:
+                e.add_note(f"recovery: {RECOVERY[code]}")
+            raise
+        if work_ref in self.candidates:
+            self.recorder(work_ref).record(tool, "success", given, out, 1000 * (time.monotonic() - began), None, run, out.get("revision"))
+        return out
+
+    def resolve(self, path: str, hint: str | None = None) -> dict:
+        def make() -> dict:
+            found = sources.resolve(self.spark, within(self.roots, path), self.adapters, hint)
+            self.candidates |= {c.work_ref: c for c in found["candidates"]}
+            return found | {"candidates": [{"work_ref": c.work_ref, "adapter": c.adapter, "title": c.title, "sourcePath": c.path} for c in found["candidates"]]}
+
+        return self._called("resolve", None, {"path": path, "adapter_hint": hint}, None, make)
+
+    def index(self, work_ref: str, mode: str = "incremental", run: str | None = None) -> dict:
+        work = self.work(work_ref)
+
+        def make() -> dict:
+            candidate = self.candidates[work_ref]
+            documents, fingerprint = sources.load_consistent(self.spark, self._adapter(candidate), candidate)
+            try:
+                out = work.index(documents, mode)
+            finally:
+                documents.unpersist()
+            if mode != "status":
+                self.fingerprints[work_ref] = fingerprint
+            return {"work_ref": work_ref, **out}
+
+        seconds, self.deadline = self.deadline, max(self.deadline, indexing.LOCK_SECONDS)  # an index has no reader's deadline
+        try:
+            return self._called("index", work_ref, {"work_ref": work_ref, "mode": mode}, run, make)
+        finally:
+            self.deadline = seconds
+
+    def ensure_fresh(self, work_ref: str) -> None:
+        """Index again if the sources are not as they were indexed."""
+        candidate = self.candidates.get(work_ref)
+        if candidate and self._adapter(candidate).snapshot(self.spark, candidate) != self.fingerprints.get(work_ref):
+            self.index(work_ref)
+
+    def explore(self, work_ref: str, operation: str, query: str = "", limit: int = 20, max_hops: int = 2, target_chapter: int | None = None, run: str | None = None) -> dict:
+        work = self.work(work_ref)
+
+        def make() -> dict:
+            result = work.explore(operation, query, limit, max_hops, target_chapter)
+            results = [r["item"].asDict(True) for r in work.items(operation, result).select("item").collect()]
+            return {
+                "work_ref": work_ref, "revision": work.manifest["revision"], "freshness": "fresh", "operation": operation, "results": results,
+                "ambiguous": [r.asDict(True) for r in result.ambiguous.collect()], "truncated": False, "metrics": dict(result.metrics), "diagnostics": list(result.diagnostics),
+            }
+
+        return self._called("explore", work_ref, {"work_ref": work_ref, "operation": operation, "query": query, "limit": limit}, run, make)
+
+    def context(self, work_ref: str, query: str, budget: int, run: str | None = None, **options: Any) -> dict:  # noqa: ANN401
+        """A packet with the excerpts of its blocks; what does not fit the byte cap is omitted as ``response_limit``."""
+        work = self.work(work_ref)
 
+        def make() -> dict:
+            packet = work.context(query, budget, **options).first()
+            details = packets.block_details(work, packet, query, list(options.get("required", ())))
+            kept = limits.reduce_context(details, limits.json_bytes(F.struct(*details.columns)), self.cap - 4096, ["one"]).orderBy("place").collect()
+            gone = {r["ref"]: r["tokens"] for r in kept if not r["returned"]}
+            blocks = [r.asDict(True) for r in details.join(F.broadcast(self.spark.createDataFrame([(r["ref"],) for r in kept if r["returned"]], "ref string")), "ref").drop("one").orderBy("place").collect()]
+            omitted = [o.asDict() for o in packet["omitted"] if o["ref"] not in gone] + [{"ref": k, "reason": "response_limit", "tokens": v} for k, v in gone.items()]
+            status = "truncated" if gone and packet["status"] == "complete" else packet["status"]
+            return {"work_ref": work_ref, "revision": work.manifest["revision"], "status": status, "budget_tokens": budget, "used_tokens": sum(b["tokens"] for b in blocks), "blocks": blocks, "omitted": omitted, "task_type": packet["task_type"], "estimated": True}
 
-def resolve(candidates: list[dict]) -> dict:
-    """0, 1 or many candidates -> unsupported, resolved or ambiguous."""
-    status = "unsupported" if not candidates else "resolved" if len(candidates) == 1 else "ambiguous"
-    return {"status": status, "work_ref": candidates[0]["work_ref"] if status == "resolved" else None, "candidates": candidates}
+        return self._called("context", work_ref, {"work_ref": work_ref, "query": query, "budget_tokens": budget}, run, make)
 
+    def diagnose(self, work_ref: str, action: str = "inspect", run: str | None = None, **options: Any) -> dict:  # noqa: ANN401
+        recorder = self.recorder(self.work(work_ref) and work_ref)
+        if action == "start":
+            return {"diagnostic_run_ref": recorder.start_capture(**options)}
+        if action == "finish":
+            return evidence.without_paths(recorder.finish_capture(run or "", **options))
+        if action != "inspect":
+            raise ValueError(f"INVALID_DIAGNOSTIC_REQUEST: {action}")
+        return limits.fit("diagnose", recorder.inspect(**options), self.cap)
 
-def diagnose(events: DataFrame, work_ref: str, limit: int = 20) -> DataFrame:
-    """Health of a work over its last calls."""
-    return calls.inspect(events.filter(F.col("work_ref") == work_ref), ["work_ref"], "sequence", F.col("outcome") != "success", limit)
+    def remove(self, work_ref: str) -> bool:
+        """Delete the derived data of a work, unless a capture is active."""
+        done = indexing.remove_index(self.spark, self.work(work_ref).root, self.recorder(work_ref).active())
+        self.works.pop(work_ref, None)
+        self.fingerprints.pop(work_ref, None)
+        return done

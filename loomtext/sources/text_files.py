@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from pyspark.sql.types import StringType
 
 from loomtext.functions.numerals import CHAPTER_LINE, chapter_number_col, chapter_of_col
 from loomtext.functions.text import js_trim, lines_of, stable_id
+from loomtext.sources import storage
 
 # Fixed values.
 EXTENSIONS = "md|markdown|txt|epub"
@@ -16,28 +20,53 @@ MAX_FILE, MAX_WORK = 16 << 20, 64 << 20
 CHAPTER_HINT, CHARACTER_HINT = "chapter|章节|第.+[章回节]", "character|role|人物|角色"
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    """(path, relative_path, length, modificationTime, content) of readable sources; content is read only if used."""
+def _plain(path: str) -> str:
+    """A path without its scheme and the slash at its end."""
+    return re.sub("^[a-z]+:/+", "/", path).rstrip("/")
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, relative_path, length, modificationTime, content) of all files under ``root`` but hidden ones; content is
+    read only if used."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").removeprefix("file:").lstrip("/")
-    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", ""), "^" + "\\Q" + base + "\\E/?", "")
-    hidden = rel.rlike("(^|/)(\\.|node_modules/)")
-    return files.withColumn("relative_path", rel).filter(rel.rlike(f"(?i)\\.({EXTENSIONS})$") & ~hidden)
+    base = _plain(root)
+    plain = F.regexp_replace("path", "^[a-z]+:/+", "/")
+    rel = F.when(plain == base, F.regexp_extract(plain, "([^/]*)$", 1)).otherwise(F.regexp_replace(plain, "^" + "\\Q" + base + "\\E/?", ""))
+    return files.withColumn("relative_path", rel).filter(~F.col("relative_path").rlike("(^|/)(\\.|node_modules/)"))
+
+
+def escaping_links(spark: SparkSession, root: str) -> list[str]:
+    """Links under a local folder that lead out of it.  Other stores have no links."""
+    if storage.handle(spark, root)[1].getUri().getScheme() != "file":
+        return []
+    base, out = os.path.realpath(_plain(root)), []
+    for folder, folders, names in os.walk(base, followlinks=False):
+        out += [at for n in (*folders, *names) if os.path.islink(at := os.path.join(folder, n)) and os.path.commonpath([base, os.path.realpath(at)]) != base]
+    return sorted(out)
+
+
+def discover(spark: SparkSession, root: str) -> DataFrame:
+    """The readable sources of :func:`listing`, with ``is_book``; a link that leaves ``root`` is refused."""
+    if links := escaping_links(spark, root):
+        raise ValueError(f"PATH_NOT_ALLOWED: {links[0]} leads out of the source")
+    name = F.col("relative_path")
+    return listing(spark, root).filter(name.rlike(f"(?i)\\.({EXTENSIONS})$")).withColumn("is_book", name.rlike("(?i)\\.epub$"))
 
 
 def check_sizes(files: DataFrame, most: int = MAX_FILE, total: int = MAX_WORK) -> None:
-    """Refuse too large sources before any content is read."""
-    found = files.agg(F.max("length").alias("most"), F.sum("length").alias("total")).first()
+    """Refuse too large sources before any content is read: by file, and by work where there are several."""
+    by = ["work_ref"] if "work_ref" in files.columns else []
+    found = files.groupBy(*by).agg(F.max("length").alias("most"), F.sum("length").alias("total")).agg(F.max("most").alias("most"), F.max("total").alias("total")).first()
     if (found["most"] or 0) > most:
         raise ValueError("SOURCE_FILE_TOO_LARGE")
     if (found["total"] or 0) > total:
         raise ValueError("SOURCE_TOTAL_TOO_LARGE")
 
 
-def works(files: DataFrame) -> DataFrame:
+def works(files: DataFrame, root: str) -> DataFrame:
     """Files with their work: each book package is one, all text files together are another."""
-    own = F.col("relative_path").rlike("(?i)\\.epub$")
-    return files.withColumn("work_path", F.when(own, F.col("path")).otherwise(F.lit(""))).withColumn("work_ref", stable_id("work", F.lit("generic"), F.col("work_path")))
+    path = F.when(F.col("is_book"), F.regexp_replace("path", "^[a-z]+:/+", "/")).otherwise(F.lit(_plain(root)))
+    return files.withColumn("work_path", path).withColumn("work_ref", stable_id("work", F.lit("generic"), F.col("work_path")))
 
 
 def snapshot(files: DataFrame) -> DataFrame:
@@ -88,11 +117,22 @@ def document_kind(path: Column, title: Column) -> Column:
 def markdown_documents(files: DataFrame) -> DataFrame:
     """files(work_ref, relative_path, content) -> one document each."""
     rows = files.withColumn("content", decode_text(F.col("content"))).withColumn("title", markdown_title(F.col("content"), F.col("relative_path")))
-    rows = rows.withColumns({"kind": document_kind(F.col("relative_path"), F.col("title")), "document_ref": stable_id("doc", F.col("work_ref"), F.col("relative_path")), "source_start_line": F.lit(1), "chapter_number": chapter_of_col("title")})
+    rows = rows.withColumns({"kind": document_kind(F.col("relative_path"), F.col("title")), "document_ref": stable_id("doc", F.col("work_ref"), F.col("relative_path")), "source_start_line": F.lit(1), "chapter_number": chapter_of_col(F.col("title"))})
     order = Window.partitionBy("work_ref").orderBy(F.collate("relative_path", "UNICODE"))
     return rows.withColumn("source_ordinal", F.row_number().over(order) - 1)
 
 
+def text_documents(files: DataFrame) -> DataFrame:
+    """files(work_ref, relative_path, content text) without chapter lines -> one document each, named by the file."""
+    title = base_name(F.col("relative_path"))
+    return files.select("work_ref", stable_id("doc", F.col("work_ref"), F.col("relative_path")).alias("document_ref"), "relative_path", title.alias("title"), document_kind(F.col("relative_path"), title).alias("kind"), "content", chapter_of_col(title).alias("chapter_number"), F.lit(1).alias("source_start_line"))
+
+
+def corpus_sizes(rows: DataFrame, group: str, text: Column) -> DataFrame:
+    """(group, files, chars, bytes) of the texts of a corpus."""
+    return rows.groupBy(group).agg(F.count("*").alias("files"), F.sum(F.length(text)).alias("chars"), F.sum(F.octet_length(text)).alias("bytes"))
+
+
 def volume_number(number: Column, order: Window) -> Column:
     """struct-free running volume: a number that does not rise starts a new one.  Use in two steps, see chapters()."""
     return F.when(number <= F.lag(number).over(order), 1).otherwise(0)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomtext.operators.indexing import publish
+from loomtext.sources import storage
 
 
 def event_windows(events: DataFrame, time: str = "ts", kind: str = "event_type", value: str = "value", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -38,11 +38,35 @@ def event_counts(spark: SparkSession, path: str, at: str) -> DataFrame:
     return spark.read.parquet(f"{out}/parts").groupBy("event_type").agg(F.sum("calls").alias("calls"), F.sum("total").alias("total"))
 
 
-def index_stream(spark: SparkSession, source: str, schema: StructType, root: str, build, state: str) -> None:  # noqa: ANN001
-    """Publish a new revision for each batch of changed sources; ``build(batch)`` gives the tables."""
+def index_stream(spark: SparkSession, source: str, schema: StructType, work, state: str) -> list[dict]:  # noqa: ANN001
+    """Bring the index of ``work`` up to date with each batch of changed documents, and give what each batch did.
 
-    def add(batch: DataFrame, number: int) -> None:
-        if batch.limit(1).count():
-            publish(spark, root, build(batch))
+    A batch holds the new state of some documents (a null content: the document is gone); all others stay.  The batch is
+    laid over the documents that the index knows, so a batch that is run again changes nothing.
+    """
+    done: list[dict] = []
 
-    spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(add).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    def add(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        latest = batch.groupBy("document_ref").agg(F.max_by(F.struct(*batch.columns), "version").alias("d")).select("d.*") if "version" in batch.columns else batch.dropDuplicates(["document_ref"])
+        stored = merged(work, latest.drop("version"), f"{state}/documents")
+        done.append(work.index(stored))
+
+    spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(add).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return done
+
+
+def merged(work, batch: DataFrame, at: str) -> DataFrame:  # noqa: ANN001
+    """The documents of all batches so far, the last state of each: written beside the stream's state, one folder a batch."""
+    spark = batch.sparkSession
+    known = [int(n.partition("=")[2]) for n in storage.names(spark, at) if n.startswith("state=")]
+    last = max(known, default=0)
+    live = batch.filter("content is not null")
+    if known:
+        before = spark.read.parquet(f"{at}/state={last}")
+        live = before.join(batch.select("document_ref"), "document_ref", "left_anti").unionByName(live, allowMissingColumns=True)
+    live.write.mode("overwrite").parquet(f"{at}/state={last + 1}")
+    for n in known[:-1]:
+        storage.delete(spark, f"{at}/state={n}")
+    return spark.read.parquet(f"{at}/state={last + 1}")

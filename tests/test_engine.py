@@ -1,18 +1,28 @@
 """Behaviour of the operators on small invented inputs."""
 
+import hashlib
 import io
+import json
+import math
+import os
 import random
+import re
 import sqlite3
+import time
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.functions import numerals
+from loomtext.functions import numerals, ordering
 from loomtext.functions import text as T
-from loomtext.operators import context, evaluate, explore, fulltext, graph, indexing, search, spans
-from loomtext.plans.service import Work, resolve, within
-from loomtext.sources import epub, host_snapshot, html, project, text_files
+from loomtext.operators import captures, context, evaluate, events, evidence, explore, fulltext, graph, indexing, limits, reports, search, spans
+from loomtext.plans import catalogue
+from loomtext.plans.service import Service, Work, timed, within
+from loomtext.sources import adapters, epub, host_snapshot, html, project, storage, text_files
+
+
+SF = "/root/testdata/sf0.001"
 
 
 def one(spark, column, value):
@@ -31,11 +41,19 @@ def test_names_and_literals(spark):
     assert one(spark, lambda c: T.truncate_utf8(c, 5), "aéébc") == "aéé"
 
 
-def test_numerals():
+def test_numerals(spark):
     cases = {"12": 12, "十": 10, "二十一": 21, "一百零五": 105, "九百九十九": 999, "百": 100, "一百": 100, "xiv": 14, "MMMCMXCIX": 3999, "iiii": None, "abc": None, "一百零": None, "": None}
     for written, number in cases.items():
         assert numerals.chapter_number(written) == number, written
-    assert numerals.chapter_of("第十二章 雨") == 12 and numerals.chapter_of("Chapter IV") == 4 and numerals.chapter_of("none") is None
+    titles = {"第十二章 雨": 12, "Chapter IV": 4, "none": None, "part 7": 7, "第零章 3": 3}
+    for title, number in titles.items():
+        assert numerals.chapter_of(title) == number, title
+    thousands = {"三千零五十": 3050, "二千": 2000, "一千二百三十四": 1234, "12": 12, "十": 10, "": 0, "一二": 2, "x": None}
+    for written, number in thousands.items():
+        assert numerals.evaluator_number(written) == number, written
+    for column, table in ((numerals.chapter_number_col, cases | {str(i): i for i in range(1, 30)}), (numerals.chapter_of_col, titles), (numerals.evaluator_number_col, thousands)):
+        rows = spark.createDataFrame([(k,) for k in table], "x string").select("x", column(F.col("x")).alias("y")).collect()
+        assert {r["x"]: r["y"] for r in rows} == table
 
 
 def test_spans_headings_caps_and_surrogates():
@@ -76,11 +94,17 @@ def test_graph(spark):
         graph.BROADCAST_NAMES = limit
 
 
+def test_owners_are_counted_before_any_limit(spark):
+    names = spark.createDataFrame([(str(i), "red widget" if i < 3 else f"red widget {i}") for i in range(9)], "entity_ref string, normalized_alias string")
+    assert sorted({(r["score"], r["owner_count"]) for r in explore.alias_matches(names, "Red Widget").collect()}) == [(1, 6), (2, 3)]
+
+
 def test_neighbourhood_caps_and_order(spark):
     edges = spark.createDataFrame([("hub", f"leaf{i:03}", "links", f"e{i:03}") for i in range(90)], "source_ref string, target_ref string, kind string, edge_ref string")
     found = explore.neighborhood(edges, spark.createDataFrame([("hub",)], "ref string"), 2).collect()
     assert len(found) == 65 and {r["ref"] for r in found[1:]} == {f"leaf{i:03}" for i in range(64)}
     assert found[0]["score"] == 2 and found[1]["score"] == 0.5
+    assert explore.neighborhood_counted(edges, spark.createDataFrame([("hub",)], "ref string"), 2)[1] == 1  # an overfull node counts once
 
 
 def test_bm25_equals_sqlite(spark):
@@ -94,6 +118,142 @@ def test_bm25_equals_sqlite(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+@pytest.fixture(scope="module")
+def texts(spark):
+    rng = random.Random(9)
+    words = ["amber", "brook", "cedar", "dune", "ember", "fjord", "glade", "ab", "xyz", "amb", "ridge"]
+    rows = [(f"w{i % 2}", f"s{i:03}", f"d{i:03}", f"p{i:03}.md", "chapter", rng.choice(words), " ".join(rng.choice(words) for _ in range(rng.randint(1, 60))), i, 0, 1, 1) for i in range(60)]
+    rows.append(("w0", "s900", "d900", "p900.md", "chapter", "", "", 900, 0, 1, 1))
+    return spark.createDataFrame(rows, "work_ref string, span_ref string, document_ref string, relative_path string, kind string, heading string, content string, source_ordinal int, ordinal int, start_line int, end_line int").coalesce(2).cache()
+
+
+def index_of(rows):
+    posted = fulltext.postings(rows, places=True).cache()
+    sizes = rows.withColumn("n_trigrams", fulltext.trigram_count(F.col("heading")) + fulltext.trigram_count(F.col("content"))).select("span_ref", "n_trigrams", "source_ordinal", "ordinal")
+    total = sizes.agg(F.count("*").alias("n"), F.avg("n_trigrams").alias("a")).first()
+    return search.Index(posted, fulltext.document_frequency(posted), sizes, total["n"], total["a"])
+
+
+def test_postings_hold_every_place(spark, texts):
+    rows = texts
+    want = {}
+    for r in rows.collect():
+        for field, text in (("in_heading", r["heading"]), ("in_content", r["content"])):
+            for i in range(len(text) - 2):
+                want.setdefault((r["span_ref"], text[i : i + 3]), {"in_heading": [], "in_content": []})[field].append(i)
+    got = {(r["span_ref"], r["term"]): r for r in fulltext.postings(rows, places=True).collect()}
+    assert got.keys() == want.keys()
+    for k, r in got.items():
+        assert {f: list(r[f]) for f in ("in_heading", "in_content")} == want[k] and r["tf"] == sum(map(len, want[k].values()))
+
+
+def test_indexed_search_equals_a_scan(spark, texts):
+    rows = texts
+    index = index_of(rows)
+    for phrases in (["amb"], ["amber"], ["amber brook", "xyz"], ["er em", "cedar"]):
+        scan = {r["span_ref"]: r["bm25"] for r in fulltext.add_bm25(rows, phrases).collect()}
+        found = dict(index.best(phrases, 100))
+        assert found.keys() == scan.keys() and all(abs(found[k] - scan[k]) < 1e-9 for k in scan)
+    for query, config in (("amber brook", search.PRODUCTION), ("ember ab", None), ("nothing here", None)):
+        a, b = (search.search(rows, query, 10, config, index=x)[0] for x in (None, index))
+        shape = lambda df: [(r["span_ref"], round(r["score"], 9), r["excerpt"]) for r in df.collect()] if "score" in df.columns else []
+        assert shape(a) == shape(b), query
+
+
+def test_index_search_reads_no_text_to_rank(spark, texts, tmp_path):
+    rows = texts
+    rows.write.parquet(str(tmp_path / "spans"))
+    index = index_of(spark.read.parquet(str(tmp_path / "spans")))
+    fulltext.postings(rows, places=True).write.parquet(str(tmp_path / "postings"))
+    index = search.Index(spark.read.parquet(str(tmp_path / "postings")), index.terms, spark.read.parquet(str(tmp_path / "spans")).select("span_ref", "source_ordinal", "ordinal", F.lit(1).alias("n_trigrams")), 1, 1.0)
+    plan = fulltext.indexed_bm25(index.postings, index.sizes, 1, 1.0, ["amber"])._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.replace("in_content", "") and "PushedFilters: [In(term" in plan
+
+
+def brute_search(rows, query, limit, config):
+    """The two passes, one row at a time; good for corpora under the candidate caps."""
+    terms = search.analyze_query(query)
+    n, sizes = len(rows), {r["span_ref"]: max(0, len(r["heading"]) - 2) + max(0, len(r["content"]) - 2) for r in rows}
+    average = sum(sizes.values()) / n
+
+    def hits(r, t):
+        return sum(sum(x.lower()[i : i + len(t)] == t for i in range(len(x))) for x in (r["heading"], r["content"]))
+
+    def one_pass(extra, keep):
+        out, heaviest = [], max((w for _, w in extra), default=0)
+        for r in rows:
+            low = f"{r['heading']}\n{r['content']}".lower()
+            matched, more = [t for t in terms if t in low], [t for t, _ in extra if t in low]
+            if not matched and not [t for t in more if len(t) >= 3]:
+                continue
+            bm25 = 0.0
+            for t in (t for t in terms if len(t) >= 3):
+                df = sum(hits(x, t) > 0 for x in rows)
+                f = hits(r, t)
+                bm25 += max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * sizes[r["span_ref"]] / average))
+            score = 4 * min(1, sum(map(len, matched)) / 12) + search.proximity(r["content"].lower(), matched) + 0.5 * sum(t in r["heading"].lower() for t in matched) + min(1, bm25 / 10) + (0.25 if matched else 0)
+            score += max((w for t, w in extra if t in more), default=0) * (config["weight"] / heaviest if heaviest else 0)
+            out.append((-score, r["relative_path"], r["start_line"], r["span_ref"], search.evidence_window(r["content"], [*matched, *more]), r["heading"]))
+        return sorted(out)[:keep]
+
+    first = one_pass([], max(limit, config["top_k"]))
+    seen = {}
+    for rank, x in enumerate(first[: config["top_k"]]):
+        for t in search.feedback_tokens(f"{x[5]}\n{x[4]}") - set(terms):
+            seen.setdefault(t, []).append(1 / (rank + 1))
+    pool = sorted(((t, sum(w)) for t, w in seen.items() if len(w) > 1), key=lambda x: (-x[1], x[0]))[:128]
+    weighed = [(t, w * (math.log((n + 1) / ((sum(hits(r, t) > 0 for r in rows) if len(t) == 3 else n) + 1)) + 1)) for t, w in pool]
+    added = sorted(weighed, key=lambda x: (-x[1], x[0]))[: config["terms"]]
+    return [(x[3], round(-x[0], 6)) for x in (one_pass(added, limit) if added else first[:limit])]
+
+
+def test_search_with_feedback_against_brute_force(spark, texts):
+    rows = texts
+    for query in ("amber brook", "glade xyz ridge"):
+        got, notes = search.search(rows, query, 8)
+        assert [(r["span_ref"], round(r["score"], 6)) for r in got.collect()] == brute_search(rows.collect(), query, 8, search.PRODUCTION)
+        assert notes[-1]["code"] == "PRF_EXPANDED"
+
+
+def test_context_packet_against_brute_force(spark):
+    """The packet of the best results of a search, on the smallest tables."""
+    found = search.search(catalogue.span_rows(spark, SF), catalogue.PAIR, 12, None)[0].collect()
+    tokens = {r["span_ref"]: max(1, math.ceil(1.3 * len(r["excerpt"].split()))) for r in found}
+    used, blocks, seen, omitted = 0, 0, set(), 1  # the missing reference
+    for r in sorted(found, key=lambda r: (-r["score"], r["span_ref"])):
+        if r["excerpt"] in seen:
+            omitted += 1
+            continue
+        seen.add(r["excerpt"])
+        if used + tokens[r["span_ref"]] <= 400:
+            used, blocks = used + tokens[r["span_ref"]], blocks + 1
+        else:
+            omitted += 1
+    got = catalogue.queries()["qry10_context_packet"](spark, SF).first()
+    assert (got["status"], got["used_tokens"], got["blocks"], got["omitted"]) == ("truncated", used, blocks, omitted)
+
+
+def test_exposure_against_brute_force(spark):
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    shown = dict.fromkeys(items, False)
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        for i, text in items.items():
+            if text in (r["text"] or ""):
+                terms = list(dict.fromkeys(re.findall("[a-z0-9][a-z0-9_'-]*", text.lower())))[:48]
+                excerpt = search.evidence_window(r["text"], terms)
+                shown[i] |= any(q in excerpt for q in re.split(r"(?<=[.!?])\s+", text) if q)
+    got = {r["item_id"]: r["exposed"] for r in catalogue.queries()["evl3_exposure"](spark, SF).collect()}
+    assert got == shown and any(shown.values())
+
+
+def test_gold_references_both_ways(spark, texts, monkeypatch):
+    rows = texts.select("span_ref", "content")
+    quotes = spark.createDataFrame([("a", "amber brook"), ("b", "ab"), ("c", "zz"), ("a", "cedar"), ("d", ""), ("e", "amber brook cedar dune em")], "fact string, quote string")
+    few = sorted(map(tuple, evaluate.gold_references(rows, quotes).collect()))
+    monkeypatch.setattr(evaluate, "AUTOMATON_QUOTES", 0)
+    assert few == sorted(map(tuple, evaluate.gold_references(rows, quotes).collect())) and few
+
+
 def test_query_analysis():
     assert search.analyze_query("Who is Mira-Lin, Mira?") == ["who", "is", "mira-lin", "mira"]
     assert search.analyze_query("请告诉我林小雨是谁") == ["林小雨"]
@@ -138,6 +298,11 @@ def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav>x</nav><h1>Head &amp; tail</h1><p>one<br/>two</p><script>if(a<b){}</script><!-- c --><p a='>'>three</p></body></html>"
     assert one(spark, html.html_text, page) == "Head & tail\none\ntwo\nthree"
     assert one(spark, html.first_heading, page) == "Head & tail"
+    refs = "<body>&#65;&#x1F600;&#x4e00; &amp;lt; &amp;#65; &#38;lt; &copy; &NBSP;.</body>"
+    assert one(spark, html.html_text, refs) == "A😀一 &lt; &#65; &lt; &copy;  ."
+    for bad in ("&#0;", "&#xD800;", "&#1114112;", "&#99999999999999999999;"):
+        with pytest.raises(Exception, match="EPUB_TEXT_INVALID"):
+            one(spark, html.html_text, f"<body>{bad}</body>")
 
 
 def package(items, extra=""):
@@ -160,6 +325,13 @@ def test_epub(spark):
         epub.spine(b"no")
     with pytest.raises(ValueError, match="EPUB_TOO_MANY_ENTRIES"):
         epub.spine(bytes(package(["x"])), epub.Limits(entries=1))
+    with pytest.raises(ValueError, match="EPUB_ATTRIBUTE_INVALID"):
+        epub.spine(bytes(package(["x"], '<item id="&#0;" href="y"/>')))
+    with pytest.raises(ValueError, match="EPUB_OPF_MISSING"):
+        epub.spine(bytes(package(["x"], "<item>")))
+    assert epub.spine(bytes(package(["x"], '<ITEM ID="a&amp;b" href="y&#65;"/>&nbsp;')))[0] == "Book"
+    with pytest.raises(Exception, match="EPUB_DOCUMENT_TOO_LARGE"):
+        epub.spine_items(files, epub.Limits(document=10)).count()
 
 
 def test_project(spark):
@@ -177,6 +349,40 @@ def test_host_snapshot(spark):
     assert one(spark, host_snapshot.valid_path, "a/b.md") and not one(spark, host_snapshot.valid_path, "a/../b.md") and not one(spark, host_snapshot.valid_path, "/b.md")
 
 
+def draft(**changes):
+    docs = [{"relativePath": p, "category": c, "mediaType": "text/markdown", "content": t, "sha256": hashlib.sha256(t.encode()).hexdigest()} for p, c, t in (("chapters/1.md", "chapter", "# One\nMira."), ("characters/m.md", "character", "# Mira\nA guide."))]
+    shaped = [{k: d[k] for k in ("relativePath", "category", "sha256")} for d in docs]
+    claimed = hashlib.sha256(json.dumps({"protocolVersion": 1, "documents": shaped}, separators=(",", ":")).encode()).hexdigest()
+    return {"protocolVersion": 1, "pluginId": "host", "hostProjectId": "p1", "documents": docs, "chapters": [{"chapterKey": "n:1", "ordinal": 1}], "claimedSnapshotHash": claimed} | changes
+
+
+def test_host_snapshots_are_checked_and_activated(spark, tmp_path):
+    def parsed(value):
+        return host_snapshot.parse(spark.createDataFrame([(json.dumps(value),)], "json string"))
+
+    def broken(**changes):
+        return set(host_snapshot.violations(parsed(draft(**changes)), "host").first()["violations"])
+
+    good = draft()
+    assert broken() == set()
+    doc = good["documents"][0]
+    assert broken(protocolVersion=2) >= {"protocol_version", "snapshot_hash"} and broken(pluginId="x") == {"plugin"} and broken(hostProjectId="a b") == {"project_id"} and broken(hostRevision="") == {"revision"}
+    assert broken(chapters=[{"chapterKey": "n:01", "ordinal": 2}]) == {"chapter_key", "contiguous"} and broken(chapters=None) >= {"chapters"}
+    assert broken(documents=[doc, doc]) == {"unique_paths", "snapshot_hash"} and broken(documents=[dict(doc, sha256="x")]) >= {"hash_form", "content_hash"} and "category" in broken(documents=[dict(doc, category="x")])
+    work = Work(spark, str(tmp_path / "idx"))
+    assert host_snapshot.activate(work, parsed(good), "w", "host")["stats"]["added"] == 2 and host_snapshot.activate(work, parsed(good), "w", "host")["outcome"] == "noop"
+    with pytest.raises(ValueError, match="BRIDGE_SNAPSHOT_INVALID"):
+        host_snapshot.activate(work, parsed(draft(hostProjectId="")), "w")
+    assert {r["name"] for r in work.table("entities").filter("kind = 'Character'").collect()} == {"Mira"}
+    assert one(spark, lambda c: host_snapshot.project_key(c, F.lit("o"), F.lit("p")), "x") == hashlib.sha256(b"x\0o\0p").hexdigest()[:32]
+
+
+def same_tables(a, b, names=("spans", "definitions", "entities", "aliases", "edges", "evidence", "mentions", "unresolved", "postings", "terms")):
+    for name in names:
+        columns = sorted(set(a.table(name).columns) - {"revision"})
+        assert sorted(map(str, a.table(name).select(columns).collect())) == sorted(map(str, b.table(name).select(columns).collect())), name
+
+
 def test_index_life_cycle(spark, tmp_path):
     docs = corpus(spark)
     work = Work(spark, str(tmp_path / "idx"))
@@ -184,12 +390,11 @@ def test_index_life_cycle(spark, tmp_path):
     first = work.index(docs)
     assert first["stats"]["added"] == 3 and work.index(docs)["revision"] == first["revision"]
     edited = docs.withColumn("content", F.when(F.col("document_ref") == "d2", F.lit("# Chapter 2\nTobin and Mira talk.")).otherwise(F.col("content")))
+    assert work.index(edited, "status")["diagnostics"] == [{"code": "INDEX_SOURCE_CHANGED"}]
     assert work.index(edited)["stats"] == {"added": 0, "updated": 1, "deleted": 0, "skipped": 2}
     rebuilt = Work(spark, str(tmp_path / "again"))
     rebuilt.index(edited, "rebuild")
-    for name in ("spans", "entities", "edges", "mentions"):
-        columns = sorted(work.table(name).columns)
-        assert sorted(map(str, work.table(name).select(columns).collect())) == sorted(map(str, rebuilt.table(name).select(columns).collect()))
+    same_tables(work, rebuilt)
     assert work.explore("search", "Mira Tobin")[0].count() > 0
     assert work.explore("entity", "mira")[0].first()["name"] == "Mira"
     assert work.explore("neighborhood", "Mira")[0].count() > 1
@@ -200,6 +405,275 @@ def test_index_life_cycle(spark, tmp_path):
         indexing.publish(spark, str(tmp_path / "bad"), {"documents": docs.unionByName(docs)}, checks={"documents": "document_ref"})
 
 
+def test_a_change_derives_only_what_it_touches(spark, tmp_path):
+    docs = corpus(spark)
+    many = docs.unionByName(spark.range(40).select(F.lit("w").alias("work_ref"), F.concat(F.lit("x"), "id").alias("document_ref"), F.concat(F.lit("x"), "id", F.lit(".md")).alias("relative_path"), F.lit("Notes").alias("title"), F.lit("document").alias("kind"), (F.col("id") + 10).cast("int").alias("source_ordinal"), F.concat(F.lit("plain words "), "id").alias("content"), F.lit(1).alias("source_start_line")))
+    work, steps = Work(spark, str(tmp_path / "idx")), []
+    assert work.index(many)["derived_spans"] == work.table("spans").count()
+    old = {r["entity_ref"]: r["revision"] for r in work.table("entities").collect()}
+
+    def edit(ref, text):
+        return lambda d: d.withColumn("content", F.when(F.col("document_ref") == ref, F.lit(text)).otherwise(F.col("content")))
+
+    # An edit without names touches its own span; a new name also those that hold it, or have waited for it.
+    for change, touched in ((edit("x3", "other words"), 1), (edit("d3", "# Characters\nall\n## Mira\nA guide.\n## Tobin\nA smith.\n## words\nNew."), 4 + 40), (edit("d3", "# Characters\nall\n## Nobody\nHere."), 2 + 40 + 3), (lambda d: d.filter("document_ref <> 'd2'"), 2)):
+        many = change(many)
+        out = work.index(many)
+        steps.append((out["derived_spans"], touched))
+        if len(steps) > 1:
+            rebuilt = Work(spark, str(tmp_path / f"again{len(steps)}"))
+            rebuilt.index(many, "rebuild")
+            same_tables(work, rebuilt)
+    assert steps[0][0] == steps[0][1] and all(a < work.table("spans").count() + 5 for a, _ in steps)
+    assert steps[3][0] <= 4
+    now = {r["entity_ref"]: r["revision"] for r in work.table("entities").collect()}
+    chapter = next(r["entity_ref"] for r in work.table("entities").collect() if r["name"] == "Chapter 1")
+    assert now[chapter] == old[chapter] == 1 and max(now.values()) > 1
+
+
+def test_revisions_are_atomic(spark, tmp_path, monkeypatch):
+    root, rows = str(tmp_path / "idx"), spark.range(3).coalesce(1)
+    indexing.publish(spark, root, {"documents": rows})
+    before = indexing.current_revision(spark, root)
+
+    def die(*_):
+        raise RuntimeError("the writer died")
+
+    monkeypatch.setattr(storage, "move", die)
+    with pytest.raises(RuntimeError):
+        indexing.publish(spark, root, {"documents": rows.limit(1)})
+    monkeypatch.undo()
+    assert indexing.current_revision(spark, root) == before and indexing.read_table(spark, root, "documents").count() == 3
+    assert indexing.recover(spark, root) == 1  # what the dead writer left
+    for k in range(3):
+        assert indexing.publish(spark, root, {"documents": rows}) == k + 2
+    assert indexing.recover(spark, root) == 2 and indexing.valid_revisions(spark, root) == [3, 4] and len([n for n in os.listdir(root) if n.startswith("rev=")]) == 2
+    path = f"{root}/valid/{4:012d}.json"
+    storage.put(spark, path, dict(storage.get(spark, path), schema_version=1), True)
+    with pytest.raises(ValueError, match="INDEX_SCHEMA_INCOMPATIBLE"):
+        Work(spark, root).explore("stats")
+
+
+def test_one_writer(spark, tmp_path):
+    root = str(tmp_path / "idx")
+    with indexing.WriterLock(spark, root):
+        with pytest.raises(ValueError, match="INDEX_BUSY"), indexing.WriterLock(spark, root):
+            pass
+    storage.put(spark, f"{root}/LOCK", {"pid": 2**22 + 1, "host": os.uname().nodename, "at": time.time()})
+    with indexing.WriterLock(spark, root):  # its holder is dead
+        pass
+    assert not storage.names(spark, root) or "LOCK" not in storage.names(spark, root)
+
+
+def test_equal_calls_start_no_job(spark, tmp_path):
+    work = Work(spark, str(tmp_path / "idx"))
+    work.index(corpus(spark))
+    first = work.explore("search", "Mira Tobin")
+    assert work.explore("search", "Mira Tobin") is first and work.context("Mira", 500) is work.context("Mira", 500)
+    plan = first.rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("LocalRelation") or "LogicalRDD" in plan
+    work.index(corpus(spark).filter("document_ref <> 'd2'"))
+    assert work.explore("search", "Mira Tobin") is not first
+    assert first.metrics["returned_count"] == first.rows.count() and first.metrics["elapsed_ms"] >= 0
+
+
+def test_items_and_locators(spark):
+    segments = [(0, "b#x", 1, 3, 1, 3), (1, "b#y", 5, 9, 4, 8)]
+    kind = "array<struct<k:bigint,relative_path:string,start_line:int,end_line:int,document_start_line:bigint,document_end_line:bigint>>"
+    rows = spark.createDataFrame([("s", "span", "t", "one\ntwo\nthree\nfour", "d", "b", 2, 5, 1.5, segments, 1), ("q", "span", "t", "x" * 2000, "d", "c", 7, 7, None, None, None)], f"ref string, kind string, title string, content string, document_ref string, relative_path string, start_line int, end_line int, score double, segments {kind}, source_start_line int")
+    a, b = (r["item"] for r in evidence.items(rows, 3).orderBy(F.desc("ref")).collect())
+    assert [tuple(x) for x in a["evidence"]["locators"]] == [("b#x", 2, 3), ("b#y", 5, 6)] and a["score"] == 1.5 and a["source_kind"] == "deterministic"
+    assert [(p["excerpt_start"], p["excerpt_end"], len(p["locators"])) for p in a["evidence"]["excerpt_segments"]] == [(0, 18, 2)]
+    assert len(b["evidence"]["excerpt"]) == 900 and [tuple(x) for x in b["evidence"]["locators"]] == [("c", 7, 7)] and b["evidence"]["revision"] == 3
+    text = "a\n" * 400 + "needle" + "\nb" * 400
+    excerpt, pieces = search.excerpt_of(text, search.evidence_windows(text, ["needle"]))
+    assert [excerpt[s:e] for s, e, _, _ in pieces] == excerpt.split(search.SEPARATOR) and any(x <= 400 <= y and "needle" in excerpt[s:e] for s, e, x, y in pieces)
+    assert evidence.without_paths({"a": [{"rootPath": "/x", "b": 1}], "sourcePath": "y"}) == {"a": [{"b": 1}]}
+
+
+def test_response_limits():
+    big = {"results": [{"ref": str(i), "text": "x" * 100} for i in range(50)], "ambiguous": [{"ref": "a", "text": "y" * 500}], "metrics": {"omitted_estimate": 1, "returned_count": 50}, "diagnostics": []}
+    assert limits.fit("explore", big) is big
+    out = limits.fit("explore", big, 3000)
+    assert limits.compact_bytes(out) <= 3000 and out["truncated"] and not out["ambiguous"] and out["results"] == big["results"][: len(out["results"])]
+    assert out["metrics"]["omitted_estimate"] == 1 + 1 + 50 - len(out["results"]) and out["diagnostics"] == [{"code": "RESPONSE_TRUNCATED"}]
+    chosen = {"status": "resolved", "work_ref": "w9", "candidates": [{"work_ref": f"w{i}", "title": "t" * 90} for i in range(20)], "diagnostics": []}
+    assert {"work_ref": "w9", "title": "t" * 90} in limits.fit("resolve", chosen, 600)["candidates"]
+    assert limits.fit("diagnose", {"recent_events": [{"x": "y" * 100}] * 9}, 500)["truncated"]
+    for tool, value in (("index", {"x": "y" * 900}), ("resolve", {"status": "unsupported", "x": "y" * 900, "candidates": []}), ("explore", dict(big, note="z" * 4000))):
+        with pytest.raises(ValueError, match="RESPONSE_TOO_LARGE"):
+            limits.fit(tool, value, 500)
+
+
+def test_captures(spark, tmp_path):
+    log = captures.Recorder(spark, str(tmp_path / "diag"), "w", calls=3, rotate_at=6, keep=4)
+    run = log.start_capture("a\tlabel " + "x" * 100, "query")
+    result = {"results": [{"ref": "r1", "kind": "span", "title": "secret title", "score": 1.0, "evidence": {"locators": [{"p": 1}], "excerpt": "secret text"}}], "revision": 4, "metrics": {"a": 1}}
+    for k in range(4):
+        log.record("explore", "failure" if k == 1 else "success", {"query": f"secret query {k}", "limit": 5, "operation": "search"}, result, 10.0, "QUERY_TOO_LARGE" if k == 1 else None, run, 4 + k)
+    assert log.active() == 1
+    with pytest.raises(ValueError, match="DERIVED_DATA_BUSY"):
+        indexing.remove_index(spark, str(tmp_path / "diag"), log.active())
+    made = log.finish_capture(run, ("json", "markdown"))
+    assert (made["calls"], made["failures"], made["truncated"], made["revisions"]) == (3, 1, True, {"before": 4, "after": 6}) and "failures: 1" in made["markdown"] and len(made["sha256"]) == 64
+    assert made["findings"][0]["code"] == "TOOL_FAILURES_OBSERVED" and log.finish_capture(run) == made and log.active() == 0
+    kept = captures.read_events(spark, f"{tmp_path}/diag/runs/{run}").orderBy("sequence").collect()
+    assert [r["sequence"] for r in kept] == [1, 2, 3] and json.loads(kept[0]["input_summary"])["query"] == "secret query 0"
+    hits = json.loads(kept[0]["output_hits"])
+    assert hits["results"][0]["ref"] == "r1" and len(hits["results"][0]["locators_sha256"]) == 64 and "secret t" not in str(kept)
+    with pytest.raises(ValueError, match="DIAGNOSTIC_RUN_CLOSED"):
+        log.record("explore", "success", {}, None, run=run)
+    with pytest.raises(ValueError, match="DIAGNOSTIC_RUN_NOT_FOUND"):
+        log.finish_capture("diag-" + "0" * 24)
+    for _ in range(3):
+        log.record("index", "success", {"text": "secret"})
+    seen = log.inspect("usage", 50)
+    assert len(seen["recent_events"]) <= 6 and set(seen["recent_events"][0]) == set(captures.EFFECT) and "secret" not in str(log.inspect())
+    assert log.inspect(limit=1)["status"] == "healthy" and captures.Recorder(spark, str(tmp_path / "none"), "w").inspect()["event_history_available"] is False
+    assert captures.folder_bytes(spark, str(tmp_path / "diag")) > 0
+    files = spark.createDataFrame([("b", 5, 1), ("a", 5, 1), ("c", 5, 2)], "path string, length long, modificationTime long")
+    assert {r["path"]: r["deleted"] for r in captures.file_retention(files, 10).collect()} == {"a": True, "b": False, "c": False}
+
+
+def write(folder, **files):
+    for name, text in files.items():
+        at = folder / name.replace("__", "/")
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(text if isinstance(text, bytes) else text.encode())
+
+
+def test_paths_to_answers(spark, tmp_path):
+    """Discovery, loading, index, reads, captures and removal, through the five tools."""
+    root = tmp_path / "work"
+    write(root, **{"one.md": "# Chapter 1\nMira met Tobin.", "two.txt": "opening\nChapter 1\nMira sailed.\nChapter 2\nTobin slept.", "plain.txt": "no heads at all", "roles__x.md": "# Characters\n## Mira\nA guide.", ".hidden.md": "no", "node_modules__a.md": "no", "notes.csv": "no"})
+    write(root, **{"sub__book.epub": bytes(package(["<h1>Chapter 1</h1><p>one</p>"]))})
+    service = Service(spark, str(tmp_path / "home"), [str(root)])
+    found = service.resolve(str(root))
+    assert found["status"] == "ambiguous" and len(found["candidates"]) == 2 and "sourcePath" not in found["candidates"][0]
+    text = next(c["work_ref"] for c in found["candidates"] if c["title"] == "work")
+    run = service.diagnose(text, "start", label="a run")["diagnostic_run_ref"]
+    made = service.index(text, run=run)
+    assert made["stats"]["added"] == 6 and made["freshness"] == "fresh"
+    paths = {r["relative_path"] for r in service.work(text).table("documents").collect()}
+    assert paths == {"one.md", "plain.txt", "roles/x.md", "two.txt#preface", "two.txt#v1-c1", "two.txt#v1-c2"}
+    got = service.explore(text, "search", "Mira", run=run)
+    assert got["results"] and got["results"][0]["evidence"]["locators"] and got["metrics"]["returned_count"] == len(got["results"])
+    for operation, query in (("entity", "Mira"), ("neighborhood", "Mira"), ("timeline", ""), ("document", "two"), ("stats", "")):
+        answer = service.explore(text, operation, query)
+        assert answer["results"] and all(len(r["evidence"]["evidence_hash"]) == 64 for r in answer["results"]), operation
+    packet = service.context(text, "Mira Tobin", 500, required=["nope"], document_refs=[got["results"][0]["evidence"]["document_ref"]], task_type="draft")
+    assert packet["blocks"] and {"nope"} <= {o["ref"] for o in packet["omitted"]} and packet["used_tokens"] == sum(b["tokens"] for b in packet["blocks"]) and packet["task_type"] == "draft"
+    service.cap = 4096 + 700
+    small = service.context(text, "Mira Tobin", 500)
+    assert "response_limit" in {o["reason"] for o in small["omitted"]} and not {b["ref"] for b in small["blocks"]} & {o["ref"] for o in small["omitted"]}
+    service.cap = limits.RESPONSE_BYTES
+    with pytest.raises(ValueError, match="DERIVED_DATA_BUSY"):
+        service.remove(text)
+    with pytest.raises(ValueError, match="QUERY_TOO_LARGE") as e:
+        service.explore(text, "search", "x" * 3000, run=run)
+    assert e.value.__notes__ == ["recovery: shorten the query"]
+    report = service.diagnose(text, "finish", run)
+    assert report["calls"] == 3 and report["failures"] == 1 and service.diagnose(text)["status"] == "degraded"
+    write(root, **{"one.md": "# Chapter 1\nMira met nobody."})
+    os.utime(root / "one.md", (time.time() + 5, time.time() + 5))
+    service.ensure_fresh(text)
+    assert service.explore(text, "search", "nobody")["results"] and service.index(text, "status")["freshness"] == "fresh"
+    assert service.remove(text) and service.index(text, "status")["freshness"] == "missing"
+    with pytest.raises(ValueError, match="WORK_REF_NOT_FOUND"):
+        service.explore("work:none", "stats")
+    assert service.resolve(str(root / "one.md"))["status"] == "resolved"
+
+
+def test_sources_are_checked(spark, tmp_path):
+    root = tmp_path / "work"
+    write(root, **{"a.md": "# A\nx", "project.json": "{}", "books__b__book.json": '{"title": "Tower"}', "books__b__chapters__001.md": "# One\ny"})
+    special = adapters.ProjectAdapter("project.json")
+    found = adapters.resolve(spark, str(root), [special, adapters.TextAdapter()])
+    assert found["status"] == "resolved" and found["candidates"][0].adapter == "project"
+    docs, _ = adapters.load_consistent(spark, special, found["candidates"][0])
+    assert [r["kind"] for r in docs.collect()] == ["chapter"] and docs.columns == list(adapters.COLUMNS)
+    assert adapters.resolve(spark, str(root), [special, adapters.TextAdapter()], "generic")["candidates"][0].adapter == "generic"
+    assert adapters.resolve(spark, str(tmp_path), [special])["status"] == "unsupported"
+    with pytest.raises(adapters.SourceError, match="ADAPTER_NOT_FOUND"):
+        adapters.resolve(spark, str(root), [special], "other")
+
+    class Restless(adapters.TextAdapter):
+        seen = []
+
+        def snapshot(self, spark, work):
+            self.seen.append(1)
+            return str(len(self.seen)) if len(self.seen) <= self.until else "still"
+
+    text = adapters.TextAdapter().discover(spark, str(root))[0]
+    for until, works in ((2, True), (9, False)):
+        a = Restless()
+        object.__setattr__(a, "until", until)
+        Restless.seen.clear()
+        if works:
+            assert adapters.load_consistent(spark, a, text)[0].count() == 2
+        else:
+            with pytest.raises(adapters.SourceError, match="SOURCE_CHANGED_DURING_READ"):
+                adapters.load_consistent(spark, a, text)
+    with pytest.raises(ValueError, match="SOURCE_FILE_TOO_LARGE"):
+        adapters.TextAdapter(most=3).load(spark, text)
+    with pytest.raises(ValueError, match="SOURCE_TOTAL_TOO_LARGE"):
+        adapters.TextAdapter(total=8).load(spark, text)
+    (root / "out.md").symlink_to("/etc/hostname")
+    with pytest.raises(ValueError, match="PATH_NOT_ALLOWED"):
+        text_files.discover(spark, str(root))
+
+
+def test_whole_table_ranks(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(50), i, rng.randrange(9)) for i in range(3000)] + [(None, 9999, 1)]
+    df = spark.createDataFrame(rows, "a int, b int, n int").repartition(7)
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -1), r[1]))
+    got = {r["b"]: r["rank"] for r in ordering.ranked(df, "a", [F.desc("a"), "b"], True, 8).collect()}
+    assert got == {r[1]: k + 1 for k, r in enumerate(order)}
+    volume, want, last = 1, {}, None
+    for r in sorted((r for r in rows if r[0] is not None), key=lambda r: r[:2]):
+        volume += last is not None and r[2] <= last
+        want[r[1]], last = volume, r[2]
+    assert {r["b"]: r["volume"] for r in ordering.restarts(df.filter("a is not null"), "a", ["a", "b"], "n", 8).collect()} == want
+
+
+def test_reports(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "b"), (1, "a")], "k int, v string")
+    made = reports.artifact(rows, ["k"], str(tmp_path / "out")).first()
+    assert (made["lines"], made["bytes"]) == (2, 2 * len('{"k":1,"v":"a"}\n')) and made["sha256"] == reports.artifact(rows.orderBy("v"), ["k"], str(tmp_path / "out2")).first()["sha256"]
+    assert reports.bounded_record({"a": "x" * 9000, "b": 1}, 500)["b"] == 1 and len(reports.bounded_markdown(["line"] * 9000)) <= reports.MARKDOWN_BYTES
+    facts = spark.createDataFrame([("a", False, None, False), ("b", True, None, False), ("c", True, 3, False), ("d", True, 1, True)], "fact string, candidates boolean, rank int, exposed boolean")
+    assert [r["miss"] for r in reports.miss_attribution(facts).orderBy("fact").collect()] == ["L1", "L2", "L3", None]
+    m = spark.createDataFrame([(0.5, 0.4, 0.6, 0.7), (0.1, 0.2, 0.3, 0.4)], "recall_5 double, recall_10 double, recall_20 double, recall_50 double")
+    assert reports.monotonic(m).count() == 1
+    calls = spark.createDataFrame([("a", i, 1000) for i in range(1, 61)], "tool string, ms int, chars int")
+    assert reports.latency_report(calls, ["tool"], "ms", F.col("chars")).first()["p95"] == 57
+    assert one(spark, lambda c: T.clean_label(c), "a\n\tb" + "x" * 90) == "a b" + "x" * 77
+    assert one(spark, lambda c: events.top_hits(F.array(c, c, c), 2), "z") == ["z", "z"]
+
+
+def test_evaluators_search_for_real(spark, tmp_path):
+    work = Work(spark, str(tmp_path / "idx"))
+    work.index(corpus(spark))
+    rows = work.rows().cache()
+    gold = evaluate.gold_references(rows, spark.createDataFrame([("f1", "Tobin slept"), ("f2", "A smith")], "fact string, quote string"))
+    tasks = [("f1", "Tobin slept"), ("f2", "smith")]
+    by_factor = evaluate.ablate(tasks, gold, lambda q, off: search.search(rows, q, 10, None, disabled=off)[0], ("coverage", "trust"))
+    verdicts = {r["variant"]: r["verdict"] for r in evaluate.ablation(by_factor).collect()}
+    assert set(verdicts) == {"baseline", "coverage", "trust"} and by_factor.first()["recall_5"] == 1.0
+    grid = evaluate.calibrate(tasks, gold, lambda q, c: search.search(rows, q, 10, c)[0], {"top_k": (5,), "terms": (4,), "weight": (0.15, 0.35)})
+    assert evaluate.calibration_winner(grid).first()["weight"] == 0.15
+    found = evaluate.run_tasks(tasks, lambda q: search.search(rows, q, 10, None)[0]).withColumn("tokens", T.estimate_tokens(F.col("excerpt")))
+    report = evaluate.fixture_report(spark.createDataFrame([("f1", "Tobin slept"), ("f2", "A smith")], "fact string, expect string"), found, 1000).first()
+    assert (report["tasks"], report["recall"], report["coverage"]) == (2, 1.0, 1.0) and 0 < report["reduction"] < 1
+
+
+def test_deadline(spark):
+    with pytest.raises(TimeoutError, match="TIME_LIMIT_EXCEEDED"):
+        timed(spark, "slow", lambda: spark.range(10**12).selectExpr("sum(id * id % 7)").collect(), 1)
+    assert timed(spark, "quick", lambda: spark.range(3).count()) == 3
+
+
 def test_evaluation(spark):
     ranks = spark.createDataFrame([("a", 1), ("b", 7), ("c", None)], "fact string, rank int")
     m = evaluate.recall_mrr(ranks).first()
@@ -208,10 +682,37 @@ def test_evaluation(spark):
 
 
 def test_service_guards(tmp_path):
-    assert resolve([])["status"] == "unsupported" and resolve([{"work_ref": "w"}])["work_ref"] == "w"
     assert within([str(tmp_path)], str(tmp_path / "x")) == str((tmp_path / "x").resolve())
     with pytest.raises(PermissionError, match="PATH_NOT_ALLOWED"):
         within([str(tmp_path)], "/etc/passwd")
+    with pytest.raises(PermissionError, match="AUTHORIZED_ROOTS_REQUIRED"):
+        within([], "/etc/passwd")
+
+
+def test_index_stream_keeps_what_a_batch_does_not_name(spark, tmp_path):
+    from loomtext.streaming.streams import index_stream
+
+    docs, source = corpus(spark), tmp_path / "in"
+    work = Work(spark, str(tmp_path / "idx"))
+    docs.filter("document_ref <> 'd2'").coalesce(1).write.mode("append").parquet(str(source))
+    assert index_stream(spark, str(source), docs.schema, work, str(tmp_path / "state"))[-1]["stats"]["added"] == 2
+    gone = docs.filter("document_ref = 'd3'").withColumn("content", F.lit(None).cast("string"))
+    docs.filter("document_ref = 'd2'").unionByName(gone).coalesce(1).write.mode("append").parquet(str(source))
+    assert index_stream(spark, str(source), docs.schema, work, str(tmp_path / "state"))[-1]["stats"] == {"added": 1, "updated": 0, "deleted": 1, "skipped": 1}
+    assert {r["document_ref"] for r in work.table("documents").collect()} == {"d1", "d2"}
+    assert index_stream(spark, str(source), docs.schema, work, str(tmp_path / "state")) == []
+
+
+def test_drain_gives_closed_windows(spark, tmp_path):
+    from loomtext.streaming.streams import drain, event_windows
+
+    path = tmp_path / "events"
+    given = spark.read.parquet(f"{SF}/events.parquet")
+    given.orderBy("ts").coalesce(1).write.parquet(str(path))
+    stream = event_windows(spark.readStream.schema(given.schema).parquet(str(path)), late="0 seconds")
+    got = drain(stream, str(tmp_path / "out"))
+    whole = {(r["window_start"], r["event_type"]): r["calls"] for r in event_windows(given).collect()}
+    assert got.count() > 0 and all(whole[r["window_start"], r["event_type"]] == r["calls"] for r in got.collect())
 
 
 def test_streams(spark, tmp_path):
