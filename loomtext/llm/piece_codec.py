@@ -30,13 +30,14 @@ from loomtext.llm.common import small_batches
 from loomtext.llm.pieces import MARK, Vocabulary, default_path, vocabulary
 from loomtext.llm.textkit import buffers
 
-HELD = 1 << 17
+HELD = 1 << 18  # words that a worker remembers, and as many that it may soon forget
 
 
 class PieceCodec:
     def __init__(self, vocab: Vocabulary, unigram: bool = False) -> None:
         self.vocab, self.unigram = vocab, unigram
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         self.raw = [bytes([int(p[3:5], 16)]) if vocab.model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(vocab.pieces)]
         # Pieces that can come out of an encoding at all, and by their last two characters the longest of them.
         self.good = {p: i for p, i in vocab.plain.items() if unigram or vocab.is_token(i)}
@@ -89,11 +90,18 @@ class PieceCodec:
         return ids[::-1]
 
     def learn(self, words: Iterable[str]) -> None:
-        """Encode the words not yet known, depth first through their trie."""
+        """Encode the words not yet known, depth first through their trie.  Words that come again stay remembered."""
+        if len(self.known) > HELD:
+            self.known, self.older = {}, self.known
+        if len(self.vocab.pair) > 4 * HELD:
+            self.vocab.pair.clear()
         score, last, start = [0.0], [-1], [0]
         before = ""
         known, forward, path = self.known, self._forward, self._path
-        for word in sorted(set(words) - known.keys()):
+        new = set(words) - known.keys()
+        again = new & self.older.keys()
+        known.update((w, self.older[w]) for w in again)
+        for word in sorted(new - again):
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
@@ -104,9 +112,6 @@ class PieceCodec:
 
     def encode_all(self, texts: list[str | None]) -> list[list[int]]:
         cut = [self.vocab.segments(x or "") for x in texts]
-        for held in (self.known, self.vocab.pair):
-            if len(held) > HELD:
-                held.clear()
         self.learn({s for c in cut for s in c})
         return [list(chain.from_iterable(map(self.known.__getitem__, c))) for c in cut]
 
@@ -142,9 +147,6 @@ def encode_column(c: PieceCodec, text: pa.Array) -> tuple[pa.Array, pa.Array, pa
     at = np.flatnonzero(starts)
     segments = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
     words = [w.decode("utf-8").replace(" ", MARK) for w in segments.dictionary.to_pylist()]
-    for held in (c.known, c.vocab.pair):
-        if len(held) > HELD:
-            held.clear()
     c.learn(words)
     found = [c.known[w] for w in words]
     size = np.fromiter(map(len, found), np.int64, len(found))
@@ -173,8 +175,8 @@ def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         for batch in batches:
             _, off = buffers(batch.column("text"))
             at = 0
-            while at < batch.num_rows:  # about 4 MB of text at a time
-                end = min(max(int(np.searchsorted(off, off[at] + (4 << 20), "right")) - 1, at + 1), batch.num_rows)
+            while at < batch.num_rows:  # about 1 MB of text at a time
+                end = min(max(int(np.searchsorted(off, off[at] + (1 << 20), "right")) - 1, at + 1), batch.num_rows)
                 part = batch.slice(at, end - at)
                 at = end
                 made = encode_column(c, part.column("text"))

@@ -26,13 +26,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import content_key, discard, materialise, partitions, small_batches
 from loomtext.llm.textkit import BYTE_CODE, buffers, chunks, mix, sliding_min, span_hashes, window_hashes, word_hashes, words
 
-BLOCK_TOKENS = 1 << 17
+BLOCK_TOKENS = 1 << 18  # bytes; half as many words
 _PLACE_BITS = 28
 
 
@@ -44,6 +44,10 @@ class Unit:
     window: int
     anchor: int
 
+    @property
+    def block(self) -> int:
+        return BLOCK_TOKENS // (2 if self.words else 1)
+
 
 def tokens(unit: Unit, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Codes of a chunk's tokens, their first and last byte, and each document's first token."""
@@ -208,7 +212,7 @@ def _shard(unit: Unit, search: Callable[[Unit, np.ndarray, np.ndarray, np.ndarra
         size = 0
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "piece", "copies", "p", "body")), strict=True):
-                if held and size >= width * BLOCK_TOKENS and held[-1][0] != row[0]:
+                if held and size >= width * unit.block and held[-1][0] != row[0]:
                     if (made := block(held)) is not None:
                         yield made
                     held, size = [], 0
@@ -254,25 +258,45 @@ def _split(unit: Unit, step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 _PIECE = "key long, piece long, copies long, p int, body binary"
 
 
+_RANGES = "array<struct<s:int,e:int>>"
+
+
+def _merged(ranges: Column) -> Column:
+    """Ranges that touch or overlap as one, in order."""
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
+        return F.when((F.size(done) > 0) & (last["e"] >= x["s"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(F.array_sort(ranges), F.array().cast(_RANGES), add)
+
+
+def _moved(ranges: str, by: str) -> Column:
+    return F.transform(ranges, lambda x: F.struct((x["s"] + F.col(by)).alias("s"), (x["e"] + F.col(by)).alias("e")))
+
+
 def _search(pieces: DataFrame, unit: Unit, search: Callable) -> DataFrame:
-    """Kinds of pieces (key, piece, copies, p, body) -> (key, piece, s, e), each key's pieces in one block."""
+    """Kinds of pieces (key, piece, copies, p, body) -> (key, piece, ranges), a row for each kind that has any."""
     dealt = pieces.select("key", "piece", "copies", "p", "body").repartition(partitions(pieces.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_shard(unit, search), "key long, piece long, s int, e int")
+    found = dealt.mapInArrow(_shard(unit, search), "key long, piece long, s int, e int")
+    return found.groupBy("key", "piece").agg(_merged(F.collect_list(F.struct("s", "e"))).alias("ranges"))
 
 
 def _search_hot(pieces: DataFrame, unit: Unit, search: Callable, steps: list[int]) -> DataFrame:
-    """The same for pieces of hot anchors, dealt by longer anchors; ``steps`` ends with 1."""
+    """:func:`_search` for pieces of hot anchors, dealt by longer anchors; ``steps`` ends with 1."""
     smaller, _ = materialise(pieces.mapInArrow(_split(unit, steps[0]), f"{_PIECE}, up_key long, up_piece long, at int"))
     kinds, _ = materialise(smaller.groupBy("key", "piece").agg(F.sum("copies").alias("copies"), F.first("p").alias("p"), F.first("body").alias("body")))
     if len(steps) == 1:
         found = _search(kinds, unit, search)
     else:
-        hot, _ = materialise(kinds.groupBy("key").agg(F.sum(F.length("body")).alias("size")).filter(F.col("size") > BLOCK_TOKENS * (6 if unit.words else 1)).select("key"))
+        hot, _ = materialise(kinds.groupBy("key").agg(F.sum(F.length("body")).alias("size")).filter(F.col("size") > unit.block * (6 if unit.words else 1)).select("key"))
         found = _search(kinds.join(hot, "key", "left_anti"), unit, search)
         if hot.limit(1).count():
             found = found.unionByName(_search_hot(kinds.join(hot, "key", "left_semi"), unit, search, steps[1:]))
-    places = smaller.select("key", "piece", "up_key", "up_piece", "at")
-    return places.join(found, ["key", "piece"]).select(F.col("up_key").alias("key"), F.col("up_piece").alias("piece"), (F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e")).alias("e"))
+    # One row for each smaller piece, however many ranges it has; they grow together again in the piece it is from.
+    places = smaller.select("key", "piece", "up_key", "up_piece", "at").join(found, ["key", "piece"])
+    return places.groupBy(F.col("up_key").alias("key"), F.col("up_piece").alias("piece")).agg(_merged(F.flatten(F.collect_list(_moved("ranges", "at")))).alias("ranges"))
 
 
 def repeated_windows(docs: DataFrame, unit: Unit, search: Callable) -> DataFrame:
@@ -288,7 +312,7 @@ def repeated_windows(docs: DataFrame, unit: Unit, search: Callable) -> DataFrame
         discard(spark, path)
 
     kinds, kinds_at = materialise(cand.filter("mixed").groupBy("key", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("th", "tl", "a", "n", "p")).alias("at")))
-    hot, _ = materialise(kinds.groupBy("key").agg(F.sum(F.col("at.n") + unit.window - 1).alias("size")).filter(F.col("size") > BLOCK_TOKENS).select("key", F.lit(True).alias("hot")))
+    hot, _ = materialise(kinds.groupBy("key").agg(F.sum(F.col("at.n") + unit.window - 1).alias("size")).filter(F.col("size") > unit.block).select("key", F.lit(True).alias("hot")))
     asked = (
         kinds.join(hot, "key", "left")
         .groupBy(F.col("at.th").alias("th"), F.col("at.tl").alias("tl"))
@@ -302,9 +326,9 @@ def repeated_windows(docs: DataFrame, unit: Unit, search: Callable) -> DataFrame
     if hot.limit(1).count():
         ranges = ranges.unionByName(_search_hot(cut.filter("hot").dropDuplicates(["key", "piece"]), unit, search, [max(2, (unit.window - unit.anchor) // 8), 1]))
 
-    mixed = cand.filter("mixed").join(ranges, ["key", "piece"]).select("th", "tl", (F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"))
-    plain = cand.filter("not mixed").select("th", "tl", F.col("a").alias("s"), (F.col("a") + F.col("n")).alias("e"))
-    return materialise(mixed.unionByName(plain).groupBy("th", "tl").agg(F.collect_set(F.struct("s", "e")).alias("ranges")))[0]
+    mixed = cand.filter("mixed").join(ranges, ["key", "piece"]).select("th", "tl", _moved("ranges", "a").alias("ranges"))
+    plain = cand.filter("not mixed").select("th", "tl", F.array(F.struct(F.col("a").alias("s"), (F.col("a") + F.col("n")).alias("e"))).alias("ranges"))
+    return materialise(mixed.unionByName(plain).groupBy("th", "tl").agg(F.flatten(F.collect_set("ranges")).alias("ranges")))[0]
 
 
 def _remove(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

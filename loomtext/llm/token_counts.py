@@ -2,7 +2,7 @@
 
 Offline, every vocabulary string is encoded alone; those that come out as one token are *proven*, and a segment that
 is one of them counts as one token without any merging.  Only other segments are merged, by the library, once per
-distinct segment and worker (the memory of them is emptied at ``HELD`` entries).  Cutting a text into segments changes
+distinct segment and worker (a worker remembers ``HELD`` of them, and those it met before).  Cutting a text into segments changes
 no token, which :mod:`pieces` proves from the vocabulary.
 
 Cases: a null or empty text has no tokens; repeated rows count alike; very long texts are cut line by line; ids may be
@@ -32,13 +32,16 @@ class Lengths(dict):
     def __init__(self, vocab: Vocabulary, lead: str = "") -> None:
         self.vocab, self.lead = vocab, lead
         self.proven = {p[len(lead) :]: 1 for p, i in vocab.plain.items() if p.startswith(lead) and MARK not in p[len(lead) :] and p != lead and vocab.is_token(i)}
+        self.older: dict[str, int] = {}
         super().__init__(self.proven)
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= HELD:
+        if len(self) >= HELD:  # words that come again are taken over from the older half
+            self.older = dict(self)
             self.clear()
             self.update(self.proven)
-        n = self[word] = len(self.vocab.encode(self.lead + word))
+        n = self.older.get(word)
+        self[word] = n = len(self.vocab.encode(self.lead + word)) if n is None else n
         return n
 
 
