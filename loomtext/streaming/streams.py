@@ -13,7 +13,7 @@ from loomtext.sources import storage
 
 def event_windows(events: DataFrame, time: str = "ts", kind: str = "event_type", value: str = "value", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(window_start, kind, calls, total): tumbling counts; events later than ``late`` are dropped in a stream."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
     out = rows.groupBy(F.window(time, width).alias("w"), kind).agg(F.count("*").alias("calls"), F.sum(value).alias("total"))
     return out.select(F.col("w.start").alias("window_start"), kind, "calls", "total")
 
