@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import content_key, discard, materialise, partitions, small_batches
+from loomtext.llm.common import content_key, discard, mark, materialise, partitions, release, small_batches
 from loomtext.llm.components import connected
 from loomtext.llm.textkit import LOWER, buffers, chunks, mix, span_hashes, window_hashes, word_hashes, words
 
@@ -417,21 +417,20 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = docs.schema["id"].dataType.simpleString()
-    rows, _ = materialise(docs.select("id", *content_key(), "text").mapInArrow(_sign(width), f"id {kind}, th long, tl int, h long, g long, n long, sig binary, bits binary"))
+    kind, since = docs.schema["id"].dataType.simpleString(), mark()
+    rows, rows_at = materialise(docs.select("id", *content_key(), "text").mapInArrow(_sign(width), f"id {kind}, th long, tl int, h long, g long, n long, sig binary, bits binary"))
     made = rows.filter("n > 0").groupBy("h", "g").agg(F.min("id").alias("least"), F.min(F.struct("th", "tl")).alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
-    nodes, _ = materialise(made.withColumn("node", F.monotonically_increasing_id()))  # written once, so a name stays
+    nodes, nodes_at = materialise(made.withColumn("node", F.monotonically_increasing_id()))  # written once, so a name stays
     depth = least_depth(percent)
-    cand, cand_at = materialise(candidates(nodes, depth, percent))
+    cand, _ = materialise(candidates(nodes, depth, percent))
     wanted = cand.select(F.col("a").alias("node")).unionByName(cand.select(F.col("b").alias("node"))).distinct()
-    sets, sets_at = materialise(sets_of(docs, wanted.join(nodes, "node").select("node", "at.th", "at.tl"), width))
+    sets, _ = materialise(sets_of(docs, wanted.join(nodes, "node").select("node", "at.th", "at.tl"), width))
     labels = spark.createDataFrame([], "u long, v long")
     left = cand
     for _ in range(TURNS):
         left, labels = _turn(left, sets, labels, percent)
-    labels = _merged(labels, _regions(docs, nodes, labels, sets, depth, width, percent))
-    for path in (cand_at, sets_at):
-        discard(spark, path)
+    labels, labels_at = materialise(_merged(labels, _regions(docs, nodes, labels, sets, depth, width, percent)))
+    release(spark, since, rows_at, nodes_at, labels_at)
 
     named = _labelled(nodes.select("node", "h", "g", "least"), labels, "node", "root")
     roots = named.groupBy("root").agg(F.min("least").alias("component"))

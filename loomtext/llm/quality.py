@@ -86,9 +86,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     # ``copies`` counts lines of all rows with the text; a row's own lines are recovered from the rows.
     rows = docs.select("host", *content_key()).groupBy("host", "th", "tl").agg(F.count("*").alias("rows"))
     often = carried.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > MIN_DOCS)
-    often = often.join(hosts, "host").filter(F.col("docs") > SHARE * F.col("host_docs")).select("host", "line")
+    # Written out, so that both sides of the next join are dealt for it, and a line that very many carry can be split.
+    often, _ = materialise(often.join(hosts, "host").filter(F.col("docs") > SHARE * F.col("host_docs")).select("host", "line"))
     hit = carried.join(often, ["host", "line"])
-    first = hit.groupBy("host", "line").agg(F.min(F.struct("id", "th", "tl")).alias("first")).select("host", "line", F.col("first.th").alias("first_th"), F.col("first.tl").alias("first_tl"))
+    first, _ = materialise(hit.groupBy("host", "line").agg(F.min(F.struct("id", "th", "tl")).alias("first")).select("host", "line", F.col("first.th").alias("first_th"), F.col("first.tl").alias("first_tl")))
     lost = hit.join(first, ["host", "line"]).filter((F.col("th") != F.col("first_th")) | (F.col("tl") != F.col("first_tl")))
     by_text = lost.groupBy("host", "th", "tl").agg(F.sum(F.col("words") * F.col("copies")).alias("all_words"), F.collect_set("line").alias("removed"))
     return by_text.join(rows, ["host", "th", "tl"]).select("host", "th", "tl", (F.col("all_words") / F.col("rows")).cast("long").alias("removed_words"), "removed")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import content_key, discard, materialise, partitions, small_batches
+from loomtext.llm.common import content_key, discard, mark, materialise, partitions, release, small_batches
 from loomtext.llm.textkit import BYTE_CODE, buffers, chunks, mix, sliding_min, span_hashes, window_hashes, word_hashes, words
 
 BLOCK_TOKENS = 1 << 18  # bytes; half as many words
@@ -301,7 +301,7 @@ def _search_hot(pieces: DataFrame, unit: Unit, search: Callable, steps: list[int
 
 def repeated_windows(docs: DataFrame, unit: Unit, search: Callable) -> DataFrame:
     """(th, tl, ranges): by text, the ranges [s, e) of window starts whose window also starts elsewhere in ``docs``."""
-    spark = docs.sparkSession
+    spark, since = docs.sparkSession, mark()
     small_batches(spark)
     keyed = docs.select(*content_key(), "text")
     found, found_at = materialise(keyed.mapInArrow(_anchors(unit), "key long, piece long, th long, tl int, a int, n int, p int"))
@@ -328,7 +328,9 @@ def repeated_windows(docs: DataFrame, unit: Unit, search: Callable) -> DataFrame
 
     mixed = cand.filter("mixed").join(ranges, ["key", "piece"]).select("th", "tl", _moved("ranges", "a").alias("ranges"))
     plain = cand.filter("not mixed").select("th", "tl", F.array(F.struct(F.col("a").alias("s"), (F.col("a") + F.col("n")).alias("e"))).alias("ranges"))
-    return materialise(mixed.unionByName(plain).groupBy("th", "tl").agg(F.flatten(F.collect_set("ranges")).alias("ranges")))[0]
+    by_text, at = materialise(mixed.unionByName(plain).groupBy("th", "tl").agg(F.flatten(F.collect_set("ranges")).alias("ranges")))
+    release(spark, since, at)
+    return by_text
 
 
 def _remove(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

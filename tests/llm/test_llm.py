@@ -9,6 +9,7 @@ import random
 import re
 import urllib.parse
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomtext.llm import decontam, langid, lm, near_dups, piece_codec, pieces, quality, queries, repeats, secrets, substring_dedup, suffix, suffix_dedup, token_counts
+from loomtext.llm import common, decontam, langid, lm, near_dups, piece_codec, pieces, quality, queries, repeats, secrets, substring_dedup, suffix, suffix_dedup, token_counts
 from loomtext.llm.components import hooked
 
 SF = "/root/testdata/sf0.001"
@@ -571,6 +572,31 @@ def test_decontamination_with_one_edited_word(spark):
     assert {r["doc_id"]: r["contaminated"] for r in found.collect()} == {0: True, 1: True, 2: True, 3: False}
 
 
+def test_decontamination_of_many_templates(spark):
+    """Variants with consistent slots are caught, once and twice in a text; variants that contradict themselves are not."""
+    rng = random.Random(12)
+    plain = ["".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    items, texts, want = [], [], {}
+    for k in range(40):
+        words = rng.sample(plain, 24)
+        at = sorted(rng.sample(range(3, 21), 3))  # a number, a name, and the number again
+
+        def variant(number, name, again, words=words, at=at):
+            w = list(words)
+            w[at[0]], w[at[1]], w[at[2]] = str(number), name, str(again)
+            return " ".join(w)
+
+        items.append((k, variant(17, "Mira", 17)))
+        around = [" ".join(rng.sample(plain, 15)) for _ in range(3)]
+        for form, hit in ((variant(17, "Mira", 17), "exact"), (variant(23, "Tobin", 23), "re"), (f"{variant(23, 'Tobin', 23)} {around[2]} {variant(41, 'Ada', 41)}", "re"), (variant(23, "Tobin", 29), None), (around[1], None)):
+            want[len(texts)] = (k, hit)
+            texts.append((len(texts), f"{around[0]} {form} {around[1]}"))
+    found = decontam.contamination(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    for r in found:
+        k, hit = want[r["doc_id"]]
+        assert (r["items"], r["n_exact"], r["n_reparameterised"]) == (([k], int(hit == "exact"), int(hit == "re")) if hit else ([], 0, 0)), r["doc_id"]
+
+
 def test_decontamination_brute_force(spark, docs):
     bench = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     got = {r["doc_id"]: set(r["items"]) for r in decontam.op3_benchmark_decontamination(spark, SF).collect()}
@@ -632,5 +658,12 @@ def test_pipeline(spark, docs):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == want
 
 
+def test_what_is_written_on_the_way_is_deleted(spark, docs, tmp_path):
+    before = set(Path(common.shared_dir(spark).removeprefix("file:")).iterdir())
+    kept = near_dups.near_duplicates(docs, 3, 85)
+    assert kept.count() == docs.count()
+    assert len(set(Path(common.shared_dir(spark).removeprefix("file:")).iterdir()) - before) == 3
+
+
 def test_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
