@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm.common import materialise
+from loomtext.llm.common import mark, materialise, release
 from loomtext.llm.decontam import drop_contaminated
 from loomtext.llm.near_dups import keep_one
 from loomtext.llm.piece_codec import encode
@@ -42,10 +42,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read back for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each result is written to the shared folder and read back for the next, and what a
+    stage wrote on its way is deleted then."""
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs, _ = materialise(docs)
+            docs, at = materialise(docs)
+            release(spark, since, at)
     return docs
