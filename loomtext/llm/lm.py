@@ -43,7 +43,8 @@ TOP, BUCKETS, CLASSES = 3071, 1024, 64
 UNITS = TOP + 1 + BUCKETS
 WIDE = UNITS // CLASSES
 DIM, CONTEXT, NOISE, BATCH = 16, 2, 16, 32768
-ROUNDS, RATE, BIAS_RATE = 24, 0.2, 0.01
+ROUNDS, RATE, BIAS_RATE = 36, 0.2, 0.01
+KEEP_MEAN, KEEP_SQUARE = 0.85, 0.95
 SLICES = 16
 END = np.uint64(0x454E44)
 
@@ -252,9 +253,9 @@ class Trainer:
         self.steps += 1
         for k, g in grads.items():
             g = g / tokens
-            self.mean[k] = 0.9 * self.mean[k] + 0.1 * g
-            self.square[k] = 0.95 * self.square[k] + 0.05 * g * g
-            mean, square = self.mean[k] / (1 - 0.9**self.steps), self.square[k] / (1 - 0.95**self.steps)
+            self.mean[k] = KEEP_MEAN * self.mean[k] + (1 - KEEP_MEAN) * g
+            self.square[k] = KEEP_SQUARE * self.square[k] + (1 - KEEP_SQUARE) * g * g
+            mean, square = self.mean[k] / (1 - KEEP_MEAN**self.steps), self.square[k] / (1 - KEEP_SQUARE**self.steps)
             rate = slower * (BIAS_RATE if k.endswith("bias") else RATE)
             self.p[k] = (self.p[k] - rate * mean / (np.sqrt(square) + 1e-9)).astype(np.float32)
 
