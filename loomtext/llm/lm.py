@@ -186,10 +186,10 @@ def _parts(lengths: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.clip(x, -30, 30, out=x)
+    """In place; what overflows to infinity ends as 0, as it should."""
     np.negative(x, out=x)
-    np.exp(x, out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 

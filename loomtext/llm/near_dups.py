@@ -243,7 +243,8 @@ def _grid(rows: DataFrame, weight: Column) -> DataFrame:
         return F.greatest(F.ceil(count / BLOCK), F.ceil(total / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
     out = F.col("outside").cast("int")
-    sizes = rows.groupBy("main").agg(blocks(F.sum(out), F.sum(out * weight)).alias("gi"), blocks(F.count("*"), F.sum(weight)).alias("gj"))
+    # Written out: the join then deals both sides, and a main label with very many rows can be split.
+    sizes, _ = materialise(rows.groupBy("main").agg(blocks(F.sum(out), F.sum(out * weight)).alias("gi"), blocks(F.count("*"), F.sum(weight)).alias("gj")))
     dealt = rows.join(sizes, "main").withColumns({"bi": F.pmod(F.hash("node"), "gi"), "bj": F.pmod(F.hash("node", F.lit(1)), "gj")})
 
     def role(i: Column, j: Column, q: bool, m: bool) -> Column:

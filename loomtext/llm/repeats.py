@@ -326,6 +326,7 @@ def repeated_windows(docs: DataFrame, unit: Unit, search: Callable) -> DataFrame
     if hot.limit(1).count():
         ranges = ranges.unionByName(_search_hot(cut.filter("hot").dropDuplicates(["key", "piece"]), unit, search, [max(2, (unit.window - unit.anchor) // 8), 1]))
 
+    ranges, _ = materialise(ranges)
     mixed = cand.filter("mixed").join(ranges, ["key", "piece"]).select("th", "tl", _moved("ranges", "a").alias("ranges"))
     plain = cand.filter("not mixed").select("th", "tl", F.array(F.struct(F.col("a").alias("s"), (F.col("a") + F.col("n")).alias("e"))).alias("ranges"))
     by_text, at = materialise(mixed.unionByName(plain).groupBy("th", "tl").agg(F.flatten(F.collect_set("ranges")).alias("ranges")))
