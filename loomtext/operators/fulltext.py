@@ -124,10 +124,12 @@ def add_bm25(spans: DataFrame, terms: list[str], heading: str = "heading", conte
     return spans.filter(any_term).withColumn("bm25", score)
 
 
-def phrase_hits(posted: DataFrame, phrases: list[str]) -> DataFrame:
+def phrase_hits(posted: DataFrame, phrases: list[str], frequency: Callable[[list[str]], dict[str, int]] | None = None) -> DataFrame:
     """(phrase, span_ref, hits) from postings with places: a phrase stands where its trigrams stand one after the other.
 
-    phrases: distinct, lower case, three characters or more, a bounded list.  The postings are read for their trigrams only.
+    phrases: distinct, lower case, three characters or more, a bounded list.  The postings are read for their trigrams
+    only; with ``frequency`` (trigrams -> spans that hold them), places are compared only in spans that hold the rarest
+    trigram of a phrase.
     """
     spark = posted.sparkSession
     parts = [(p, p[i : i + 3], i, len(p) - 2) for p in phrases for i in range(len(p) - 2)]
@@ -136,6 +138,12 @@ def phrase_hits(posted: DataFrame, phrases: list[str]) -> DataFrame:
     alone = rows.filter("need = 1").select("phrase", "span_ref", F.col("tf").cast("long").alias("hits"))
     if all(n == 1 for *_, n in parts):
         return alone
+    if frequency is not None:
+        known = frequency(sorted({t for _, t, _, _ in parts}))
+        rarest = {p: min((p[i : i + 3] for i in range(len(p) - 2)), key=lambda t: (known.get(t, 0), t)) for p in phrases}
+        marks = spark.createDataFrame(list(rarest.items()), "phrase string, term string")
+        maybe = posted.filter(F.col("term").isin(*sorted(set(rarest.values())))).select("term", "span_ref").join(F.broadcast(marks), "term").select("phrase", "span_ref")
+        rows = rows.join(maybe, ["phrase", "span_ref"], "left_semi")
     # A place in the heading counts from below nought, one in the content from nought.
     from_start = {c: F.filter(F.transform(c, lambda x: x - F.col("step")), lambda x: x >= 0) for c in ("in_heading", "in_content")}
     place = F.concat(F.transform(from_start["in_heading"], lambda x: -1 - x), from_start["in_content"])
@@ -144,9 +152,9 @@ def phrase_hits(posted: DataFrame, phrases: list[str]) -> DataFrame:
     return alone.unionByName(whole.groupBy("phrase", "span_ref").agg(F.count("*").alias("hits")))
 
 
-def indexed_bm25(posted: DataFrame, sizes: DataFrame, count: int, average: float, phrases: list[str]) -> DataFrame:
+def indexed_bm25(posted: DataFrame, sizes: DataFrame, count: int, average: float, phrases: list[str], frequency: Callable[[list[str]], dict[str, int]] | None = None) -> DataFrame:
     """sizes(span_ref, n_trigrams, ...) of the spans that hold a phrase, with ``bm25`` (see :func:`add_bm25`)."""
-    hits = phrase_hits(posted, phrases)
+    hits = phrase_hits(posted, phrases, frequency)
     df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
     rarity = F.log((F.lit(float(count)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = df.select("phrase", F.when(rarity > 0, rarity).otherwise(LEAST_IDF).alias("idf"))

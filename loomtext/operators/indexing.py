@@ -101,8 +101,7 @@ def spans_holding(spans: DataFrame, names: DataFrame, posted: DataFrame | None)
 def affected_spans(kept: DataFrame, fresh: DataFrame, names: DataFrame, old: dict[str, DataFrame]) -> DataFrame:
     """(work_ref, span_ref) whose references are derived anew: fresh spans, kept spans that hold a changed name, and
     those with a link that such a name is, or would have been, the target of."""
-    posted = old["postings"].join(kept.select("span_ref"), "span_ref", "left_semi") if "postings" in old else None
-    holding = spans_holding(kept, names.select("work_ref", "name").distinct(), posted)
+    holding = spans_holding(kept, names.select("work_ref", "name").distinct(), old.get("postings"))
     linked = old["mentions"].filter("source_kind = 'native'").join(names.select("work_ref", "entity_ref"), ["work_ref", "entity_ref"], "left_semi").select("work_ref", "span_ref")
     waiting = old["unresolved"].withColumn("normalized_name", normalize_name(F.col("text"))).join(names.select("work_ref", "normalized_name"), ["work_ref", "normalized_name"], "left_semi").select("work_ref", "span_ref")
     links = linked.unionByName(waiting).join(kept.select("span_ref"), "span_ref", "left_semi").select("work_ref", "span_ref")

@@ -162,7 +162,7 @@ class Index:
 
     def best(self, phrases: list[str], cap: int) -> list[tuple[str, float]]:
         """(span_ref, bm25) of the ``cap`` best spans; no text is read."""
-        rows = indexed_bm25(self.postings, self.sizes, self.count, self.average, phrases)
+        rows = indexed_bm25(self.postings, self.sizes, self.count, self.average, phrases, self.frequencies)
         return [(r["span_ref"], r["bm25"]) for r in rows.orderBy(F.desc("bm25"), "source_ordinal", "ordinal", "span_ref").limit(cap).select("span_ref", "bm25").collect()]
 
     def frequencies(self, terms: list[str]) -> dict[str, int]:

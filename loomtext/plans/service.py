@@ -15,7 +15,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any, NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import estimate_tokens
@@ -35,6 +35,7 @@ RECOVERY = {
     "INDEX_MISSING": "index the work first", "INDEX_SCHEMA_INCOMPATIBLE": "rebuild the index", "QUERY_TOO_LARGE": "shorten the query", "PATH_NOT_ALLOWED": "choose a path under an authorised root",
     "SOURCE_CHANGED_DURING_READ": "try again when the sources are at rest", "TIME_LIMIT_EXCEEDED": "ask for less, or try again",
 }
+PACKET = "status string, budget_tokens int, used_tokens long, blocks array<string>, omitted array<struct<ref:string,reason:string,tokens:long>>, task_type string"
 TABLES = ("documents", "spans", "definitions", "entities", "aliases", "mentions", "edges", "evidence", "unresolved")
 
 
@@ -45,6 +46,7 @@ class Result(NamedTuple):
     diagnostics: list[dict]
     ambiguous: DataFrame
     metrics: dict
+    local: list[Row]  # the same rows, on the driver
 
 
 def within(roots: list[str], path: str) -> str:
@@ -190,11 +192,12 @@ class Work:
     def _explored(self, operation: str, query: str, limit: int, max_hops: int, target_chapter: int | None) -> Result:
         began = time.monotonic()
         rows, notes, other, more = self._read(operation, query, limit, max_hops, target_chapter)
-        rows = self._local(rows)
+        schema, held = rows.schema, rows.collect()
+        rows = self.spark.createDataFrame(held, schema)
         other = self.spark.createDataFrame([], "ref string") if other is None else self._local(other.limit(limit))
-        n = rows.count()
+        n = len(held)
         metrics = {"candidate_count": n, "returned_count": n, "visited_nodes": n, "max_actual_hops": 0, "omitted_estimate": 0} | more
-        return Result(rows, notes, other, metrics | {"elapsed_ms": round(1000 * (time.monotonic() - began), 3)})
+        return Result(rows, notes, other, metrics | {"elapsed_ms": round(1000 * (time.monotonic() - began), 3)}, held)
 
     def _read(self, operation: str, query: str, limit: int, max_hops: int, target_chapter: int | None) -> tuple[DataFrame, list[dict], DataFrame | None, dict]:
         tables = self.tables()
@@ -265,13 +268,17 @@ class Work:
         column = next(c for c in ("span_ref" if operation in ("search", "document") else "ref", "entity_ref") if c in result.rows.columns)
         return [r[0] for r in result.rows.select(column).collect()]
 
-    def context(self, query: str, budget: int, required: list[str] = (), excluded: list[str] = (), pinned: list[str] = (), target_chapter: int | None = None, entity_refs: list[str] = (), document_refs: list[str] = (), task_type: str | None = None) -> DataFrame:
-        """The packet, one row.  Pinned references are entities and documents that should be in it; ``task_type`` is kept
-        with the packet and changes nothing."""
+    def context(self, query: str, budget: int, **options: Any) -> DataFrame:  # noqa: ANN401
+        """:meth:`packet` as a table of one row."""
+        return self._held(("table", query, budget, repr(sorted(options.items()))), lambda: self.spark.createDataFrame([self.packet(query, budget, **options)], PACKET))
+
+    def packet(self, query: str, budget: int, required: list[str] = (), excluded: list[str] = (), pinned: list[str] = (), target_chapter: int | None = None, entity_refs: list[str] = (), document_refs: list[str] = (), task_type: str | None = None) -> Row:
+        """The packet.  Pinned references are entities and documents that should be in it; ``task_type`` is kept with the
+        packet and changes nothing."""
         packets.check_request(budget, list(required), list(excluded), list(pinned), list(entity_refs), list(document_refs))
         pins = tuple(dict.fromkeys([*pinned, *entity_refs, *document_refs]))
         key = ("context", query, budget, tuple(required), tuple(excluded), pins, target_chapter, task_type)
-        return self._held(key, lambda: self._local(self._packed(query, budget, list(required), list(excluded), list(pins), target_chapter).withColumn("task_type", F.lit(task_type).cast("string"))))
+        return self._held(key, lambda: self._packed(query, budget, list(required), list(excluded), list(pins), target_chapter).withColumn("task_type", F.lit(task_type).cast("string")).first())
 
     def _packed(self, query: str, budget: int, required: list[str], excluded: list[str], pins: list[str], target_chapter: int | None) -> DataFrame:
         tables = self.tables()
@@ -387,7 +394,7 @@ class Service:
         work = self.work(work_ref)
 
         def make() -> dict:
-            packet = work.context(query, budget, **options).first()
+            packet = work.packet(query, budget, **options)
             details = packets.block_details(work, packet, query, list(options.get("required", ())))
             kept = limits.reduce_context(details, limits.json_bytes(F.struct(*details.columns)), self.cap - 4096, ["one"]).orderBy("place").collect()
             gone = {r["ref"]: r["tokens"] for r in kept if not r["returned"]}

@@ -470,8 +470,9 @@ def test_equal_calls_start_no_job(spark, tmp_path):
     work.index(corpus(spark))
     first = work.explore("search", "Mira Tobin")
     assert work.explore("search", "Mira Tobin") is first and work.context("Mira", 500) is work.context("Mira", 500)
-    plan = first.rows._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.startswith("LocalRelation") or "LogicalRDD" in plan
+    assert first.rows.collect() == first.local
+    again = work.explore("search", "Mira Tobin").local, work.packet("Mira", 500)
+    assert again[0] is first.local and again[1] is work.packet("Mira", 500)
     work.index(corpus(spark).filter("document_ref <> 'd2'"))
     assert work.explore("search", "Mira Tobin") is not first
     assert first.metrics["returned_count"] == first.rows.count() and first.metrics["elapsed_ms"] >= 0
