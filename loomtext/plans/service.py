@@ -60,25 +60,31 @@ def within(roots: list[str], path: str) -> str:
 
 
 def timed(spark: SparkSession, tag: str, work: Callable[[], Any], seconds: float = DEADLINE_SECONDS) -> Any:  # noqa: ANN401
-    """Run ``work`` under a tag that a timer interrupts."""
-    spark.addTag(tag)
+    """Run ``work`` under a tag whose jobs a timer cancels; a call that ends late all the same is an error too."""
+    context = spark.sparkContext
+    context.addJobTag(tag)
     late = threading.Event()
 
     def stop() -> None:
         late.set()
-        spark.interruptTag(tag)
+        context.cancelJobsWithTag(tag)
 
     timer = threading.Timer(seconds, stop)
     timer.start()
     try:
-        return work()
+        made = work()
+        if late.is_set():
+            raise TimeoutError(f"TIME_LIMIT_EXCEEDED: {tag} took more than {seconds} seconds")
+        return made
+    except TimeoutError:
+        raise
     except Exception as e:
         if late.is_set():
             raise TimeoutError(f"TIME_LIMIT_EXCEEDED: {tag} took more than {seconds} seconds") from e
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
 
 
 @dataclass
