@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomtext.llm import decontam, langid, lm, near_dups, piece_codec, quality, secrets, substring_dedup, suffix_dedup, token_counts
+from loomtext.llm import decontam, divergence, fim, langid, lm, near_dups, piece_codec, quality, secrets, substring_dedup, suffix_dedup, syncmers, token_counts
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         lm.op8_lm_scoring,
         substring_dedup.op9_substring_dedup,
         quality.op10_quality_rules,
+        divergence.op11_source_divergence,
+        fim.op12_fill_in_middle,
+        syncmers.op13_syncmer_fingerprints,
     )
 }
-ORACLES: dict[str, str] = {"op10_quality_rules": quality.OP10_SQL}
+ORACLES: dict[str, str] = {"op10_quality_rules": quality.OP10_SQL, "op11_source_divergence": divergence.OP11_SQL, "op12_fill_in_middle": fim.OP12_SQL}
