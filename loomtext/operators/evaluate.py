@@ -98,43 +98,43 @@ def histogram(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n"))
 
 
-def run_tasks(tasks: list[tuple[str, str]], search: Callable[[str], DataFrame]) -> DataFrame:
-    """(fact, span_ref, rank, excerpt) of each (fact, query); one bounded result per task."""
-    out = None
-    for fact, query in tasks:
-        order = Window.orderBy(F.desc("score"), "relative_path", "start_line", "span_ref")  # over one result
-        one = search(query)
-        if "score" not in one.columns:  # the query had no terms
-            continue
-        one = one.select(F.lit(fact).alias("fact"), "span_ref", F.row_number().over(order).alias("rank"), "excerpt")
-        out = one if out is None else out.unionByName(one)
-    return out
+Search = Callable[[DataFrame, "dict | None", frozenset], DataFrame]
+
+
+def run_tasks(tasks: DataFrame, search: Search, config: dict | None = None, disabled: frozenset[str] = frozenset()) -> DataFrame:
+    """tasks(fact, query) -> (fact, span_ref, rank, excerpt): all tasks of one setting in one plan.
+
+    search: (queries(query_id, query), config, disabled factors) -> ranked rows by query_id, such as ``search_many``.
+    """
+    found = search(tasks.select(F.col("fact").alias("query_id"), "query"), config, disabled)
+    return found.select(F.col("query_id").alias("fact"), "span_ref", "rank", "excerpt")
 
 
-def measured(tasks: list[tuple[str, str]], gold: DataFrame, search: Callable[[str], DataFrame]) -> DataFrame:
+def measured(tasks: DataFrame, gold: DataFrame, search: Search, config: dict | None = None, disabled: frozenset[str] = frozenset()) -> DataFrame:
     """One row: recall at the cutoffs and the mean reciprocal rank of a search over tasks (fact, query) with ``gold``."""
-    facts = gold.sparkSession.createDataFrame([(f,) for f, _ in tasks], gold.select("fact").schema)
-    return recall_mrr(gold_ranks(run_tasks(tasks, search).select("fact", "span_ref", "rank"), gold, facts))
+    return recall_mrr(gold_ranks(run_tasks(tasks, search, config, disabled).select("fact", "span_ref", "rank"), gold, tasks.select("fact")))
+
+
+def _labelled(rows: list[tuple[dict, DataFrame]]) -> DataFrame:
+    out = None
+    for label, df in rows:
+        one = df.select(*[F.lit(v).alias(k) for k, v in label.items()], *df.columns)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-def calibrate(tasks: list[tuple[str, str]], gold: DataFrame, search: Callable[[str, dict | None], DataFrame], grid: dict[str, tuple]) -> DataFrame:
-    """(top_k, terms, weight, recall_5, mrr, base_recall_5, base_mrr) of every setting of ``grid``, searched for real."""
-    base = measured(tasks, gold, lambda q: search(q, None)).first()
-    rows = []
-    for k, t, w in itertools.product(grid["top_k"], grid["terms"], grid["weight"]):
-        m = measured(tasks, gold, lambda q, c={"top_k": k, "terms": t, "weight": w}: search(q, c)).first()
-        rows.append((k, t, w, m["recall_5"], m["mrr"], base["recall_5"], base["mrr"]))
-    return gold.sparkSession.createDataFrame(rows, "top_k int, terms int, weight double, recall_5 double, mrr double, base_recall_5 double, base_mrr double")
+def calibrate(tasks: DataFrame, gold: DataFrame, search: Search, grid: dict[str, tuple]) -> DataFrame:
+    """(top_k, terms, weight, recall_5, mrr, base_recall_5, base_mrr) of every setting of ``grid``, searched for real: a
+    plan for each setting, whatever the number of tasks."""
+    base = measured(tasks, gold, search).select(F.col("recall_5").alias("base_recall_5"), F.col("mrr").alias("base_mrr"))
+    settings = [{"top_k": k, "terms": t, "weight": w} for k, t, w in itertools.product(grid["top_k"], grid["terms"], grid["weight"])]
+    rows = _labelled([(c, measured(tasks, gold, search, c).select("recall_5", "mrr")) for c in settings])
+    return rows.crossJoin(F.broadcast(base))  # one base row
 
 
-def ablate(tasks: list[tuple[str, str]], gold: DataFrame, search: Callable[[str, frozenset[str]], DataFrame], factors: tuple[str, ...]) -> DataFrame:
+def ablate(tasks: DataFrame, gold: DataFrame, search: Search, factors: tuple[str, ...]) -> DataFrame:
     """(variant, recall_5, mrr) without each factor in turn, and the baseline, searched for real."""
-    out = []
-    for name in ("baseline", *factors):
-        off = frozenset() if name == "baseline" else frozenset([name])
-        m = measured(tasks, gold, lambda q, off=off: search(q, off)).first()
-        out.append((name, m["recall_5"], m["mrr"]))
-    return gold.sparkSession.createDataFrame(out, "variant string, recall_5 double, mrr double")
+    return _labelled([({"variant": name}, measured(tasks, gold, search, None, frozenset([name]) - {"baseline"}).select("recall_5", "mrr")) for name in ("baseline", *factors)])
 
 
 def fixture_report(tasks: DataFrame, results: DataFrame, corpus_tokens: int) -> DataFrame:

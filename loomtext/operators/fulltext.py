@@ -2,8 +2,10 @@
 
 Phrases of three characters and more are searched as case-insensitive substrings.  ``postings`` is the index table: for
 each span and trigram, how often and where it stands; a span's rows are made from that span alone, so nothing is
-shuffled.  ``phrase_hits`` counts whole phrases from positions, and ``indexed_bm25`` ranks by them, without reading texts;
-``add_bm25`` does the same by a scan where there is no index.
+shuffled.  With places, a row also carries the span's size and order, so ranking needs no other table, and the last one
+and two characters of a field are terms as well: every character of a text then begins a term, and terms of one or two
+characters are found as beginnings of terms (``short_spans``).  ``phrase_hits`` counts whole phrases from positions, and
+``indexed_bm25`` ranks by them, without reading texts; ``add_bm25`` does the same by a scan where there is no index.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 20  # characters that one step of the pass over the spans holds
 # Fixed values of BM25.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+CARRIED = ["n_trigrams", "source_ordinal", "ordinal"]  # what each posting with places says of its span
 
 
 def trigram_count(c: Column) -> Column:
@@ -52,8 +55,14 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
+def _tails(heading: list[str], content: list[str]) -> tuple[list[int], list[str]]:
+    """(text, term): the last one and two characters of each field, once a text."""
+    made = [(k, t) for k, (h, c) in enumerate(zip(heading, content, strict=True)) for t in sorted({x for f in (h, c) for x in (f[-1:], f[-2:]) if x})]
+    return [k for k, _ in made], [t for _, t in made]
+
+
 def _post(places: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["work_ref", "span_ref", "term", "tf", "in_heading", "in_content"][: 6 if places else 4]
+    names = ["work_ref", "span_ref", "term", "tf", "in_heading", "in_content", *CARRIED][: None if places else 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,7 +84,13 @@ def _post(places: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 columns = [batch.column("work_ref").take(at), batch.column("span_ref").take(at), named.take(pa.array(which)), pa.array(tf.astype(np.int32))]
                 if places:
                     in_content = np.add.reduceat(field, head) if len(head) else tf
-                    columns += [_lists(place[field == 0], tf - in_content), _lists(place[field == 1], in_content)]
+                    counts = pa.array([max(len(h) - 2, 0) + max(len(c) - 2, 0) for h, c in zip(heading, content, strict=True)], pa.int32())
+                    carried = [counts, *(batch.column(c).cast(pa.int32()) for c in CARRIED[1:])]
+                    columns += [_lists(place[field == 0], tf - in_content), _lists(place[field == 1], in_content), *(c.take(at) for c in carried)]
+                    k, tails = _tails(heading[i:j], content[i:j])
+                    at, none = pa.array(np.asarray(k, np.int64) + i), np.zeros(len(k), np.int64)
+                    last = [batch.column("work_ref").take(at), batch.column("span_ref").take(at), pa.array(tails, pa.string()), pa.array(none.astype(np.int32)), _lists(none[:0], none), _lists(none[:0], none), *(c.take(at) for c in carried)]
+                    yield pa.RecordBatch.from_arrays(last, names)
                 yield pa.RecordBatch.from_arrays(columns, names)
                 i = j
 
@@ -84,13 +99,17 @@ def _post(places: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 def postings(spans: DataFrame, places: bool = False) -> DataFrame:
     """(work_ref, span_ref, term, tf): every trigram of heading and content; with ``places`` also where (in_heading,
-    in_content: offsets in characters)."""
-    given = spans.select("work_ref", "span_ref", F.lower("heading").alias("heading"), F.lower("content").alias("content"))
-    return given.mapInArrow(_post(places), "work_ref string, span_ref string, term string, tf int" + (", in_heading array<int>, in_content array<int>" if places else ""))
+    in_content: offsets in characters), the span's number of trigrams and its order (source_ordinal, ordinal: columns of
+    ``spans``), and the ends of the fields as terms of one and two characters with ``tf`` 0."""
+    order = CARRIED[1:] if places else []
+    given = spans.select("work_ref", "span_ref", F.lower("heading").alias("heading"), F.lower("content").alias("content"), *order)
+    more = ", in_heading array<int>, in_content array<int>, n_trigrams int, source_ordinal int, ordinal int" if places else ""
+    return given.mapInArrow(_post(places), "work_ref string, span_ref string, term string, tf int" + more)
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:
-    return posted.groupBy("work_ref", "term").agg(F.count("*").alias("df"))
+    """(work_ref, term, df) of the trigrams."""
+    return posted.filter("tf > 0").groupBy("work_ref", "term").agg(F.count("*").alias("df"))
 
 
 def phrase_candidates(posted: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -125,40 +144,70 @@ def add_bm25(spans: DataFrame, terms: list[str], heading: str = "heading", conte
 
 
 def phrase_hits(posted: DataFrame, phrases: list[str], frequency: Callable[[list[str]], dict[str, int]] | None = None) -> DataFrame:
-    """(phrase, span_ref, hits) from postings with places: a phrase stands where its trigrams stand one after the other.
+    """(phrase, span_ref, hits, and what postings carry) from postings with places: a phrase stands where its trigrams
+    stand one after the other.
 
     phrases: distinct, lower case, three characters or more, a bounded list.  The postings are read for their trigrams
     only; with ``frequency`` (trigrams -> spans that hold them), places are compared only in spans that hold the rarest
     trigram of a phrase.
     """
     spark = posted.sparkSession
-    parts = [(p, p[i : i + 3], i, len(p) - 2) for p in phrases for i in range(len(p) - 2)]
+    parts = [(p, p[i : i + 3], i, len(cover(len(p)))) for p in phrases for i in cover(len(p))]
     terms = spark.createDataFrame(parts, "phrase string, term string, step int, need int")
     rows = posted.filter(F.col("term").isin(*sorted({t for _, t, _, _ in parts}))).join(F.broadcast(terms), "term")
-    alone = rows.filter("need = 1").select("phrase", "span_ref", F.col("tf").cast("long").alias("hits"))
-    if all(n == 1 for *_, n in parts):
-        return alone
-    if frequency is not None:
+    if frequency is not None and any(n > 1 for *_, n in parts):
         known = frequency(sorted({t for _, t, _, _ in parts}))
-        rarest = {p: min((p[i : i + 3] for i in range(len(p) - 2)), key=lambda t: (known.get(t, 0), t)) for p in phrases}
+        rarest = {p: min((p[i : i + 3] for i in cover(len(p))), key=lambda t: (known.get(t, 0), t)) for p in phrases}
         marks = spark.createDataFrame(list(rarest.items()), "phrase string, term string")
         maybe = posted.filter(F.col("term").isin(*sorted(set(rarest.values())))).select("term", "span_ref").join(F.broadcast(marks), "term").select("phrase", "span_ref")
         rows = rows.join(maybe, ["phrase", "span_ref"], "left_semi")
+    return whole_phrases(rows)
+
+
+def cover(length: int) -> list[int]:
+    """Places of trigrams that together have every character of a phrase: where they stand, it stands."""
+    return sorted({*range(0, length - 2, 3), length - 3})
+
+
+def whole_phrases(rows: DataFrame) -> DataFrame:
+    """rows(phrase, term, step, need and a posting's columns) -> phrase, span_ref, hits and what postings carry: where all
+    the ``need`` trigrams of a phrase stand in their places.
+
+    Rows are dealt by span once; all that is counted of a span, and of its phrases, is counted there.
+    """
+    kept = ["phrase", "span_ref", *CARRIED]
     # A place in the heading counts from below nought, one in the content from nought.
-    from_start = {c: F.filter(F.transform(c, lambda x: x - F.col("step")), lambda x: x >= 0) for c in ("in_heading", "in_content")}
-    place = F.concat(F.transform(from_start["in_heading"], lambda x: -1 - x), from_start["in_content"])
-    starts = rows.filter("need > 1").select("phrase", "span_ref", "need", F.explode(place).alias("at"))
-    whole = starts.groupBy("phrase", "span_ref", "at").agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("n = need")
-    return alone.unionByName(whole.groupBy("phrase", "span_ref").agg(F.count("*").alias("hits")))
+    starts = {c: F.filter(F.transform(c, lambda x: x - F.col("step")), lambda x: x >= 0) for c in ("in_heading", "in_content")}
+    place = F.concat(F.transform(starts["in_heading"], lambda x: -1 - x), starts["in_content"])
+    dealt = rows.select(*kept, "need", place.alias("at")).repartition("span_ref")
+    each = dealt.select(*kept, "need", F.explode("at").alias("at")).groupBy(*kept, "need", "at").agg(F.count("*").alias("n")).filter("n = need")
+    return each.groupBy(*kept).agg(F.count("*").alias("hits"))
 
 
-def indexed_bm25(posted: DataFrame, sizes: DataFrame, count: int, average: float, phrases: list[str], frequency: Callable[[list[str]], dict[str, int]] | None = None) -> DataFrame:
-    """sizes(span_ref, n_trigrams, ...) of the spans that hold a phrase, with ``bm25`` (see :func:`add_bm25`)."""
+def rarity(count: Column | float, df: Column) -> Column:
+    """The weight of a phrase that ``df`` of ``count`` spans hold."""
+    x = F.log((F.lit(count).cast("double") - df + 0.5) / (df + 0.5))
+    return F.when(x > 0, x).otherwise(LEAST_IDF)
+
+
+def term_weight(idf: Column, hits: Column, size: Column, average: Column) -> Column:
+    f = hits.cast("double")
+    return idf * f * F.lit(K1 + 1) / (f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * size / average))
+
+
+def indexed_bm25(posted: DataFrame, count: int, average: float, phrases: list[str], frequency: Callable[[list[str]], dict[str, int]] | None = None) -> DataFrame:
+    """(span_ref, source_ordinal, ordinal, bm25) of the spans that hold a phrase (see :func:`add_bm25`)."""
     hits = phrase_hits(posted, phrases, frequency)
     df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
-    rarity = F.log((F.lit(float(count)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = df.select("phrase", F.when(rarity > 0, rarity).otherwise(LEAST_IDF).alias("idf"))
-    f, size = F.col("hits").cast("double"), F.col("n_trigrams")
-    part = F.col("idf") * f * F.lit(K1 + 1) / (f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * size / F.lit(average or 1.0)))
-    each = hits.join(F.broadcast(idf), "phrase").join(sizes.select("span_ref", "n_trigrams"), "span_ref")
-    return sizes.join(each.groupBy("span_ref").agg(F.sum(part).alias("bm25")), "span_ref")
+    idf = df.select("phrase", rarity(float(count), F.col("df")).alias("idf"))  # a row for each phrase
+    part = term_weight(F.col("idf"), F.col("hits"), F.col("n_trigrams"), F.lit(average or 1.0))
+    return hits.join(F.broadcast(idf), "phrase").groupBy("span_ref", "source_ordinal", "ordinal").agg(F.sum(part).alias("bm25"))
+
+
+def short_spans(posted: DataFrame, terms: list[str]) -> DataFrame:
+    """(span_ref, source_ordinal, ordinal) of spans that hold one of ``terms`` (one or two characters, lower case): a term
+    of the index begins with each of them wherever it stands."""
+    begins = F.lit(False)
+    for t in terms:
+        begins = begins | F.startswith(F.col("term"), F.lit(t))
+    return posted.filter(begins).groupBy("span_ref").agg(*[F.first(c).alias(c) for c in CARRIED[1:]])

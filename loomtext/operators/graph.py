@@ -189,14 +189,17 @@ def precedes_edges(entities: DataFrame, spans: DataFrame) -> DataFrame:
 MENTION = ["work_ref", "mention_ref", "entity_ref", "span_ref", "start_offset", "end_offset", "source_kind", "evidence_hash"]
 
 
-def edge_tables(documents: DataFrame, spans: DataFrame, entities: DataFrame, mentioned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, evidence) of a whole work, from its mentions; an edge without evidence does not come about."""
+def edge_tables(documents: DataFrame, spans: DataFrame, entities: DataFrame | None, mentioned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, evidence) of documents, from their mentions; an edge without evidence does not come about.  ``entities``
+    (all of the work; none: leave it out) make the chain of chapters."""
     shape = ["work_ref", "edge_ref", "source_ref", "target_ref", "kind", "span_ref", "evidence_hash", "identity_hash"]
     placed = mentioned.join(spans.select("work_ref", "span_ref", "document_ref", "ordinal"), ["work_ref", "span_ref"])
     by_name, by_link = placed.filter("source_kind = 'deterministic'"), placed.filter("source_kind = 'native'")
     edges = contains_edges(spans).select(*shape).unionByName(reference_edges(by_name, documents, "appears_in").select(*shape)).unionByName(reference_edges(by_link, documents, "mentions").select(*shape))
     none = F.lit(None).cast("string")
-    edges = edges.withColumns({"valid_from_chapter": none, "valid_to_chapter": none}).unionByName(precedes_edges(entities, spans).select(*shape, "valid_from_chapter", "valid_to_chapter"))
+    edges = edges.withColumns({"valid_from_chapter": none, "valid_to_chapter": none})
+    if entities is not None:
+        edges = edges.unionByName(precedes_edges(entities, spans).select(*edges.columns))
     return edges, evidence(by_name, "appears_in").unionByName(evidence(by_link, "mentions"))
 
 

@@ -6,8 +6,9 @@ import itertools
 import math
 import re
 import unicodedata
-from collections.abc import Iterable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from loomtext.functions.text import contains_folded, utf16_size, utf16_slice
-from loomtext.operators.fulltext import add_bm25, indexed_bm25
+from loomtext.operators.fulltext import add_bm25, indexed_bm25, short_spans
 
 # Phrases that a question may hold and that are no terms; words that feedback never adds; the grid.
 STOP_PHRASES = (
@@ -26,6 +27,8 @@ FEEDBACK_STOP = set("and are for from into is that the this was were with 一个
 GRID = {"top_k": (5, 8, 12), "terms": (4, 6, 8), "weight": (0.15, 0.25, 0.35)}
 PRODUCTION = {"top_k": 12, "terms": 8, "weight": 0.35}
 MAX_TERMS, FEEDBACK_POOL = 48, 128
+FEW_SPANS, ASKED, POOL_TASKS = 200_000, 256, 4
+STABLE = ["source_ordinal", "ordinal", "span_ref"]
 EXCERPT, WINDOWS, SEPARATOR = 900, 3, "\n…\n"
 FACTORS = ("coverage", "alias", "proximity", "heading", "bm25Term", "ftsMerge", "trust")
 _TOKEN = re.compile(r"[a-z0-9][a-z0-9_'-]*|[㐀-鿿]+")
@@ -152,21 +155,41 @@ def _any_folded(terms: list[str]) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """What a revision holds for search: postings with places, document frequencies, sizes and order of spans, totals."""
+    """What a revision holds for search: postings with places, document frequencies, totals.  A ``posted`` term carries
+    the size and the order of its span, so choosing rows reads no other table."""
 
     postings: DataFrame
     terms: DataFrame
-    sizes: DataFrame  # span_ref, n_trigrams, source_ordinal, ordinal
     count: int
     average: float
+    known: dict = field(default_factory=dict)  # what was asked before, by arguments; the last ``ASKED`` of them
+
+    def _once(self, key: tuple, make: Callable[[], Any]) -> Any:  # noqa: ANN401
+        if key not in self.known:
+            self.known[key] = make()
+            while len(self.known) > ASKED:
+                self.known.pop(next(iter(self.known)))
+        return self.known[key]
 
     def best(self, phrases: list[str], cap: int) -> list[tuple[str, float]]:
-        """(span_ref, bm25) of the ``cap`` best spans; no text is read."""
-        rows = indexed_bm25(self.postings, self.sizes, self.count, self.average, phrases, self.frequencies)
-        return [(r["span_ref"], r["bm25"]) for r in rows.orderBy(F.desc("bm25"), "source_ordinal", "ordinal", "span_ref").limit(cap).select("span_ref", "bm25").collect()]
+        """(span_ref, bm25) of the ``cap`` best spans; no text is read.  In a large index, places are compared only where
+        the rarest trigram stands."""
+        frequency = self.frequencies if self.count > FEW_SPANS else None
+
+        def make() -> list[tuple[str, float]]:
+            rows = indexed_bm25(self.postings, self.count, self.average, phrases, frequency)
+            return [(r["span_ref"], r["bm25"]) for r in rows.orderBy(F.desc("bm25"), *STABLE).limit(cap).select("span_ref", "bm25").collect()]
+
+        return self._once(("best", tuple(phrases), cap), make)
+
+    def short(self, terms: list[str], cap: int) -> list[str]:
+        """The first ``cap`` spans, in source order, that hold a term of one or two characters; no text is read."""
+        return self._once(("short", tuple(terms), cap), lambda: [r["span_ref"] for r in short_spans(self.postings, terms).orderBy(*STABLE).limit(cap).select("span_ref").collect()])
 
     def frequencies(self, terms: list[str]) -> dict[str, int]:
-        return {r["term"]: r["df"] for r in self.terms.filter(F.col("term").isin(*terms)).groupBy("term").agg(F.sum("df").alias("df")).collect()} if terms else {}
+        """Spans that hold each trigram."""
+        make = lambda: {r["term"]: r["df"] for r in self.terms.filter(F.col("term").isin(*terms)).groupBy("term").agg(F.sum("df").alias("df")).collect()}
+        return self._once(("frequencies", tuple(terms)), make) if terms else {}
 
 
 def candidates(spans: DataFrame, terms: list[str], aliases: list[str], expansion: list[str], limit: int, merge: bool = True, index: Index | None = None) -> DataFrame:
@@ -175,24 +198,21 @@ def candidates(spans: DataFrame, terms: list[str], aliases: list[str], expansion
     With an index, phrases are found and ranked in it, and only the rows chosen (at most 512) are read from ``spans``.
     """
     most, fewer = min(512, max(64, 12 * limit)), min(256, max(64, 4 * limit))
-    stable = ["source_ordinal", "ordinal", "span_ref"]
+    unranked = F.lit(None).cast("double").alias("bm25")
 
     def scanned(found: list[str], cap: int) -> DataFrame:
-        return spans.filter(_any_folded(found)).orderBy(*stable).limit(cap).withColumn("bm25", F.lit(None).cast("double"))
+        return spans.filter(_any_folded(found)).orderBy(*STABLE).limit(cap).select("*", unranked)
 
     def phrases(found: list[str], cap: int, scored: bool) -> DataFrame:
         if not merge:
             return scanned(found, cap)
-        if index is not None:
-            best = index.best(found, cap)
-            marks = spans.sparkSession.createDataFrame(best, "span_ref string, bm25 double")
-            rows = spans.filter(F.col("span_ref").isin(*[r for r, _ in best])).join(F.broadcast(marks), "span_ref").select(*spans.columns, "bm25")
-            return rows if scored else rows.withColumn("bm25", F.lit(None).cast("double"))
-        rows = add_bm25(spans, found).orderBy(F.desc("bm25"), *stable).limit(cap)
-        return rows if scored else rows.withColumn("bm25", F.lit(None).cast("double"))
+        rows = add_bm25(spans, found).orderBy(F.desc("bm25"), *STABLE).limit(cap)
+        return rows if scored else rows.withColumn("bm25", unranked)
 
     long_terms, long_expansion = [t for t in terms if len(t) >= 3], [t for t in expansion if len(t) >= 3]
     short, short_expansion = [t for t in [*terms, *aliases] if len(t) < 3], [t for t in expansion if len(t) == 2]
+    if index is not None and merge:
+        return _indexed(spans, index, (long_terms, most), (long_expansion, fewer), (short, fewer), (short_expansion, fewer))
     parts = []
     if long_expansion:
         parts.append(phrases(long_expansion, fewer, False))
@@ -201,7 +221,7 @@ def candidates(spans: DataFrame, terms: list[str], aliases: list[str], expansion
     if short:
         parts.append(scanned(short, fewer))
     if not parts and not short_expansion:
-        return spans.limit(0).withColumn("bm25", F.lit(None).cast("double"))
+        return spans.limit(0).select("*", unranked)
     pool = merged(parts) if parts else None
     if short_expansion and (pool is None or not long_terms or pool.count() < most):
         extra = scanned(short_expansion, fewer)
@@ -209,6 +229,23 @@ def candidates(spans: DataFrame, terms: list[str], aliases: list[str], expansion
     return pool
 
 
+def _indexed(spans: DataFrame, index: Index, terms: tuple[list[str], int], expansion: tuple[list[str], int], short: tuple[list[str], int], short_expansion: tuple[list[str], int]) -> DataFrame:
+    """The candidates by the index, each a list of terms and its cap: references are chosen there (at most 1,280 of them),
+    then their rows are read, once."""
+    chosen: dict[str, float | None] = {}
+    if expansion[0]:
+        chosen |= dict.fromkeys((r for r, _ in index.best(*expansion)), None)
+    if terms[0]:
+        chosen |= dict(index.best(*terms))
+    if short[0]:
+        chosen |= {r: chosen.get(r) for r in index.short(*short)}
+    if short_expansion[0] and (not terms[0] or len(chosen) < terms[1]):
+        chosen |= {r: chosen.get(r) for r in index.short(*short_expansion)}
+    marks = spans.sparkSession.createDataFrame(list(chosen.items()), "span_ref string, bm25 double")
+    found = spans.filter(F.col("span_ref").isin(*chosen)).join(F.broadcast(marks), "span_ref").select(*spans.columns, "bm25")
+    return found.repartition(POOL_TASKS)  # few rows from many files: a few tasks score them
+
+
 def merged(parts: list[DataFrame]) -> DataFrame:
     """Candidates of all sources, each span once: a row that an original phrase found (with ``bm25``) goes before others."""
     pool = parts[0]
@@ -218,44 +255,63 @@ def merged(parts: list[DataFrame]) -> DataFrame:
     return pool.withColumn("k", F.row_number().over(order)).filter("k = 1").drop("k")
 
 
-def score(pool: DataFrame, terms: list[str], aliases: list[str], expansion: list[tuple[str, float]], weight: float, limit: int, disabled: frozenset[str] = frozenset()) -> DataFrame:
-    """Candidates with ``score``, its factors, ``trust`` and ``excerpt``; best first."""
+EXPANSION = "array<struct<term:string,weight:double>>"
+
+
+@F.pandas_udf(DoubleType())
+def _near(text: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([proximity(t.lower(), [*x, *y]) for t, x, y in zip(text, a, b, strict=True)], dtype="float64")
+
+
+def factored(pool: DataFrame, terms: Column, aliases: Column, expansion: Column, weight: float, disabled: frozenset[str] = frozenset()) -> DataFrame:
+    """Candidates with what they match, ``score``, its factors and ``trust``.
+
+    terms, aliases: arrays of strings; expansion: array of (term, weight); they may differ from row to row.
+    """
     heading, content = F.lower(F.col("heading")), F.lower(F.col("content"))
 
-    def matched(found: list[str]) -> Column:
-        wanted = F.array(*[F.lit(t) for t in found]) if found else F.array().cast("array<string>")
+    def matched(wanted: Column) -> Column:
         return F.filter(wanted, lambda t: F.contains(heading, t) | F.contains(content, t))
 
     on = {f: f not in disabled for f in FACTORS}
-    heaviest = max((w for _, w in expansion), default=0.0)
-    weights = F.create_map(*[F.lit(x) for t, w in expansion for x in (t, float(w))]) if expansion else None
-    rows = pool.withColumns({"matched": matched(terms), "alias_matched": matched(aliases), "expansion_matched": matched([t for t, _ in expansion])})
-
-    @F.pandas_udf(DoubleType())
-    def near(text: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([proximity(t.lower(), [*x, *y]) for t, x, y in zip(text, a, b, strict=True)], dtype="float64")
-
+    found = F.filter(expansion, lambda e: F.contains(heading, e["term"]) | F.contains(content, e["term"]))
+    rows = pool.withColumns({"matched": matched(terms), "alias_matched": matched(aliases), "found": found, "heaviest": F.array_max(F.transform(expansion, lambda e: e["weight"]))})
     some = F.size("matched") > 0
     length = F.aggregate("matched", F.lit(0), lambda s, t: s + F.length(t))
-    best = F.array_max(F.transform("expansion_matched", lambda t: weights[t])) if expansion else F.lit(0.0)
+    best = F.coalesce(F.array_max(F.transform("found", lambda e: e["weight"])), F.lit(0.0))
     factors = {
         "coverage": F.least(F.lit(1.0), length / F.lit(12.0)) * 4 if on["coverage"] else F.lit(0.0),
         "alias": F.least(F.lit(0.75), F.size("alias_matched") * F.lit(0.5)) if on["alias"] else F.lit(0.0),
-        "proximity": near("content", "matched", "alias_matched") if on["proximity"] else F.lit(0.0),
+        "proximity": _near("content", "matched", "alias_matched") if on["proximity"] else F.lit(0.0),
         "in_heading": F.size(F.filter("matched", lambda t: F.contains(heading, t))) * F.lit(0.5) if on["heading"] else F.lit(0.0),
         "rank_term": F.least(F.lit(1.0), F.coalesce("bm25", F.lit(0.0)) / 10) if on["bm25Term"] else F.lit(0.0),
         "trust_bonus": F.when(some, 0.25).otherwise(0.0) if on["trust"] else F.lit(0.0),
-        "expansion": F.coalesce(best, F.lit(0.0)) * F.lit(weight / heaviest if heaviest else 0.0),
+        "expansion": best * F.when(F.col("heaviest") != 0, F.lit(float(weight)) / F.col("heaviest")).otherwise(0.0),
     }
     rows = rows.withColumns(factors)
     total = F.lit(0.0)
     for name in factors:
         total = total + F.col(name)
-    rows = rows.withColumns({"score": total, "trust": F.when(some, "deterministic").otherwise("heuristic")})
-    rows = rows.orderBy(F.desc("score"), "relative_path", "start_line", "span_ref").limit(limit)
+    rows = rows.withColumns({"score": total, "trust": F.when(some, "deterministic").otherwise("heuristic"), "expansion_matched": F.transform("found", lambda e: e["term"])})
+    return rows.drop("found", "heaviest")
+
+
+def with_excerpt(rows: DataFrame) -> DataFrame:
+    """Chosen rows with ``excerpt`` and its pieces, around what they match."""
     return rows.withColumn("x", excerpt_column(F.col("content"), F.col("matched"), F.col("alias_matched"), F.col("expansion_matched"))).select(*rows.columns, "x.excerpt", "x.pieces")
 
 
+def _strings(values: list[str]) -> Column:
+    return F.array(*[F.lit(t) for t in values]) if values else F.array().cast("array<string>")
+
+
+def score(pool: DataFrame, terms: list[str], aliases: list[str], expansion: list[tuple[str, float]], weight: float, limit: int, disabled: frozenset[str] = frozenset()) -> DataFrame:
+    """Candidates with ``score``, its factors, ``trust`` and ``excerpt``; best first."""
+    weighed = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(float(w)).alias("weight")) for t, w in expansion]) if expansion else F.array().cast(EXPANSION)
+    rows = factored(pool, _strings(terms), _strings(aliases), weighed, weight, disabled)
+    return with_excerpt(rows.orderBy(F.desc("score"), "relative_path", "start_line", "span_ref").limit(limit))
+
+
 def feedback_terms(text: Column) -> Column:
     """Distinct Latin terms of a source that feedback may add."""
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9][a-z0-9_'-]*)"), 1))
@@ -270,10 +326,11 @@ def feedback_tokens(text: str) -> set[str]:
     return out
 
 
-def cooccurrence(sources: DataFrame, terms: Column) -> DataFrame:
-    """sources(rank, ...) -> (term, sources, cooccurrence): terms of at least two sources, weighted by rank."""
-    each = sources.select("rank", F.explode(F.array_distinct(terms)).alias("term"))
-    return each.groupBy("term").agg(F.count("*").alias("sources"), F.sum(F.lit(1.0) / F.col("rank")).alias("cooccurrence")).filter("sources >= 2")
+def cooccurrence(sources: DataFrame, terms: Column, group: list[str] = ()) -> DataFrame:
+    """sources(rank, ...) -> (group, term, sources, cooccurrence): terms of at least two sources, weighted by rank."""
+    each = sources.select(*group, "rank", F.explode(F.array_distinct(terms)).alias("term"))
+    ranks = F.array_sort(F.collect_list("rank"))  # of the few best; added up in order, so the sum is always the same
+    return each.groupBy(*group, "term").agg(F.count("*").alias("sources"), F.aggregate(ranks, F.lit(0.0), lambda t, r: t + F.lit(1.0) / r).alias("cooccurrence")).filter("sources >= 2")
 
 
 def known_aliases(aliases: DataFrame, terms: list[str]) -> set[str]:

@@ -67,26 +67,31 @@ def split_spans(content: str, title: str, cap: int = SPAN_CAP) -> list[tuple[int
     return out
 
 
-def _split(cap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _split(cap: int, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ["work_ref", "document_ref", "ordinal", "start_line", "end_line", "heading", "content"]
     types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for work, ref, title, content, first in zip(*(batch.column(c).to_pylist() for c in ("work_ref", "document_ref", "title", "content", "source_start_line")), strict=True):
+            rows, of = [], []
+            for k, (work, ref, title, content, first) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("work_ref", "document_ref", "title", "content", "source_start_line")), strict=True)):
                 shift = (first or 1) - 1
-                rows += [(work, ref, o, a + shift, b + shift, h, c) for o, a, b, h, c in split_spans(content or "", title or "", cap)]
+                made = [(work, ref, o, a + shift, b + shift, h, c) for o, a, b, h, c in split_spans(content or "", title or "", cap)]
+                rows += made
+                of += [k] * len(made)
             cols = zip(*rows, strict=True) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+            carried = [batch.column(f"doc_{c}").take(pa.array(of, pa.int64())) for c in keep]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), *carried], [*names, *(f"doc_{c}" for c in keep)])
 
     return run
 
 
-def spans(documents: DataFrame, cap: int = SPAN_CAP) -> DataFrame:
-    """work_ref, span_ref, document_ref, ordinal, start_line, end_line, heading, content."""
-    given = documents.select("work_ref", "document_ref", "title", "content", "source_start_line")
-    found = given.mapInArrow(_split(cap), "work_ref string, document_ref string, ordinal int, start_line int, end_line int, heading string, content string")
+def spans(documents: DataFrame, cap: int = SPAN_CAP, keep: list[str] = ()) -> DataFrame:
+    """work_ref, span_ref, document_ref, ordinal, start_line, end_line, heading, content; ``keep``: columns of the document
+    that each span carries as ``doc_...``."""
+    given = documents.select("work_ref", "document_ref", "title", "content", "source_start_line", *[F.col(c).alias(f"doc_{c}") for c in keep])
+    more = "".join(f", doc_{c} {documents.schema[c].dataType.simpleString()}" for c in keep)
+    found = given.mapInArrow(_split(cap, list(keep)), "work_ref string, document_ref string, ordinal int, start_line int, end_line int, heading string, content string" + more)
     return found.withColumn("span_ref", stable_id("span", F.col("document_ref"), F.col("ordinal")))
 
 

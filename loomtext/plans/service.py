@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions.text import estimate_tokens
 from loomtext.operators import context as packets
-from loomtext.operators import evidence, explore, indexing, limits
+from loomtext.operators import batch_search, evidence, explore, indexing, limits
 from loomtext.operators.captures import Recorder
 from loomtext.operators.search import PRODUCTION, Index, search
 from loomtext.sources import adapters as sources
@@ -33,9 +33,10 @@ MODES = ("status", "incremental", "rebuild")
 RECOVERY = {
     "WORK_REF_NOT_FOUND": "resolve the source again", "UNSUPPORTED_SOURCE": "give a Markdown, text, EPUB or project path", "INDEX_BUSY": "try again when the other writer is done",
     "INDEX_MISSING": "index the work first", "INDEX_SCHEMA_INCOMPATIBLE": "rebuild the index", "QUERY_TOO_LARGE": "shorten the query", "PATH_NOT_ALLOWED": "choose a path under an authorised root",
-    "SOURCE_CHANGED_DURING_READ": "try again when the sources are at rest", "TIME_LIMIT_EXCEEDED": "ask for less, or try again",
+    "INDEX_FENCED": "try again: another writer took over", "INDEX_RECOVERY_REQUIRED": "index the work again", "SOURCE_CHANGED_DURING_READ": "try again when the sources are at rest", "TIME_LIMIT_EXCEEDED": "ask for less, or try again",
 }
 PACKET = "status string, budget_tokens int, used_tokens long, blocks array<string>, omitted array<struct<ref:string,reason:string,tokens:long>>, task_type string"
+KEYS = {"documents": "document_ref", "spans": "span_ref", "entities": "entity_ref", "mentions": "mention_ref", "edges": "edge_ref"}
 TABLES = ("documents", "spans", "definitions", "entities", "aliases", "mentions", "edges", "evidence", "unresolved")
 
 
@@ -59,8 +60,11 @@ def within(roots: list[str], path: str) -> str:
     return real
 
 
-def timed(spark: SparkSession, tag: str, work: Callable[[], Any], seconds: float = DEADLINE_SECONDS) -> Any:  # noqa: ANN401
-    """Run ``work`` under a tag whose jobs a timer cancels; a call that ends late all the same is an error too."""
+def timed(spark: SparkSession, tag: str, work: Callable[[], Any], seconds: float | None = DEADLINE_SECONDS) -> Any:  # noqa: ANN401
+    """Run ``work`` under a tag whose jobs a timer cancels; a call that ends late all the same is an error too.  Without
+    ``seconds`` it may take as long as it takes."""
+    if seconds is None:
+        return work()
     context = spark.sparkContext
     context.addJobTag(tag)
     late = threading.Event()
@@ -93,7 +97,7 @@ class Work:
 
     spark: SparkSession
     root: str
-    held: dict[str, DataFrame] = field(default_factory=dict)
+    held: dict[str, Any] = field(default_factory=dict)
     manifest: dict | None = None
     seen: list | None = None
     results: OrderedDict = field(default_factory=OrderedDict)
@@ -114,40 +118,76 @@ class Work:
         return self.manifest
 
     def status(self, documents: DataFrame) -> dict:
-        """Whether the index is of ``documents`` (with hashes); nothing is written."""
+        """Whether the index is of ``documents`` (with hashes), and whole; nothing is written."""
         state = self._state()
+        notes = []
+        if indexing.interrupted(self.spark, self.root) or (state and indexing.damaged(self.spark, state)):
+            notes.append({"code": "INDEX_RECOVERY_REQUIRED"})
+        if state and any("/documents" in p for p in (indexing.damaged(self.spark, state) if notes else [])):
+            return {"freshness": "stale", "revision": state["revision"], "diagnostics": notes}
         freshness = indexing.freshness(documents, self.table("documents") if state else None)
-        return {"freshness": freshness, "revision": state["revision"] if state else 0}
-
-    def index(self, documents: DataFrame, mode: str = "incremental") -> dict:
-        """status, incremental or rebuild.  Nothing is written when nothing changed; a change derives only what it touches
-        (``derived_spans`` spans).  An index of another schema is rebuilt."""
+        if state and notes and indexing.damaged(self.spark, state):
+            freshness = "stale"
+        notes += [{"code": "INDEX_SOURCE_CHANGED"}] if freshness == "stale" else []
+        return {"freshness": freshness, "revision": state["revision"] if state else 0, "diagnostics": notes}
+
+    def index(self, documents: DataFrame, mode: str = "incremental", source: str | None = None) -> dict:
+        """status, incremental or rebuild.  Nothing is published when nothing changed; a change derives only what it touches
+        (``derived_spans`` spans).  An index of another schema, or a damaged one, is rebuilt.  source: the fingerprint of
+        what ``documents`` were read from."""
         if mode not in MODES:
             raise ValueError(f"INVALID_MODE: {mode}")
         documents = documents.withColumn("content_hash", F.sha2("content", 256))
         documents = documents.withColumn("semantic_hash", indexing.semantic_hash(documents))
+        if mode == "status":
+            return self.status(documents)
         notes = []
-        try:
-            before = self.status(documents)
-        except ValueError as e:
-            if mode == "status" or "INDEX_SCHEMA_INCOMPATIBLE" not in str(e):
-                raise
-            indexing.remove_index(self.spark, self.root)
-            before, notes = self.status(documents), [{"code": "INDEX_SCHEMA_REBUILT"}]
-        if mode == "status" or (mode == "incremental" and before["freshness"] == "fresh"):
-            return before | {"diagnostics": [{"code": "INDEX_SOURCE_CHANGED"}] if before["freshness"] == "stale" else []}
-        with indexing.WriterLock(self.spark, self.root):
-            old = None
-            if before["revision"] and mode == "incremental":
-                old = {n: self.table(n) for n in (*TABLES, "postings")}
-            against = self.table("documents") if before["revision"] and mode == "incremental" else documents.limit(0)
-            counted = {r["status"]: r["n"] for r in indexing.diff_counts(indexing.diff(documents, against)).collect()}
-            draft = indexing.Draft(self.spark, self.root)
-            stats = counted | {"derived_spans": indexing.derive(documents, old, draft)}
-            revision = draft.commit(stats, {"documents": "document_ref", "spans": "span_ref", "entities": "entity_ref", "mentions": "mention_ref", "edges": "edge_ref"})
+        with indexing.WriterLock(self.spark, self.root) as lock:
+            try:
+                state = self._state()
+            except ValueError as e:
+                if "INDEX_SCHEMA_INCOMPATIBLE" not in str(e):
+                    raise
+                for name in storage.names(self.spark, self.root):
+                    if name != "fence":
+                        storage.delete(self.spark, f"{self.root}/{name}")
+                state, notes = self._state(), [{"code": "INDEX_SCHEMA_REBUILT"}]
+            if state and mode == "incremental" and indexing.damaged(self.spark, state):
+                mode, notes = "rebuild", [*notes, {"code": "INDEX_RECOVERED"}]
+            out = self._changed(documents, state, lock) if state and mode == "incremental" else self._rebuilt(documents, lock)
+            if source:
+                storage.put(self.spark, f"{self.root}/source.json", {"source": source}, overwrite=True)
             indexing.recover(self.spark, self.root)
         self._state()
-        return {"freshness": "fresh", "revision": revision, "stats": counted, "derived_spans": stats["derived_spans"], "diagnostics": notes}
+        return out | {"freshness": "fresh", "diagnostics": notes}
+
+    def source(self) -> str | None:
+        """The fingerprint of the sources that the index was last brought up to date with."""
+        try:
+            return storage.get(self.spark, f"{self.root}/source.json")["source"] if "source.json" in storage.names(self.spark, self.root) else None
+        except ValueError:  # being written
+            return None
+
+    def _rebuilt(self, documents: DataFrame, lock: indexing.WriterLock) -> dict:
+        draft = indexing.Draft(self.spark, self.root, lock=lock)
+        spans = indexing.derive(documents, draft)
+        counted = dict.fromkeys(("added", "updated", "deleted", "skipped"), 0) | {"added": self.spark.read.parquet(f"{draft.at}/documents").count()}
+        return {"revision": draft.commit(counted | {"derived_spans": spans}, KEYS), "stats": counted, "derived_spans": spans}
+
+    def _changed(self, documents: DataFrame, state: dict, lock: indexing.WriterLock) -> dict:
+        draft = indexing.Draft(self.spark, self.root, state["segments"], lock)
+        changes = draft.save("_changes", indexing.diff(documents, self.table("documents")).filter("status <> 'skipped'"))
+        found = {r["status"]: r["count"] for r in changes.groupBy("status").count().collect()}
+        counted = {k: found.get(k, 0) for k in ("added", "updated", "deleted")}
+        counted["skipped"] = documents.count() - counted["added"] - counted["updated"]
+        if not found:
+            storage.delete(self.spark, draft.at)
+            return {"revision": state["revision"], "stats": counted, "derived_spans": 0}
+        spans = indexing.derive_change(documents, changes, self.table, state["search"], draft)
+        revision = draft.commit(counted | {"derived_spans": spans}, KEYS)
+        if indexing.segments.due(indexing.current_revision(self.spark, self.root)["segments"]):
+            revision = indexing.compact(self.spark, self.root, lock)
+        return {"revision": revision, "stats": counted, "derived_spans": spans}
 
     # Reading -----------------------------------------------------------------------------------------------------------
 
@@ -161,14 +201,33 @@ class Work:
 
     def rows(self) -> DataFrame:
         """Spans with what their documents say."""
-        known = ["work_ref", "document_ref", "relative_path", "title", "kind", "source_ordinal"]
-        docs = self.table("documents")
-        return self.table("spans").join(docs.select(*known, *(c for c in ("segments", "source_start_line") if c in docs.columns)), ["work_ref", "document_ref"])
+        return self.table("spans").withColumnsRenamed({f"doc_{c}": c for c in indexing.CARRIED})
 
     def search_index(self) -> Index:
-        if "sizes" not in self.held:
-            self.held["sizes"] = self.rows().select("span_ref", "n_trigrams", "source_ordinal", "ordinal")
-        return Index(self.table("postings"), self.table("terms"), self.held["sizes"], self.manifest["search"]["spans"], self.manifest["search"]["average"])
+        if "index" not in self.held:
+            totals = self.manifest["search"]
+            self.held["index"] = Index(self.table("postings"), self.table("terms"), totals["spans"], totals["trigrams"] / max(1, totals["spans"]))
+        return self.held["index"]
+
+    def searched(self, query: str, limit: int, config: dict | None = PRODUCTION) -> tuple[DataFrame, list[dict]]:
+        """Ranked rows through the published index; where that is missing or damaged, by a scan of the spans, which a
+        diagnostic says."""
+        rows, aliases = self.rows(), self.table("aliases")
+        try:
+            return search(rows, query, limit, config, aliases, index=self.search_index())
+        except Exception as e:
+            if not indexing.unreadable(e):
+                raise
+            for name in ("index", "postings", "terms"):
+                self.held.pop(name, None)
+            found, notes = search(rows, query, limit, config, aliases)
+            return found, [*notes, {"code": "FTS_DEGRADED"}]
+
+    def search_many(self, queries: DataFrame, limit: int = 20, config: dict | None = PRODUCTION, disabled: frozenset[str] = frozenset()) -> DataFrame:
+        """queries(query_id, query): all of them searched at once through the published index."""
+        if self._state() is None:
+            raise ValueError("INDEX_MISSING")
+        return batch_search.search_many(queries, self.rows(), self.search_index(), limit, config, self.table("aliases"), disabled)
 
     def _held(self, key: tuple, make: Callable[[], Any]) -> Any:  # noqa: ANN401
         """The result of an equal call on this revision, or a new one; the least recently used goes first."""
@@ -177,7 +236,12 @@ class Work:
             raise ValueError("INDEX_MISSING")
         key = (state["revision"], *key)
         if key not in self.results:
-            self.results[key] = make()
+            try:
+                self.results[key] = make()
+            except Exception as e:
+                if not indexing.unreadable(e):
+                    raise
+                raise ValueError(f"INDEX_RECOVERY_REQUIRED: {indexing.damaged(self.spark, state) or self.root}") from e
             while len(self.results) > RESULTS_HELD:
                 self.results.popitem(last=False)
         self.results.move_to_end(key)
@@ -206,10 +270,10 @@ class Work:
         return Result(rows, notes, other, metrics | {"elapsed_ms": round(1000 * (time.monotonic() - began), 3)}, held)
 
     def _read(self, operation: str, query: str, limit: int, max_hops: int, target_chapter: int | None) -> tuple[DataFrame, list[dict], DataFrame | None, dict]:
-        tables = self.tables()
         if operation == "search":
-            found, notes = search(self.rows(), query, limit, PRODUCTION, tables["aliases"], index=self.search_index())
+            found, notes = self.searched(query, limit)
             return found, notes, None, {}
+        tables = self.tables()
         if operation == "entity":
             found, other, notes = explore.entity_lookup(tables, query, limit)
             return found, notes, other, {}
@@ -263,7 +327,8 @@ class Work:
             else:
                 named = explore.resolve_nodes(result.rows.select("ref"), self.tables())
                 at = named.select("ref", F.col("node_kind").alias("kind"), F.col("heading").alias("title"), "span_ref").join(result.rows.select("ref", "score", "hop", "path", "via"), "ref")
-            found = at.join(spans.drop("kind", "title", "heading", "ordinal"), "span_ref")
+            more = [c for c in ("segments", "source_start_line") if c in self.table("documents").columns]
+            found = at.join(spans.drop("kind", "title", "heading", "ordinal"), "span_ref").join(self.table("documents").select("document_ref", *more), "document_ref")
         shaped = evidence.items(found, self.manifest["revision"])
         return shaped.join(F.broadcast(order), "ref").orderBy("place")
 
@@ -315,7 +380,6 @@ class Service:
     adapters: list[sources.Adapter] = field(default_factory=lambda: [sources.TextAdapter()])
     candidates: dict[str, sources.Candidate] = field(default_factory=dict)
     works: dict[str, Work] = field(default_factory=dict)
-    fingerprints: dict[str, str] = field(default_factory=dict)
     deadline: float = DEADLINE_SECONDS
     cap: int = limits.RESPONSE_BYTES
 
@@ -332,11 +396,11 @@ class Service:
     def _adapter(self, candidate: sources.Candidate) -> sources.Adapter:
         return next(a for a in self.adapters if a.name == candidate.adapter)
 
-    def _called(self, tool: str, work_ref: str | None, given: dict, run: str | None, make: Callable[[], dict]) -> dict:
-        """One call: under the deadline, within the byte cap, and in the log of its work."""
+    def _called(self, tool: str, work_ref: str | None, given: dict, run: str | None, make: Callable[[], dict], unhurried: bool = False) -> dict:
+        """One call: under the deadline (unless ``unhurried``), within the byte cap, and in the log of its work."""
         began = time.monotonic()
         try:
-            out = limits.fit(tool, evidence.without_paths(timed(self.spark, f"{tool}-{threading.get_ident()}", make, self.deadline)), self.cap)
+            out = limits.fit(tool, evidence.without_paths(timed(self.spark, f"{tool}-{threading.get_ident()}", make, None if unhurried else self.deadline)), self.cap)
         except Exception as e:
             code = str(e).partition(":")[0]
             if work_ref in self.candidates:
@@ -359,37 +423,32 @@ class Service:
     def index(self, work_ref: str, mode: str = "incremental", run: str | None = None) -> dict:
         work = self.work(work_ref)
 
-        def make() -> dict:
-            candidate = self.candidates[work_ref]
-            documents, fingerprint = sources.load_consistent(self.spark, self._adapter(candidate), candidate)
-            try:
-                out = work.index(documents, mode)
-            finally:
-                documents.unpersist()
-            if mode != "status":
-                self.fingerprints[work_ref] = fingerprint
-            return {"work_ref": work_ref, **out}
-
-        seconds, self.deadline = self.deadline, max(self.deadline, indexing.LOCK_SECONDS)  # an index has no reader's deadline
+        return self._called("index", work_ref, {"work_ref": work_ref, "mode": mode}, run, lambda: self._indexed(work_ref, mode), unhurried=True)
+
+    def _indexed(self, work_ref: str, mode: str) -> dict:
+        candidate = self.candidates[work_ref]
+        documents, fingerprint = sources.load_consistent(self.spark, self._adapter(candidate), candidate)
         try:
-            return self._called("index", work_ref, {"work_ref": work_ref, "mode": mode}, run, make)
+            return {"work_ref": work_ref, **self.work(work_ref).index(documents, mode, fingerprint)}
         finally:
-            self.deadline = seconds
+            documents.unpersist()
 
-    def ensure_fresh(self, work_ref: str) -> None:
-        """Index again if the sources are not as they were indexed."""
-        candidate = self.candidates.get(work_ref)
-        if candidate and self._adapter(candidate).snapshot(self.spark, candidate) != self.fingerprints.get(work_ref):
-            self.index(work_ref)
+    def ensure_fresh(self, work_ref: str) -> str:
+        """Index again if the sources are not as they were indexed, by a listing; what the index is then."""
+        work, candidate = self.work(work_ref), self.candidates[work_ref]
+        now = self._adapter(candidate).snapshot(self.spark, candidate)
+        if work.source() != now:
+            self._indexed(work_ref, "incremental")
+        return "fresh" if work.source() == now else "stale"
 
     def explore(self, work_ref: str, operation: str, query: str = "", limit: int = 20, max_hops: int = 2, target_chapter: int | None = None, run: str | None = None) -> dict:
-        work = self.work(work_ref)
+        work, freshness = self.work(work_ref), self.ensure_fresh(work_ref)
 
         def make() -> dict:
             result = work.explore(operation, query, limit, max_hops, target_chapter)
             results = [r["item"].asDict(True) for r in work.items(operation, result).select("item").collect()]
             return {
-                "work_ref": work_ref, "revision": work.manifest["revision"], "freshness": "fresh", "operation": operation, "results": results,
+                "work_ref": work_ref, "revision": work.manifest["revision"], "freshness": freshness, "operation": operation, "results": results,
                 "ambiguous": [r.asDict(True) for r in result.ambiguous.collect()], "truncated": False, "metrics": dict(result.metrics), "diagnostics": list(result.diagnostics),
             }
 
@@ -397,7 +456,7 @@ class Service:
 
     def context(self, work_ref: str, query: str, budget: int, run: str | None = None, **options: Any) -> dict:  # noqa: ANN401
         """A packet with the excerpts of its blocks; what does not fit the byte cap is omitted as ``response_limit``."""
-        work = self.work(work_ref)
+        work, freshness = self.work(work_ref), self.ensure_fresh(work_ref)
 
         def make() -> dict:
             packet = work.packet(query, budget, **options)
@@ -407,7 +466,7 @@ class Service:
             blocks = [r.asDict(True) for r in details.join(F.broadcast(self.spark.createDataFrame([(r["ref"],) for r in kept if r["returned"]], "ref string")), "ref").drop("one").orderBy("place").collect()]
             omitted = [o.asDict() for o in packet["omitted"] if o["ref"] not in gone] + [{"ref": k, "reason": "response_limit", "tokens": v} for k, v in gone.items()]
             status = "truncated" if gone and packet["status"] == "complete" else packet["status"]
-            return {"work_ref": work_ref, "revision": work.manifest["revision"], "status": status, "budget_tokens": budget, "used_tokens": sum(b["tokens"] for b in blocks), "blocks": blocks, "omitted": omitted, "task_type": packet["task_type"], "estimated": True}
+            return {"work_ref": work_ref, "revision": work.manifest["revision"], "freshness": freshness, "status": status, "budget_tokens": budget, "used_tokens": sum(b["tokens"] for b in blocks), "blocks": blocks, "omitted": omitted, "task_type": packet["task_type"], "estimated": True}
 
         return self._called("context", work_ref, {"work_ref": work_ref, "query": query, "budget_tokens": budget}, run, make)
 
@@ -425,5 +484,4 @@ class Service:
         """Delete the derived data of a work, unless a capture is active."""
         done = indexing.remove_index(self.spark, self.work(work_ref).root, self.recorder(work_ref).active())
         self.works.pop(work_ref, None)
-        self.fingerprints.pop(work_ref, None)
         return done

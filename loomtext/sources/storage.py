@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def handle(spark: SparkSession, path: str):  # noqa: ANN201
@@ -53,3 +55,23 @@ def move(spark: SparkSession, source: str, target: str) -> bool:
 def delete(spark: SparkSession, path: str) -> bool:
     at, fs = handle(spark, path)
     return fs.exists(at) and fs.delete(at, True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, else the context's; on one machine, else a new one."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    known = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if known:
+        return known.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomtext-"))
+    return shared_folder(spark)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: its plan ends here."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import numerals, ordering
 from loomtext.functions import text as T
-from loomtext.operators import captures, context, evaluate, events, evidence, explore, fulltext, graph, indexing, limits, reports, search, spans
+from loomtext.operators import batch_search, captures, context, evaluate, events, evidence, explore, fulltext, graph, indexing, limits, reports, search, spans
 from loomtext.plans import catalogue
 from loomtext.plans.service import Service, Work, timed, within
 from loomtext.sources import adapters, epub, host_snapshot, html, project, storage, text_files
@@ -129,22 +129,62 @@ def texts(spark):
 
 def index_of(rows):
     posted = fulltext.postings(rows, places=True).cache()
-    sizes = rows.withColumn("n_trigrams", fulltext.trigram_count(F.col("heading")) + fulltext.trigram_count(F.col("content"))).select("span_ref", "n_trigrams", "source_ordinal", "ordinal")
-    total = sizes.agg(F.count("*").alias("n"), F.avg("n_trigrams").alias("a")).first()
-    return search.Index(posted, fulltext.document_frequency(posted), sizes, total["n"], total["a"])
+    total = rows.agg(F.count("*").alias("n"), F.avg(fulltext.trigram_count(F.col("heading")) + fulltext.trigram_count(F.col("content"))).alias("a")).first()
+    return search.Index(posted, fulltext.document_frequency(posted), total["n"], total["a"])
 
 
 def test_postings_hold_every_place(spark, texts):
-    rows = texts
-    want = {}
+    rows, want, ends, carried = texts, {}, set(), {}
     for r in rows.collect():
+        carried[r["span_ref"]] = (sum(max(0, len(x) - 2) for x in (r["heading"], r["content"])), r["source_ordinal"], r["ordinal"])
         for field, text in (("in_heading", r["heading"]), ("in_content", r["content"])):
+            ends |= {(r["span_ref"], x) for x in (text[-1:], text[-2:]) if x}
             for i in range(len(text) - 2):
                 want.setdefault((r["span_ref"], text[i : i + 3]), {"in_heading": [], "in_content": []})[field].append(i)
-    got = {(r["span_ref"], r["term"]): r for r in fulltext.postings(rows, places=True).collect()}
-    assert got.keys() == want.keys()
+    found = fulltext.postings(rows, places=True).collect()
+    got = {(r["span_ref"], r["term"]): r for r in found}
+    assert len(got) == len(found) and got.keys() == want.keys() | ends
     for k, r in got.items():
-        assert {f: list(r[f]) for f in ("in_heading", "in_content")} == want[k] and r["tf"] == sum(map(len, want[k].values()))
+        assert {f: list(r[f]) for f in ("in_heading", "in_content")} == want.get(k, {"in_heading": [], "in_content": []})
+        assert r["tf"] == sum(map(len, want.get(k, {}).values())) and tuple(r[c] for c in fulltext.CARRIED) == carried[k[0]]
+    assert {r["term"] for r in fulltext.document_frequency(spark.createDataFrame(found)).collect()} == {t for _, t in want}
+
+
+@pytest.fixture(scope="module")
+def han(spark):
+    """A Han corpus: names of two and three characters in sentences, some of them at the end of a text."""
+    rng = random.Random(12)
+    signs = "林小雨青云山门大阵剑气长河落日孤城白马"
+    rows = [("w", f"s{i:03}", f"d{i:03}", f"p{i:03}.md", "chapter", "".join(rng.choice(signs) for _ in range(rng.randint(1, 4))), "".join(rng.choice(signs + "，。 ") for _ in range(rng.randint(1, 90))), i % 17, i, 1, 1) for i in range(120)]
+    return spark.createDataFrame(rows, "work_ref string, span_ref string, document_ref string, relative_path string, kind string, heading string, content string, source_ordinal int, ordinal int, start_line int, end_line int").coalesce(2).cache()
+
+
+def test_short_terms_through_the_index(spark, han):
+    index = index_of(han)
+    for terms in (["林"], ["小雨"], ["云山", "马"], ["zz"], ["，"]):
+        want = [r["span_ref"] for r in sorted(han.collect(), key=lambda r: (r["source_ordinal"], r["ordinal"], r["span_ref"])) if any(t in r["heading"] or t in r["content"] for t in terms)]
+        assert index.short(terms, 50) == want[:50] and index.short(terms, 500) == want
+    shape = lambda df: [(r["span_ref"], round(r["score"], 9), r["excerpt"]) for r in df.collect()] if "score" in df.columns else []
+    for query in ("小雨", "请告诉我青云山门大阵是什么"):
+        for config in (search.PRODUCTION, None):
+            a, b = (search.search(han, query, 10, config, index=x)[0] for x in (None, index))
+            assert shape(a) == shape(b) and shape(a), query
+
+
+def test_indexed_search_scans_no_text(spark, han, tmp_path, monkeypatch):
+    """Whatever the terms, texts are read only for chosen references."""
+    han.write.parquet(str(tmp_path / "spans"))
+    fulltext.postings(han, places=True).write.parquet(str(tmp_path / "postings"))
+    rows, given = spark.read.parquet(str(tmp_path / "spans")), index_of(han)
+    index = search.Index(spark.read.parquet(str(tmp_path / "postings")), given.terms, given.count, given.average)
+    monkeypatch.setattr(search, "_any_folded", None)
+    monkeypatch.setattr(search, "add_bm25", None)
+    for query in ("小雨", "云山"):
+        found = search.search(rows, query, 10, search.PRODUCTION, index=index)[0]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [In(span_ref" in plan and found.count()
+    short = fulltext.short_spans(index.postings, ["小雨"])._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(term" in short and "content" not in short.replace("in_content", "")
 
 
 def test_indexed_search_equals_a_scan(spark, texts):
@@ -161,12 +201,9 @@ def test_indexed_search_equals_a_scan(spark, texts):
 
 
 def test_index_search_reads_no_text_to_rank(spark, texts, tmp_path):
-    rows = texts
-    rows.write.parquet(str(tmp_path / "spans"))
-    index = index_of(spark.read.parquet(str(tmp_path / "spans")))
-    fulltext.postings(rows, places=True).write.parquet(str(tmp_path / "postings"))
-    index = search.Index(spark.read.parquet(str(tmp_path / "postings")), index.terms, spark.read.parquet(str(tmp_path / "spans")).select("span_ref", "source_ordinal", "ordinal", F.lit(1).alias("n_trigrams")), 1, 1.0)
-    plan = fulltext.indexed_bm25(index.postings, index.sizes, 1, 1.0, ["amber"])._jdf.queryExecution().executedPlan().toString()
+    fulltext.postings(texts, places=True).write.parquet(str(tmp_path / "postings"))
+    posted = spark.read.parquet(str(tmp_path / "postings"))
+    plan = fulltext.indexed_bm25(posted, 1, 1.0, ["amber"])._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.replace("in_content", "") and "PushedFilters: [In(term" in plan
 
 
@@ -459,10 +496,99 @@ def test_one_writer(spark, tmp_path):
     with indexing.WriterLock(spark, root):
         with pytest.raises(ValueError, match="INDEX_BUSY"), indexing.WriterLock(spark, root):
             pass
-    storage.put(spark, f"{root}/LOCK", {"pid": 2**22 + 1, "host": os.uname().nodename, "at": time.time()})
-    with indexing.WriterLock(spark, root):  # its holder is dead
-        pass
-    assert not storage.names(spark, root) or "LOCK" not in storage.names(spark, root)
+    storage.put(spark, f"{root}/fence/{2:012d}", {"pid": 2**22 + 1, "host": os.uname().nodename, "at": time.time(), "free": False})
+    with indexing.WriterLock(spark, root) as lock:  # its holder is dead
+        assert lock.token == 3
+    assert not indexing.alive(spark, root, 3) and indexing.last_token(spark, root) == 3
+
+
+def test_a_writer_slower_than_its_lease(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(indexing, "LEASE_SECONDS", 0.6)
+    root, rows = str(tmp_path / "idx"), spark.range(3).coalesce(1)
+    with indexing.WriterLock(spark, root):  # it renews its lease, however long it takes
+        time.sleep(1.5)
+        with pytest.raises(ValueError, match="INDEX_BUSY"), indexing.WriterLock(spark, root):
+            pass
+    slow = indexing.WriterLock(spark, root)
+    monkeypatch.setattr(slow, "_renew", lambda: None)  # it stands still
+    with slow:
+        late = indexing.Draft(spark, root, lock=slow)
+        late.save("documents", rows.limit(1))
+        time.sleep(1)
+        with indexing.WriterLock(spark, root) as lock:
+            draft = indexing.Draft(spark, root, lock=lock)
+            draft.save("documents", rows)
+            with pytest.raises(ValueError, match="INDEX_FENCED"):
+                late.commit()
+            slow.__exit__()  # does not take the lease of the other one away
+            assert lock.held() and indexing.alive(spark, root, lock.token)
+            assert indexing.recover(spark, root) == 1 and os.path.isdir(draft.at) and not os.path.isdir(late.at)
+            assert draft.commit() == 1
+    assert indexing.read_table(spark, root, "documents").count() == 3
+
+
+def files_of(folder):
+    return {os.path.join(d, n): os.stat(os.path.join(d, n)).st_size for d, _, names in os.walk(folder) for n in names if n.endswith(".parquet")}
+
+
+def test_a_change_adds_a_segment(spark, tmp_path, monkeypatch):
+    docs = corpus(spark)
+    more = spark.range(60).select(F.lit("w").alias("work_ref"), F.concat(F.lit("x"), "id").alias("document_ref"), F.concat(F.lit("x"), "id", F.lit(".md")).alias("relative_path"), F.lit("Notes").alias("title"), F.lit("document").alias("kind"), (F.col("id") + 10).cast("int").alias("source_ordinal"), F.concat(F.lit("plain words and Mira again "), "id").alias("content"), F.lit(1).alias("source_start_line"))
+    root = str(tmp_path / "idx")
+    work, many = Work(spark, root), docs.unionByName(more)
+    work.index(many)
+    before = files_of(root)
+    many = many.withColumn("content", F.when(F.col("document_ref") == "x3", F.lit("Mira and Tobin, once more")).otherwise(F.col("content")))
+    work.index(many)
+    after = files_of(root)
+    assert all(after[f] == n for f, n in before.items())  # nothing is written again
+    state = work._state()
+    assert len(state["segments"]) == 2 and state["search"]["spans"] == work.table("spans").count()
+    assert spark.read.parquet(f"{state['path']}/spans").count() == 1 and spark.read.parquet(f"{state['path']}/gone_documents").count() == 1
+    rebuilt = Work(spark, str(tmp_path / "again"))
+    rebuilt.index(many, "rebuild")
+    same_tables(work, rebuilt)
+    assert work._state()["search"] == rebuilt._state()["search"]
+    # Segments are put together when there are many of them, and reads stay the same.
+    monkeypatch.setattr(indexing.segments, "MAX_SEGMENTS", 4)
+    seen = []
+    for k in range(4):
+        many = many.withColumn("content", F.when(F.col("document_ref") == f"x{k}", F.lit(f"words {k} of Tobin")).otherwise(F.col("content"))).filter(F.col("document_ref") != f"x{50 + k}")
+        work.index(many)
+        seen.append(len(work._state()["segments"]))
+    assert seen == [3, 1, 2, 3]
+    rebuilt.index(many, "rebuild")
+    same_tables(work, rebuilt)
+    assert [r["span_ref"] for r in work.explore("search", "Tobin words").local] == [r["span_ref"] for r in rebuilt.explore("search", "Tobin words").local]
+
+
+def test_search_without_its_postings(spark, tmp_path):
+    root = str(tmp_path / "idx")
+    work = Work(spark, root)
+    work.index(corpus(spark))
+    whole = work.explore("search", "Mira Tobin")
+    at = work._state()["path"]
+    for name in os.listdir(f"{at}/postings"):
+        if name.startswith("part") or name.startswith(".part"):
+            (open(f"{at}/postings/{name}", "w")).close()  # damaged
+    again = Work(spark, root).explore("search", "Mira Tobin")
+    assert again.diagnostics[-1] == {"code": "FTS_DEGRADED"} and again.local == whole.local
+    storage.delete(spark, f"{at}/postings")  # gone
+    work = Work(spark, root)
+    again = work.explore("search", "Mira Tobin")
+    assert again.diagnostics[-1] == {"code": "FTS_DEGRADED"} and again.local == whole.local
+    assert {"code": "INDEX_RECOVERY_REQUIRED"} in work.index(corpus(spark), "status")["diagnostics"]
+    storage.delete(spark, f"{at}/spans")
+    with pytest.raises(ValueError, match="INDEX_RECOVERY_REQUIRED"):
+        Work(spark, root).explore("search", "Mira Tobin")
+    out = work.index(corpus(spark))
+    assert out["diagnostics"] == [{"code": "INDEX_RECOVERED"}]
+    again = work.explore("search", "Mira Tobin")
+    assert again.local == whole.local and all(n["code"] != "FTS_DEGRADED" for n in again.diagnostics)
+    os.makedirs(f"{root}/rev=9-0-dead")
+    assert {"code": "INDEX_RECOVERY_REQUIRED"} in work.index(corpus(spark), "status")["diagnostics"]
+    work.index(corpus(spark))
+    assert work.index(corpus(spark), "status")["diagnostics"] == []
 
 
 def test_equal_calls_start_no_job(spark, tmp_path):
@@ -577,8 +703,15 @@ def test_paths_to_answers(spark, tmp_path):
     assert report["calls"] == 3 and report["failures"] == 1 and service.diagnose(text)["status"] == "degraded"
     write(root, **{"one.md": "# Chapter 1\nMira met nobody."})
     os.utime(root / "one.md", (time.time() + 5, time.time() + 5))
-    service.ensure_fresh(text)
-    assert service.explore(text, "search", "nobody")["results"] and service.index(text, "status")["freshness"] == "fresh"
+    assert service.index(text, "status")["freshness"] == "stale"
+    got = service.explore(text, "search", "nobody")  # a read sees the edit
+    assert got["results"] and got["freshness"] == "fresh" and service.index(text, "status")["freshness"] == "fresh"
+    revision = got["revision"]
+    os.utime(root / "one.md", (time.time() + 9, time.time() + 9))  # another time, the same text
+    assert service.context(text, "nobody", 100)["revision"] == revision and service.work(text).source()
+    other = Service(spark, str(tmp_path / "home"), [str(root)])  # another process knows what was indexed
+    other.resolve(str(root))
+    assert other.ensure_fresh(text) == "fresh" and other.work(text)._state()["revision"] == revision
     assert service.remove(text) and service.index(text, "status")["freshness"] == "missing"
     with pytest.raises(ValueError, match="WORK_REF_NOT_FOUND"):
         service.explore("work:none", "stats")
@@ -653,18 +786,34 @@ def test_reports(spark, tmp_path):
     assert one(spark, lambda c: events.top_hits(F.array(c, c, c), 2), "z") == ["z", "z"]
 
 
+def test_many_queries_equal_one_by_one(spark, texts, han):
+    shape = ["span_ref", "excerpt", "trust", "bm25"]
+    for rows, asked in ((texts, ["amber brook", "ab", "?!", "ember ab"]), (han, ["小雨", "林小雨 青云", "剑 气"])):
+        index = index_of(rows)
+        queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string").repartition(3)
+        aliases = spark.createDataFrame([("cedar",), ("孤城",)], "normalized_alias string")
+        for config, off, limit in ((search.PRODUCTION, frozenset(), 8), (None, frozenset({"coverage"}), 3)):
+            found = batch_search.search_many(queries, rows, index, limit, config, aliases, off).orderBy("query_id", "rank").collect()
+            for k, q in enumerate(asked):
+                one = search.search(rows, q, limit, config, aliases, off, index)[0]
+                want = [(*(r[c] for c in shape), round(r["score"], 9)) for r in one.collect()] if "score" in one.columns else []
+                got = [(*(r[c] for c in shape), round(r["score"], 9)) for r in found if r["query_id"] == k]
+                assert [x[:3] + x[4:] for x in got] == [x[:3] + x[4:] for x in want], (q, config)
+                assert [r["rank"] for r in found if r["query_id"] == k] == list(range(1, len(want) + 1))
+
+
 def test_evaluators_search_for_real(spark, tmp_path):
     work = Work(spark, str(tmp_path / "idx"))
     work.index(corpus(spark))
-    rows = work.rows().cache()
-    gold = evaluate.gold_references(rows, spark.createDataFrame([("f1", "Tobin slept"), ("f2", "A smith")], "fact string, quote string"))
-    tasks = [("f1", "Tobin slept"), ("f2", "smith")]
-    by_factor = evaluate.ablate(tasks, gold, lambda q, off: search.search(rows, q, 10, None, disabled=off)[0], ("coverage", "trust"))
+    gold = evaluate.gold_references(work.rows(), spark.createDataFrame([("f1", "Tobin slept"), ("f2", "A smith")], "fact string, quote string"))
+    tasks = spark.createDataFrame([("f1", "Tobin slept"), ("f2", "smith")], "fact string, query string")
+    searched = lambda q, c, off: work.search_many(q, 10, c, off)
+    by_factor = evaluate.ablate(tasks, gold, searched, ("coverage", "trust"))
     verdicts = {r["variant"]: r["verdict"] for r in evaluate.ablation(by_factor).collect()}
     assert set(verdicts) == {"baseline", "coverage", "trust"} and by_factor.first()["recall_5"] == 1.0
-    grid = evaluate.calibrate(tasks, gold, lambda q, c: search.search(rows, q, 10, c)[0], {"top_k": (5,), "terms": (4,), "weight": (0.15, 0.35)})
+    grid = evaluate.calibrate(tasks, gold, searched, {"top_k": (5,), "terms": (4,), "weight": (0.15, 0.35)})
     assert evaluate.calibration_winner(grid).first()["weight"] == 0.15
-    found = evaluate.run_tasks(tasks, lambda q: search.search(rows, q, 10, None)[0]).withColumn("tokens", T.estimate_tokens(F.col("excerpt")))
+    found = evaluate.run_tasks(tasks, searched).withColumn("tokens", T.estimate_tokens(F.col("excerpt")))
     report = evaluate.fixture_report(spark.createDataFrame([("f1", "Tobin slept"), ("f2", "A smith")], "fact string, expect string"), found, 1000).first()
     assert (report["tasks"], report["recall"], report["coverage"]) == (2, 1.0, 1.0) and 0 < report["reduction"] < 1
 
