@@ -93,6 +93,7 @@ def numbered_terms(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).filter(F.col("docs") >= min_docs)
     sizes = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
     dealt = kept.join(sizes, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / CHUNK)).cast("int"))
+    dealt = dealt.repartition("lang", "chunk")  # else the window keeps the rows of a language together, as the join left them
     place = F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1
     return dealt.select("lang", "term", "lang_n", "v", "lang_total", "chunk", place.alias("idx"))
 
