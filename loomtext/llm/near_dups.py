@@ -10,14 +10,23 @@ equal sets are one *node* (named by 128 bits of the set).  Each node has ``TREES
                    components are joined.  This settles most regions, and its order decides no result.
 3. ``_regions``    what is left: regions (nodes of one order with one prefix of least depth) that lie in several
                    components.  A link between two components has at least one end outside the region's largest one, so
-                   those *outsiders* are compared with all the region's nodes, in blocks of bounded size: first by
-                   signature, then, where that leaves a link possible, exactly, as a matrix product of the full sets.
-                   A block returns no more links than join its components, so rows stay in proportion to nodes.
+                   only those *outsiders* are compared with the region's nodes.  Regions of up to ``BLOCK`` nodes are one
+                   block.  In larger ones two nodes meet only if they share one of their rarest shingles: by size of their
+                   sets, a pair at the threshold has one in common among the first ``n - ceil(t n) + 1`` of the larger and
+                   the first ``n - ceil(2 t / (1 + t) n) + 1`` of the smaller set (``rare_shingles``).  Nodes that meet are
+                   compared by signature; those that may be linked then exactly, as a matrix product of the full sets, in
+                   blocks that follow from who may be linked with whom.  A block returns no more links than join its
+                   components.
 
 The least depth is the greatest at which all orders miss a pair at the threshold with a chance of at most 1e-6; the
 signature test misses one with at most 3e-7.  There is no other loss: no cap on neighbours, regions or links, and every
-link is exact.  The rows of a region are its nodes and, for regions over ``BLOCK`` nodes, a copy for each block they
-meet; only the arithmetic inside the blocks grows with outsiders times nodes of a region.
+link is exact.  A node of a large region has a row for each of its rarest shingles that a node of another component has
+as well.  Rows are therefore in proportion to nodes wherever texts of a region have more of their own than the
+threshold leaves to a pair; where thousands of texts of other components lie just below the threshold, they meet in
+blocks of ``MEETING`` nodes a side, and rows grow with outsiders times nodes over ``MEETING``.
+
+The order of shingles comes from the texts of at most ``ORDER_SAMPLE`` nodes and holds ``ORDER_ENTRIES`` shingles at
+most; any order gives the same links, a better one fewer rows.
 
 Cases: a null, empty or blank text has no shingles and is linked with nothing; ties and repeated rows: equal sets are
 one node whose least id counts; null ids are kept, but never chosen as a component's name; very long texts are
@@ -40,7 +49,8 @@ from loomtext.llm.textkit import LOWER, buffers, chunks, mix, span_hashes, windo
 WIDTH, PERCENT = 5, 80
 TREES, DEPTH, NEAR = 16, 8, 3
 TURNS = 2
-BLOCK, BLOCK_SHINGLES = 512, 1 << 18
+BLOCK, BLOCK_SHINGLES, MEETING = 512, 1 << 18, 2048
+ORDER_SAMPLE, ORDER_ENTRIES = 4096, 1 << 20
 COLUMNS = 2048
 ROWS_A_TASK = 10_000
 SECOND = np.uint64(0x6A09E667F3BCC909)
@@ -233,14 +243,14 @@ def _turn(cand: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) ->
 
 # Regions in several components -----------------------------------------------------------------------------------------
 
-def _grid(rows: DataFrame, weight: Column) -> DataFrame:
+def _grid(rows: DataFrame, weight: Column, block: int) -> DataFrame:
     """Deal the rows of each ``main`` to blocks: outsiders (``q``) of block i meet nodes (``m``) of block j.
 
-    A block has about ``BLOCK`` rows of a side, or ``BLOCK_SHINGLES`` of ``weight`` where that is less.
+    A block has about ``block`` rows of a side, or ``BLOCK_SHINGLES`` of ``weight`` where that is less.
     """
 
     def blocks(count: Column, total: Column) -> Column:
-        return F.greatest(F.ceil(count / BLOCK), F.ceil(total / BLOCK_SHINGLES), F.lit(1)).cast("int")
+        return F.greatest(F.ceil(count / block), F.ceil(total / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
     out = F.col("outside").cast("int")
     # Written out: the join then deals both sides, and a main label with very many rows can be split.
@@ -288,27 +298,96 @@ def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, m, rows.column("label").to_numpy()
 
 
-def _possible(least: float) -> Callable[[pa.Table], pa.RecordBatch | None]:
-    """Of a block's rows, those that by signature may have a link to another component."""
+def _possible(least: float, percent: int, edges: bool) -> Callable[[pa.Table], pa.RecordBatch | None]:
+    """Of a block's rows, those that by signature and size may have a link to another component; with ``edges``, pairs of
+    nodes instead, as many as join what may be linked."""
 
     def work(rows: pa.Table) -> pa.RecordBatch | None:
         q, m, label = _sides(rows)
         if not len(q) or not len(m):
             return None
-        bits = buffers(rows.column("bits"))[0].reshape(-1, TREES * DEPTH)
+        bits, n = buffers(rows.column("bits"))[0].reshape(-1, TREES * DEPTH), rows.column("n").to_numpy()
         theirs, live, step = bits[m], np.zeros(len(bits), bool), max(1, (1 << 16) // len(m))
+        node, found = rows.column("node").to_numpy(), []
         for k in range(0, len(q), step):
             some = q[k : k + step]
-            hit = (np.count_nonzero(bits[some][:, None] == theirs[None], axis=2) >= least) & (label[some][:, None] != label[m][None])
+            small, large = np.minimum(n[some][:, None], n[m][None]), np.maximum(n[some][:, None], n[m][None])
+            may = (label[some][:, None] != label[m][None]) & (100 * small >= percent * large)
+            if not may.any():
+                continue
+            hit = may & (np.count_nonzero(bits[some][:, None] == theirs[None], axis=2) >= least)
             live[some] |= hit.any(1)
             live[m] |= hit.any(0)
+            if edges and hit.any():
+                x, y = np.nonzero(hit)
+                found.append(spanning(node[some[x]], node[m[y]]))
         if not live.any():
             return None
+        if edges:
+            a, b = spanning(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
         return rows.select(["main", "node", "label", "outside", "n"]).filter(pa.array(live)).combine_chunks().to_batches()[0]
 
     return work
 
 
+def prefixes(n: int, percent: int) -> tuple[int, int]:
+    """How many of its rarest shingles a set of n must look at: to find smaller sets, and to be found by larger ones."""
+    return n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets -> (shingle, count) of those held in each batch."""
+    for batch in batches:
+        values, counts = np.unique(buffers(batch.column("shingles"))[0].view(np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts.astype(np.int64))], ["shingle", "k"])
+
+
+def shingle_order(nodes: DataFrame, sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts), by shingle: those that several of a bounded sample of nodes have; all others come before them."""
+    some = nodes.select("node").distinct().orderBy(F.xxhash64("node")).limit(ORDER_SAMPLE)
+    counts = sets.join(some, "node").select("shingles").mapInArrow(_common, "shingle long, k long").groupBy("shingle").agg(F.sum("k").alias("k")).filter("k > 1")
+    held = counts.orderBy(F.desc("k"), "shingle").limit(ORDER_ENTRIES).toPandas()
+    shingle, k = held["shingle"].to_numpy(np.int64), held["k"].to_numpy(np.int64)
+    order = np.argsort(shingle)
+    return shingle[order], k[order]
+
+
+def rare_shingles(percent: int, known: np.ndarray, counts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(main, node, label, outside, n, shingles) -> a row for each of the rarest shingles that decide (``index``: a larger
+    set finds it there)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["main", "node", "label", "outside", "n"]
+        for batch in batches:
+            flat, off = buffers(batch.column("shingles"))
+            flat, off = flat.view(np.int64), off // 8
+            often = np.zeros(len(flat), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                often = np.where(known[at] == flat, counts[at], 0)
+            row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+            order = np.lexsort((flat, often, row))
+            place = np.arange(len(flat)) - off[row]
+            limits = np.array([prefixes(int(n), percent) for n in np.diff(off)]).reshape(-1, 2)
+            kept = place < limits[row, 0]
+            shingle, index = flat[order][kept], (place < limits[row, 1])[kept]
+            at = pa.array(row[kept])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), pa.array(shingle), pa.array(index)], [*names, "shingle", "index"])
+
+    return run
+
+
+def meetings(big: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """big(main, node, label, outside, n) -> (main, node, label, outside, n): a row for each rare shingle of a node that a
+    node of another component in its region has too; ``main`` names region and shingle."""
+    known, counts = shingle_order(big, sets)
+    rows, _ = materialise(big.join(sets, "node").select("main", "node", "label", "outside", "n", "shingles").mapInArrow(rare_shingles(percent, known, counts), "main long, node long, label long, outside boolean, n long, shingle long, index boolean"))
+    # Where nobody may be found, or all are of one component, nothing is to be compared.
+    shared = rows.groupBy("main", "shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("index").alias("index")).filter("low < high and index")
+    return rows.drop("index").join(shared.select("main", "shingle"), ["main", "shingle"]).select(F.xxhash64("main", "shingle").alias("main"), "node", "label", "outside", "n")
+
+
 def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the edges (u, v), as many as join what all of them join: a forest."""
     ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
@@ -394,20 +473,37 @@ def _regions(docs: DataFrame, nodes: DataFrame, labels: DataFrame, sets: DataFra
     sizes = forest.groupBy("region", "label").agg(F.count("*").alias("k")).groupBy("region").agg(F.count("*").alias("kinds"), F.max(F.struct("k", "label")).alias("top"))
     mixed = sizes.filter("kinds > 1").select("region", F.col("top.label").alias("main"))
     group, group_at = materialise(forest.join(mixed, "region").groupBy("main", "node").agg(F.first("label").alias("label"), F.first("n").alias("n")).withColumn("outside", F.col("label") != F.col("main")))
+    many, _ = materialise(group.groupBy("main").agg(F.count("*").alias("k")).filter(F.col("k") > BLOCK).select("main"))
+    bits, least = nodes.select("node", "bits"), _least_alike(percent)
 
-    def blocks(rows: DataFrame, extra: DataFrame, weight: Column) -> DataFrame:
+    def blocks(rows: DataFrame, extra: DataFrame, weight: Column, block: int) -> DataFrame:
         key = ["main", "i", "j"]
-        return _grid(rows, weight).join(extra, "node").repartition(partitions(spark), *key).sortWithinPartitions(*key)
+        return _grid(rows, weight, block).join(extra, "node").repartition(partitions(spark), *key).sortWithinPartitions(*key)
+
+    def with_sets(wanted: DataFrame, known: DataFrame) -> DataFrame:
+        """The full sets of wanted(node): those that are known, and the others made from their texts."""
+        missing, _ = materialise(wanted.join(known.select("node"), "node", "left_anti").join(nodes.select("node", "at.th", "at.tl"), "node"))
+        if not missing.limit(1).count():
+            return known
+        return materialise(known.join(wanted, "node", "left_semi").unionByName(sets_of(docs, missing, width)))[0]
 
     fields = "main long, node long, label long, outside boolean, n long"
-    possible = blocks(group, nodes.select("node", "bits"), F.lit(0)).mapInArrow(_by_block(_possible(_least_alike(percent))), fields)
-    live, live_at = materialise(possible.distinct())
+    small = group.join(many, "main", "left_anti").select("main", "node", "label", "outside", "n")
+    live = blocks(small, bits, F.lit(0), BLOCK).mapInArrow(_by_block(_possible(least, percent, False)), fields).distinct()
+    if many.limit(1).count():
+        big, _ = materialise(group.join(many, "main", "left_semi").select("main", "node", "label", "outside", "n"))
+        sets = with_sets(big.select("node").distinct(), sets)
+        met = blocks(meetings(big, sets, percent), bits, F.lit(0), MEETING)
+        pairs, _ = materialise(met.mapInArrow(_by_block(_possible(least, percent, True)), "u long, v long"))
+        # Who may be linked with whom, directly or through others, is compared together.
+        cluster = connected(pairs).select(F.col("r").alias("node"), F.col("root").alias("main"))
+        placed, _ = materialise(big.groupBy("node").agg(F.first("label").alias("label"), F.first("n").alias("n")).join(cluster, "node"))
+        top = placed.groupBy("main", "label").agg(F.count("*").alias("k")).groupBy("main").agg(F.max(F.struct("k", "label")).alias("top")).select("main", F.col("top.label").alias("most"))
+        live = live.unionByName(placed.join(top, "main").select("main", "node", "label", (F.col("label") != F.col("most")).alias("outside"), "n"))
+    live, live_at = materialise(live)
     discard(spark, group_at)
-    missing = live.select("node").distinct().join(sets.select("node"), "node", "left_anti").join(nodes.select("node", "at.th", "at.tl"), "node")
-    more, _ = materialise(missing)
-    if more.limit(1).count():
-        sets, _ = materialise(sets.join(live.select("node").distinct(), "node", "left_semi").unionByName(sets_of(docs, more, width)))
-    links, _ = materialise(blocks(live, sets, F.col("n")).mapInArrow(_by_block(_links(percent)), "u long, v long"))
+    sets = with_sets(live.select("node").distinct(), sets)
+    links, _ = materialise(blocks(live, sets, F.col("n"), BLOCK).mapInArrow(_by_block(_links(percent)), "u long, v long"))
     discard(spark, live_at)
     return links
 

@@ -1,4 +1,4 @@
-"""Secret scans through nested encodings.
+r"""Secret scans through nested encodings.
 
 Each text is searched for three kinds of secrets.  A worklist then holds *layers*: the text itself, and every text
 unwrapped from a part of a layer (URL escapes, Unicode and hex escapes, base64, and gzip, zlib or zstandard data inside
@@ -6,8 +6,9 @@ base64).  Each new layer is searched too and unwrapped again, until none is left
 at the same place of the original is not opened again, which ends cycles.  Every character of a layer carries the range of the original
 text it came from, so spans always point into the original, in code points, end exclusive.
 
-Base64 is read line by line, also with its lines joined where it is wrapped, and also where other characters are glued to
-it.  A URL escape that is no UTF-8 stays as it is; those around it are decoded.  Compressed data is read to its end,
+Base64 is read line by line, also with its lines joined where it is wrapped (by line ends or by ``\n`` and ``\r`` written
+out), and also where other characters are glued to it; what it holds may be UTF-8 or UTF-16.  Compressed data that is
+glued to other characters is tried on its first bytes before all of it is read, so each place costs a bounded look.  A URL escape that is no UTF-8 stays as it is; those around it are decoded.  Compressed data is read to its end,
 over all its members and frames.  It is decoded and searched in pieces of about ``PIECE`` characters; a piece ends only
 behind a character that is part of no match and of no encoding, so pieces find what the whole would.  Memory is that of
 a piece, or of the longest stretch without such a character; time grows with the content.
@@ -27,6 +28,7 @@ import hashlib
 import re
 import zlib
 from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,6 +40,7 @@ from loomtext.llm.common import small_batches
 
 KINDS = ("assign", "access", "hex")
 PIECE = 4 << 20
+LOOK = 64  # bytes of what may be compressed that are tried first
 
 
 def _either(word: str) -> str:
@@ -50,10 +53,10 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _HEX2, _TAIL = "[0-9A-Fa-f]", "%[89ABab][0-9A-Fa-f]"
 # The escapes of one character each, so that characters keep their places; bytes that are no UTF-8 stay as they are.
 _URL = re.compile(f"%[0-7]{_HEX2}|%[CcDd]{_HEX2}{_TAIL}|%[Ee]{_HEX2}(?:{_TAIL}){{2}}|%[Ff][0-4](?:{_TAIL}){{3}}")
-_UNICODE = re.compile(r"\\u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}")
+_UNICODE = re.compile(r"\\u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
-_RUN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:(?:\r\n?|\n|\\r\\n|\\n|\\r)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_RUN = re.compile(r"(?:\r\n?|\n|\\[rn])[ \t]*+|([A-Za-z0-9+/_-]+={0,2})")
 _UNTIL_BREAK = re.compile(r".*[^A-Za-z0-9+/_.=\-\"' :%\\\r\n\t]", re.DOTALL)  # its last character ends all matches and encodings
 _MAGIC = re.compile(r"H4sI|KLUv|(?<=[+/_-])eJ")  # gzip, zstandard and (behind what it is glued to) zlib in base64
 _TEXT = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")  # no secret is shorter
@@ -99,17 +102,31 @@ class Layer:
         return made.digest()
 
 
-def _from_bytes(data: bytes, origin: Callable[[int], tuple[int, int]]) -> Layer | None:
-    """A layer of UTF-8 ``data``; ``origin`` gives the place of each byte."""
+def _utf16(data: bytes) -> str | None:
+    """The text of ``data`` that is UTF-16, as far as its zero bytes or its mark tell."""
+    if len(data) % 2 or len(data) < 2:
+        return None
+    zeros = [data[k::2].count(0) for k in (0, 1)]
+    order = "utf-16-le" if data[:2] == b"\xff\xfe" or 4 * zeros[1] > 3 * (len(data) // 2) else "utf-16-be" if data[:2] == b"\xfe\xff" or 4 * zeros[0] > 3 * (len(data) // 2) else None
     try:
-        text = data.decode("utf-8")
+        return data.decode(order) if order else None
     except UnicodeDecodeError:
         return None
+
+
+def _from_bytes(data: bytes, origin: Callable[[int], tuple[int, int]]) -> Layer | None:
+    """A layer of ``data``, UTF-8 or UTF-16; ``origin`` gives the place of each byte."""
+    try:
+        text, wide = data.decode("utf-8"), False
+    except UnicodeDecodeError:
+        text, wide = None, False
+    if text is None or "\0" in text:
+        text, wide = _utf16(data), True
     if not text or not _PLAIN.match(text):
         return None
     lo, hi, at = array("q"), array("q"), 0
     for c in text:
-        n = 1 if c < "\x80" else len(c.encode("utf-8"))
+        n = (2 if c < "\U00010000" else 4) if wide else 1 if c < "\x80" else len(c.encode("utf-8"))
         lo.append(origin(at)[0])
         hi.append(origin(at + n - 1)[1])
         at += n
@@ -155,7 +172,7 @@ def _url(part: str) -> str | None:
 def _escape(part: str) -> str | None:
     if len(part) == 12:  # a surrogate pair
         return chr(0x10000 + ((int(part[2:6], 16) & 0x3FF) << 10) + (int(part[8:], 16) & 0x3FF))
-    code = int(part[2:], 16)
+    code = int(part[2:].strip("{}"), 16)
     return chr(code) if code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else None
 
 
@@ -241,7 +258,7 @@ def _contents(data: bytes, place: Callable[[int, int], tuple[int, int]]) -> Iter
     at = place(0, len(data) if broken else ends[0])
     for k, piece in enumerate(_pieces(data)):
         yield Layer(piece, *at), k == 0, broken and k == 0
-    if not broken and ends[0] < len(data) and (rest := _from_bytes(data[ends[0] :], lambda _: place(ends[0], len(data)))):
+    if not broken and ends[0] < len(data) and (rest := _from_bytes(bytes(data[ends[0] :]), lambda _: place(ends[0], len(data)))):
         yield rest, True, False
 
 
@@ -249,7 +266,7 @@ def _wrapped(text: str) -> Iterator[list[tuple[int, int]]]:
     """Places of lines that may be one base64 text, wrapped: neighbours of one width, with the (often shorter) line
     before or behind them or without, and all lines that follow each other; of one start, the longest first."""
     for m in _LINES.finditer(text):
-        runs = [r.span() for r in _RUN.finditer(text, m.start(), m.end())]
+        runs = [r.span() for r in _RUN.finditer(text, m.start(), m.end()) if r[1]]
         made = {(0, len(runs))}
         a = 0
         while a < len(runs):
@@ -264,19 +281,30 @@ def _wrapped(text: str) -> Iterator[list[tuple[int, int]]]:
                 yield runs[x:y]
 
 
-def _opened(layer: Layer, runs: list[tuple[int, int]], ended: dict[int, bool]) -> Iterator[tuple[Layer, bool, bool]]:
-    """Layers inside the base64 text that stands at ``runs``.
+def _bytes(body: str) -> bytes:
+    """Base64 of either alphabet, decoded; a lone last character says nothing."""
+    body = body.rstrip("=")
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
+
+
+def _opened(layer: Layer, runs: list[tuple[int, int]], ended: dict[int, bool], known: memoryview | None = None) -> Iterator[tuple[Layer, bool, bool]]:
+    """Layers inside the base64 text that stands at ``runs``, whose bytes may be ``known``.
 
     ended: starts of compressed data in ``layer`` that was read before, each with whether it was whole.
     """
-    body = "".join([layer.text[s:e] for s, e in runs]).rstrip("=")
-    if len(body) % 4 == 1:
-        return
-    try:
-        data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return
-    first, n = runs[0][0], len(body)
+    if known is None:
+        body = "".join([layer.text[s:e] for s, e in runs]).rstrip("=")
+        if len(body) % 4 == 1:
+            return
+        try:
+            data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
+        except (binascii.Error, ValueError):
+            return
+        n = len(body)
+    else:
+        data, n = known, -(-len(known) * 4 // 3)
+    first = runs[0][0]
     if len(runs) == 1:
         at: range | array = range(*runs[0])
     else:
@@ -292,6 +320,8 @@ def _opened(layer: Layer, runs: list[tuple[int, int]], ended: dict[int, bool]) -
             yield inner, new, broken and first not in ended
             if new:
                 ended[first] = not broken
+    if known is not None:
+        return
     if isinstance(layer.lo, int):
         made = _from_bytes(data, lambda _: (layer.lo, layer.hi))
     else:
@@ -300,17 +330,58 @@ def _opened(layer: Layer, runs: list[tuple[int, int]], ended: dict[int, bool]) -
         yield made, True, False
 
 
-def _glued(layer: Layer, start: int, end: int) -> Iterator[tuple[Layer, bool, bool]]:
-    """Layers of base64 that stands in the run ``start`` to ``end`` with other characters before or behind it: the run
-    is decoded at each of its four alignments, and stretches of text in what comes out are layers."""
-    for k in range(4):
-        body = layer.text[start + k : end].rstrip("=")
-        body = body[: len(body) - (len(body) % 4 == 1)]
-        data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
+class _Aligned:
+    """The bytes of a run of base64 at each of its four alignments, decoded once, and where compressed data may begin."""
+
+    def __init__(self, text: str) -> None:
+        self.data = [_bytes(text[k:]) for k in range(4)]
+        self.zeros = [None] * 4
+
+    def _past_zero(self, k: int, at: int) -> int:
+        """The place behind the next zero byte; the end where there is none."""
+        if self.zeros[k] is None:
+            self.zeros[k] = [m.start() for m in re.finditer(b"\0", self.data[k])]
+        i = bisect_left(self.zeros[k], at)
+        return self.zeros[k][i] + 1 if i < len(self.zeros[k]) else len(self.data[k])
+
+    def compressed(self, offset: int) -> memoryview | None:
+        """The bytes from character ``offset`` of the run on, if they begin as compressed data does."""
+        k, at = offset % 4, offset // 4 * 3
+        data = self.data[k]
+        head = data[at : at + LOOK]
+        if _opener(head[:4]) is None:
+            return None
+        try:
+            if head[:2] == b"\x1f\x8b":
+                if len(head) < 18 or head[2] != 8 or head[3] & 0xE0:
+                    return None
+                body, flags = at + 10, head[3]
+                if flags & 4:
+                    body += 2 + int.from_bytes(data[body : body + 2], "little")
+                for bit in (8, 16):
+                    body = self._past_zero(k, body) if flags & bit else body
+                body += 2 if flags & 2 else 0
+                if body >= len(data):
+                    return None
+                zlib.decompressobj(-15).decompress(data[body : body + LOOK], 1 << 12)
+            elif head[:1] == b"\x78":
+                zlib.decompressobj().decompress(head, 1 << 12)
+            else:
+                zstandard.ZstdDecompressor().decompressobj().decompress(head)
+        except (zlib.error, zstandard.ZstdError):
+            return None
+        return memoryview(data)[at:]
+
+
+def _glued(layer: Layer, start: int, end: int, aligned: _Aligned) -> Iterator[tuple[Layer, bool, bool]]:
+    """Layers of base64 that stands in the run ``start`` to ``end`` with other characters before or behind it: stretches
+    of text in what comes out at each alignment are layers."""
+    for k, data in enumerate(aligned.data):
+        n = end - start - k
         for m in _TEXT.finditer(data):
             if k or len(m[0]) < len(data):
                 first = m.start()
-                made = _from_bytes(m[0], lambda i, b=start + k, f=first, n=len(body): layer.place(b + (f + i) // 3 * 4, b + min((f + i) // 3 * 4 + 4, n)))
+                made = _from_bytes(m[0], lambda i, b=start + k, f=first, n=n: layer.place(b + (f + i) // 3 * 4, b + min((f + i) // 3 * 4 + 4, n)))
                 if made:
                     yield made, True, False
 
@@ -323,14 +394,17 @@ def unwrapped(layer: Layer) -> Iterator[tuple[Layer, bool, bool]]:
     if "\\" in text and (made := _substituted(layer, _UNICODE, _escape)):
         yield made, True, False
     ended: dict[int, bool] = {}
-    if "\n" in text or "\r" in text:
+    if "\n" in text or "\r" in text or "\\" in text:
         for runs in _wrapped(text):
             yield from _opened(layer, runs, ended)
     for m in _BASE64.finditer(text):
         yield from _opened(layer, [m.span()], ended)
+        aligned = _Aligned(m[0].rstrip("="))
         for inner in _MAGIC.finditer(text, m.start() + 1, m.end()):
-            yield from _opened(layer, [(inner.start(), m.end())], ended)
-        yield from _glued(layer, *m.span())
+            data = aligned.compressed(inner.start() - m.start())
+            if data is not None:
+                yield from _opened(layer, [(inner.start(), m.end())], ended, data)
+        yield from _glued(layer, *m.span(), aligned)
 
 
 def scan(text: str | None) -> tuple[list[Span], list[Span], int, int]:
