@@ -7,7 +7,7 @@ second time with its names as words, so a copy in lower case, capitals or title
 about names.  A window of fewer than ``PLAIN`` plain words stands as it is written, without placeholders: rows of figures
 are evidence only where they are the same figures.
 
-A document holds an item when the item's windows that occur in it cover at least ``COVERAGE`` of the item's words and the
+A document holds an item when the item's windows that occur in it cover at least ``COVERAGE`` of the item's words, the text has as many, and the
 slots agree on one reading: each value of the item stands for one value of the document, over the whole text or in one
 occurrence.  An occurrence is a stretch of text whose windows stand at like distances from their places in the item, up to
 ``WINDOW`` words more where words were put in, so a text may hold several variants.  Equal values make the hit ``exact``;
@@ -151,7 +151,7 @@ def windows_of(shape: tuple[np.ndarray, ...], width: int) -> tuple[np.ndarray, n
 
 def _rows(text: pa.Array) -> Iterator[tuple]:
     raw, off = buffers(text)
-    low, low_off = buffers(pc.utf8_lower(text))
+    low, low_off = buffers(pc.replace_substring(pc.utf8_lower(text), "ß", "ss"))  # what its capitals are lower-cased to
     for i, j, part, o in chunks(raw, off):
         small = low[low_off[i] : low_off[j]], low_off[i : j + 1] - low_off[i]
         yield i, j, small[0], template(small, part, o)
@@ -214,10 +214,10 @@ def _probe(widths: list[int], wanted: np.ndarray | None) -> Callable[[Iterator[p
     return run
 
 
-def _share(places: set[int], width: int, words: int) -> float:
-    """Of the item's words, those in a window that occurs."""
+def _covered(places: set[int], width: int) -> int:
+    """Words in the windows at ``places``."""
     ordered = sorted(places)
-    return sum(min(width, b - a) for a, b in zip(ordered, [*ordered[1:], words], strict=True)) / words
+    return sum(min(width, b - a) for a, b in zip(ordered, ordered[1:], strict=False)) + (width if ordered else 0)
 
 
 def _agree(slots: tuple, values: tuple, reading: dict[str, str]) -> bool:
@@ -238,7 +238,8 @@ def judge(found: list[tuple[int, int, tuple]], windows: list[tuple[int, int, tup
     for _, h, v in found:
         said[h].add(v)
     matched = {place for place, h, _ in windows if h in said}
-    held = _share(matched, width, words)
+    # The text must have the words too: a phrase that the item repeats is not the item.
+    held = min(_covered(matched, width), _covered({at for at, _, _ in found}, width)) / words
     if held < coverage:
         return None, held
     own = {place for place, h, s in windows if s in said.get(h, ())}
@@ -269,7 +270,7 @@ def judge(found: list[tuple[int, int, tuple]], windows: list[tuple[int, int, tup
             if not _agree(slots[h, place], v, reading):
                 agreed = False
                 break
-        if agreed and _share(covered, width, words) >= coverage:
+        if agreed and _covered(covered, width) >= coverage * words:
             return "reparameterised", held
     return None, held
 
