@@ -6,6 +6,7 @@ whose turns are chapters, ``benchmark`` holds evidence quotes, ``events`` are ca
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as T
 from loomtext.functions.numerals import chapter_number_col
 from loomtext.functions.ordering import ranked, restarts
-from loomtext.operators import context, evaluate, events, explore, fulltext, graph, indexing, limits, reports, search, spans
-from loomtext.sources import html, text_files
+from loomtext.operators import batch_search, context, evaluate, events, explore, fulltext, graph, indexing, limits, reports, search, segments, spans
+from loomtext.sources import html, storage, text_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -268,6 +269,53 @@ def q_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("span_ref").cast("long").alias("doc_id"), F.round("score", 6).alias("score"), "trust")
 
 
+def published_index(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The documents' postings and frequencies, written to the shared folder and read back as an index is."""
+    rows = span_rows(spark, sf_dir)
+    posted = storage.settled(fulltext.postings(rows, places=True))
+    size = fulltext.trigram_count(F.col("heading")) + fulltext.trigram_count(F.col("content"))
+    total = rows.agg(F.count("*").alias("n"), F.avg(size).alias("average")).first()
+    return search.Index(posted, storage.settled(fulltext.document_frequency(posted)), total["n"], total["average"] or 0.0)
+
+
+@query("qry1_indexed_search", _SEARCH_SQL)
+def q_indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search through the published index."""
+    found, _ = search.search(span_rows(spark, sf_dir), PAIR, 20, None, index=published_index(spark, sf_dir))
+    return found.select(F.col("span_ref").cast("long").alias("doc_id"), F.round("score", 6).alias("score"), "trust")
+
+
+_ONE_TERM_SQL = f"""WITH {_bm25_sql([TERM])}, pool AS (SELECT * FROM ranked ORDER BY bm25 DESC, doc_id LIMIT 240)
+  SELECT doc_id, round(3 + 1 + least(1.0::DOUBLE, bm25 / 10) + 0.25::DOUBLE, 6) AS score, 'deterministic' AS trust FROM pool ORDER BY least(1.0::DOUBLE, bm25 / 10) DESC, source, doc_id::VARCHAR LIMIT 20"""
+
+
+@query("qry1_many_searches", f"SELECT 1 AS query_id, * FROM ({_SEARCH_SQL}) UNION ALL SELECT 2, * FROM ({_ONE_TERM_SQL})")
+def q_many_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two searches at once, in one plan."""
+    asked = spark.createDataFrame([(1, PAIR), (2, TERM)], "query_id int, query string")
+    found = batch_search.search_many(asked, span_rows(spark, sf_dir), published_index(spark, sf_dir), 20, None)
+    return found.select("query_id", F.col("span_ref").cast("long").alias("doc_id"), F.round("score", 6).alias("score"), "trust")
+
+
+@query("qry1_short_terms", "SELECT doc_id FROM documents WHERE contains(lower(text), 'äu') OR contains(lower(text), 'q') OR contains(lower(source), 'äu') OR contains(lower(source), 'q')")
+def q_short_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of one and two characters through the postings."""
+    return fulltext.short_spans(published_index(spark, sf_dir).postings, ["äu", "q"]).select(F.col("span_ref").cast("long").alias("doc_id"))
+
+
+@query("snk4_merge_on_read", "SELECT doc_id, CASE WHEN lang = 'de' THEN upper(source) ELSE source END AS title FROM documents WHERE lang <> 'fr'")
+def q_merge_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments read as one table: German documents changed, French ones deleted, all others as they were."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_ref"), "lang", F.col("source").alias("title"))
+    at = f"{storage.shared_folder(spark)}/segments-{uuid.uuid4().hex}"
+    d.write.parquet(f"{at}/a/documents")
+    d.filter("lang = 'de'").withColumn("title", F.upper("title")).write.parquet(f"{at}/b/documents")
+    d.filter("lang in ('de', 'fr')").select("document_ref").write.parquet(f"{at}/b/gone_documents")
+    parts = [{"path": f"{at}/a", "tables": ["documents"]}, {"path": f"{at}/b", "tables": ["documents", "gone_documents"]}]
+    parts[1]["gone"] = segments.few(spark, f"{at}/b", parts[1]["tables"])
+    return segments.read(spark, parts, "documents").select(F.col("document_ref").alias("doc_id"), "title")
+
+
 @query("qry2_search_feedback")
 def q_search_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = search.search(span_rows(spark, sf_dir), QUESTION, 20)
@@ -699,6 +747,27 @@ def q_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.exposed(sentences, shown).select(F.col("fact").alias("item_id"), "exposed")
 
 
+_SENTENCES_SQL = r"SELECT item_id, text, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10))) AS q FROM benchmark"
+
+
+@query("evl3_exposure_whole", f"SELECT s.item_id, coalesce(bool_or(q <> '' AND contains(d.text, q)), false) AS exposed FROM ({_SENTENCES_SQL}) s LEFT JOIN documents d ON contains(d.text, s.text) GROUP BY s.item_id")
+def q_exposure_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a document that holds an item shows one of its sentences whole."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("fact"), F.col("text").alias("quote"))
+    shown = _gold(spark, sf_dir).join(span_rows(spark, sf_dir).select("span_ref", F.col("content").alias("excerpt")), "span_ref").select("fact", "excerpt")
+    sentences = b.select("fact", F.explode(F.split(F.regexp_replace("quote", r"([.!?])\s+", "$1\n"), "\n")).alias("quote")).filter("quote <> ''")
+    return evaluate.exposed(sentences, shown).select(F.col("fact").alias("item_id"), "exposed")
+
+
+@query("evl6_searched_recall")
+def q_searched_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall and rank of real searches: every benchmark item is a query, all of them in one plan."""
+    rows, index = span_rows(spark, sf_dir), published_index(spark, sf_dir)
+    tasks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("fact"), F.col("text").alias("query"))
+    found = evaluate.measured(tasks, _gold(spark, sf_dir), lambda q, config, off: batch_search.search_many(q, rows, index, 20, config, None, off))
+    return found.select("facts", *[F.round(c, 6).alias(c) for c in found.columns if c != "facts"])
+
+
 @query("evl6_calibration", """WITH m AS (SELECT k.top_k, t.terms, w.weight, avg((value > 10 + (k.top_k - 8) * w.weight)::INT::DOUBLE) AS recall_5, avg(1 / (1 + value)) AS mrr FROM events, (VALUES (5), (8), (12)) k(top_k), (VALUES (4), (6), (8)) t(terms), (VALUES (0.15::DOUBLE), (0.25::DOUBLE), (0.35::DOUBLE)) w(weight) GROUP BY 1, 2, 3)
     SELECT top_k, terms, weight, round(recall_5, 9) AS recall_5 FROM m ORDER BY m.recall_5 DESC, top_k, terms, weight LIMIT 1""")
 def q_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
