@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 RECORD_BYTES, MARKDOWN_BYTES = 8_192, 16_384
+MARKERS_A_SCAN = 200
 
 
 def artifact(rows: DataFrame, order: list[str], path: str) -> DataFrame:
@@ -57,11 +58,15 @@ def monotonic(metrics: DataFrame) -> DataFrame:
 
 
 def marker_counts(texts: DataFrame, label: str, markers: DataFrame, text: str = "text") -> DataFrame:
-    """(label, marker, hits): occurrences of each of a fixed, small list of markers."""
-    rows = [(r["marker"],) for r in markers.select("marker").distinct().limit(1000).collect()]
-    counts = [F.sum(F.regexp_count(text, F.lit("\\Q" + m + "\\E"))).alias(f"m{k}") for k, (m,) in enumerate(rows)]
-    wide = texts.groupBy(label).agg(*counts)
-    return wide.select(label, F.explode(F.array(*[F.struct(F.lit(m).alias("marker"), F.col(f"m{k}").alias("hits")) for k, (m,) in enumerate(rows)])).alias("x")).select(label, "x.*")
+    """(label, marker, hits): occurrences of each of a fixed list of markers, ``MARKERS_A_SCAN`` of them in a scan."""
+    names = sorted(r["marker"] for r in markers.select("marker").distinct().collect())
+    out = None
+    for i in range(0, len(names), MARKERS_A_SCAN):
+        some = names[i : i + MARKERS_A_SCAN]
+        wide = texts.groupBy(label).agg(*[F.sum(F.regexp_count(text, F.lit("\\Q" + m + "\\E"))).alias(f"m{k}") for k, m in enumerate(some)])
+        each = wide.select(label, F.explode(F.array(*[F.struct(F.lit(m).alias("marker"), F.col(f"m{k}").alias("hits")) for k, m in enumerate(some)])).alias("x")).select(label, "x.*")
+        out = each if out is None else out.unionByName(each)
+    return out if out is not None else texts.select(label, F.lit("").alias("marker"), F.lit(0).cast("long").alias("hits")).limit(0)
 
 
 def latency_report(calls: DataFrame, group: list[str], millis: str, chars: Column) -> DataFrame:

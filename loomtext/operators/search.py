@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 import unicodedata
@@ -10,6 +9,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,14 +77,17 @@ def proximity(content: str, terms: list[str]) -> float:
     """1 / (1 + least spread / 200) over the terms' places; a lone term is 1, and a term without a place makes it 0."""
     if len(terms) < 2:
         return float(len(terms))
-    places = [[m.start() for m in re.finditer(re.escape(t), content)] for t in terms]
-    if not all(places):
+    places = [np.array([m.start() for m in re.finditer(re.escape(t), content)]) for t in terms]
+    if not all(map(len, places)):
         return 0.0
-    best = math.inf
-    for anchor in itertools.chain.from_iterable(places):
-        near = [min(p, key=lambda x: (abs(x - anchor), x)) for p in places]
-        best = min(best, max(near) - min(near))
-    return 1 / (1 + best / 200)
+    anchors = np.concatenate(places)
+    low = high = anchors
+    for p in places:  # of each term, the place nearest to every anchor; of two as near, the first
+        at = np.searchsorted(p, anchors)
+        before, after = p[np.maximum(at - 1, 0)], p[np.minimum(at, len(p) - 1)]
+        near = np.where(np.abs(before - anchors) <= np.abs(after - anchors), before, after)
+        low, high = np.minimum(low, near), np.maximum(high, near)
+    return float(1 / (1 + (high - low).min() / 200))
 
 
 def evidence_windows(content: str, terms: list[str], width: int = EXCERPT) -> list[tuple[int, int]]:
