@@ -1,15 +1,20 @@
-"""Near-duplicates in large regions, and decontamination of copies in other cases, number tables and edited variants."""
+"""Near-duplicates in large regions, decontamination of copies in other cases, number tables and edited variants, base
+rules and further encodings of secrets, and the choice of a language, each against brute force."""
 
+import base64
 import collections
+import gzip
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
-from loomtext.llm import decontam, near_dups
+from loomtext.llm import decontam, langid, near_dups, secrets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -181,3 +186,137 @@ def test_judging_follows_places():
                 want = "reparameterised"
         got, held = decontam.judge(found, windows, n, width)
         assert 0 <= held <= 1 and (got is not None) >= (want is not None)
+
+
+# --- secrets
+
+
+def base_spans(text):
+    """The three base rules, character by character."""
+    out, n = [], len(text)
+    word = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    keys = ("password", "passwd", "secret", "token", "api_key", "apikey")
+    i = 0
+    while i < n:
+        end = None
+        for key in keys:
+            part = text[i : i + len(key)]
+            if len(part) == len(key) and part.isascii() and part.lower() == key:
+                end = i + len(key)
+                break
+        value = None
+        # Each optional part is tried present first, then absent, as a pattern would.
+        for quote in (1, 0) if end is not None else ():
+            at = end
+            if quote:
+                if at >= n or text[at] not in "\"'":
+                    continue
+                at += 1
+            while at < n and text[at] == " ":
+                at += 1
+            if at >= n or text[at] not in ":=":
+                continue
+            at += 1
+            spaces = at
+            while at < n and text[at] == " ":
+                at += 1
+            del spaces
+            if at < n and text[at] in "\"'":
+                at += 1
+            stop = at
+            while stop < n and text[stop] in word:
+                stop += 1
+            if stop > at:
+                value = (at, stop)
+                break
+        if value:
+            if value[1] - value[0] >= 12:
+                out.append(("assign", i, value[1]))
+            i = value[1]
+        else:
+            i += 1
+    i = 0
+    while i < n:
+        if text.startswith("AKIA", i):
+            stop = i + 4
+            while stop < n and (text[stop] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"):
+                stop += 1
+            if stop > i + 4:
+                if stop - i >= 18:
+                    out.append(("access", i, stop))
+                i = stop
+                continue
+        i += 1
+    i = 0
+    while i < n:
+        stop = i
+        while stop < n and text[stop] in "0123456789abcdef":
+            stop += 1
+        if stop - i >= 16:
+            out.append(("hex", i, stop))
+        i = max(stop, i + 1)
+    return sorted(out, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+def test_base_rules_character_by_character(spark):
+    rng = random.Random(6)
+    parts = ["password", "PassWd", "secret", "toKen", "api_key", "apikey", "AKIA", "=", ":", " ", "'", '"', "abcdef0123456789", "ABCDEFGHIJKLMNOP", "x", "é", "\n", "hunter2hunter2", "AKIAABCDEFGHIJKLMN"]
+    made = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    for text in [*made, *texts]:
+        assert sorted(secrets.matches(text), key=secrets._order) == base_spans(text), text
+
+
+def test_glued_data_takes_linear_time():
+    took = []
+    for n in (40_000, 160_000):
+        began = time.time()
+        for unit in ("H4sI", "+eJx", "KLUv", "H4sIAAAA"):
+            secrets.scan("x " + unit * (n // len(unit)))
+        took.append(time.time() - began)
+    assert took[1] < 10 * took[0] + 1, took
+
+
+def encoded(data):
+    return base64.b64encode(data).decode()
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "".join(f"\\u{{{ord(c):x}}}" for c in "password=hunter2hunter2"),
+        "\\u{70}assword=hunter2hunter2",
+        "a = '" + "\\n".join(encoded(b"the password=hunter2hunter2 is here")[i : i + 20] for i in range(0, 60, 20)) + "'",
+        f"b {encoded('password=hunter2hunter2'.encode('utf-16'))} c",
+        f"b {encoded('password=hunter2hunter2'.encode('utf-16-le'))} c",
+        f"b {encoded('password=hunter2hunter2'.encode('utf-16-be'))} c",
+        f"glued/{encoded(gzip.compress(b'some words and password=hunter2hunter2 in it', mtime=0))}",
+        f"glued/{encoded(zlib.compress(b'some words and password=hunter2hunter2 in it'))}",
+        f"glued/{encoded(zstandard.compress(b'some words and password=hunter2hunter2 in it'))}",
+    ],
+)
+def test_more_encodings(text):
+    base, spans, *_ = secrets.scan(text)
+    assert any(k == "assign" for k, _, _ in spans) and all(0 <= s < e <= len(text) for _, s, e in spans)
+
+
+# --- language
+
+
+def test_the_choice_is_that_of_the_smallest_encoding(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = langid.samples(docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"))
+    made = []
+    for name, data in held:
+        d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        made.append((name, zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_content_size=False)))
+    found = {r["doc_id"]: r for r in langid.op1_language_id(spark, SF).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        letters = " ".join(re.findall(r"[^\W\d_]+", r["text"] or "", re.U)).lower().encode()
+        data = langid.normal(r["text"])
+        assert data.replace(b" ", b"") == letters.replace(b" ", b"") or not data.isascii()
+        sizes = [(sum(len(c.compress(data[i : i + langid.PIECE])) for i in range(0, len(data), langid.PIECE)), k) for k, (_, c) in enumerate(made)]
+        best, second = sorted(sizes)[:2]
+        got = found[r["doc_id"]]
+        assert got["lang_pred"] == made[best[1]][0] if data else got["lang_pred"] == "und"
+        assert got["sure"] == (bool(data) and second[0] - best[0] >= langid.MARGIN * second[0])
