@@ -666,4 +666,4 @@ def test_what_is_written_on_the_way_is_deleted(spark, docs, tmp_path):
 
 
 def test_registered():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 14))
