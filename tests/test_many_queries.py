@@ -5,7 +5,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from loomtext.operators import evaluate, fulltext
+from loomtext.operators import batch_search, evaluate, fulltext, search
 from loomtext.plans import catalogue
 
 
@@ -45,3 +45,48 @@ def test_phrases_meet_postings_on_their_rarest_trigram(spark):
     assert "have" not in plan  # no row for each trigram that a phrase and a span share
     got = found.groupBy("phrase").agg(F.count("*").alias("n")).collect()
     assert {(r["phrase"], r["n"]) for r in got} == {("thesis then zebra", 2), ("then", 32)}
+
+
+def test_many_phrases_are_walked(spark, monkeypatch):
+    """Searches of many phrases give the rows of one search each, without reading a posting, in blocks and groups of any size."""
+    rng = random.Random(21)
+    words = [a + b for a in ("am", "ber", "ce", "du", "em", "fjo") for b in ("ra", "ne", "dle", "ko", "sti", "x")] + ["ab", "q", "aa", "aaaa"]
+    made = [(f"s{i:03}", f"p{i % 7}.md", rng.choice(words), " ".join(rng.choice(words) for _ in range(rng.randint(0, 30))), i % 40, i // 40, 1) for i in range(90)]
+    rows = spark.createDataFrame(made, "span_ref string, relative_path string, heading string, content string, source_ordinal int, ordinal int, start_line int").withColumn("work_ref", F.lit("w")).repartition(3).cache()
+    posted = fulltext.postings(rows, places=True).cache()
+    total = rows.agg(F.count("*").alias("n"), F.avg(fulltext.trigram_count(F.col("heading")) + fulltext.trigram_count(F.col("content"))).alias("a")).first()
+    index = search.Index(posted, fulltext.document_frequency(posted), total["n"], total["a"])
+    asked = [" ".join(rng.sample(words, rng.randint(1, 12))) for _ in range(9)] + ["q", "aa aaa", "?", "zzz"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    shape = lambda r: (r["query_id"], r["rank"], r["span_ref"], round(r["score"], 9), r["excerpt"], r["trust"])
+    for config, limit in ((None, 3), (search.PRODUCTION, 5)):
+        monkeypatch.setattr(batch_search, "FEW_PHRASES", 10**6)
+        want = sorted(map(shape, batch_search.search_many(queries, rows, index, limit, config).collect()))
+        monkeypatch.setattr(batch_search, "FEW_PHRASES", 0)
+        monkeypatch.setattr(batch_search, "BLOCK_ROWS", 40)
+        monkeypatch.setattr(batch_search, "_posted", None)
+        unread = search.Index(posted.filter(F.raise_error(F.lit("postings were read")).isNotNull()), index.terms, index.count, index.average)
+        got = sorted(map(shape, batch_search.search_many(queries, rows, unread, limit, config).collect()))
+        assert got == want and {r[0] for r in got} >= set(range(9))
+        monkeypatch.undo()
+
+
+def test_walks_keep_what_can_be_chosen(spark, monkeypatch):
+    """More spans than the caps, in several batches of each task: the best by weight and the first of those that weigh alike."""
+    monkeypatch.setattr(batch_search, "WALKED", 50)
+    monkeypatch.setattr(batch_search, "GROUP", 2)
+    monkeypatch.setattr(batch_search, "FEW_PHRASES", 0)
+    rng = random.Random(4)
+    made = [(f"s{i:04}", f"p{i:04}.md", "", "amber " * rng.randint(0, 3) + "brook " * rng.randint(0, 2) + rng.choice(["", "ab", "q"]), i, 0, 1) for i in range(900)]
+    rows = spark.createDataFrame(made, "span_ref string, relative_path string, heading string, content string, source_ordinal int, ordinal int, start_line int").withColumn("work_ref", F.lit("w")).repartition(2)
+    total = rows.agg(F.count("*").alias("n"), F.avg(fulltext.trigram_count(F.col("content"))).alias("a")).first()
+    index = search.Index(fulltext.postings(rows, places=True), None, total["n"], total["a"])
+    asked = ["amber brook", "amber", "ab", "brook q", "q ab"]
+    none = F.array().cast(search.EXPANSION)
+    queries = batch_search.analysed(spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")).withColumn("expansion", none)
+    got = {(r["query_id"], r["span_ref"], r["bm25"] and round(r["bm25"], 9)) for r in batch_search.candidates(queries, rows, index, 5).collect()}
+    want = set()
+    for k, q in enumerate(asked):
+        pool = search.candidates(rows, search.analyze_query(q), [], [], 5)
+        want |= {(k, r["span_ref"], r["bm25"] and round(r["bm25"], 9)) for r in pool.collect()}
+    assert got == want
