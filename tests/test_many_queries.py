@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from loomtext.operators import batch_search, evaluate, fulltext, search
@@ -90,3 +91,28 @@ def test_walks_keep_what_can_be_chosen(spark, monkeypatch):
         pool = search.candidates(rows, search.analyze_query(q), [], [], 5)
         want |= {(k, r["span_ref"], r["bm25"] and round(r["bm25"], 9)) for r in pool.collect()}
     assert got == want
+
+
+def test_packed_places_are_the_places(spark):
+    rows = spark.createDataFrame([("w", f"s{i}", "Ab" * (i % 3), "abc 林 😀😀 " * (i % 5) + "x" * (300 * (i == 7)), i, 0) for i in range(12)], "work_ref string, span_ref string, heading string, content string, source_ordinal int, ordinal int")
+    shape = lambda df: sorted((r["span_ref"], r["term"], r["tf"], list(r["in_heading"]), list(r["in_content"])) for r in df.collect())
+    assert shape(fulltext.unpacked(fulltext.postings(rows, places=True, packed=True))) == shape(fulltext.postings(rows, places=True))
+
+
+def test_rows_are_sorted_alike_both_ways():
+    rng = np.random.default_rng(5)
+    for signs, n in ((4, 5000), (0x10FFFF, 3000), (9, 0)):
+        doc, code = np.sort(rng.integers(0, 50, n)), sum(rng.integers(0, signs, n) << s for s in (42, 21, 0))
+        order = np.lexsort((code, doc))
+        for got, want in zip(fulltext._sorted_rows(doc, code), (doc[order], code[order], order), strict=True):
+            assert np.array_equal(got, want)
+
+
+def test_published_index_is_counted_only_when_asked(spark, tmp_path, monkeypatch):
+    """Of an index that a query publishes, only the postings are written, with places as bytes."""
+    folder, made = _tables(spark, tmp_path, ["the thanedble", "anea quäu"], [(0, "x")]), []
+    settled = catalogue.storage.settled
+    monkeypatch.setattr(catalogue.storage, "settled", lambda df: made.append(df.schema) or settled(df))
+    index = catalogue.published_index(spark, folder)
+    assert [s["in_content"].dataType.simpleString() for s in made] == ["binary"]
+    assert index.frequencies(["ane", "the", "zzz"]) == {"ane": 2, "the": 1}
