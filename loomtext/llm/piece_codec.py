@@ -2,7 +2,7 @@
 
 The distinct marked words of a batch are sorted, so that they form a trie in depth-first order: a word shares with its
 predecessor the forward states of their common prefix, and only the rest of it is scored.  State ``i`` holds the best
-way to reach character ``i``: its score, its last piece and where that began.
+way to reach character ``i``: its score (of a unigram model), its last piece and where that began.
 
 For a unigram model the score of a path is the sum of its pieces' scores.  A BPE model ranks merges instead, and its
 encoding is the one path on which every two neighbours are encoded side by side as themselves; such a path is unique
@@ -30,6 +30,7 @@ from loomtext.llm.common import small_batches
 from loomtext.llm.pieces import MARK, Vocabulary, default_path, vocabulary
 from loomtext.llm.textkit import buffers
 
+SHORT = (2, 1)  # sizes of pieces that any characters may end
 HELD = 1 << 18  # words that a worker remembers, and as many that it may soon forget
 
 
@@ -39,11 +40,13 @@ class PieceCodec:
         self.known: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
         self.raw = [bytes([int(p[3:5], 16)]) if vocab.model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(vocab.pieces)]
-        # Pieces that can come out of an encoding at all, and by their last two characters the longest of them.
+        # Pieces that can come out of an encoding at all, and by their last three characters how long they may be.
         self.good = {p: i for p, i in vocab.plain.items() if unigram or vocab.is_token(i)}
-        self.reach: dict[str, int] = {}
+        sizes: dict[str, set[int]] = {}
         for p in self.good:
-            self.reach[p[-2:]] = max(self.reach.get(p[-2:], 1), len(p))
+            if len(p) > 2:
+                sizes.setdefault(p[-3:], {1, 2}).add(len(p))
+        self.sizes = {end: tuple(sorted(s, reverse=True)) for end, s in sizes.items()}
         self.widths = np.array([len(x) for x in self.raw], np.int64)
         self.places = np.cumsum(self.widths) - self.widths
         self.bytes = np.frombuffer(b"".join(self.raw), np.uint8)
@@ -52,31 +55,38 @@ class PieceCodec:
     def _forward(self, word: str, begin: int, score: list[float], last: list[int], start: list[int]) -> None:
         """Extend the forward states of ``word`` from ``begin`` to its end: best score, last piece (-1: a character that
         is spelled in bytes, or nothing yet; -2: out of reach) and where it begins, for each prefix."""
-        good, reach, pair, unigram = self.good, self.reach, self.vocab.pair, self.unigram
+        good, sizes, pair, unigram = self.good.get, self.sizes.get, self.vocab.pair.get, self.unigram
+        add_score, add_last, add_start = score.append, last.append, start.append
         for i in range(begin + 1, len(word) + 1):
             best, piece, at = 0.0, -2, 0
-            for j in range(max(0, i - reach.get(word[max(0, i - 2) : i], 1)), i):
-                t = good.get(word[j:i])
-                if t is None or last[j] == -2:
+            for size in sizes(word[i - 3 : i], SHORT) if i > 2 else SHORT:  # the longest first
+                j = i - size
+                if j < 0:
+                    continue
+                t = good(word[j:i])
+                if t is None:
+                    continue
+                before = last[j]
+                if before == -2:
                     continue
                 if unigram:
                     value = score[j] + self.score[t]
                     if piece == -2 or value > best:
                         best, piece, at = value, t, j
                     continue
-                if last[j] >= 0:
-                    fits = pair.get((last[j], t))
+                if before >= 0:
+                    fits = pair((before, t))
                     if fits is None:
-                        fits = self.vocab.may_follow(last[j], t)
+                        fits = self.vocab.may_follow(before, t)
                     if not fits:
                         continue
-                best, piece, at = score[j] + self.score[t], t, j
+                piece, at = t, j
                 break
             if piece == -2 and word[i - 1] not in self.vocab.plain and last[i - 1] != -2:
                 best, piece, at = score[i - 1] + (-1e6 if unigram else 0.0), -1, i - 1
-            score.append(best)
-            last.append(piece)
-            start.append(at)
+            add_score(best)
+            add_last(piece)
+            add_start(at)
 
     def _path(self, word: str, last: list[int], start: list[int]) -> list[int]:
         ids: list[int] = []
