@@ -43,6 +43,7 @@ TOP, BUCKETS, CLASSES = 3071, 1024, 64
 UNITS = TOP + 1 + BUCKETS
 WIDE = UNITS // CLASSES
 DIM, CONTEXT, NOISE, BATCH = 16, 2, 16, 32768
+ROWS = 1024  # rows of scores at a time: they stay in the cache of a core
 ROUNDS, RATE, BIAS_RATE = 36, 0.2, 0.01
 KEEP_MEAN, KEEP_SQUARE = 0.85, 0.95
 SLICES = 16
@@ -166,12 +167,12 @@ def start(freq: np.ndarray) -> dict[str, np.ndarray]:
 
 def contexts(unit: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """(tokens, CONTEXT) units before each token, nearest first; UNITS stands for the start of a text."""
-    begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    at = np.arange(len(unit))
-    out = np.full((len(unit), CONTEXT), UNITS)
+    out = np.full((len(unit), CONTEXT), UNITS, np.uint16)
+    begin = np.cumsum(lengths) - lengths
     for k in range(CONTEXT):
-        ok = at - k - 1 >= begin
-        out[ok, k] = unit[at[ok] - k - 1]
+        out[k + 1 :, k] = unit[: -k - 1]
+        for j in range(k + 1):
+            out[begin[lengths > j] + j, k] = UNITS
     return out
 
 
@@ -185,15 +186,6 @@ def _parts(lengths: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         i = j
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place; what overflows to infinity ends as 0, as it should."""
-    np.negative(x, out=x)
-    with np.errstate(over="ignore"):
-        np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
 class Noise:
     """The noise: classes and units by frequency, ``NOISE`` of them to each true choice."""
 
@@ -204,37 +196,66 @@ class Noise:
         self.log_classes, self.log_units = np.log(self.classes), np.log(self.units)
 
 
+def _ahead(p: dict[str, np.ndarray], before: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(predicted vectors, each followed by a 1 for the bias; the vectors of the units before)."""
+    vectors = [np.take(p["context"], before[:, k], axis=0) for k in range(CONTEXT)]
+    hat = np.ones((len(before), DIM + 1), np.float32)
+    hat[:, :DIM] = sum(v * p["weight"][k] for k, v in enumerate(vectors))
+    return hat, vectors
+
+
+def _runs(cls: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(class, first row, end row) of sorted classes, at most ``ROWS`` rows at a time."""
+    cuts = [0, *(np.flatnonzero(np.diff(cls)) + 1).tolist(), len(cls)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        for x in range(a, b, ROWS):
+            yield int(cls[a]), x, min(x + ROWS, b)
+
+
 def gradient(p: dict[str, np.ndarray], noise: Noise, unit: np.ndarray, before: np.ndarray, into: dict[str, np.ndarray]) -> None:
     """Add the gradient of one batch to ``into``: the true class, and unit in its class, are told from the noise, whose
     part is its expectation over the table.  Tokens are sorted by unit, so a class is a run of rows."""
     order = np.argsort(unit.astype(np.uint16), kind="stable")  # a radix sort
     unit, before, n = unit[order], before[order], len(unit)
-    vectors = [p["context"][before[:, k]] for k in range(CONTEXT)]
-    hat = sum(v * p["weight"][k] for k, v in enumerate(vectors))
-    d_hat = np.zeros_like(hat)
-    cls = unit // WIDE
-
-    def contrast(rows: slice, table: slice, names: tuple[str, str], choice: np.ndarray, often: np.ndarray, log_often: np.ndarray) -> None:
-        target = p[names[0]][table]
-        g = _sigmoid(hat[rows] @ target.T + (p[names[1]][table] - log_often))
-        at = np.arange(len(choice)), choice
-        missed = 1 - g[at]
-        g *= often
-        g[at] -= missed
-        d_hat[rows] += g @ target
-        into[names[0]][table] += g.T @ hat[rows]
-        into[names[1]][table] += g.sum(0)
-
-    contrast(slice(None), slice(None), ("classes", "class_bias"), cls, noise.classes, noise.log_classes)
-    cuts = [0, *(np.flatnonzero(np.diff(cls)) + 1).tolist(), n]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        c = int(cls[a])
-        contrast(slice(a, b), slice(c * WIDE, (c + 1) * WIDE), ("units", "unit_bias"), unit[a:b] % WIDE, noise.units[c], noise.log_units[c])
+    hat, vectors = _ahead(p, before)
+    d_hat = np.empty((n, DIM), np.float32)
+    cls, within, at = unit // WIDE, unit % WIDE, np.arange(ROWS)
+    sums = {"class": np.zeros((CLASSES, DIM + 1)), "unit": np.zeros((UNITS, DIM + 1))}
+
+    def against(names: tuple[str, str], table: slice, log_often: np.ndarray) -> np.ndarray:
+        """Targets and biases for the products with ``hat`` that are the scores, negated."""
+        return np.ascontiguousarray(-np.concatenate((p[names[0]][table], (p[names[1]][table] - log_often)[:, None]), 1).T)
+
+    def contrast(x: int, y: int, choice: np.ndarray, negated: np.ndarray, target: np.ndarray, often: np.ndarray, total: np.ndarray) -> np.ndarray:
+        g = hat[x:y] @ negated
+        np.exp(g, out=g)
+        g += 1
+        true = at[: y - x], choice[x:y]
+        missed = 1 - 1 / g[true]
+        np.divide(often, g, out=g)  # what overflowed to infinity ends as 0, as it should
+        g[true] -= missed
+        total += g.T @ hat[x:y]
+        return g @ target
+
+    with np.errstate(over="ignore"):
+        negated = against(("classes", "class_bias"), slice(None), noise.log_classes)
+        for x in range(0, n, ROWS):
+            y = min(x + ROWS, n)
+            d_hat[x:y] = contrast(x, y, cls, negated, p["classes"], noise.classes, sums["class"])
+        last = -1
+        for c, x, y in _runs(cls):
+            own = slice(c * WIDE, (c + 1) * WIDE)
+            if c != last:
+                negated, last = against(("units", "unit_bias"), own, noise.log_units[c]), c
+            d_hat[x:y] += contrast(x, y, within, negated, p["units"][own], noise.units[c], sums["unit"][own])
+    for target, bias, total in (("classes", "class_bias", sums["class"]), ("units", "unit_bias", sums["unit"])):
+        into[target] += total[:, :DIM]
+        into[bias] += total[:, DIM]
     for k, v in enumerate(vectors):
         into["weight"][k] += (d_hat * v).sum(0)
-        order = np.argsort(before[:, k].astype(np.uint16), kind="stable")
-        rows, at = np.unique(before[order, k], return_index=True)
-        into["context"][rows] += np.add.reduceat((d_hat * p["weight"][k])[order], at)
+        moved, rows = np.ascontiguousarray((d_hat * p["weight"][k]).T), before[:, k].astype(np.intp)
+        for j in range(DIM):
+            into["context"][:, j] += np.bincount(rows, moved[j], UNITS + 1)
 
 
 class Trainer:
@@ -265,31 +286,57 @@ class Trainer:
         self.move(grads, len(unit))
 
 
+def _chooser(p: dict[str, np.ndarray], target: str, bias: str, table: slice) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """(contexts, choices) -> log of each choice's share of the table.
+
+    A score is a sum over the places of the context, so its exponential is a product of what the units there give: those
+    factors are made once for each unit and place.  Where a product could leave the range, scores are made row by row.
+    """
+    parts = [(p["context"] * p["weight"][k]) @ p[target][table].T for k in range(CONTEXT)]
+    parts[0] += p[bias][table]
+    at = np.arange(ROWS)
+    if sum(max(float(x.max()), -float(x.min())) for x in parts) < 80:
+        factors = [np.exp(x, out=x) for x in parts]
+        ones = np.ones(factors[0].shape[1], np.float32)
+
+        def share(before: np.ndarray, choice: np.ndarray) -> np.ndarray:
+            g = np.take(factors[0], before[:, 0], axis=0)
+            for k in range(1, CONTEXT):
+                g *= np.take(factors[k], before[:, k], axis=0)
+            return np.log(g[at[: len(g)], choice].astype(np.float64) / (g @ ones))
+
+        return share
+
+    def plain(before: np.ndarray, choice: np.ndarray) -> np.ndarray:
+        s = sum(np.take(parts[k], before[:, k], axis=0) for k in range(CONTEXT))
+        true = s[at[: len(s)], choice]
+        return true - _log_sum(s)
+
+    return plain
+
+
 def log_probabilities(p: dict[str, np.ndarray], unit: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Natural log of the probability of each unit after its context; batched products, normalised exactly."""
+    """Natural log of the probability of each unit after its context, normalised exactly; tokens are sorted by unit, so a
+    class is a run of rows, and its factors are made once."""
     out = np.empty(len(unit))
-    for a in range(0, len(unit), BATCH):
-        u, b = unit[a : a + BATCH], before[a : a + BATCH]
-        hat = sum(p["context"][b[:, k]] * p["weight"][k] for k in range(CONTEXT))
-        cls, within = u // WIDE, u % WIDE
-        rows = np.arange(len(u))
-        s = hat @ p["classes"].T + p["class_bias"]
-        got = s[rows, cls] - _log_sum(s)
-        order = np.argsort(cls.astype(np.uint8), kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(cls[order])) + 1):
-            own = slice(int(cls[part[0]]) * WIDE, (int(cls[part[0]]) + 1) * WIDE)
-            s = hat[part] @ p["units"][own].T + p["unit_bias"][own]
-            got[part] += s[np.arange(len(part)), within[part]] - _log_sum(s)
-        out[a : a + BATCH] = got
+    order = np.argsort(unit.astype(np.uint16), kind="stable")
+    unit = unit[order]
+    cls, within = unit // WIDE, unit % WIDE
+    in_all, last = _chooser(p, "classes", "class_bias", slice(None)), -1
+    for c, x, y in _runs(cls):
+        if c != last:
+            in_class, last = _chooser(p, "units", "unit_bias", slice(c * WIDE, (c + 1) * WIDE)), c
+        rows = order[x:y]
+        b = before[rows]
+        out[rows] = in_all(b, cls[x:y]) + in_class(b, within[x:y])
     return out
 
 
 def _log_sum(s: np.ndarray) -> np.ndarray:
-    """Log of the sum of exponentials of each row; ``s`` is used up.  Scores lie near log frequencies, so one shift does."""
-    shift = np.float32(s.max())
+    """Log of the sum of exponentials of each row; ``s`` is used up."""
+    shift = s.max(1, keepdims=True)
     s -= shift
-    np.maximum(s, np.float32(-80), out=s)
-    return np.log(np.exp(s, out=s) @ np.ones(s.shape[1], s.dtype)) + shift
+    return np.log(np.exp(s, out=s) @ np.ones(s.shape[1], s.dtype)) + shift[:, 0]
 
 
 # Over the cluster ----------------------------------------------------------------------------------------------------
@@ -317,7 +364,7 @@ def _gradients(p: dict[str, np.ndarray], noise: Noise) -> Callable[[Iterator[pa.
         grads, tokens = {k: np.zeros(v.shape) for k, v in p.items()}, 0
         for batch in batches:
             for k in range(batch.num_rows):
-                unit = np.frombuffer(batch.column("units")[k].as_py(), np.uint16).astype(np.int64)
+                unit = np.frombuffer(batch.column("units")[k].as_py(), np.uint16)
                 lengths = np.frombuffer(batch.column("sizes")[k].as_py(), np.int32).astype(np.int64)
                 for i, j, a, b in _parts(lengths):
                     before = contexts(unit[a:b], lengths[i:j])
@@ -370,9 +417,11 @@ def _score(lexicon: Lexicon, p: dict[str, np.ndarray], id_type: pa.DataType) ->
             n = len(lengths)
             score, base, seen = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
             log_count = np.log10(c + 1.0)
+            flat = unit.astype(np.uint16)[idx]
+            chosen = log_probabilities(p, flat, contexts(flat, lengths))
             for i, j, a, b in _parts(lengths):
-                flat, at = unit[idx[a:b]], np.cumsum(lengths[i:j]) - lengths[i:j]
-                score[i:j] = np.add.reduceat(log_probabilities(p, flat, contexts(flat, lengths[i:j])) / np.log(10) + share[idx[a:b]], at)
+                at = np.cumsum(lengths[i:j]) - lengths[i:j]
+                score[i:j] = np.add.reduceat(chosen[a:b] / np.log(10) + share[idx[a:b]], at)
                 base[i:j] = np.add.reduceat(log_count[idx[a:b]], at)
                 seen[i:j] = np.add.reduceat((c > 0)[idx[a:b]].astype(np.int64), at)
             out.append(

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import urllib.parse
 import zlib
 from pathlib import Path
@@ -518,6 +519,66 @@ def test_language_model_is_normalised_and_learns():
     assert lm.log_probabilities(t.p, unit, context).mean() > first + 1
 
 
+@pytest.mark.parametrize("spread", [1, 60])  # 60: scores too far apart for products of factors
+def test_language_model_scores_and_gradient_equal_plain_formulas(spread):
+    rng = np.random.default_rng(1)
+    t = lm.Trainer(1e6 / np.arange(1, lm.UNITS + 1))
+    for k in ("classes", "units"):
+        t.p[k] = rng.normal(0, spread, t.p[k].shape).astype(np.float32)
+    unit, before = rng.integers(0, lm.UNITS, 3000) ** 2 // lm.UNITS, rng.integers(0, lm.UNITS + 1, (3000, lm.CONTEXT))
+    p = {k: v.astype(float) for k, v in t.p.items()}
+    cls, rows, wide = unit // lm.WIDE, np.arange(len(unit)), cls_rows(unit)
+    hat = sum(p["context"][before[:, k]] * p["weight"][k] for k in range(lm.CONTEXT))
+    tables = [(p["classes"], p["class_bias"], cls, np.broadcast_to(t.noise.classes, (3000, lm.CLASSES)))]
+    tables.append((p["units"][wide], p["unit_bias"][wide], unit % lm.WIDE, t.noise.units[cls]))
+    want, d_hat, sums = np.zeros(3000), np.zeros_like(hat), []
+    for target, bias, choice, often in tables:
+        s = hat @ target.T + bias if target.ndim == 2 else np.einsum("nd,nwd->nw", hat, target) + bias
+        high = s.max(1, keepdims=True)
+        want += s[rows, choice] - high[:, 0] - np.log(np.exp(s - high).sum(1))
+        told = 1 / (1 + np.exp(np.clip(np.log(often) - s, None, 700)))
+        g = told * often
+        g[rows, choice] -= 1 - told[rows, choice]
+        d_hat += g @ target if target.ndim == 2 else np.einsum("nw,nwd->nd", g, target)
+        sums.append(g)
+    assert np.allclose(lm.log_probabilities(t.p, unit, before), want, rtol=1e-4, atol=1e-4)
+    got = t.zero()
+    lm.gradient(t.p, t.noise, unit, before, got)
+    expected = t.zero()
+    expected["classes"], expected["class_bias"] = sums[0].T @ hat, sums[0].sum(0)
+    np.add.at(expected["unit_bias"], wide, sums[1])
+    np.add.at(expected["units"], wide, sums[1][:, :, None] * hat[:, None])
+    for k in range(lm.CONTEXT):
+        expected["weight"][k] = (d_hat * p["context"][before[:, k]]).sum(0)
+        np.add.at(expected["context"], before[:, k], d_hat * p["weight"][k])
+    for k, v in expected.items():
+        assert np.abs(got[k] - v).max() <= 1e-4 * np.abs(v).max(), k
+
+
+def cls_rows(unit):
+    """The units of the class of each unit."""
+    return (unit // lm.WIDE)[:, None] * lm.WIDE + np.arange(lm.WIDE)
+
+
+def test_language_model_keeps_scores_in_the_cache():
+    rng = np.random.default_rng(2)
+    t = lm.Trainer(1e6 / np.arange(1, lm.UNITS + 1))
+    unit, before, into = rng.integers(0, lm.UNITS, lm.BATCH), rng.integers(0, lm.UNITS + 1, (lm.BATCH, lm.CONTEXT)), t.zero()
+    tracemalloc.start()
+    try:
+        lm.gradient(t.p, t.noise, unit, before, into)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 3 * 4 * lm.BATCH * lm.CLASSES  # three tables of scores of a whole batch; the targets' vectors need less
+
+
+def test_language_model_contexts():
+    unit, lengths = np.arange(1, 8), np.array([1, 2, 4])
+    assert lm.contexts(unit, lengths).tolist() == [[lm.UNITS] * 2, [lm.UNITS] * 2, [2, lm.UNITS], [lm.UNITS] * 2, [4, lm.UNITS], [5, 4], [6, 5]]
+    assert lm.contexts(unit[:1], lengths[:1]).tolist() == [[lm.UNITS] * 2]
+
+
 def test_language_model_keeps_its_first_size():
     assert (lm.TOP, lm.BUCKETS, lm.CLASSES, lm.WIDE, lm.DIM, lm.NOISE) == (3071, 1024, 64, 64, 16, 16)
 
